@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gistmill.dims import STOP_WORDS, fine_dim
 from gistmill.functions import text as tx
+from gistmill.functions.arrays import once
 from gistmill.sources.readers import with_label_names
 
 
@@ -43,7 +44,8 @@ def lemmatize(df: DataFrame, lemmas: DataFrame) -> DataFrame:
 
 def clean_sparse(df: DataFrame, stop: Sequence[str] = STOP_WORDS, lemmas: DataFrame | None = None) -> DataFrame:
     """Basic cleaning, stop word removal, and lemmas where a table is given."""
-    out = df.withColumn("text", tx.remove_stopwords(tx.clean_basic(F.col("text")), stop))
+    out = once(df, "text", tx.clean_basic(F.col("text")))
+    out = once(out, "text", tx.remove_stopwords(F.col("text"), stop))
     return lemmatize(out, lemmas) if lemmas is not None else out
 
 
@@ -60,8 +62,7 @@ def add_broad_category(df: DataFrame) -> DataFrame:
 
 def prepare_corpus(posts: DataFrame, min_length: int = 50) -> DataFrame:
     """Raw posts (doc_id, raw, label_id, split) to clean text with label names, short ones dropped."""
-    clean = posts.withColumn("text", tx.clean_basic(F.col("raw"))).drop("raw")
-    clean = clean.select("doc_id", "text", "label_id", "split")
+    clean = once(posts, "text", tx.clean_basic(F.col("raw"))).select("doc_id", "text", "label_id", "split")
     return with_label_names(filter_short(clean, min_length)).select("doc_id", "text", "label_id", "label", "split")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gistmill.functions import text as tx
 from gistmill.functions import vectors as vx
-from gistmill.functions.arrays import histogram
+from gistmill.functions.arrays import histogram, once
 
 MAX_SVD_TERMS = 50_000
 
@@ -22,7 +22,7 @@ def tokenize_terms(
     df: DataFrame, stop: Sequence[str] = (), ngram_range: tuple[int, int] = (1, 1), text_col: str = "text"
 ) -> DataFrame:
     """Adds ``terms``: array of word n-grams."""
-    return df.withColumn("terms", tx.terms(F.col(text_col), stop, ngram_range))
+    return once(df, "terms", tx.terms(F.col(text_col), stop, ngram_range))
 
 
 def term_counts(df: DataFrame, *keep: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gistmill.dims import BROAD, FINE, STOP_WORDS
+from gistmill.functions.arrays import once
 from gistmill.functions.draws import draw
 from gistmill.functions.text import clean_basic
 from gistmill.operators.clean import add_broad_category, filter_short
@@ -15,7 +16,10 @@ PROMPTS = ["default", "no_others", "cot", "few_shot"]
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    # Test tables are one small file each; larger ones come in enough pieces by themselves.
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def r6(c: Column | str, name: str | None = None) -> Column:
@@ -41,7 +45,7 @@ def raw_posts(spark, sf) -> DataFrame:
 
 def cleaned(spark, sf) -> DataFrame:
     """Clean text, short ones still in."""
-    r = raw_posts(spark, sf).withColumn("text", clean_basic(F.col("raw")))
+    r = once(raw_posts(spark, sf), "text", clean_basic(F.col("raw")))
     return with_label_names(r.select("doc_id", "text", "label_id", "split"))
 
 
