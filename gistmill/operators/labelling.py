@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gistmill.dims import BROAD, FINE, MAX_CATEGORIES, OUTLIER, broad_dim
 from gistmill.functions.arrays import python_list
@@ -79,7 +80,7 @@ def apply_labeller(df: DataFrame, fn: Callable[[Sequence[str]], Sequence[str]],
                         good.append(False)
             yield pdf.assign(reply=replies, answered=good)
 
-    schema = df.schema.add("reply", "string").add("answered", "boolean")
+    schema = T.StructType([*df.schema.fields, T.StructField("reply", T.StringType()), T.StructField("answered", T.BooleanType())])
     return df.mapInPandas(run, schema)
 
 

@@ -117,7 +117,7 @@ def train_head(
     for step in range(total):
         held = vectors.sparkSession.sparkContext.broadcast(head.weights)
 
-        def gradient(pdf: pd.DataFrame, held=held) -> pd.DataFrame:
+        def gradient(pdf, held=held):
             data = [np.stack(pdf[f"{s}_v"].to_numpy()) for s in sides]
             target = pdf["target"].to_numpy() if loss == "cosine" else None
             value, grad = loss_and_gradient(loss, held.value, data, target)
@@ -132,7 +132,7 @@ def train_head(
         batch = full.filter(F.col("_batch") == step % steps_per_epoch)
         schema = "n long, loss double, g array<double>"
         if loss == "simcse":
-            parts = batch.groupBy("_batch").applyInPandas(gradient, schema)
+            parts = batch.groupBy("_batch").applyInPandas(lambda pdf: gradient(pdf), schema)
         else:
             parts = batch.mapInPandas(gradients, schema)
         cells = parts.select("n", "loss", F.posexplode("g").alias("cell", "g")).groupBy("cell")
