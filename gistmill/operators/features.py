@@ -44,14 +44,16 @@ def build_vocabulary(
 ) -> DataFrame:
     """term, df, tf, n_docs of the terms inside the document-frequency band, the most frequent ones where capped.
 
-    Documents are folded into term rows before the only large shuffle; the total comes from a plain count.
+    One scan: documents are folded into term rows before the only large shuffle, and each document also counts
+    once for the empty term, whose frequency is the number of documents.
     """
-    n_docs = df.count()
-    seen = term_counts(df).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
-    total = F.lit(n_docs).cast("long")
-    vocab = seen.withColumn("n_docs", total).filter(
-        (F.col("df") >= _df_bound(min_df, total)) & (F.col("df") <= _df_bound(max_df, total))
-    )
+    mark = F.array(F.struct(F.lit("").alias("term"), F.lit(1).cast("long").alias("tf")))
+    each = df.select(F.explode(F.concat(histogram(F.col("terms")), mark)).alias("_e")).select("_e.term", "_e.tf")
+    seen = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    total = seen.filter("term = ''").select(F.lit(1).alias("_k"), F.col("df").alias("n_docs"))
+    n = F.col("n_docs")
+    vocab = seen.filter("term <> ''").withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").drop("_k")
+    vocab = vocab.filter((F.col("df") >= _df_bound(min_df, n)) & (F.col("df") <= _df_bound(max_df, n)))
     if max_features is not None:
         vocab = vocab.orderBy(F.desc("tf"), "term").limit(max_features)
     return vocab

@@ -16,7 +16,7 @@ from gistmill.functions.text import terms
 from gistmill.operators.clean import add_broad_category
 from gistmill.operators.features import term_counts
 from gistmill.operators.relational import head_n
-from gistmill.operators.topics import ctfidf, topic_term_counts
+from gistmill.operators.topics import ctfidf, topic_term_counts, unit_weights
 from gistmill.prompts import CATEGORY_LIST, TOPIC_TEMPLATES, doc_template
 
 BROAD_NAMES = [name for _, name, _ in BROAD]
@@ -86,16 +86,12 @@ def apply_labeller(df: DataFrame, fn: Callable[[Sequence[str]], Sequence[str]],
 
 def category_profiles(labelled: DataFrame, category: str = "category") -> DataFrame:
     """category, term, u: unit-length class-based weights of each category, learnt from labelled documents."""
-    weights = ctfidf(topic_term_counts(labelled, topic=category), topic=category)
-    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(category)))
-    return weights.select(category, "term", F.coalesce(F.try_divide("weight", length), F.lit(0.0)).alias("u"))
+    return unit_weights(ctfidf(topic_term_counts(labelled, topic=category), topic=category), category)
 
 
 def keyword_labeller(topic_weights: DataFrame, profiles: DataFrame, category: str = "category") -> DataFrame:
     """topic, category, score: the category whose words are closest in cosine to the topic's; ties by category."""
-    w = topic_weights.filter(F.col("topic") != OUTLIER)
-    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("topic")))
-    unit = w.select("topic", "term", F.coalesce(F.try_divide("weight", length), F.lit(0.0)).alias("_w"))
+    unit = unit_weights(topic_weights.filter(F.col("topic") != OUTLIER)).withColumnRenamed("u", "_w")
     dots = unit.join(profiles, "term").groupBy("topic", category).agg(F.sum(F.col("_w") * F.col("u")).alias("_d"))
     order = Window.partitionBy("topic").orderBy(F.desc("score"), category)
     scored = dots.withColumn("score", F.round("_d", 6))

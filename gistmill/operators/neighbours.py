@@ -338,7 +338,11 @@ def spectral_layout(graph: DataFrame, k: int = 2, rounds: int = 20, every: int =
     degree = both.groupBy("a").agg(F.sum("weight").alias("deg"))
     edges = both.join(degree.select("a", F.col("deg").alias("da")), "a")
     edges = edges.join(degree.select(F.col("a").alias("b"), F.col("deg").alias("db")), "b")
-    edges = cut_lineage(edges.select("a", "b", (F.col("weight") / F.sqrt(F.col("da") * F.col("db"))).alias("w")))
+    # Half a step plus half of staying put keeps every eigenvalue positive, so that the largest ones win;
+    # with the node itself as an edge, a round is one join and one sum.
+    half = edges.select("a", "b", (F.col("weight") / F.sqrt(F.col("da") * F.col("db")) / 2).alias("w"))
+    stay = degree.select("a", F.col("a").alias("b"), F.lit(0.5).alias("w"))
+    edges = cut_lineage(half.union(stay).repartition("b"))
     names = [f"x{i}" for i in range(k)]
     start = [
         (F.conv(F.substring(hash_key(seed + i, "a"), 1, 8), 16, 10).cast("double") / 2.0**31 - 1.0).alias(n)
@@ -347,10 +351,9 @@ def spectral_layout(graph: DataFrame, k: int = 2, rounds: int = 20, every: int =
     x = cut_lineage(degree.select(F.col("a").alias("id"), F.sqrt("deg").alias("t"), *start))
     x = _orthonormal(x, names)
     for r in range(rounds):
-        moved = edges.join(x.select(F.col("id").alias("b"), *names), "b").groupBy("a")
-        moved = moved.agg(*[F.sum(F.col("w") * F.col(n)).alias(f"y{n}") for n in names]).withColumnRenamed("a", "id")
-        # The half step keeps every eigenvalue positive, so that the largest ones win.
-        x = x.join(moved, "id").select("id", "t", *[((F.col(n) + F.col(f"y{n}")) / 2).alias(n) for n in names])
+        step = edges.join(x.withColumnRenamed("id", "b"), "b").groupBy("a")
+        own = F.max(F.when(F.col("a") == F.col("b"), F.col("t"))).alias("t")
+        x = step.agg(own, *[F.sum(F.col("w") * F.col(n)).alias(n) for n in names]).withColumnRenamed("a", "id")
         if (r + 1) % every == 0 or r + 1 == rounds:
             x = _orthonormal(cut_lineage(x), names)
     return x.select("id", F.array(*names).alias("coords"))

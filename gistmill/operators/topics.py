@@ -30,11 +30,20 @@ def topic_term_counts(
     counts = term_counts(df, topic).groupBy(topic, "term").agg(F.sum("tf").alias("tf"))
     if min_df == 1 and max_df == 1.0:
         return counts
-    n_topics = df.select(topic).distinct().count()
-    low = min_df if isinstance(min_df, int) else min_df * n_topics
-    high = max_df if isinstance(max_df, int) else max_df * n_topics
+    n = F.col("_n")
+    banded = with_topic_share(counts, topic).filter(
+        (F.col("_df") >= (F.lit(min_df) if isinstance(min_df, int) else min_df * n))
+        & (F.col("_df") <= (F.lit(max_df) if isinstance(max_df, int) else max_df * n))
+    )
+    return banded.drop("_df", "_n")
+
+
+def with_topic_share(counts: DataFrame, topic: str = "topic") -> DataFrame:
+    """Adds _df, the topics that hold the term, and _n, all topics."""
+    total = counts.select(topic).distinct().agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(1))
     spread = F.count(F.lit(1)).over(Window.partitionBy("term"))
-    return counts.withColumn("_df", spread).filter((F.col("_df") >= low) & (F.col("_df") <= high)).drop("_df")
+    # One row.
+    return counts.withColumn("_df", spread).withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").drop("_k")
 
 
 def ctfidf(counts: DataFrame, topic: str = "topic", by: Sequence[str] = ()) -> DataFrame:
@@ -60,9 +69,11 @@ def topic_barchart_data(weights: DataFrame, n: int = 5) -> DataFrame:
     return topic_words(weights, n, outliers=False)
 
 
-def _unit(weights: DataFrame, topic: str = "topic") -> DataFrame:
-    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(topic)))
-    return weights.select(topic, "term", F.coalesce(F.try_divide("weight", length), F.lit(0.0)).alias("u"))
+def unit_weights(weights: DataFrame, topic: str = "topic") -> DataFrame:
+    """topic, term, u: weights scaled to unit length per topic."""
+    # Added up before the shuffle, so that a topic with most of the terms is no hot group.
+    length = weights.groupBy(topic).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_l"))
+    return weights.join(length, topic).select(topic, "term", F.coalesce(F.try_divide("weight", "_l"), F.lit(0.0)).alias("u"))
 
 
 def topic_similarity(weights: DataFrame) -> DataFrame:
@@ -70,7 +81,7 @@ def topic_similarity(weights: DataFrame) -> DataFrame:
 
     Topics, not documents, meet on a term: at most topics^2 rows per term, added up before they are moved.
     """
-    u = _unit(weights.filter(F.col("topic") != OUTLIER))
+    u = unit_weights(weights.filter(F.col("topic") != OUTLIER))
     left = u.select(F.col("topic").alias("a"), "term", F.col("u").alias("ua"))
     right = u.select(F.col("topic").alias("b"), "term", F.col("u").alias("ub"))
     met = left.join(right, "term").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("s"))
@@ -266,17 +277,15 @@ def sweep_vectorizer(
     The settings are a column: documents are counted once with the longest n-grams, each setting filters
     the topic-term table, and windows are counted once for the words of all settings together.
     """
-    n_topics = docs.select("topic").distinct().count()
     longest = max(hi for _, hi in ngram_ranges)
     lowest = min(lo for lo, _ in ngram_ranges)
     grams = docs.withColumn("terms", tx.terms(F.col("text"), stop, (lowest, longest)))
-    counts = topic_term_counts(grams).withColumn("_df", F.count(F.lit(1)).over(Window.partitionBy("term")))
-    counts = counts.withColumn("_len", F.size(F.split("term", " ")))
+    counts = with_topic_share(topic_term_counts(grams)).withColumn("_len", F.size(F.split("term", " ")))
     grid = [(lo, hi, a, b) for lo, hi in ngram_ranges for a in min_dfs for b in max_dfs]
     fits = F.array(
         *[
             F.when(
-                F.col("_len").between(lo, hi) & (F.col("_df") >= a) & (F.col("_df") <= b * n_topics), F.lit(i)
+                F.col("_len").between(lo, hi) & (F.col("_df") >= a) & (F.col("_df") <= b * F.col("_n")), F.lit(i)
             )
             for i, (lo, hi, a, b) in enumerate(grid)
         ]
