@@ -9,11 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gistmill.dims import BROAD, FINE, MAX_CATEGORIES, OUTLIER, broad_dim
+from gistmill.dims import BROAD, FINE, MAX_CATEGORIES, OUTLIER, broad_dim, fine_dim
 from gistmill.functions.arrays import python_list
 from gistmill.functions.replies import normalize_prediction, parse_topic_reply
 from gistmill.functions.text import terms
-from gistmill.operators.clean import add_broad_category
 from gistmill.operators.features import term_counts
 from gistmill.operators.relational import head_n
 from gistmill.operators.topics import ctfidf, topic_term_counts, unit_weights
@@ -98,46 +97,61 @@ def keyword_labeller(topic_weights: DataFrame, profiles: DataFrame, category: st
     return scored.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("topic", category, "score")
 
 
-def classify_terms(docs: DataFrame, profiles: DataFrame, out: str, category: str = "category") -> DataFrame:
-    """Adds ``out``: the category with the largest dot product with the document's term counts, null without a known term.
+def classify_terms(docs: DataFrame, grains: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """Adds one column per grain: the category with the largest dot product with the document's term counts.
 
-    The profile of a term is one row with a slot per category, so a document's terms are joined once and the
-    sums of all categories are taken together.
+    ``grains`` maps a column name to (profiles (category, term, u), category names). The profiles of a term become
+    one row with a slot per category, so a document's terms are joined once and all sums are taken together.
+    Ties go to the first name in order; a document without a known term gets null.
     """
-    names = [r[0] for r in profiles.select(category).distinct().limit(MAX_CATEGORIES + 1).collect()]
-    if len(names) > MAX_CATEGORIES:
+    if sum(len(names) for _, names in grains.values()) > MAX_CATEGORIES:
         raise ValueError(f"more than {MAX_CATEGORIES} categories")
-    names.sort()
-    slots = [F.sum(F.when(F.col(category) == n, F.col("u")).otherwise(0.0)).alias(f"_c{i}") for i, n in enumerate(names)]
-    wide = profiles.groupBy("term").agg(*slots)
+    stacked, slots = None, {}
+    for out, (profiles, names) in grains.items():
+        part = profiles.select(F.lit(out).alias("_g"), F.col("category"), "term", "u")
+        stacked = part if stacked is None else stacked.unionByName(part)
+        slots |= {f"_s{len(slots) + i}": (out, n) for i, n in enumerate(sorted(names))}
+    hit = {s: (F.col("_g") == out) & (F.col("category") == n) for s, (out, n) in slots.items()}
+    wide = stacked.groupBy("term").agg(*[F.sum(F.when(h, F.col("u")).otherwise(0.0)).alias(s) for s, h in hit.items()])
     joined = term_counts(docs).join(wide, "term")
-    sums = joined.groupBy("doc_id").agg(*[F.sum(F.col("tf") * F.col(f"_c{i}")).alias(f"_c{i}") for i in range(len(names))])
-    scored = F.array(
-        *[
-            F.struct(F.round(f"_c{i}", 6).alias("score"), F.lit(-i).alias("order"), F.lit(n).alias("name"))
-            for i, n in enumerate(names)
+    sums = joined.groupBy("doc_id").agg(*[F.sum(F.col("tf") * F.col(s)).alias(s) for s in slots])
+
+    def best(out: str) -> Column:
+        mine = [(s, n) for s, (o, n) in slots.items() if o == out]
+        scored = [
+            F.struct(F.round(s, 6).alias("score"), F.lit(-i).alias("order"), F.lit(n).alias("name"))
+            for i, (s, n) in enumerate(mine)
         ]
-    )
-    best = sums.select("doc_id", F.array_max(scored)["name"].alias(out))
-    return docs.join(best, "doc_id", "left")
+        return F.array_max(F.array(*scored))["name"].alias(out)
+
+    return docs.join(sums.select("doc_id", *[best(out) for out in grains]), "doc_id", "left")
 
 
 def classify_documents(docs: DataFrame, train: DataFrame, n: int | None = None, stop: Sequence[str] = ()) -> DataFrame:
     """doc_id, text, fine_label, fine_predicted, broad_label, broad_predicted for the first n documents (all if None).
 
-    ``train`` and ``docs`` hold doc_id, text and the fine ``label``; answers outside the lists read 'other'.
+    ``train`` and ``docs`` hold doc_id, text and the fine ``label``; answers outside the lists read 'other'. Train
+    documents are counted once: the broad counts are sums of the fine ones.
     """
-    short = F.broadcast(broad_dim(docs.sparkSession).select("broad_label_id", F.col("short_name").alias("broad_label")))
-
-    def prepared(df: DataFrame) -> DataFrame:
-        named = add_broad_category(df.select("doc_id", "text", "label")).join(short, "broad_label_id", "left")
-        return named.withColumn("terms", terms(F.col("text"), stop))
-
-    learnt = prepared(train).persist()
-    out = prepared(head_n(docs, n) if n is not None else docs)
-    for grain, col in (("fine", "label"), ("broad", "broad_label")):
-        by = learnt.withColumn("category", F.col(col)).filter(F.col("category").isNotNull())
-        out = classify_terms(out, category_profiles(by), f"{grain}_predicted")
+    spark = docs.sparkSession
+    short = F.broadcast(broad_dim(spark).select("broad_label_id", F.col("short_name").alias("broad_label")))
+    names = F.broadcast(fine_dim(spark).select("label", "broad_label_id").join(short, "broad_label_id").select("label", "broad_label"))
+    learnt = train.withColumn("terms", terms(F.col("text"), stop))
+    # Four aggregates read the counts; Spark does not always see that they are the same.
+    fine = topic_term_counts(learnt, topic="label").filter(F.col("label").isin(FINE_NAMES)).persist()
+    broad = fine.join(names, "label").groupBy("broad_label", "term").agg(F.sum("tf").alias("tf"))
+
+    def profiles(counts: DataFrame, col: str) -> DataFrame:
+        return unit_weights(ctfidf(counts, col), col).withColumnRenamed(col, "category")
+
+    asked = (head_n(docs, n) if n is not None else docs).select("doc_id", "text", "label").join(names, "label", "left")
+    out = classify_terms(
+        asked.withColumn("terms", terms(F.col("text"), stop)),
+        {
+            "fine_predicted": (profiles(fine, "label"), FINE_NAMES),
+            "broad_predicted": (profiles(broad, "broad_label"), SHORT_NAMES),
+        },
+    )
     return out.select(
         "doc_id",
         "text",
