@@ -151,15 +151,17 @@ def _grid_join(queries, base, kernel, schema, neighbours, reach, block_rows) ->
     q_side = q.join(F.broadcast(cells), F.col("cell") == F.col("qc")).withColumn("qp", part("qn")).withColumn("bp", parts("bn"))
     b_side = b.join(F.broadcast(cells), F.col("cell") == F.col("bc")).withColumn("bp", part("bn")).withColumn("qp", parts("qn"))
     key = ["qc", "qp", "bc", "bp"]
-    q_side = q_side.select(*key, *queries.columns)
-    b_side = b_side.select(*key, *base.columns)
+    # Names of their own on each side, as both may come from one table.
+    q_side = q_side.select(*[F.col(c).alias(f"q_{c}") for c in key], *queries.columns)
+    b_side = b_side.select(*[F.col(c).alias(f"b_{c}") for c in key], *base.columns)
 
     def run(qpdf: pd.DataFrame, bpdf: pd.DataFrame) -> pd.DataFrame:
         if not len(qpdf) or not len(bpdf):
             return pd.DataFrame(columns=T._parse_datatype_string(schema).names)
         return kernel(qpdf, bpdf)
 
-    return q_side.groupBy(*key).cogroup(b_side.groupBy(*key)).applyInPandas(run, schema)
+    q_groups, b_groups = q_side.groupBy(*[f"q_{c}" for c in key]), b_side.groupBy(*[f"b_{c}" for c in key])
+    return q_groups.cogroup(b_groups).applyInPandas(run, schema)
 
 
 def _best(score: np.ndarray, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
