@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gistmill.functions.joins import checked_join
 from gistmill.functions.vectors import as_double
 from gistmill.operators.neighbours import vector_join
 from gistmill.operators.relational import (
@@ -152,7 +153,8 @@ def davies_bouldin(df: DataFrame, label_col: str = "label", vec: str = "embeddin
     if two_d:
         check_projection(pts, "v")
     cent = centroids(pts, "label", "v")
-    spread = pts.join(cent, "label").groupBy("label").agg(F.avg(_distance(F.col("v"), F.col("centroid"))).alias("s"))
+    met = checked_join(pts, cent, ["label"], "v")
+    spread = met.groupBy("label").agg(F.avg(_distance(F.col("v"), F.col("centroid"))).alias("s"))
     stats = cent.join(spread, "label").select(F.xxhash64("label").alias("id"), F.col("centroid").alias("v"), "s").persist()
 
     def kernel(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from gistmill.dims import OUTLIER
 from gistmill.functions import text as tx
 from gistmill.functions import vectors as vx
+from gistmill.functions.joins import spread_join
 from gistmill.operators.evaluate import centroids
-from gistmill.operators.features import pca, term_counts
+from gistmill.operators.features import pca
 from gistmill.operators.neighbours import DIGITS
 
 MAX_TOPICS = 4096
@@ -27,7 +28,9 @@ def topic_term_counts(
 
     As in class-based weighting a topic counts as one document for min_df and max_df.
     """
-    counts = term_counts(df, topic).groupBy(topic, "term").agg(F.sum("tf").alias("tf"))
+    # Stated here rather than left to join inference, so that every reader of the counts has the same plan to reuse.
+    each = df.filter(F.col(topic).isNotNull()).select(topic, F.explode("terms").alias("term"))
+    counts = each.groupBy(topic, "term").agg(F.count(F.lit(1)).alias("tf"))
     if min_df == 1 and max_df == 1.0:
         return counts
     n = F.col("_n")
@@ -52,7 +55,7 @@ def ctfidf(counts: DataFrame, topic: str = "topic", by: Sequence[str] = ()) -> D
     size = counts.groupBy(*by, topic).agg(F.sum("tf").alias("_words"))
     size = size.withColumn("_a", F.floor(F.avg("_words").over(Window.partitionBy(*by))))
     total = F.sum("tf").over(Window.partitionBy(*by, "term"))
-    joined = counts.withColumn("_f", total).join(size, [*by, topic])
+    joined = spread_join(counts.withColumn("_f", total), size, [*by, topic], "term")
     weight = F.col("tf") / F.col("_words") * F.log(1 + F.col("_a") / F.col("_f"))
     return joined.select(*by, topic, "term", "tf", weight.alias("weight"))
 
@@ -73,7 +76,7 @@ def unit_weights(weights: DataFrame, topic: str = "topic") -> DataFrame:
     """topic, term, u: weights scaled to unit length per topic."""
     # Added up before the shuffle, so that a topic with most of the terms is no hot group.
     length = weights.groupBy(topic).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_l"))
-    return weights.join(length, topic).select(topic, "term", F.coalesce(F.try_divide("weight", "_l"), F.lit(0.0)).alias("u"))
+    return spread_join(weights, length, [topic], "term").select(topic, "term", F.coalesce(F.try_divide("weight", "_l"), F.lit(0.0)).alias("u"))
 
 
 def topic_similarity(weights: DataFrame) -> DataFrame:
@@ -154,7 +157,7 @@ def reduce_topics(docs: DataFrame, weights: DataFrame, nr_topics: int = 20) -> D
 def representative_docs(docs: DataFrame, n: int = 3, id_col: str = "doc_id", vec: str = "embedding") -> DataFrame:
     """topic, rank, doc_id, similarity: documents nearest to their topic's mean vector."""
     cent = centroids(docs, "topic", vec).select("topic", "centroid")
-    scored = docs.join(cent, "topic").select(
+    scored = spread_join(docs, cent, ["topic"], id_col).select(
         "topic", id_col, F.round(vx.cosine(vx.as_double(F.col(vec)), F.col("centroid")), DIGITS).alias("similarity")
     )
     order = Window.partitionBy("topic").orderBy(F.desc("similarity"), id_col)
