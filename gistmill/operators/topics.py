@@ -104,7 +104,8 @@ def merge_topics(similarity: DataFrame, n: int) -> dict[int, int]:
     """
     spark = similarity.sparkSession
     sims = similarity.select("a", "b", "similarity").persist()
-    topics = sorted({t for r in sims.select("a", "b").distinct().collect() for t in r})
+    found = sims.select(F.explode(F.array("a", "b")).alias("t")).distinct().limit(MAX_TOPICS + 1)
+    topics = sorted(r["t"] for r in found.collect())
     if len(topics) > MAX_TOPICS:
         raise ValueError(f"more than {MAX_TOPICS} topics; raise min_cluster_size first")
     group = {t: t for t in topics}
