@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gistmill.dims import BROAD, FINE, STOP_WORDS
 from gistmill.functions.arrays import once
 from gistmill.functions.draws import draw
+from gistmill.functions.numbers import to_places
 from gistmill.functions.text import clean_basic
 from gistmill.operators.clean import add_broad_category, filter_short
 from gistmill.sources.readers import with_label_names
@@ -23,7 +24,7 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def r6(c: Column | str, name: str | None = None) -> Column:
-    out = F.round(c, 6)
+    out = to_places(F.col(c) if isinstance(c, str) else c, 6)
     return out.alias(name or c) if name or isinstance(c, str) else out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gistmill.dims import STOP_WORDS
+from gistmill.functions.numbers import to_places
 from gistmill.operators import topics as op
 from gistmill.operators.features import tokenize_terms
 from gistmill.registry import tables as t
@@ -17,7 +18,7 @@ def category_words(spark, sf):
     words = tokenize_terms(t.corpus(spark, sf), STOP_WORDS)
     weights = op.ctfidf(op.topic_term_counts(words, topic="broad_label_id"), topic="broad_label_id")
     best = op.topic_words(weights, 10, topic="broad_label_id")
-    return best.select("broad_label_id", "rank", "term", F.round("weight", 8).alias("weight"))
+    return best.select("broad_label_id", "rank", "term", to_places(F.col("weight"), 8).alias("weight"))
 
 
 def counts(spark, sf):
@@ -33,7 +34,7 @@ def q_counts(spark, sf):
 
 
 def q_ctfidf(spark, sf):
-    return weights(spark, sf).select("topic", "term", "tf", F.round("weight", 8).alias("weight"))
+    return weights(spark, sf).select("topic", "term", "tf", to_places(F.col("weight"), 8).alias("weight"))
 
 
 def q_words(spark, sf):
@@ -41,7 +42,7 @@ def q_words(spark, sf):
 
 
 def q_barchart(spark, sf):
-    return op.topic_barchart_data(weights(spark, sf)).select("topic", "rank", "term", F.round("weight", 8).alias("weight"))
+    return op.topic_barchart_data(weights(spark, sf)).select("topic", "rank", "term", to_places(F.col("weight"), 8).alias("weight"))
 
 
 def q_similarity(spark, sf):
