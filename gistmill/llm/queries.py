@@ -32,7 +32,7 @@ kept as (
 )
 select d.doc_id, n_bytes::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
   sha256(unhex(case when tail is null then hex else
-    concat(list_aggregate(list_transform(pieces, x -> substr(hex, 2 * x[1] + 1, 2 * (x[2] - x[1]))), 'string_agg', ''), substr(hex, 2 * tail + 1)) end)) as kept_sha256
+    concat(list_aggregate(list_transform(pieces, lambda x: substr(hex, 2 * x[1] + 1, 2 * (x[2] - x[1]))), 'string_agg', ''), substr(hex, 2 * tail + 1)) end)) as kept_sha256
 from d left join kept using (doc_id)
 """
 
