@@ -4,25 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gistmill.llm import suffix_dups
+from gistmill.llm import block_dups, suffix_dups
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return block_dups.digest(block_dups.earlier_passages(documents(spark, sf)))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dups.digest(suffix_dups.repeated_spans(documents(spark, sf)))
 
 
 QUERIES = {
+    "op7_substring_dedup": op7_substring_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
+#: Words between ASCII white space, numbered from 1 in each text.
+_WORDS = r"""
+texts as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda w: w <> '') as ws from documents),
+words as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i, len(ws) as n from texts)
+"""
+
+_OP7 = f"""
+with {_WORDS},
+windows as (
+  select doc_id, i, hash(string_agg(w, ' ') over (partition by doc_id order by i rows between current row and 12 following)) as h, n - i >= 12 as whole from words
+),
+later as (select doc_id, i from windows w join (select h, min(doc_id) as least from windows where whole group by h) using (h) where whole and doc_id > least),
+gone as (select distinct doc_id, i + k as i from later, range(13) r(k)),
+left_over as (
+  select words.doc_id, count(gone.i) as n_removed, coalesce(string_agg(w, ' ' order by words.i) filter (gone.i is null), '') as kept
+  from words left join gone on words.doc_id = gone.doc_id and words.i = gone.i group by words.doc_id
+)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from texts left join left_over using (doc_id)
+"""
+
 #: Hexadecimal text has one-byte characters, so its substrings are byte strings.
 _OP10 = """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as hex, octet_length(encode(coalesce(text, ''))) as n_bytes from documents),
-windows as (select doc_id, p, md5(substr(hex, 2 * p + 1, 400)) as h from (select doc_id, hex, unnest(range(n_bytes - 199)) as p from d)),
+blocks as (select doc_id, 100 * k as a, substr(hex, 200 * k + 1, 598) as hex from (select doc_id, hex, unnest(range((n_bytes - 100) // 100)) as k from d)),
+windows as (select doc_id, a + i as p, md5(substr(hex, 2 * i + 1, 400)) as h from blocks, range(100) r(i) where length(hex) >= 2 * i + 400),
 repeats as (select doc_id, p from windows where h in (select h from windows group by h having count(*) > 1)),
 edges as (select *, case when p > 200 + lag(p, 1, -999) over (partition by doc_id order by p) then 1 else 0 end as new from repeats),
 runs as (select doc_id, sum(new) over (partition by doc_id order by p rows unbounded preceding) as run, p from edges),
@@ -37,5 +64,6 @@ from d left join kept using (doc_id)
 """
 
 ORACLE = {
+    "op7_substring_dedup": _OP7,
     "op10_suffix_dedup": _OP10,
 }

@@ -163,3 +163,41 @@ def text_sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=sums[1:])
     return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
+def join_words(data: np.ndarray, words: Words, keep: np.ndarray) -> pa.Array:
+    """The kept words of each text, joined by one space."""
+    text_of = words.text_of()[keep]
+    starts = words.starts[keep]
+    sizes = words.ends[keep] - starts + 1
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    at = np.arange(len(out))
+    at -= np.repeat(ends - sizes - starts, sizes)
+    np.minimum(at, max(0, len(data) - 1), out=at)
+    out = data[at] if len(out) else out
+    out[ends - 1] = 0x20
+    counts = np.bincount(text_of, minlength=len(words.offsets) - 1)
+    last = np.cumsum(counts)
+    tails = ends[last[counts > 0] - 1] - 1  # the space after the last word of a text
+    keep_byte = np.ones(len(out), bool)
+    keep_byte[tails] = False
+    bounds = np.concatenate([[0], ends])[np.concatenate([[0], last])] - np.concatenate([[0], np.cumsum(counts > 0)])
+    out = np.ascontiguousarray(out[keep_byte])
+    return pa.Array.from_buffers(pa.large_string(), len(counts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(out)])
+
+
+def runs(flags: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Starts and ends of the runs of true flags in each text, counted from the text's start."""
+    edge = np.zeros(len(flags) + 1, bool)
+    edge[0] = len(flags) > 0
+    edge[1:-1] = flags[1:] != flags[:-1]
+    edge[offsets] = True
+    at = np.flatnonzero(edge)
+    at = at[at < len(flags)]
+    stop = np.append(at[1:], len(flags))[flags[at]] if len(at) else at
+    at = at[flags[at]]
+    bounds = np.searchsorted(at, offsets).astype(np.int32)
+    base = np.repeat(offsets[:-1], np.diff(bounds))
+    make = lambda x: pa.ListArray.from_arrays(pa.array(bounds), pa.array(x - base, pa.int64()))
+    return make(at), make(stop)
