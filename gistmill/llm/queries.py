@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gistmill.llm import block_dups, suffix_dups
+from gistmill.llm import block_dups, quality, suffix_dups
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality_rules(documents(spark, sf)).selectExpr(
+        "id as doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return block_dups.digest(block_dups.earlier_passages(documents(spark, sf)))
 
@@ -20,6 +26,7 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
@@ -30,6 +37,46 @@ texts as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '
 words as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i, len(ws) as n from texts)
 """
 
+def _covered(n: int) -> str:
+    """Words of each text, and their characters, that lie in windows of n words found twice or more in it."""
+    return f"""
+grams{n} as (
+  select doc_id, i, hash(string_agg(w, ' ') over (partition by doc_id order by i rows between current row and {n - 1} following)) as h, n - i >= {n - 1} as whole
+  from words
+),
+twice{n} as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, h) as c from grams{n} where whole) where c > 1),
+cover{n} as (
+  select doc_id, count(*) as words{n}, sum(length(w)) as chars{n}
+  from (select distinct doc_id, i + k as i from twice{n}, range({n}) r(k)) join words using (doc_id, i) group by doc_id
+)"""
+
+
+_OP2 = f"""
+with {_WORDS},
+{", ".join(_covered(n) for n in (3, 5, 7, 10))},
+lines as (select doc_id, unnest(string_split(text, chr(10))) as line from documents),
+grouped as (
+  select doc_id, line, count(*) as c, length(regexp_replace(line, '[ \t\n\v\f\r]+', '', 'g')) as chars from lines
+  where regexp_matches(line, '[^ \t\n\v\f\r]') group by doc_id, line
+),
+repeats as (select doc_id, sum(c - 1) as n_dup_lines, sum(case when c > 1 then c * chars else 0 end) as line_chars from grouped group by doc_id),
+facts as (
+  select doc_id, len(ws) as n_words, list_sum(list_transform(ws, lambda w: length(w))) as word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols
+  from texts join documents using (doc_id)
+),
+counts as (
+  select doc_id, n_words, coalesce(word_chars, 0) as word_chars, coalesce(n_symbols, 0) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+    coalesce(words3, 0) as n_repeat_words, coalesce(line_chars, 0) as line_chars, coalesce(chars5, 0) as chars5, coalesce(chars7, 0) as chars7, coalesce(chars10, 0) as chars10
+  from facts left join repeats using (doc_id) left join cover3 using (doc_id) left join cover5 using (doc_id) left join cover7 using (doc_id) left join cover10 using (doc_id)
+)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines,
+  n_repeat_words::bigint as n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and line_chars / greatest(1, word_chars) <= 0.3::double and n_symbols <= 0.1::double * n_words
+    and chars5 / greatest(1, word_chars) <= 0.4::double and chars7 / greatest(1, word_chars) <= 0.35::double and chars10 / greatest(1, word_chars) <= 0.3::double as kept
+from counts
+"""
+
 _OP7 = f"""
 with {_WORDS},
 windows as (
@@ -64,6 +111,7 @@ from d left join kept using (doc_id)
 """
 
 ORACLE = {
+    "op2_quality_rules": _OP2,
     "op7_substring_dedup": _OP7,
     "op10_suffix_dedup": _OP10,
 }
