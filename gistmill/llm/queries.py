@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gistmill.llm import block_dups, quality, suffix_dups
+from gistmill.llm import block_dups, near_dups, quality, suffix_dups
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dups.digest(near_dups.near_duplicates(documents(spark, sf), size=4, percent=80))
+
+
 def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf)).selectExpr(
         "id as doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -26,6 +30,7 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
@@ -37,6 +42,24 @@ texts as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '
 words as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i, len(ws) as n from texts)
 """
 
+_OP1 = r"""
+with recursive lowered as (
+  select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents
+),
+texts as (select doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda w: w <> '') as ws from lowered),
+shingles as (
+  select distinct doc_id, array_to_string(ws[i:i + 3], ' ') as s from (select doc_id, ws, unnest(range(1, greatest(1, len(ws) - 3) + 1)) as i from texts where len(ws) > 0)
+),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join both_ways l on l.a = r.b)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept
+from (select a as doc_id, min(b) as component_id from reach group by a) left join sizes using (doc_id)
+"""
+
+
 def _covered(n: int) -> str:
     """Words of each text, and their characters, that lie in windows of n words found twice or more in it."""
     return f"""
@@ -111,6 +134,7 @@ from d left join kept using (doc_id)
 """
 
 ORACLE = {
+    "op1_minhash_near_dedup": _OP1,
     "op2_quality_rules": _OP2,
     "op7_substring_dedup": _OP7,
     "op10_suffix_dedup": _OP10,
