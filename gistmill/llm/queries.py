@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gistmill.llm import block_dups, near_dups, quality, suffix_dups
+from gistmill.llm import block_dups, decontaminate, near_dups, quality, suffix_dups
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.decontaminate(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")))
+
+
 def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return block_dups.digest(block_dups.earlier_passages(documents(spark, sf)))
 
@@ -32,6 +36,7 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op5_decontamination": op5_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
@@ -100,6 +105,28 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
 from counts
 """
 
+_OP5 = r"""
+with recursive lowered as (
+  select 'd' as kind, doc_id as id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents
+  union all select 'b', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark
+),
+texts as (select kind, id, list_filter(regexp_split_to_array(text, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as ws from lowered),
+windows as (
+  select distinct id as item_id, least(10, len(ws)) as m, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') as s
+  from (select id, ws, unnest(range(1, greatest(1, len(ws) - 9) + 1)) as i from texts where kind = 'b' and len(ws) > 0)
+),
+places as (
+  select id as doc_id, i, m, array_to_string(ws[i:i + m - 1], ' ') as s
+  from (select id, ws, unnest(range(1, len(ws) + 1)) as i from texts where kind = 'd'), (select distinct m from windows) where i + m - 1 <= len(ws)
+),
+hits as (select doc_id, i, m, item_id from places join windows using (m, s)),
+hit_words as (select doc_id, count(distinct i + k) as n_hit from hits, range(10) r(k) where k < m group by doc_id),
+named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from hits) group by doc_id)
+select id as doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from texts left join hit_words on id = hit_words.doc_id left join named on id = named.doc_id where kind = 'd'
+"""
+
 _OP7 = f"""
 with {_WORDS},
 windows as (
@@ -136,6 +163,7 @@ from d left join kept using (doc_id)
 ORACLE = {
     "op1_minhash_near_dedup": _OP1,
     "op2_quality_rules": _OP2,
+    "op5_decontamination": _OP5,
     "op7_substring_dedup": _OP7,
     "op10_suffix_dedup": _OP10,
 }
