@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gistmill.llm import block_dups, decontaminate, near_dups, quality, suffix_dups
+from gistmill.llm import block_dups, decontaminate, near_dups, quality, suffix_dups, token_counts
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -29,6 +30,11 @@ def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return block_dups.digest(block_dups.earlier_passages(documents(spark, sf)))
 
 
+def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    found = token_counts.token_counts(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.selectExpr("id as doc_id", "n_bytes", "n_tokens", "n_tokens > 512 as over_limit")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dups.digest(suffix_dups.repeated_spans(documents(spark, sf)))
 
@@ -38,6 +44,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op5_decontamination": op5_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 

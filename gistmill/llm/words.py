@@ -118,9 +118,14 @@ def split_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> W
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes; equal spans have equal hashes in every task."""
-    power, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(BYTE_NUMBERS[data] * power[:-1], out=sums[1:])
+    return run_hashes(BYTE_NUMBERS[data], starts, ends)
+
+
+def run_hashes(numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """As span_hashes, for runs of 64-bit numbers that look random."""
+    power, inverse = _powers(len(numbers) + 1)
+    sums = np.zeros(len(numbers) + 1, U64)
+    np.cumsum(numbers * power[:-1], out=sums[1:])
     found = sums[ends]
     found -= sums[starts]
     found *= inverse[starts]
