@@ -28,11 +28,11 @@ def text_size(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
 
 
-def routed(docs: DataFrame, total: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns route, id and text; all rows, whatever repeats or is null."""
+def routed(docs: DataFrame, total: int, id_col: str = "doc_id", text: str = "text", *more: Column) -> DataFrame:
+    """Columns route, id, text and more; all rows, whatever repeats or is null."""
     routes = max(1, math.ceil(total / SLICE_BYTES))
     route = F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(routes)).cast("int")
-    return docs.select(route.alias("route"), F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
+    return docs.select(route.alias("route"), F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"), *more)
 
 
 def bucket_count(entries: float) -> int:
@@ -104,7 +104,3 @@ def senders(table: pa.Table, name: str) -> np.ndarray:
     """The sender of each entry. name: a column's first plane, of two bytes an entry."""
     sizes = [np.diff(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]) // 2 for c in table.column(f"{name}0").chunks if len(c)]
     return np.repeat(table.column("sender").to_numpy(), np.concatenate(sizes)) if sizes else np.zeros(0, np.int32)
-
-
-def group_by(frame: DataFrame, key: str | Column = "receiver"):
-    return frame.groupBy(key)

@@ -17,8 +17,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gistmill.llm.blobs import text_size
 from gistmill.llm.words import ALNUM_WORD, LOWER, gram_hashes, slices, span_hashes, split_words, text_bytes
@@ -137,22 +138,37 @@ def automata(items: DataFrame, window: int = WINDOW, id_col: str = "item_id", te
     return [bytes(r["automaton"]) for r in built.where("automaton is not null").toLocalIterator()]
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_share: float = 1.0, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_share: float = 1.0, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", carry: Column | None = None) -> DataFrame:
     """One row per row of `docs`: id, n_words, n_hit, items (names of items with a window in the text, sorted), starts and ends (spans of bytes
-    to take out), kept (the text without them; null if over `most_share` of its words were hit).
+    to take out), kept (the text without them; null if over `most_share` of its words were hit), and `carry` as it is.
 
     Words are runs of ASCII letters and digits and of all characters beyond ASCII; A-Z count as lower case. A window is `window` words of an item, or all words of
     an item that has fewer. Words that lie in any place of a window are hit. A null or empty text has no words, is not hit and stays as it is; so do
     all texts if there are no items. A null item has no windows; a null item id doesn't hit by name, its words do. Rows and items that are
-    there twice are judged alike. Other columns are not read.
+    there twice are judged alike. Other columns are not read, but for `carry`.
     """
     spark = docs.sparkSession
-    frame = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
+    frame = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"), *([] if carry is None else [carry.alias("carried")]))
+    carried = [f for f in frame.schema.fields if f.name == "carried"]
     frame = frame.withColumns({"starts": F.array().cast("array<long>"), "ends": F.array().cast("array<long>"), "items": F.array().cast("array<string>")})
-    schema = "id long, text string, starts array<long>, ends array<long>, items array<string>"
+    schema = StructType(StructType.fromDDL("id long, text string, starts array<long>, ends array<long>, items array<string>").fields + carried)
     for packed in automata(items, window, item_col, item_text):
         frame = frame.mapInArrow(_pass(spark.sparkContext.broadcast(packed)), schema)
-    return frame.mapInArrow(_cut(most_share), "id long, n_words long, n_hit long, items array<string>, starts array<long>, ends array<long>, kept string")
+    schema = StructType(StructType.fromDDL("id long, n_words long, n_hit long, items array<string>, starts array<long>, ends array<long>, kept string").fields + carried)
+    return frame.mapInArrow(_cut(most_share), schema)
+
+
+def without_items(docs: DataFrame, items: DataFrame, most_share: float, window: int = WINDOW) -> DataFrame:
+    """The rows of `docs` (doc_id, text, n_chars, ...) without the hit words of their texts; other columns stay. Rows of which more than `most_share`
+    is hit are left out; a null text stays null."""
+    found = decontaminate(docs, items, window, most_share, carry=F.struct(*[c for c in docs.columns if c != "text"]))
+    found = found.where("kept is not null or n_hit = 0")
+    columns = {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
+    return found.select(*[columns[c].alias(c) if c in columns else F.col("carried").getField(c).alias(c) for c in docs.columns])
+
+
+def _carried(batch: pa.RecordBatch) -> tuple[list[pa.Array], list[str]]:
+    return ([batch.column("carried")], ["carried"]) if "carried" in batch.schema.names else ([], [])
 
 
 def _pass(sent):
@@ -184,7 +200,8 @@ def _pass(sent):
                     items[k] = sorted(set(items[k]))
                     starts[k], ends[k] = _merged(starts[k], ends[k])
             lists = [pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), *lists], ["id", "text", "starts", "ends", "items"])
+            same, name = _carried(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), *lists, *same], ["id", "text", "starts", "ends", "items", *name])
 
     return scan
 
@@ -220,7 +237,9 @@ def _cut(most_share: float):
                 pieces = [raw[a:b] for a, b in zip([0, *ends[k]], [*starts[k], len(raw)], strict=True)]
                 kept[k] = b"".join(pieces).decode() if n_hit[k] <= most_share * words.counts[k] else None
             lists = [batch.column("items"), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(words.counts, pa.int64()), pa.array(n_hit), *lists], ["id", "n_words", "n_hit", "items", "starts", "ends", "kept"])
+            same, name = _carried(batch)
+            columns = [batch.column("id"), pa.array(words.counts, pa.int64()), pa.array(n_hit), *lists, *same]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_words", "n_hit", "items", "starts", "ends", "kept", *name])
 
     return cut
 

@@ -298,3 +298,19 @@ def decode_pieces(encoded: DataFrame, path: str, ids: str = "ids", out: str = "d
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([None if e else t for t, e in zip(texts, empty, strict=True)], pa.string())], [*rows.schema.names, out])
 
     return encoded.mapInArrow(decode, schema)
+
+
+def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """As `encode_pieces`, with one more column: whether the ids decode to the text again. A text with U+2581 in it does not, as decoding makes it a blank."""
+    sent = _sent(docs, path)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(sent.value)
+        for batch in slices(batches):
+            column = batch.column("text").fill_null("")
+            ids, offsets = model.encode(*text_bytes(column))
+            same = [a == b for a, b in zip(model.decode(ids, offsets), column.to_pylist(), strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(offsets), pa.int64()), lists, pa.array(same, pa.bool_())], ["id", "n_tokens", "ids", "round_trip"])
+
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n_tokens long, ids array<int>, round_trip boolean")

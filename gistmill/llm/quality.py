@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gistmill.llm.words import PLAIN_WORD, U64, covered, gram_hashes, mix, repeated, slices, span_hashes, split_words, text_bytes, text_sums
 
@@ -98,3 +99,14 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id
 
     schema = ", ".join(["id long", *(f"{c} long" for c in counts), *(f"{c} double" for c in shares), "base_failed boolean", "kept boolean"])
     return docs.selectExpr(f"cast({id_col} as bigint) as id", f"{text} as text").mapInArrow(judge, schema)
+
+
+def keep_good(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFrame:
+    """The rows of `docs` that the rules keep, with all their columns."""
+
+    def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.select(["row"]).filter(pa.array(measure(*text_bytes(batch.column("text")), rules)["kept"]))
+
+    whole = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    return whole.mapInArrow(judge, whole.select("row").schema).select("row.*")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gistmill.llm import block_dups, decontaminate, near_dups, quality, suffix_dups, token_counts
+from gistmill.llm import block_dups, decontaminate, html_text, licences, near_dups, pieces, quality, shards, suffix_dups, token_counts
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -22,14 +25,32 @@ def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op3_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.html_text(spark.read.parquet(f"{sf}/pages.parquet")).withColumnRenamed("id", "page_id")
+
+
+def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of every text, and whether they decode to it again."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.round_trips(documents(spark, sf), path).withColumnRenamed("id", "doc_id")
+
+
 def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet")))
 
 
+def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return shards.digest(shards.sharded(documents(spark, sf)))
+
+
 def op7_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return block_dups.digest(block_dups.earlier_passages(documents(spark, sf)))
 
 
+def op8_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licences.digest(licences.licence_scan(documents(spark, sf), licences.known_digests(spark)))
+
+
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     found = token_counts.token_counts(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
     return found.selectExpr("id as doc_id", "n_bytes", "n_tokens", "n_tokens > 512 as over_limit")
@@ -42,8 +63,12 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_html_extraction": op3_html_extraction,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_decontamination": op5_decontamination,
+    "op6_sharding": op6_sharding,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_licence_scan": op8_licence_scan,
     "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
@@ -134,6 +159,14 @@ select id as doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n
 from texts left join hit_words on id = hit_words.doc_id left join named on id = named.doc_id where kind = 'd'
 """
 
+_OP6 = f"""
+with rows as (select doc_id, ('0x' || substr(md5(doc_id::varchar), 1, 15))::bigint as hash, coalesce(octet_length(encode(text)), 0) as n_bytes from documents),
+depths as (select unnest(range({shards.BITS + 1})) as depth),
+fits as (select depth, hash >> ({shards.BITS} - depth) as prefix from rows, depths group by all having sum(n_bytes) <= {shards.LIMIT})
+select doc_id, min_by(prefix, fits.depth)::bigint as shard, min(fits.depth)::integer as depth, 0::bigint as chain, any_value(n_bytes)::bigint as n_bytes
+from rows join fits on fits.prefix = hash >> ({shards.BITS} - fits.depth) group by doc_id
+"""
+
 _OP7 = f"""
 with {_WORDS},
 windows as (
@@ -167,10 +200,38 @@ select d.doc_id, n_bytes::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n
 from d left join kept using (doc_id)
 """
 
+
+
+def _op8() -> str:
+    """The canonical form step by step, in the same order, on documents and on known texts."""
+    quoted = lambda x: x.replace("'", "''")
+    marks = lambda x: re.sub(r"\$(\d)", r"\\\1", x)
+    spelled = lambda col, some: reduce(lambda c, x: f"regexp_replace({c}, ' {x[0].replace(' ', '  ')} ', ' {marks(x[1]).replace(' ', '  ')} ', 'g')", some, col)
+    lines = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    lines = f"regexp_replace(regexp_replace({lines}, '(?m){licences.COPYRIGHT_LINE}', '', 'g'), '{licences.PUNCTUATION}', '  ', 'g')"
+    lines = f"regexp_replace(regexp_replace('  ' || replace({lines}, chr(10), '  ' || chr(10) || '  ') || '  ', '  +', '  ', 'g'), '([^ \\n]) ([^ \\n])', '\\1  \\2', 'g')"
+    lines = spelled(lines, licences.SPELLINGS)
+    whole = spelled("'  ' || trim(regexp_replace(lines, '[ \\n]+', '  ', 'g')) || '  '", [x for x in licences.SPELLINGS if " " in x[0] + x[1]])
+    known = ", ".join(f"('{name}', '{quoted(text)}')" for name, text in licences.KNOWN)
+    form = lambda table, keys: f"select {keys}, lines, trim(regexp_replace({whole}, ' +', ' ', 'g')) as whole from (select {keys}, {lines} as lines from {table})"
+    return f"""
+with known as (select whole, min(licence) as licence from ({form(f"(values {known}) t(licence, text)", "licence")}) group by whole),
+texts as ({form("documents", "doc_id")}),
+found as (
+  select doc_id, licence from (select doc_id, regexp_replace(trim(unnest(string_split(lines, chr(10)))), ' +', ' ', 'g') as line from texts) join known on line = known.whole
+),
+counted as (select doc_id, count(*) as licence_lines, string_agg(distinct licence, ',' order by licence) as line_licences from found group by doc_id)
+select doc_id, md5(texts.whole) as digest, licence, coalesce(licence_lines, 0)::bigint as licence_lines, coalesce(line_licences, '') as line_licences
+from texts left join known using (whole) left join counted using (doc_id)
+"""
+
+
 ORACLE = {
     "op1_minhash_near_dedup": _OP1,
     "op2_quality_rules": _OP2,
     "op5_decontamination": _OP5,
+    "op6_sharding": _OP6,
     "op7_substring_dedup": _OP7,
+    "op8_licence_scan": _op8(),
     "op10_suffix_dedup": _OP10,
 }
