@@ -8,7 +8,7 @@ are found; two texts of J = 0.8 miss all six chunks with chance 4e-8.
 
 Texts with equal sets are one class and are never paired. A group of classes that share a key is first linked to its least
 member. Once these links are confirmed on the full sets and made into components, only pairs of different components are left to
-be compared. In a group of more than HOT members, such a pair must agree on a second, later chunk as well (and so on until groups are
+be compared: those that longer signatures allow, each at the first key that it shares. In a group of more than HOT members, such a pair must agree on a second, later chunk as well (and so on until groups are
 small): all pairs of up to 14 errors have two such chunks; at J = 0.8 a pair has fewer than two with chance 4e-6.
 """
 
@@ -32,22 +32,27 @@ CHUNKS, CHUNK, ERRORS = 6, 5, 2
 CHOICES = list(itertools.combinations(range(CHUNK), CHUNK - ERRORS))
 #: Symbols of a signature; those beyond the chunks sharpen the distance.
 SYMBOLS = 48
-HOT = 64
+HOT = 4096
+#: Symbols of one byte in the longer signatures of candidates.
+SKETCH = 256
 #: Classes whose keys are made at a time.
 ROUTE_CLASSES = 20_000
 _PLACE = 4
 
 _SEEDS = mix(np.arange(1, SYMBOLS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
+_SKETCH_SEEDS = mix(np.arange(1001, SKETCH + 1001, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
+#: The first choice whose symbols all agree, by the bits of those that agree.
+_FIRST_CHOICE = np.array([next((n for n, c in enumerate(CHOICES) if all(code >> k & 1 for k in c)), len(CHOICES)) for code in range(1 << CHUNK)])
 
 
-def most_errors(similarity: float) -> int:
-    """Errors in a whole signature that two texts of this similarity exceed with chance 1e-6 at most."""
+def most_errors(similarity: float, symbols: int = SYMBOLS) -> int:
+    """Errors in so many symbols that two texts of this similarity exceed with chance 1e-6 at most."""
     p, tail = 1 - similarity, 0.0
-    for k in range(SYMBOLS, -1, -1):
-        tail += math.comb(SYMBOLS, k) * p**k * (1 - p) ** (SYMBOLS - k)
+    for k in range(symbols, -1, -1):
+        tail += math.comb(symbols, k) * p**k * (1 - p) ** (symbols - k)
         if tail > 1e-6:
             return k
-    return SYMBOLS
+    return symbols
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +116,7 @@ def keys_of(sig: np.ndarray, chunk: int) -> np.ndarray:
 
 
 def shared_keys(classes: DataFrame) -> DataFrame:
-    """Rows (key, chunk, id) of all keys that two or more classes have. classes: id, sig."""
+    """Rows (key, number, id) of all keys that two or more classes have. classes: id, sig."""
     n = classes.count()
     routes = max(1, math.ceil(n / ROUTE_CLASSES))
     routed = classes.select(F.pmod(F.xxhash64("id"), F.lit(routes)).cast("int").alias("route"), "id", "sig")
@@ -137,14 +142,14 @@ def shared_keys(classes: DataFrame) -> DataFrame:
 
     def name(table: pa.Table, marks: pa.Table) -> pa.Table:
         if not table.num_rows or not marks.num_rows:
-            return pa.table({"key": pa.array([], pa.int64()), "chunk": pa.array([], pa.int32()), "id": pa.array([], pa.int64())})
+            return pa.table({"key": pa.array([], pa.int64()), "number": pa.array([], pa.int32()), "id": pa.array([], pa.int64())})
         table, keys = all_keys(table)
         at = np.flatnonzero(np.isin(keys, keys[blobs.column(marks, "p", _PLACE).astype(np.int64)]))
         ids = table.column("id").to_numpy()[at // per_class]
-        return pa.table({"key": pa.array(keys[at].view(np.int64)), "chunk": pa.array((at % per_class // len(CHOICES)).astype(np.int32)), "id": pa.array(ids)})
+        return pa.table({"key": pa.array(keys[at].view(np.int64)), "number": pa.array((at % per_class).astype(np.int32)), "id": pa.array(ids)})
 
     met = routed.groupBy("route").applyInArrow(send, blobs.schema(p=_PLACE, h=5, m=1)).groupBy("receiver").applyInArrow(meet, blobs.schema(p=_PLACE))
-    return routed.groupBy("route").cogroup(met.groupBy("receiver")).applyInArrow(name, "key long, chunk int, id long")
+    return routed.groupBy("route").cogroup(met.groupBy("receiver")).applyInArrow(name, "key long, number int, id long")
 
 
 def near(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -178,12 +183,61 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(compare, "a long, b long")
 
 
-def across(shared: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """All pairs (a, b) of one key and of two components. shared: key, chunk, id."""
+def sketches(texts: DataFrame, size: int) -> DataFrame:
+    """Rows (id, sketch) of texts (id, text): longer signatures with symbols of one byte, which tell near misses from links."""
+
+    def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            values, offsets = shingles(*text_bytes(batch.column("text")), size)
+            full = np.flatnonzero(np.diff(offsets))
+            out = np.zeros((batch.num_rows, SKETCH), np.uint8)
+            if len(values):
+                for k, seed in enumerate(_SKETCH_SEEDS):
+                    out[full, k] = mix(np.minimum.reduceat((values ^ seed) * seed, offsets[:-1][full])) >> U64(56)
+            ends = (np.arange(batch.num_rows + 1) * SKETCH).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(out)])], ["id", "sketch"])
+
+    return texts.mapInArrow(sketch, "id long, sketch binary")
+
+
+def _pairs_within(keys: np.ndarray, number: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sig: np.ndarray, sketch: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one key and two labels that sizes and sketches allow, each at the first key that it shares. Rows are sorted by key."""
+    most = most_errors(similarity, SKETCH)
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for a, b in zip(heads, np.append(heads[1:], len(keys)), strict=True):
+        for top in range(a, b, 512):
+            rows = slice(top, min(top + 512, b))
+            ok = (labels[rows, None] != labels[None, a:b]) & (ids[rows, None] < ids[None, a:b])
+            if not ok.any():
+                continue
+            ok &= np.minimum(sizes[rows, None], sizes[None, a:b]) >= similarity * np.maximum(sizes[rows, None], sizes[None, a:b]) - 1e-6
+            i, j = np.nonzero(ok)
+            i, j = i + top, j + a
+            if number[a] >= 0:  # else the key is made of several
+                first = np.ones(len(i), bool)
+                chunk, choice = divmod(int(number[a]), len(CHOICES))
+                for c in range(chunk + 1):
+                    code = np.zeros(len(i), np.int64)
+                    for k in range(CHUNK):
+                        code |= (sig[i, c * CHUNK + k] == sig[j, c * CHUNK + k]).astype(np.int64) << k
+                    first &= _FIRST_CHOICE[code] == (choice if c == chunk else len(CHOICES))
+                i, j = i[first], j[first]
+            for k in range(0, len(i), 65536):
+                x, y = i[k : k + 65536], j[k : k + 65536]
+                near = (sketch[x] != sketch[y]).sum(1) <= most
+                out.append((ids[x[near]], ids[y[near]]))
+    empty = np.zeros(0, np.int64)
+    return tuple(np.concatenate([empty, *(p[k] for p in out)]) for k in (0, 1))
+
+
+def across(shared: DataFrame, labels: DataFrame, classes: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of one key and of two components that sizes and sketches allow. shared: key, number, id."""
     open_groups = lambda g: g.join(
         g.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "m"), "key"
     )
-    groups = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    groups = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "number", (F.col("number") / len(CHOICES)).cast("int").alias("chunk"), "id", F.coalesce("label", "id").alias("label"))
+    facts = classes.select("id", F.col("n").alias("size"), "sig").join(sketched, "id")
     found = None
 
     def refine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,21 +248,42 @@ def across(shared: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFram
                 rows = np.flatnonzero(chunk < c)
                 if len(rows):
                     keys = mix(key[rows, None] ^ keys_of(sig[rows], c)).ravel().view(np.int64)
-                    at = np.repeat(rows, len(CHOICES))
-                    take = lambda name: batch.column(name).take(pa.array(at))  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(at), c, np.int32)), take("id"), take("label")], ["key", "chunk", "id", "label"])
+                    at = pa.array(np.repeat(rows, len(CHOICES)))
+                    fixed = [pa.array(np.full(len(keys), x, np.int32)) for x in (-1, c)]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), *fixed, batch.column("id").take(at), batch.column("label").take(at)], ["key", "number", "chunk", "id", "label"])
+
+    def pair(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(rows: pa.Table) -> pa.RecordBatch:
+            ints = [rows.column(c).to_numpy() for c in ("key", "number", "id", "label", "size")]
+            sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+            a, b = _pairs_within(*ints, _unpacked(rows.column("sig")), sketch, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last group may go on in the next batch
+            if last:
+                yield flush(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            elif held and len(keys) and held[0].column("key")[0].as_py() != keys[0]:
+                yield flush(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield flush(pa.Table.from_batches(held))
 
     while True:
-        groups = cut_lineage(open_groups(groups).select("key", "chunk", "id", "label", "m"))
+        groups = cut_lineage(open_groups(groups).select("key", "number", "chunk", "id", "label", "m"))
         last = F.col("chunk") == CHUNKS - 1
-        small = groups.where((F.col("m") <= HOT) | (last & (F.col("m") <= HOT * HOT)))
-        left, right = small.select("key", F.col("id").alias("a"), F.col("label").alias("la")), small.select("key", F.col("id").alias("b"), F.col("label").alias("lb"))
-        pairs = left.join(right, "key").where("la <> lb and a < b").select("a", "b")
+        small = groups.where((F.col("m") <= HOT) | last).join(facts, "id").select("key", "number", "id", "label", "size", "sig", "sketch")
+        pairs = small.repartition("key").sortWithinPartitions("key").mapInArrow(pair, "a long, b long")
         found = pairs if found is None else found.union(pairs)
         hot = groups.where((F.col("m") > HOT) & ~last)
         if hot.isEmpty():
             return found.distinct()
-        groups = hot.join(classes.select("id", "sig"), "id").select("key", "chunk", "id", "label", "sig").mapInArrow(refine, "key long, chunk int, id long, label long")
+        groups = hot.join(classes.select("id", "sig"), "id").select("key", "chunk", "id", "label", "sig").mapInArrow(refine, "key long, number int, chunk int, id long, label long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -240,7 +315,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).join(members, "id", "left_semi").write.parquet(texts_path)
     texts = spark.read.parquet(texts_path)
     links = cut_lineage(confirmed(stars, texts, size, percent))
-    rest = near(across(shared, components(links), classes).join(stars, ["a", "b"], "left_anti"), classes, similarity)
+    sketched = cut_lineage(sketches(texts, size))
+    rest = across(shared, components(links), classes, sketched, similarity).join(stars, ["a", "b"], "left_anti")
     links = links.union(cut_lineage(confirmed(rest, texts, size, percent)))
     # Equal sets and ids with several sets are links as well.
     same = ids.where("id <> class_id").select(F.col("class_id").alias("a"), F.col("id").alias("b"))
