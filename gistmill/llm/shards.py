@@ -32,6 +32,7 @@ def _cells(sized: DataFrame, low: int, high: int, limit: int) -> DataFrame:
 
 def sharded(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text: str = "text", cut=None) -> DataFrame:
     """All rows and columns of `docs` and the struct `shard`: prefix (its first bits as a number), depth (how many), chain, n_bytes (of the row).
+    An old column of that name gives way.
 
     The texts of a shard hold `limit` bytes of UTF-8 at most, but for one row that is larger by itself. Rows of one id lie together until they
     don't fit: then no bit parts them, and the bucket is chained: rows of over half the limit take a link each, the others fill links in the
@@ -42,7 +43,7 @@ def sharded(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text: s
 
     cut = cut or cut_lineage
     sized = cut(docs.select(hash_bits(id_col).alias("hash"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes")))
-    out = docs.select(F.struct("*").alias("row"), hash_bits(id_col).alias("hash"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"))
+    out = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "shard"]).alias("row"), hash_bits(id_col).alias("hash"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"))
     out = out.withColumns({"prefix": F.lit(None).cast("bigint"), "depth": F.lit(None).cast("int")})
     low, over = 0, None
     while low < BITS:
