@@ -7,8 +7,9 @@ symbols of it: every choice of as many symbols of a chunk is a key, and such pai
 are found; two texts of J = 0.8 miss all six chunks with chance 4e-8.
 
 Texts with equal sets are one class and are never paired. A group of classes that share a key is first linked to its least
-member. Once these links are confirmed on the full sets and made into components, only pairs of different components are left to
-be compared: those that longer signatures allow, each at the first key that it shares. In a group of more than HOT members, such a pair must agree on a second, later chunk as well (and so on until groups are
+member. Once these links are confirmed on the full sets and made into components, only pairs of different components are left:
+those that longer signatures allow, each at the first key that it shares. They hold families together, and the full sets of
+a family are compared. Pairs are never rows, so a group of thousands of near copies costs rows in proportion. In a group of more than HOT members, such a pair must agree on a second, later chunk as well (and so on until groups are
 small): all pairs of up to 14 errors have two such chunks; at J = 0.8 a pair has fewer than two with chance 4e-6.
 """
 
@@ -33,6 +34,8 @@ CHOICES = list(itertools.combinations(range(CHUNK), CHUNK - ERRORS))
 #: Symbols of a signature; those beyond the chunks sharpen the distance.
 SYMBOLS = 48
 HOT = 4096
+#: Texts whose full sets meet in a task, or half of them.
+TILE = 1024
 #: Symbols of one byte in the longer signatures of candidates.
 SKETCH = 256
 #: Classes whose keys are made at a time.
@@ -231,8 +234,28 @@ def _pairs_within(keys: np.ndarray, number: np.ndarray, ids: np.ndarray, labels:
     return tuple(np.concatenate([empty, *(p[k] for p in out)]) for k in (0, 1))
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few pairs as hold together what these pairs do: the least member of each connected part with every other one."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        least = np.minimum(label[left], label[right])
+        new = label.copy()
+        np.minimum.at(new, left, least)
+        np.minimum.at(new, right, least)
+        new = new[new]
+        if (new == label).all():
+            rest = np.flatnonzero(label != np.arange(len(ids)))
+            return ids[label[rest]], ids[rest]
+        label = new
+
+
 def across(shared: DataFrame, labels: DataFrame, classes: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of one key and of two components that sizes and sketches allow. shared: key, number, id."""
+    """Pairs (a, b) that hold together all pairs of one key and of two components that sizes and sketches allow. shared: key, number, id.
+
+    Within a group, the pairs are never rows: they are made in a task in blocks, and only a forest of them comes out.
+    """
     open_groups = lambda g: g.join(
         g.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "m"), "key"
     )
@@ -258,7 +281,7 @@ def across(shared: DataFrame, labels: DataFrame, classes: DataFrame, sketched: D
         def flush(rows: pa.Table) -> pa.RecordBatch:
             ints = [rows.column(c).to_numpy() for c in ("key", "number", "id", "label", "size")]
             sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-            a, b = _pairs_within(*ints, _unpacked(rows.column("sig")), sketch, similarity)
+            a, b = _forest(*_pairs_within(*ints, _unpacked(rows.column("sig")), sketch, similarity))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
@@ -286,6 +309,67 @@ def across(shared: DataFrame, labels: DataFrame, classes: DataFrame, sketched: D
         groups = hot.join(classes.select("id", "sig"), "id").select("key", "chunk", "id", "label", "sig").mapInArrow(refine, "key long, number int, chunk int, id long, label long")
 
 
+def links_within(families: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between texts of one family and of two components, as few as make the same components, by their full sets.
+
+    families: node, label (the family). A family of more than TILE texts is cut into tiles, of which each two meet in a task; small ones share
+    tasks. A text is compared with those that share shingles with it, through lists of the texts of each shingle.
+    """
+    parts = families.select(F.col("node").alias("id"), F.col("label").alias("family")).join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    counts = parts.groupBy("family").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
+    common = max(1, math.ceil(families.count() / TILE))
+    parts = parts.join(counts, "family").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int")))).select(
+        "id", "label", "tile", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"),
+        F.when(F.col("tiles") > 1, F.col("family")).otherwise(-1 - F.pmod(F.xxhash64("family"), F.lit(common))).alias("task"),
+    )
+
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            values, offsets = shingles(*text_bytes(batch.column("text")), size)
+            packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((offsets * 8).astype(np.int32)), pa.py_buffer(values)])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), packed], ["id", "shingles"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        lists = table.column("shingles").to_pylist()
+        ids, labels, tiles = (table.column(c).to_numpy() for c in ("id", "label", "tile"))
+        sizes = np.array([len(x) // 8 for x in lists])
+        apart = table.column("low")[0].as_py() != table.column("high")[0].as_py()
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        _, at = np.unique(np.frombuffer(b"".join(lists), U64), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        postings, bounds = owner[order], np.concatenate([[0], np.cumsum(np.bincount(at))])
+        parent = {x: x for x in labels.tolist()}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        # A pair of two labels has a member outside the most frequent one.
+        values, numbers = np.unique(labels, return_counts=True)
+        most = values[numbers.argmax()]
+        ends = np.cumsum(sizes)
+        out = []
+        for x in np.flatnonzero(labels != most):
+            own = at[ends[x] - sizes[x] : ends[x]]
+            heads, lengths = bounds[own], bounds[own + 1] - bounds[own]
+            stops = np.cumsum(lengths)
+            met = postings[np.repeat(heads - (stops - lengths), lengths) + np.arange(stops[-1])]
+            common = np.bincount(met, minlength=len(ids))
+            linked = (100 * common >= percent * (sizes[x] + sizes - common)) & (labels != labels[x])
+            for y in np.flatnonzero(linked & (tiles != tiles[x]) if apart else linked):
+                a, b = root(int(labels[x])), root(int(labels[y]))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((ids[x], ids[y]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    sets = texts.join(families.select(F.col("node").alias("id")), "id", "left_semi").select("id", "text").mapInArrow(gather, "id long, shingles binary")
+    return parts.join(sets, "id").groupBy("task", "low", "high").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of `docs`: id, n_shingles, class_id (least id with the same set), component_id (least id that links reach).
 
@@ -316,8 +400,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     texts = spark.read.parquet(texts_path)
     links = cut_lineage(confirmed(stars, texts, size, percent))
     sketched = cut_lineage(sketches(texts, size))
-    rest = across(shared, components(links), classes, sketched, similarity).join(stars, ["a", "b"], "left_anti")
-    links = links.union(cut_lineage(confirmed(rest, texts, size, percent)))
+    labels = components(links)
+    families = components(across(shared, labels, classes, sketched, similarity))
+    links = links.union(cut_lineage(links_within(families, labels, texts, size, percent)))
     # Equal sets and ids with several sets are links as well.
     same = ids.where("id <> class_id").select(F.col("class_id").alias("a"), F.col("id").alias("b"))
     labels = components(links.union(same))
