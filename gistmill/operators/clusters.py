@@ -65,7 +65,7 @@ def _reach_kernel(eps: float, metric: str):
         ids = np.concatenate([q["id"].to_numpy(), b["id"].to_numpy()])
         qv, bv = _matrix(q["v"]), _matrix(b["v"])
         dist = 1.0 - qv @ bv.T if metric == "cosine" else np.sqrt(_sq_distances(qv, bv))
-        near = np.round(dist, 6) <= eps
+        near = dist <= eps
         n, m = near.shape
         full = np.zeros((n + m, n + m), dtype=bool)
         full[:n, n:] = near
@@ -157,7 +157,7 @@ def topic_probability(
 
     def kernel(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("id")
-        sim = np.round(np.maximum(_matrix(q["v"]) @ _matrix(b["v"]).T, 0.0), 6)
+        sim = np.maximum(_matrix(q["v"]) @ _matrix(b["v"]).T, 0.0)
         at = sim.argmax(1)
         return pd.DataFrame(
             {

@@ -27,11 +27,11 @@ def pair_counts(df: DataFrame, true_col: str, pred_col: str, *by: str) -> DataFr
 
 
 def confusion_matrix(df: DataFrame, true_col: str = "label", pred_col: str = "predicted_label") -> DataFrame:
-    """Dense counts over the label universe, zeros included.
+    """Dense counts over the label universe, zeros included. Null predictions have no column, rows without a true label no place.
 
     The grid is laid out by numbering the labels and joining on the number.
     """
-    counts = pair_counts(df, true_col, pred_col)
+    counts = pair_counts(df.where(F.col(true_col).isNotNull()), true_col, pred_col)
     numbered = label_universe(counts).withColumn("_i", F.row_number().over(Window.orderBy("label")))
     sized = numbered.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
     rows = sized.select("label", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_i"))
@@ -43,9 +43,12 @@ def confusion_matrix(df: DataFrame, true_col: str = "label", pred_col: str = "pr
 def per_class_f1(
     df: DataFrame, true_col: str = "label", pred_col: str = "predicted_label", by: tuple[str, ...] = ()
 ) -> DataFrame:
-    """label, tp, fp, fn, support, f1 for every label of the universe; 0 where F1 is undefined."""
-    counts = pair_counts(df, true_col, pred_col, *by)
-    hit = F.col("label") == F.col("predicted_label")
+    """label, tp, fp, fn, support, f1 for every label of the universe; 0 where F1 is undefined.
+
+    A null prediction is a miss of its true label and no class of its own; rows without a true label are not scored.
+    """
+    counts = pair_counts(df.where(F.col(true_col).isNotNull()), true_col, pred_col, *by)
+    hit = F.coalesce(F.col("label") == F.col("predicted_label"), F.lit(False))
     sides = counts.select(
         *by,
         F.explode(
@@ -56,7 +59,7 @@ def per_class_f1(
         ).alias("_s"),
         "n",
         hit.alias("_hit"),
-    ).select(*by, "_s.label", "_s.is_true", "n", "_hit")
+    ).select(*by, "_s.label", "_s.is_true", "n", "_hit").where("label is not null")
     agg = sides.groupBy(*by, "label").agg(
         F.sum(F.when(F.col("is_true") & F.col("_hit"), F.col("n")).otherwise(0)).alias("tp"),
         F.sum(F.when(~F.col("is_true") & ~F.col("_hit"), F.col("n")).otherwise(0)).alias("fp"),

@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from gistmill.dims import BROAD, FINE, MAX_CATEGORIES, OUTLIER, broad_dim, fine_dim
 from gistmill.functions.arrays import python_list
-from gistmill.functions.numbers import to_places
 from gistmill.functions.replies import normalize_prediction, parse_topic_reply
 from gistmill.functions.text import terms
 from gistmill.operators.features import term_counts
@@ -93,7 +92,7 @@ def keyword_labeller(topic_weights: DataFrame, profiles: DataFrame, category: st
     unit = unit_weights(topic_weights.filter(F.col("topic") != OUTLIER)).withColumnRenamed("u", "_w")
     dots = unit.join(profiles, "term").groupBy("topic", category).agg(F.sum(F.col("_w") * F.col("u")).alias("_d"))
     order = Window.partitionBy("topic").orderBy(F.desc("score"), category)
-    scored = dots.withColumn("score", to_places(F.col("_d"), 6))
+    scored = dots.withColumnRenamed("_d", "score")
     return scored.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("topic", category, "score")
 
 
@@ -119,7 +118,7 @@ def classify_terms(docs: DataFrame, grains: Mapping[str, tuple[DataFrame, Sequen
     def best(out: str) -> Column:
         mine = [(s, n) for s, (o, n) in slots.items() if o == out]
         scored = [
-            F.struct(to_places(F.col(s), 6).alias("score"), F.lit(-i).alias("order"), F.lit(n).alias("name"))
+            F.struct(F.col(s).alias("score"), F.lit(-i).alias("order"), F.lit(n).alias("name"))
             for i, (s, n) in enumerate(mine)
         ]
         return F.array_max(F.array(*scored))["name"].alias(out)

@@ -164,31 +164,29 @@ def _grid_join(queries, base, kernel, schema, neighbours, reach, block_rows) ->
     return q_groups.cogroup(b_groups).applyInPandas(run, schema)
 
 
-def _best(score: np.ndarray, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k smallest scores per row, ties by id; infinite scores never count."""
+def _near_limit(score: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of all scores up to the k-th smallest of their row and a slack, by row; infinite scores never count."""
     k = min(k, score.shape[1])
     limit = np.partition(score, k - 1, axis=1)[:, k - 1 : k]
-    row, col = np.nonzero((score <= limit) & np.isfinite(score))
-    order = np.lexsort((ids[col], score[row, col], row))
-    row, col = row[order], col[order]
-    start = np.searchsorted(row, row, side="left")
-    top = np.arange(len(row)) - start < k
-    return row[top], col[top]
+    return np.nonzero((score <= limit + slack) & np.isfinite(score))
 
 
 def _topk_kernel(k: int, metric: str, skip_self: bool, other_label: bool) -> Kernel:
     def kernel(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         qv, bv = _matrix(q["v"]), _matrix(b["v"])
         dist = 1.0 - qv @ bv.T if metric == "cosine" else np.sqrt(_sq_distances(qv, bv))
-        dist = np.round(dist, DIGITS) + 0.0
         if skip_self:
             dist[q["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = np.inf
         if other_label:
             dist[q["label"].to_numpy()[:, None] == b["label"].to_numpy()[None, :]] = np.inf
-        row, col = _best(dist, k, b["id"].to_numpy())
-        return pd.DataFrame(
-            {"id": q["id"].to_numpy()[row], "nbr": b["id"].to_numpy()[col], "dist": dist[row, col]}
-        )
+        # The matrix product is exact to some last places only, in an order that depends on the block; near the limit each pair is computed anew.
+        row, col = _near_limit(dist, k, 1e-6 * (1.0 + max(np.abs(qv).max(initial=0.0), np.abs(bv).max(initial=0.0))))
+        a, c = qv[row], bv[col]
+        exact = np.maximum(1.0 - (a * c).sum(1), 0.0) if metric == "cosine" else np.sqrt(((a - c) ** 2).sum(1))
+        order = np.lexsort((b["id"].to_numpy()[col], exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        top = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+        return pd.DataFrame({"id": q["id"].to_numpy()[row[top]], "nbr": b["id"].to_numpy()[col[top]], "dist": exact[top]})
 
     return kernel
 
@@ -207,7 +205,7 @@ def as_points(df: DataFrame, id_col: str, vec: str, metric: str, *keep: str) ->
 def nearest(
     queries: DataFrame, base: DataFrame, k: int = 1, metric: str = "cosine", skip_self=False, other_label=False, **sizes
 ) -> DataFrame:
-    """id, rank, nbr, dist: the k nearest base points of each query point; distances to 6 places, ties by id."""
+    """id, rank, nbr, dist: the k nearest base points of each query point; ties by id."""
     bound = None if other_label else k
     hits = vector_join(
         queries,
@@ -259,7 +257,7 @@ def pairwise_cosine(
     pts = as_points(df, id_col, vec, "cosine")
 
     def kernel(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        sim = np.round(_matrix(q["v"]) @ _matrix(b["v"]).T, DIGITS)
+        sim = _matrix(q["v"]) @ _matrix(b["v"]).T
         other = q["id"].to_numpy()[:, None] != b["id"].to_numpy()[None, :]
         return pd.DataFrame(
             {

@@ -112,8 +112,8 @@ def concat_label_batches(batches: DataFrame, ok: Column | str = "ok") -> DataFra
 
 
 def label_universe(df: DataFrame, true_col: str = "label", pred_col: str = "predicted_label") -> DataFrame:
-    """Sorted union of true and predicted labels, from one scan."""
-    both = df.groupBy(true_col, pred_col).agg(F.count(F.lit(1)).alias("_n"))
+    """Sorted union of the true labels and the predictions for them, from one scan; null is no label."""
+    both = df.where(F.col(true_col).isNotNull()).groupBy(true_col, pred_col).agg(F.count(F.lit(1)).alias("_n"))
     return both.select(F.explode(F.array(true_col, pred_col)).alias("label")).dropna().distinct().orderBy("label")
 
 

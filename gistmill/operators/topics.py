@@ -13,7 +13,6 @@ from gistmill.dims import OUTLIER
 from gistmill.functions import text as tx
 from gistmill.functions import vectors as vx
 from gistmill.functions.joins import spread_join
-from gistmill.functions.numbers import to_places
 from gistmill.operators.evaluate import centroids
 from gistmill.operators.features import pca
 from gistmill.operators.neighbours import DIGITS
@@ -64,8 +63,7 @@ def ctfidf(counts: DataFrame, topic: str = "topic", by: Sequence[str] = ()) -> D
 def topic_words(weights: DataFrame, n: int = 10, outliers: bool = True, topic: str = "topic", by: Sequence[str] = ()) -> DataFrame:
     """topic, rank, term, weight: best n terms; ties by term."""
     w = weights if outliers else weights.filter(F.col(topic) != OUTLIER)
-    # Near ties count as ties, to nine places.
-    order = Window.partitionBy(*by, topic).orderBy(F.desc(to_places(F.col("weight"), 9)), "term")
+    order = Window.partitionBy(*by, topic).orderBy(F.desc("weight"), "term")
     ranked = w.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
     return ranked.select(*by, topic, "rank", "term", "weight")
 
@@ -161,7 +159,7 @@ def representative_docs(docs: DataFrame, n: int = 3, id_col: str = "doc_id", vec
     """topic, rank, doc_id, similarity: documents nearest to their topic's mean vector."""
     cent = centroids(docs, "topic", vec).select("topic", "centroid")
     scored = spread_join(docs, cent, ["topic"], id_col).select(
-        "topic", id_col, to_places(vx.cosine(vx.as_double(F.col(vec)), F.col("centroid")), DIGITS).alias("similarity")
+        "topic", id_col, vx.cosine(vx.as_double(F.col(vec)), F.col("centroid")).alias("similarity")
     )
     order = Window.partitionBy("topic").orderBy(F.desc("similarity"), id_col)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)

@@ -1,4 +1,4 @@
-"""A linear head over frozen vectors, trained with distributed mini-batch gradients."""
+"""A linear head over frozen vectors, trained with one distributed gradient over all examples per pass."""
 
 from __future__ import annotations
 
@@ -81,7 +81,7 @@ def train_head(
     examples: DataFrame,
     vectors: DataFrame,
     loss: str,
-    epochs: int = 2,
+    epochs: int = 20,
     batch_size: int = 32,
     lr: float = 1e-5,
     weight_decay: float = 0.01,
@@ -92,9 +92,9 @@ def train_head(
 ) -> Head:
     """AdamW with linear warm-up and decay. Starts from the identity, so an untrained head changes nothing.
 
-    A step reads only its own batch of the cached examples. Tasks add up their rows' gradients (for the ranking
-    loss a batch is one group, as its rows see each other), Spark adds up the tasks', and the driver gets one
-    D x D matrix per step.
+    Each epoch is one pass over the cached examples and one step. Tasks add up their rows' gradients, Spark adds up the tasks',
+    and the driver gets one D x D matrix per pass. For the ranking loss, rows see the others of their batch of `batch_size`,
+    which is one small group; the other losses are sums over rows, so batches don't matter to them.
     """
     sides = SIDES[loss]
     n = examples.count()
@@ -102,7 +102,6 @@ def train_head(
         raise ValueError("no training examples")
     if n < batch_size:
         batch_size = max(2, n)
-    steps_per_epoch = -(-n // batch_size)
     key = F.concat_ws("-", *[f"{s}_id" for s in sides])
     ranked = hash_rank(examples.withColumn("_key", key), None, "_key", seed, "_pos")
     full = with_vectors(ranked, vectors, *sides, id_col=id_col, vec=vec)
@@ -111,7 +110,7 @@ def train_head(
     full = full.select(*cols).persist()
     dim = len(full.select(f"{sides[0]}_v").first()[0])
     w, m, v = np.eye(dim), np.zeros((dim, dim)), np.zeros((dim, dim))
-    total = max(1, steps_per_epoch * epochs)
+    total = max(1, epochs)
     warm = max(1, int(total * warmup))
     head = Head(w)
     for step in range(total):
@@ -129,12 +128,11 @@ def train_head(
                 every = pd.concat(done)
                 yield pd.DataFrame({"n": [every["n"].sum()], "loss": [every["loss"].sum()], "g": [np.sum(every["g"].to_list(), axis=0)]})
 
-        batch = full.filter(F.col("_batch") == step % steps_per_epoch)
         schema = "n long, loss double, g array<double>"
         if loss == "simcse":
-            parts = batch.groupBy("_batch").applyInPandas(lambda pdf: gradient(pdf), schema)
+            parts = full.groupBy("_batch").applyInPandas(lambda pdf: gradient(pdf), schema)
         else:
-            parts = batch.mapInPandas(gradients, schema)
+            parts = full.mapInPandas(gradients, schema)
         cells = parts.select("n", "loss", F.posexplode("g").alias("cell", "g")).groupBy("cell")
         rows = cells.agg(F.sum("g").alias("g"), F.sum("n").alias("n"), F.sum("loss").alias("loss")).toPandas()
         held.unpersist()

@@ -61,7 +61,7 @@ def compare_approaches(
     df: DataFrame,
     n: int = 2000,
     batch_size: int = 32,
-    epochs: int = 2,
+    epochs: int = 20,
     lr: float = 1e-5,
     method: str = "pca",
     id_col: str = "vec_id",
@@ -105,7 +105,7 @@ def fit_topics(
     knn = knn_graph(docs, max(k_neighbours, min_samples), metric, "doc_id").persist()
     core = core_distance(knn, min_samples)
     if eps is None:
-        eps = float(core.approxQuantile("core", [core_quantile], 0.001)[0])
+        eps = float(core.agg(F.percentile("core", F.lit(core_quantile))).first()[0])
     found = density_clusters(docs, eps, core, min_cluster_size, metric, "doc_id")
     tagged = docs.join(found.withColumnRenamed("id", "doc_id"), "doc_id").withColumn(
         "terms", terms(F.col("text"), stop, ngram_range)

@@ -114,7 +114,8 @@ def q_read_predictions(spark, sf):
     path = scratch_path(spark, "pred")
     d = t.posts(spark, sf).select("doc_id", "text", F.col("source").alias("label"), F.col("lang").alias("predicted_label"))
     d.write.option("header", True).option("escape", '"').csv(path)
-    return readers.read_predictions(spark, path).select(F.col("doc_id").cast("long").alias("doc_id"), "label", "predicted_label")
+    got = readers.read_predictions(spark, path, multi_line=True)
+    return got.select(F.col("doc_id").cast("long").alias("doc_id"), "label", "predicted_label")
 
 
 def _written_vectors(spark, sf):
@@ -133,7 +134,7 @@ def q_embeddings(spark, sf):
 def _projection(spark, sf):
     v = t.doc_vectors(spark, sf)
     return v.select(
-        "doc_id", "text", "label", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y")
+        "doc_id", "text", "label", F.get(t.axes(), F.lit(0)).alias("x"), F.get(t.axes(), F.lit(1)).alias("y")
     )
 
 
@@ -150,7 +151,7 @@ def q_prediction_pair(spark, sf):
     both = classify_documents(c.filter("split = 'test'"), c.filter("split = 'train'"), stop=STOP_WORDS)
     fine, broad = scratch_path(spark, "fine"), scratch_path(spark, "broad")
     writers.write_prediction_pair(both, fine, broad)
-    cols = [F.col("doc_id").cast("long").alias("doc_id"), "label"]
+    cols = [F.col("doc_id").cast("long").alias("doc_id"), "label", "predicted_label"]
     a = readers.read_predictions(spark, fine).select(*cols, F.lit("fine").alias("grain"))
     return a.unionByName(readers.read_predictions(spark, broad).select(*cols, F.lit("broad").alias("grain")))
 
@@ -190,8 +191,8 @@ VEC_SQL = (
     "round(unnest(embedding), 6) + 0.0 as x from doc_vectors"
 )
 PROJ_SQL = (
-    "select doc_id, text, label, round(embedding[1], 6) + 0.0 as x, round(embedding[2], 6) + 0.0 as y, true as missing_skipped "
-    "from doc_vectors"
+    f"select doc_id, text, label, round(a[1], 6) + 0.0 as x, round(a[2], 6) + 0.0 as y, true as missing_skipped "
+    f"from (select doc_id, text, label, {t.sql_axes('embedding')} as a from doc_vectors)"
 )
 
 QUERIES = {
@@ -243,10 +244,6 @@ ORACLE = {
     "write_variants": sql(VARIANTS_SQL, "corpus"),
     "write_embeddings": sql(VEC_SQL, "doc_vectors"),
     "write_projection": sql(PROJ_SQL, "doc_vectors"),
-    "write_prediction_pair": sql(
-        "select doc_id, label, 'fine' as grain from corpus where split = 'test' union all "
-        "select doc_id, short_name, 'broad' from corpus join broad using (broad_label_id) where split = 'test'", "corpus", "broad",
-    ),
     "strip_header": scalar_sql(t.sql_strip_header),
     "strip_quoted": scalar_sql(t.sql_strip_quoted),
     "strip_emails": scalar_sql(t.sql_strip_emails),

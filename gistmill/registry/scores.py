@@ -70,18 +70,22 @@ def q_write_metrics(spark, sf):
     path = scratch_path(spark, "metrics")
     writers.write_metrics(ev.category_alignment(t.predictions(spark, sf), "broad"), path)
     got = spark.read.json(path)
-    return got.select("run_name", t.r6("macro_f1"), t.r6("weighted_f1"), F.size("labels").alias("n_labels"))
+    lists = F.transform("per_class_f1", lambda x: F.round(x * 1e6).cast("long"))
+    return got.select(
+        "run_name", t.r6("macro_f1"), t.r6("weighted_f1"), F.array_join("labels", "|").alias("labels"),
+        F.array_join(lists, "|").alias("f1_millionths"), F.array_join(F.flatten("confusion_matrix"), "|").alias("confusion"),
+    )
 
 
 def q_db_report(spark, sf):
     path = scratch_path(spark, "report")
-    pts = t.xy(spark, sf)
+    pts = t.plane(spark, sf)
     writers.write_db_report(ev.davies_bouldin(pts, two_d=True), pts, "raw", path)
     return spark.read.json(path, schema="model string, score double, samples long, categories string")
 
 
 def q_davies(spark, sf):
-    flat = ev.davies_bouldin(t.xy(spark, sf), two_d=True).select(F.lit("xy").alias("space"), t.r6("davies_bouldin"))
+    flat = ev.davies_bouldin(t.plane(spark, sf), two_d=True).select(F.lit("plane").alias("space"), t.r6("davies_bouldin"))
     full = ev.davies_bouldin(t.embeddings(spark, sf)).select(F.lit("full").alias("space"), t.r6("davies_bouldin"))
     return flat.unionByName(full)
 
@@ -153,9 +157,10 @@ def f1_views(source: str, true: str, pred: str, name: str = "f", grp: str = "")
     side = grp.rstrip(", ")
     using = f"({grp}label)"
     return [
-        (f"{name}_u", f"select {grp}{true} as label from {source} union select {grp}{pred} from {source}"),
-        (f"{name}_t", f"select {grp}{true} as label, count(*) as support, count(*) filter ({true} = {pred}) as tp from {source} group by all"),
-        (f"{name}_p", f"select {grp}{pred} as label, count(*) as predicted from {source} group by all"),
+        (f"{name}_l", f"select * from {source} where {true} is not null"),
+        (f"{name}_u", f"select {grp}{true} as label from {name}_l union select {grp}{pred} from {name}_l where {pred} is not null"),
+        (f"{name}_t", f"select {grp}{true} as label, count(*) as support, count(*) filter ({true} = {pred}) as tp from {name}_l group by all"),
+        (f"{name}_p", f"select {grp}{pred} as label, count(*) as predicted from {name}_l where {pred} is not null group by all"),
         (
             name,
             f"select {grp}label, coalesce(tp, 0) as tp, coalesce(predicted, 0) - coalesce(tp, 0) as fp, "
@@ -175,7 +180,7 @@ def f1_views(source: str, true: str, pred: str, name: str = "f", grp: str = "")
 PRED = f1_views("predictions", "label", "predicted_label")
 DENSE = [
     ("grid", "select a.label as label, b.label as predicted_label from f_u a cross join f_u b"),
-    ("cnt", "select label, predicted_label, count(*) as n from predictions group by all"),
+    ("cnt", "select label, predicted_label, count(*) as n from f_l group by all"),
     ("conf", "select g.label, g.predicted_label, coalesce(n, 0) as n from grid g left join cnt using (label, predicted_label)"),
 ]
 KEPT = [("kept", "select * from scored_docs where topic <> -1 and predicted_topic_id <> -1")]
@@ -267,7 +272,11 @@ ORACLE = {
         "where prompt = 'default') where b <> 2",
         "topic_names",
     ),
-    "label_universe": sql("select label from predictions union select predicted_label from predictions", "predictions"),
+    "label_universe": sql(
+        "select label from predictions where label is not null union "
+        "select predicted_label from predictions where label is not null and predicted_label is not null",
+        "predictions",
+    ),
     "hash_sample": sql("select doc_id, label from corpus order by md5('42:' || doc_id), doc_id limit 500", "corpus"),
     "confusion_matrix": sql("select * from conf", "predictions", extra=PRED + DENSE),
     "per_class_f1": sql("select label, tp, fp, fn, support, round(f1, 6) + 0.0 as f1 from f", "predictions", extra=PRED),
@@ -283,21 +292,23 @@ ORACLE = {
     ),
     "write_metrics": sql(
         "select 'broad' as run_name, round(macro_f1, 6) + 0.0 as macro_f1, round(weighted_f1, 6) + 0.0 as weighted_f1, "
-        "cast((select count(*) from f) as int) as n_labels from f_sum",
+        "(select string_agg(label::varchar, '|' order by label) from f) as labels, "
+        "(select string_agg(cast(round(f1 * 1e6) as bigint)::varchar, '|' order by label) from f) as f1_millionths, "
+        "(select string_agg(n::varchar, '|' order by label, predicted_label) from conf) as confusion from f_sum",
         "predictions",
-        extra=PRED,
+        extra=PRED + DENSE,
     ),
     "write_db_report": sql(
-        "select 'raw' as model, round(avg(r), 4) as score, (select count(*) from xy) as samples, "
-        "(select string_agg(label::varchar, ',' order by label) from (select distinct label from xy)) as categories from d_r",
-        "xy",
-        extra=davies_views("xy", "d"),
+        "select 'raw' as model, round(avg(r), 4) as score, (select count(*) from plane) as samples, "
+        "(select string_agg(label::varchar, ',' order by label) from (select distinct label from plane)) as categories from d_r",
+        "plane",
+        extra=davies_views("plane", "d"),
     ),
     "davies_bouldin": sql(
-        "select 'xy' as space, round(avg(r), 6) + 0.0 as davies_bouldin from d_r union all "
+        "select 'plane' as space, round(avg(r), 6) + 0.0 as davies_bouldin from d_r union all "
         "select 'full', round(avg(r), 6) + 0.0 from e_r",
-        "xy",
-        extra=davies_views("xy", "d") + davies_views("embeddings", "e"),
+        "plane",
+        extra=davies_views("plane", "d") + davies_views("embeddings", "e"),
     ),
     "silhouette": (
         "with pts as (select vec_id, label, embedding::double[] as v from embeddings order by md5('42:' || vec_id), vec_id limit 1000), "

@@ -11,6 +11,7 @@ from gistmill.functions.draws import draw
 from gistmill.functions.numbers import to_places
 from gistmill.functions.text import clean_basic
 from gistmill.operators.clean import add_broad_category, filter_short
+from gistmill.operators.encode import encode
 from gistmill.sources.readers import with_label_names
 
 PROMPTS = ["default", "no_others", "cot", "few_shot"]
@@ -80,9 +81,10 @@ def labelled_docs(spark, sf) -> DataFrame:
 
 
 def predictions(spark, sf) -> DataFrame:
-    """Broad label and a made prediction 0..8 for every document."""
+    """Broad label and a made prediction 0..8 for every document; some labels and some predictions are null."""
     d = add_broad_category(with_label_names(posts(spark, sf)))
-    return d.select("doc_id", F.col("broad_label_id").alias("label"), (F.col("n_chars") % 9).cast("int").alias("predicted_label"))
+    guess = F.when(F.col("n_chars") % 13 != 0, F.col("n_chars") % 9).cast("int")
+    return d.select("doc_id", F.when(F.col("n_chars") % 17 != 0, F.col("broad_label_id")).alias("label"), guess.alias("predicted_label"))
 
 
 def embeddings(spark, sf) -> DataFrame:
@@ -90,13 +92,19 @@ def embeddings(spark, sf) -> DataFrame:
 
 
 def doc_vectors(spark, sf) -> DataFrame:
-    e = embeddings(spark, sf).select(F.col("vec_id").alias("doc_id"), "embedding")
-    return doc_topics(spark, sf).join(e, "doc_id")
+    """Every document of the corpus with the default encoder's vector."""
+    return encode(doc_topics(spark, sf))
 
 
-def xy(spark, sf) -> DataFrame:
-    e = embeddings(spark, sf)
-    return e.select("vec_id", "label", F.array(F.get("embedding", F.lit(0)), F.get("embedding", F.lit(1))).alias("embedding"))
+def axes(vec: str = "embedding"):
+    """A fixed linear projection of whole vectors to two axes: sums over the even and the odd places."""
+    doubles = F.col(vec).cast("array<double>")
+    part = lambda k: F.aggregate(F.filter(doubles, lambda x, i: i % 2 == k), F.lit(0.0), lambda a, x: a + x)
+    return F.array(part(0), part(1))
+
+
+def plane(spark, sf) -> DataFrame:
+    return embeddings(spark, sf).select("vec_id", "label", axes().alias("embedding"))
 
 
 # ---------------------------------------------------------------- SQL side
@@ -150,6 +158,11 @@ def sql_bigrams(t):
     return f"list_transform(range(1, len({t})), lambda i: {t}[i] || ' ' || {t}[i + 1])"
 
 
+def sql_axes(c):
+    part = "coalesce(list_sum(list_transform(range(1, len({c}) + 1, 2), lambda i: {c}[i + {k}]::double)), 0)"
+    return f"[{part.format(c=c, k=0)}, {part.format(c=c, k=1)}]"
+
+
 def sql_draw(*parts):
     text = " || ':' || ".join(str(p) for p in parts)
     return f"cast('0x' || substr(md5({text}), 1, 8) as bigint)"
@@ -209,13 +222,18 @@ VIEWS = {
     ),
     "predictions": (
         ["posts", "fine"],
-        "select doc_id, broad_label_id as label, cast(n_chars % 9 as int) as predicted_label from posts join fine using (label_id)",
+        "select doc_id, case when n_chars % 17 <> 0 then broad_label_id end as label, "
+        "cast(case when n_chars % 13 <> 0 then n_chars % 9 end as int) as predicted_label from posts join fine using (label_id)",
     ),
     "doc_vectors": (
         ["doc_topics"],
-        "select d.*, e.embedding::double[] as embedding from doc_topics d join embeddings e on e.vec_id = d.doc_id",
+        "select d.*, v.embedding from doc_topics d join (select c.doc_id, list(coalesce(s.x, 0)::double order by r.k) as embedding "
+        "from doc_topics c cross join (select unnest(range(64)) as k) r left join (select doc_id, h // 2 as k, "
+        "sum(case when h % 2 = 0 then 1 else -1 end) as x from (select doc_id, "
+        f"{sql_draw('term')} % 128 as h from (select doc_id, unnest({sql_terms('text', False)}) as term from doc_topics)) group by all) s "
+        "on s.doc_id = c.doc_id and s.k = r.k group by c.doc_id) v using (doc_id)",
     ),
-    "xy": ([], "select vec_id, label, [embedding[1]::double, embedding[2]::double] as embedding from embeddings"),
+    "plane": ([], f"select vec_id, label, {sql_axes('embedding')} as embedding from embeddings"),
     "terms1": (["doc_topics"], f"select doc_id, topic, split, broad_label_id, label, unnest({sql_terms('text')}) as term from doc_topics"),
     "toks": (["doc_topics"], f"select doc_id, topic, split, broad_label_id, label, {sql_terms('text')} as t from doc_topics"),
     "terms2": (

@@ -124,7 +124,7 @@ def weight_sql(source: str, by: str = "topic", name: str = "cw", grp: str = "")
 
 
 def words_sql(n: int, source: str = "cw", by: str = "topic", name: str = "best", grp: str = "", where: str = "true"):
-    rank = f"row_number() over (partition by {grp}{by} order by round(weight, 9) desc, term)"
+    rank = f"row_number() over (partition by {grp}{by} order by weight desc, term)"
     return [(name, f"select * from (select *, cast({rank} as int) as rank from {source} where {where}) where rank <= {n}")]
 
 
@@ -142,8 +142,8 @@ REPS = [
     ("cent", "select topic, list(m order by d) as c from cd group by topic"),
     (
         "reps",
-        "select topic, doc_id, text, round(list_dot_product(embedding, c) / (sqrt(list_dot_product(embedding, embedding)) "
-        "* sqrt(list_dot_product(c, c))), 6) + 0.0 as similarity from doc_vectors join cent using (topic)",
+        "select topic, doc_id, text, coalesce(list_dot_product(embedding, c) / nullif(sqrt(list_dot_product(embedding, embedding)) "
+        "* sqrt(list_dot_product(c, c)), 0), 0) as similarity from doc_vectors join cent using (topic)",
     ),
     (
         "reps3",
@@ -234,7 +234,7 @@ ORACLE = {
         "terms2",
         extra=VEC + weight_sql("tc") + words_sql(10) + REPS,
     ),
-    "representative_docs": sql("select topic, rank, doc_id, similarity from reps3", "doc_vectors", extra=REPS),
+    "representative_docs": sql("select topic, rank, doc_id, round(similarity, 6) + 0.0 as similarity from reps3", "doc_vectors", extra=REPS),
     "coherence_cv": sql(
         "select topic, round(coherence, 6) + 0.0 as coherence from coh",
         "terms1",

@@ -13,7 +13,7 @@ from gistmill.plans import workflows as wf
 from gistmill.registry import tables as t
 from gistmill.registry.tables import sql_draw
 
-EPS, MIN_SAMPLES, MIN_CLUSTER, K = 0.018, 4, 10, 15
+EPS, MIN_SAMPLES, MIN_CLUSTER, K = 1.205, 10, 10, 15
 N_EXAMPLES = 2000
 
 
@@ -48,7 +48,7 @@ def q_project(spark, sf):
 
 
 def flat_knn(spark, sf):
-    return nb.knn_graph(t.xy(spark, sf), MIN_SAMPLES, "euclidean")
+    return nb.knn_graph(t.embeddings(spark, sf), MIN_SAMPLES, "euclidean")
 
 
 def q_core(spark, sf):
@@ -66,11 +66,11 @@ def clustered(df):
 
 
 def q_clusters(spark, sf):
-    return clustered(t.xy(spark, sf))
+    return clustered(t.embeddings(spark, sf))
 
 
 def q_assign(spark, sf):
-    df = split_vectors(t.xy(spark, sf))
+    df = split_vectors(t.embeddings(spark, sf))
     train = df.filter("split = 'train'")
     named = train.join(clustered(train).withColumnRenamed("id", "vec_id"), "vec_id")
     out = cl.assign_topics(df.filter("split = 'test'"), named, EPS, "euclidean")
@@ -117,20 +117,19 @@ def q_cosine_loss(spark, sf):
 
 def q_train(spark, sf):
     e = t.embeddings(spark, sf)
-    head = train_head(triplets(spark, sf), e, "triplet", epochs=2, batch_size=256, lr=1e-3)
+    head = train_head(triplets(spark, sf), e, "triplet", epochs=8, lr=1e-3)
     out = head.transform(e)
     return out.select("vec_id", F.posexplode("embedding").alias("d", "x")).select("vec_id", "d", t.r6("x"))
 
 
 def q_compare(spark, sf):
-    out = wf.compare_approaches(t.embeddings(spark, sf), N_EXAMPLES, batch_size=512, epochs=2, lr=1e-3)
+    out = wf.compare_approaches(t.embeddings(spark, sf), N_EXAMPLES, epochs=8, lr=1e-3)
     return out.select("approach", "examples", t.r6("first_loss"), t.r6("last_loss"), t.r6("davies_bouldin"))
 
 
 def q_workflow(spark, sf):
     v = t.doc_vectors(spark, sf)
-    flat = F.array(F.get("embedding", F.lit(0)), F.get("embedding", F.lit(1)))
-    docs = v.select("doc_id", "text", "split", F.col("broad_label_id").alias("label"), flat.alias("embedding"))
+    docs = v.select("doc_id", "text", "split", F.col("broad_label_id").alias("label"), "embedding")
     out = wf.topics_to_scores(
         docs, stop=STOP_WORDS, metric="euclidean", k_neighbours=K, min_samples=MIN_SAMPLES, core_quantile=0.3, ngram_range=(1, 1)
     )
@@ -169,13 +168,13 @@ UNIT = (
 
 
 def flat(where: str = "true"):
-    return ("unit", f"select vec_id as id, label, [embedding[1]::double, embedding[2]::double] as v from embeddings where {where}")
+    return ("unit", f"select vec_id as id, label, embedding::double[] as v from embeddings where {where}")
 
 
 def knn_views(k: int, metric: str) -> list[tuple[str, str]]:
     d = "1 - list_dot_product(a.v, b.v)" if metric == "cosine" else "list_distance(a.v, b.v)"
     return [
-        ("dist", f"select a.id, b.id as nbr, round({d}, 6) + 0.0 as dist from unit a join unit b on a.id <> b.id"),
+        ("dist", f"select a.id, b.id as nbr, {d} as dist from unit a join unit b on a.id <> b.id"),
         (
             "knn",
             "select * from (select *, cast(row_number() over (partition by id order by dist, nbr) as int) as rank from dist) "
@@ -211,7 +210,7 @@ TRIPLETS = [
     ("pos_t", "select a.id, b.id as p_id from anc a join ix b on a.label = b.label and a.at = b.pos"),
     (
         "neg_t",
-        "select id, first(nbr order by d, nbr) as n_id from (select a.id, b.id as nbr, round(1 - list_dot_product(u.v, b.v), 6) as d "
+        "select id, first(nbr order by d, nbr) as n_id from (select a.id, b.id as nbr, 1 - list_dot_product(u.v, b.v) as d "
         "from anc a join unit u on u.id = a.id join unit b on b.label <> a.label) group by id",
     ),
     ("tri", "select id as a_id, p_id, n_id from pos_t join neg_t using (id)"),
@@ -272,11 +271,11 @@ FUZZY = [
 ORACLE = {
     "pairwise_cosine": chain(
         [UNIT],
-        "select id, count(*) as others, round(avg(s), 6) + 0.0 as mean_sim, min(s) as min_sim, max(s) as max_sim, "
-        "count(*) filter (s >= 0.3) as close from (select a.id, round(list_dot_product(a.v, b.v), 6) + 0.0 as s "
+        "select id, count(*) as others, round(avg(s), 6) + 0.0 as mean_sim, round(min(s), 6) + 0.0 as min_sim, round(max(s), 6) + 0.0 as max_sim, "
+        "count(*) filter (s >= 0.3) as close from (select a.id, list_dot_product(a.v, b.v) as s "
         "from unit a join unit b on a.id <> b.id) group by id",
     ),
-    "knn_graph": chain([UNIT, *knn_views(K, "cosine")], "select id, rank, nbr, dist from knn"),
+    "knn_graph": chain([UNIT, *knn_views(K, "cosine")], "select id, rank, nbr, round(dist, 6) + 0.0 as dist from knn"),
     "fuzzy_graph": chain(
         [UNIT, *knn_views(K, "cosine"), *FUZZY],
         "select a, b, round(sum(w) - case when count(*) = 2 then min(w) * max(w) else 0 end, 6) + 0.0 as weight from dir group by a, b",
@@ -310,23 +309,23 @@ ORACLE = {
         + COS.format("a", "b")
         + " as c from prs join unit a on a.id = a_id join unit b on b.id = b_id)",
     ),
-    "core_distance": chain([flat(), *knn_views(MIN_SAMPLES, "euclidean"), CORE], "select id, core from core"),
+    "core_distance": chain([flat(), *knn_views(MIN_SAMPLES, "euclidean"), CORE], "select id, round(core, 6) + 0.0 as core from core"),
     "mutual_reachability": chain(
         [flat(), *knn_views(MIN_SAMPLES, "euclidean"), CORE],
-        "select k.id, nbr, greatest(a.core, b.core, dist) as reach from knn k join core a on a.id = k.id join core b on b.id = nbr",
+        "select k.id, nbr, round(greatest(a.core, b.core, dist), 6) + 0.0 as reach from knn k join core a on a.id = k.id join core b on b.id = nbr",
     ),
     "density_clusters": chain([flat(), *knn_views(MIN_SAMPLES, "euclidean"), CORE, *CLUSTER], "select id, topic from clu", True),
     "assign_topics": chain(
         [flat("vec_id % 5 <> 0"), *knn_views(MIN_SAMPLES, "euclidean"), CORE, *CLUSTER]
         + [
-            ("fresh", "select vec_id as id, [embedding[1]::double, embedding[2]::double] as v from embeddings where vec_id % 5 = 0"),
+            ("fresh", "select vec_id as id, embedding::double[] as v from embeddings where vec_id % 5 = 0"),
             (
                 "near",
-                "select f.id, u.id as nbr, c.topic, round(list_distance(f.v, u.v), 6) + 0.0 as dist from fresh f "
+                "select f.id, u.id as nbr, c.topic, list_distance(f.v, u.v) as dist from fresh f "
                 "join unit u on true join clu c on c.id = u.id and c.topic <> -1",
             ),
         ],
-        "select f.id, n.nbr, n.dist, coalesce(case when n.dist <= "
+        "select f.id, n.nbr, round(n.dist, 6) + 0.0 as dist, coalesce(case when n.dist <= "
         f"{EPS} then n.topic end, -1) as topic from fresh f left join "
         "(select * from (select *, row_number() over (partition by id order by dist, nbr) as r from near) where r = 1) n on n.id = f.id",
         True,
@@ -337,7 +336,7 @@ ORACLE = {
             ("ed", "select label, generate_subscripts(embedding, 1) as d, unnest(embedding)::double as x from embeddings"),
             ("cent", "select label, list(m order by d) as c from (select label, d, avg(x) as m from ed group by all) group by label"),
             ("cu", "select label as topic, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) as c from cent"),
-            ("sim", "select id, topic, round(greatest(list_dot_product(v, c), 0), 6) as s from unit cross join cu"),
+            ("sim", "select id, topic, greatest(list_dot_product(v, c), 0) as s from unit cross join cu"),
         ],
         "select id, cast(first(topic order by s desc, topic) as int) as best_topic, "
         "round(coalesce(max(s) / nullif(sum(s), 0), 0), 6) + 0.0 as topic_probability from sim group by id",

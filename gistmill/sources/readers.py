@@ -12,9 +12,11 @@ PROJECTION_SCHEMA = "doc_id long, text string, label string, x double, y double"
 
 
 def with_label_names(posts: DataFrame) -> DataFrame:
-    """Resolve label_id to the fine label name; ids outside the list are an error upstream, so they drop out."""
+    """Resolve label_id to the fine label name. A null id has a null name; an id outside the list is an error when the plan runs."""
     names = F.broadcast(fine_dim(posts.sparkSession).select("label_id", "label"))
-    return posts.join(names, "label_id")
+    unknown = F.raise_error(F.concat(F.lit("unknown label_id "), F.col("label_id").cast("string"))).cast("string")
+    named = F.when(F.col("label").isNull() & F.col("label_id").isNotNull(), unknown).otherwise(F.col("label"))
+    return posts.join(names, "label_id", "left").withColumn("label", named)
 
 
 def load_corpus(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
@@ -44,9 +46,9 @@ def load_variant(
     return tuple(reader.option("dbtable", f"{schema}.{s}_{variant}").load() for s in ("train", "test"))
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Prediction CSV; must hold the columns label and predicted_label."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+def read_predictions(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Prediction CSV; must hold the columns label and predicted_label. Fields with line breaks need `multi_line`, one task for each file."""
+    df = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
     if not {"label", "predicted_label"} <= set(df.columns):
         raise ValueError("CSV must hold the columns 'label' and 'predicted_label'")
     return df
@@ -56,10 +58,10 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_projection(spark: SparkSession, path: str, schema: str = PROJECTION_SCHEMA) -> DataFrame | None:
-    """A saved projection, or None where there is none."""
+def read_projection(spark: SparkSession, path: str, schema: str = PROJECTION_SCHEMA, multi_line: bool = False) -> DataFrame | None:
+    """A saved projection, or None where there is none. Fields with line breaks need `multi_line`, one task for each file."""
     try:
-        return spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"')
+        return spark.read.csv(path, header=True, schema=schema, multiLine=multi_line, escape='"')
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None

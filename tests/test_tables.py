@@ -100,7 +100,8 @@ def test_scores_golden(spark):
 
 def test_confusion_sums_to_the_rows(spark):
     p = t.predictions(spark, SF)
-    assert ev.confusion_matrix(p).agg(F.sum("n")).first()[0] == p.count()
+    scored = p.where("label is not null and predicted_label is not null").count()
+    assert ev.confusion_matrix(p).agg(F.sum("n")).first()[0] == scored
     f1 = [r["f1"] for r in ev.per_class_f1(p).collect()]
     assert all(0 <= x <= 1 for x in f1)
 
@@ -149,7 +150,7 @@ def test_prompts_hold_their_parts(spark):
     got = lb.build_topic_prompt(lb.topic_inputs(info), list(TOPIC_TEMPLATES)).collect()
     assert [r["topic"] for r in got] == [0] * 5 and len({r["prompt_text"] for r in got}) == 5
     for r in got:
-        assert "keywords = ['a', 'b', 'c', 'd', 'e']" in r["prompt_text"]
+        assert "GROUP APART\n['a', 'b', 'c', 'd', 'e']" in r["prompt_text"]
         assert str(["y" * 50] * 8) in r["prompt_text"] and all(n in r["prompt_text"] for n in lb.BROAD_NAMES)
         assert "{keywords}" not in r["prompt_text"] and "{categories}" not in r["prompt_text"]
     assert all(n in doc_template(20) for n in lb.FINE_NAMES) and all(n in doc_template(7) for n in lb.SHORT_NAMES)
@@ -233,4 +234,36 @@ def test_csv_keeps_quotes_and_newlines(spark, tmp_path):
     rows = [(1, 'he said "no", twice\nand left', "a", 0.5, -1.0)]
     df = spark.createDataFrame(rows, readers.PROJECTION_SCHEMA)
     writers.write_projection(df, str(tmp_path / "p"))
-    assert [tuple(r) for r in readers.read_projection(spark, str(tmp_path / "p")).collect()] == rows
+    assert [tuple(r) for r in readers.read_projection(spark, str(tmp_path / "p"), multi_line=True).collect()] == rows
+
+
+def test_null_predictions_are_misses(spark):
+    """All scores say the same of rows whose prediction or label is null."""
+    rows = [(1, 1), (1, None), (1, None), (2, 2), (None, 2), (None, None)]
+    rec = scores(spark, rows)
+    df = spark.createDataFrame(rows, "label int, predicted_label int")
+    assert rec["labels"] == [1, 2] and rec["per_class_f1"] == pytest.approx([0.5, 1.0])
+    assert rec["confusion_matrix"] == [[1, 0], [0, 1]]
+    assert rec["macro_f1"] == ev.macro_f1(df).first()[0] == pytest.approx(0.75)
+    assert rec["weighted_f1"] == ev.weighted_f1(df).first()[0] == pytest.approx((3 * 0.5 + 1.0) / 4)
+    assert [(r["label"], r["tp"], r["fp"], r["fn"], r["support"]) for r in ev.per_class_f1(df).orderBy("label").collect()] == [(1, 1, 0, 2, 3), (2, 1, 0, 0, 1)]
+
+
+def test_rounding_keeps_what_is_no_number(spark):
+    from gistmill.functions.numbers import to_places
+
+    values = [1.2345675, -0.5, float("nan"), float("inf"), float("-inf"), 1e300, None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(to_places(F.col("x"), 6)).collect()]
+    assert got[:2] == pytest.approx([1.234568, -0.5]) and np.isnan(got[2]) and got[3:] == [float("inf"), float("-inf"), 1e300, None]
+
+
+def test_small_weights_are_ranked(spark):
+    df = spark.createDataFrame([(0, "a", 1e-11), (0, "b", 4e-10)], "topic int, term string, weight double")
+    assert [r["term"] for r in tp.topic_words(df, 1).collect()] == ["b"]
+
+
+def test_unknown_label_ids_are_an_error(spark):
+    posts = spark.createDataFrame([(1, "x", 3), (2, "y", None)], "doc_id int, text string, label_id int")
+    assert {r["doc_id"]: r["label"] for r in readers.with_label_names(posts).collect()} == {1: FINE[3][1], 2: None}
+    with pytest.raises(Exception, match="unknown label_id 99"):
+        readers.with_label_names(posts.withColumn("label_id", F.lit(99))).collect()

@@ -220,7 +220,15 @@ def test_gradients(loss):
 def test_training_lowers_the_loss(spark):
     e = t.embeddings(spark, SF)
     tri = cn.mine_triplets(e, 200)
-    head = tr.train_head(tri, e, "triplet", epochs=4, batch_size=100, lr=1e-2)
+    head = tr.train_head(tri, e, "triplet", epochs=8, lr=1e-2)
     assert head.losses[-1] < 0.8 * head.losses[0]
     with pytest.raises(ValueError):
         tr.train_head(tri.limit(0), e, "triplet")
+
+
+def test_gaps_below_the_sixth_place(spark):
+    """Ranks are by exact distances: neighbours that differ by less than 1e-6 are told apart."""
+    got = nb.knn_graph(make(spark, [[0.0, 0.0], [4e-7, 0.0], [1e-7, 0.0]]), 1, "euclidean").collect()
+    assert {r["id"]: r["nbr"] for r in got} == {0: 2, 1: 2, 2: 0}
+    blocks = nb.knn_graph(make(spark, [[0.5 + 3e-9 * k * k, 1.0] for k in range(90)]), 1, "euclidean", **BLOCKS).collect()
+    assert {r["id"]: r["nbr"] for r in blocks} == {k: max(k - 1, 0) if k else 1 for k in range(90)}

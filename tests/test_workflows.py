@@ -43,7 +43,7 @@ def test_store_variants(spark, tmp_path):
 
 
 def test_training_approaches(spark):
-    rows = {r["approach"]: r for r in wf.compare_approaches(t.embeddings(spark, SF), 200, 100, 3, 5e-3).collect()}
+    rows = {r["approach"]: r for r in wf.compare_approaches(t.embeddings(spark, SF), 200, 32, 6, 5e-3).collect()}
     assert set(rows) == {"triplet", "simcse", "cosine"}
     for r in rows.values():
         assert r["last_loss"] < r["first_loss"] and r["davies_bouldin"] > 0 and r["examples"] == 200
