@@ -20,6 +20,21 @@ def spread_join(big: DataFrame, small: DataFrame, on: list[str], by: str, how: s
     return left.join(small.withColumn("_slice", F.explode(slices)), [*on, "_slice"], how).drop("_slice")
 
 
+#: What a side that is sent to all tasks may hold.
+SENT_BYTES = 16 << 20
+
+
+def bounded_join(big: DataFrame, small: DataFrame, on: list[str], by: str, row_bytes: int = 64) -> DataFrame:
+    """Equi-join with a term table (its key is the first of ``on``): sent to all tasks if rows and text fit SENT_BYTES, sliced by ``by`` beyond.
+
+    ``small`` should be cheap to read twice. row_bytes: of a row without its key.
+    """
+    size = small.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(F.col(on[0]))).alias("text")).first()
+    if size["rows"] * row_bytes + (size["text"] or 0) <= SENT_BYTES:
+        return big.join(F.broadcast(small), on)
+    return spread_join(big, small, on, by)
+
+
 def checked_join(big: DataFrame, small: DataFrame, on: list[str], by: str, limit: int = 4096) -> DataFrame:
     """Broadcast ``small`` if it has at most ``limit`` rows, which is counted first; otherwise a sliced join."""
     small = small.persist()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,26 +14,36 @@ from pyspark.sql import functions as F
 from gistmill.functions import text as tx
 from gistmill.functions import vectors as vx
 from gistmill.functions.arrays import histogram, once
+from gistmill.functions.joins import bounded_join
+from gistmill.session import cut_lineage
 
 MAX_SVD_TERMS = 50_000
 
 
 def tokenize_terms(
-    df: DataFrame, stop: Sequence[str] = (), ngram_range: tuple[int, int] = (1, 1), text_col: str = "text"
+    df: DataFrame,
+    stop: Sequence[str] = (),
+    ngram_range: tuple[int, int] = (1, 1),
+    text_col: str = "text",
+    preprocess: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Adds ``terms``: array of word n-grams."""
-    return once(df, "terms", tx.terms(F.col(text_col), stop, ngram_range))
+    """Adds ``terms``: array of word n-grams, of the text as ``preprocess`` leaves it."""
+    text = F.col(text_col) if preprocess is None else preprocess(F.col(text_col))
+    return once(df, "terms", tx.terms(text, stop, ngram_range))
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """``terms`` replaced by ``counts`` (term, tf) and written to the shared folder, so that cleaning and tokenising run once."""
+    if "counts" in df.columns:
+        return df
+    return cut_lineage(df.select(*[c for c in df.columns if c != "terms"], histogram(F.col("terms")).alias("counts")))
 
 
 def term_counts(df: DataFrame, *keep: str) -> DataFrame:
     """doc_id, term, tf. Counted inside each row, so nothing is shuffled."""
     cols = ["doc_id", *keep]
-    return df.select(*cols, F.explode(histogram(F.col("terms"))).alias("_e")).select(*cols, "_e.term", "_e.tf")
-
-
-def _df_bound(value: int | float, total: Column) -> Column:
-    """An int is a count, a float a share of the documents."""
-    return F.lit(value) if isinstance(value, int) else F.lit(value) * total
+    counts = F.col("counts") if "counts" in df.columns else histogram(F.col("terms"))
+    return df.select(*cols, F.explode(counts).alias("_e")).select(*cols, "_e.term", "_e.tf")
 
 
 def build_vocabulary(
@@ -44,37 +54,36 @@ def build_vocabulary(
 ) -> DataFrame:
     """term, df, tf, n_docs of the terms inside the document-frequency band, the most frequent ones where capped.
 
-    One scan: documents are folded into term rows before the only large shuffle, and each document also counts
-    once for the empty term, whose frequency is the number of documents.
+    Documents are counted once and written; their number and the frequencies are read from there. A float bound is a share of the documents.
+    The result is a written table.
     """
-    mark = F.array(F.struct(F.lit("").alias("term"), F.lit(1).cast("long").alias("tf")))
-    each = df.select(F.explode(F.concat(histogram(F.col("terms")), mark)).alias("_e")).select("_e.term", "_e.tf")
-    seen = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
-    total = seen.filter("term = ''").select(F.lit(1).alias("_k"), F.col("df").alias("n_docs"))
-    n = F.col("n_docs")
-    vocab = seen.filter("term <> ''").withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k").drop("_k")
-    vocab = vocab.filter((F.col("df") >= _df_bound(min_df, n)) & (F.col("df") <= _df_bound(max_df, n)))
+    docs = counted(df)
+    n = docs.count()
+    low, high = (x if isinstance(x, int) else x * n for x in (min_df, max_df))
+    vocab = term_counts(docs).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    vocab = vocab.filter((F.col("df") >= low) & (F.col("df") <= high)).withColumn("n_docs", F.lit(n).cast("long"))
     if max_features is not None:
         vocab = vocab.orderBy(F.desc("tf"), "term").limit(max_features)
-    return vocab
+    return cut_lineage(vocab)
 
 
 def count_vectorize(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """doc_id, term, tf on a fitted vocabulary."""
-    return term_counts(df).join(vocabulary.select("term"), "term").select("doc_id", "term", "tf")
+    return bounded_join(term_counts(df), vocabulary.select("term"), ["term"], "doc_id").select("doc_id", "term", "tf")
 
 
 def tfidf_transform(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """doc_id, term, weight: smooth idf of the fitted vocabulary, unit length per document."""
     idf = F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0
-    raw = term_counts(df).join(vocabulary.select("term", idf.alias("_idf")), "term")
+    raw = bounded_join(term_counts(df), vocabulary.select("term", idf.alias("_idf")), ["term"], "doc_id")
     raw = raw.select("doc_id", "term", (F.col("tf") * F.col("_idf")).alias("_w"))
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("doc_id")))
     return raw.withColumn("weight", F.col("_w") / length).drop("_w")
 
 
 def tfidf(df: DataFrame, min_df=3, max_df=0.85, max_features: int | None = 10_000) -> DataFrame:
-    return tfidf_transform(df, build_vocabulary(df, min_df, max_df, max_features))
+    docs = counted(df)
+    return tfidf_transform(docs, build_vocabulary(docs, min_df, max_df, max_features))
 
 
 def l2_normalize(df: DataFrame, col: str = "embedding") -> DataFrame:

@@ -10,12 +10,14 @@ from pyspark.sql import types as T
 
 from gistmill.dims import BROAD, FINE, MAX_CATEGORIES, OUTLIER, broad_dim, fine_dim
 from gistmill.functions.arrays import python_list
+from gistmill.functions.joins import bounded_join
 from gistmill.functions.replies import normalize_prediction, parse_topic_reply
 from gistmill.functions.text import terms
-from gistmill.operators.features import term_counts
+from gistmill.operators.features import counted, term_counts
 from gistmill.operators.relational import head_n
 from gistmill.operators.topics import ctfidf, topic_term_counts, unit_weights
 from gistmill.prompts import CATEGORY_LIST, TOPIC_TEMPLATES, doc_template
+from gistmill.session import cut_lineage
 
 BROAD_NAMES = [name for _, name, _ in BROAD]
 SHORT_NAMES = [short for _, _, short in BROAD]
@@ -112,7 +114,8 @@ def classify_terms(docs: DataFrame, grains: Mapping[str, tuple[DataFrame, Sequen
         slots |= {f"_s{len(slots) + i}": (out, n) for i, n in enumerate(sorted(names))}
     hit = {s: (F.col("_g") == out) & (F.col("category") == n) for s, (out, n) in slots.items()}
     wide = stacked.groupBy("term").agg(*[F.sum(F.when(h, F.col("u")).otherwise(0.0)).alias(s) for s, h in hit.items()])
-    joined = term_counts(docs).join(wide, "term")
+    docs = counted(docs)
+    joined = bounded_join(term_counts(docs), cut_lineage(wide), ["term"], "doc_id", 8 * len(slots) + 32)
     sums = joined.groupBy("doc_id").agg(*[F.sum(F.col("tf") * F.col(s)).alias(s) for s in slots])
 
     def best(out: str) -> Column:
@@ -123,7 +126,7 @@ def classify_terms(docs: DataFrame, grains: Mapping[str, tuple[DataFrame, Sequen
         ]
         return F.array_max(F.array(*scored))["name"].alias(out)
 
-    return docs.join(sums.select("doc_id", *[best(out) for out in grains]), "doc_id", "left")
+    return docs.drop("counts").join(sums.select("doc_id", *[best(out) for out in grains]), "doc_id", "left")
 
 
 def classify_documents(docs: DataFrame, train: DataFrame, n: int | None = None, stop: Sequence[str] = ()) -> DataFrame:
@@ -136,8 +139,8 @@ def classify_documents(docs: DataFrame, train: DataFrame, n: int | None = None,
     short = F.broadcast(broad_dim(spark).select("broad_label_id", F.col("short_name").alias("broad_label")))
     names = F.broadcast(fine_dim(spark).select("label", "broad_label_id").join(short, "broad_label_id").select("label", "broad_label"))
     learnt = train.withColumn("terms", terms(F.col("text"), stop))
-    # Four aggregates read the counts; Spark does not always see that they are the same.
-    fine = topic_term_counts(learnt, topic="label").filter(F.col("label").isin(FINE_NAMES)).persist()
+    # Four aggregates read the counts, so they are written once.
+    fine = cut_lineage(topic_term_counts(learnt, topic="label").filter(F.col("label").isin(FINE_NAMES)))
     broad = fine.join(names, "label").groupBy("broad_label", "term").agg(F.sum("tf").alias("tf"))
 
     def profiles(counts: DataFrame, col: str) -> DataFrame:

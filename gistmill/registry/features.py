@@ -26,7 +26,7 @@ def q_vocabulary(spark, sf):
 
 
 def q_count_vectorize(spark, sf):
-    tok = tokens(spark, sf)
+    tok = op.counted(tokens(spark, sf))
     return op.count_vectorize(tok, op.build_vocabulary(tok, 3, 0.85, 10_000))
 
 
@@ -35,14 +35,14 @@ def q_tfidf(spark, sf):
 
 
 def q_tfidf_transform(spark, sf):
-    tok = tokens(spark, sf)
+    tok = op.counted(tokens(spark, sf))
     vocab = op.build_vocabulary(tok.filter(TRAIN), 3, 0.85, 10_000)
     return op.tfidf_transform(tok.filter(TEST), vocab).select("doc_id", "term", t.r6("weight"))
 
 
 def q_svd(spark, sf):
-    tok = tokens(spark, sf)
-    vocab = op.build_vocabulary(tok.filter(TRAIN), 3, 0.85, 10_000).persist()
+    tok = op.counted(tokens(spark, sf))
+    vocab = op.build_vocabulary(tok.filter(TRAIN), 3, 0.85, 10_000)
     out = op.truncated_svd(op.tfidf_transform(tok.filter(TRAIN), vocab), op.tfidf_transform(tok.filter(TEST), vocab), 30)
     return out.select("doc_id", "split", F.posexplode("embedding").alias("d", "x")).select("doc_id", "split", "d", t.r6("x"))
 
