@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gistmill.llm.merges import LONG, Merges
 from gistmill.llm.token_counts import characters
@@ -283,7 +284,7 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text: str
 def decode_pieces(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """The frame with one more column, the text of the ids. Null ids give a null text; an id outside the model is an error."""
     sent = _sent(encoded, path)
-    schema = encoded.schema.add(out, "string")
+    schema = StructType([*encoded.schema.fields, StructField(out, StringType())])
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(sent.value)
