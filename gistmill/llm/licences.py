@@ -89,9 +89,10 @@ def licence_scan(docs: DataFrame, digests: DataFrame, id_col: str = "doc_id", te
     if digests.limit(SENT + 1).count() <= SENT:
         digests = F.broadcast(digests)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("id"), F.explode(F.array(canonical_lines(text))).alias("text"))
-    lines = rows.select(
-        "row", "id", F.md5(canonical(F.col("text")).cast("binary")).alias("digest"), F.explode(F.split("text", "\n")).alias("line")
-    ).withColumn("line", F.md5(F.regexp_replace(F.trim("line"), " +", " ").cast("binary")))
+    # A generator's own columns are computed once; columns beside it would be computed anew for each line.
+    whole = F.struct(F.md5(canonical(F.col("text")).cast("binary")).alias("digest"), F.split("text", "\n").alias("lines"))
+    parts = rows.select("row", "id", F.explode(F.array(whole)).alias("part")).select("row", "id", "part.digest", F.explode("part.lines").alias("line"))
+    lines = parts.withColumn("line", F.md5(F.regexp_replace(F.trim("line"), " +", " ").cast("binary")))
     known = digests.select(F.col("digest").alias("line"), F.col("licence").alias("line_licence"))
     # Lines of a row are neighbours, so they are put together again before they are shuffled.
     found = lines.join(known, "line", "left").groupBy("row", "id", "digest").agg(F.count("line_licence").alias("licence_lines"), F.sort_array(F.collect_set("line_licence")).alias("line_licences"))
