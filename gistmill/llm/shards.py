@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 BITS, STRIDE = 60, 8
 LIMIT = 1 << 20
+#: Cells of a round that are sent to all tasks (12 bytes each); more are joined by a shuffle.
+SENT_CELLS = 500_000
 
 
 def hash_bits(id_col: str | Column) -> Column:
@@ -50,6 +52,9 @@ def sharded(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text: s
         high = min(BITS, low + STRIDE)
         cells = cut(_cells(sized, low, high, limit))
         found = cells.where("depth is not null").select("cell", F.col("depth").cast("int").alias("d"))
+        # The rows of `docs` are large: they stay where they are as long as this part of the directory can be sent to them.
+        if cells.limit(SENT_CELLS + 1).count() <= SENT_CELLS:
+            found = F.broadcast(found)
         out = out.withColumn("cell", F.when(F.col("depth").isNull(), F.shiftright("hash", BITS - high))).join(found, "cell", "left")
         out = out.select("row", "hash", "n_bytes", F.coalesce("prefix", F.expr(f"shiftright(cell, {high} - d)")).alias("prefix"), F.coalesce("depth", "d").alias("depth"))
         over = cells.where("depth is null").select("cell")
