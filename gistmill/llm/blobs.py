@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from gistmill.llm.words import SLICE_BYTES
 
 #: Entries that a bucket should hold.
-BUCKET_ENTRIES = 1_500_000
+BUCKET_ENTRIES = 750_000
 LARGEST_BUCKET_NUMBER = 1 << 24
 
 

@@ -39,7 +39,7 @@ TILE = 1024
 #: Symbols of one byte in the longer signatures of candidates.
 SKETCH = 256
 #: Classes whose keys are made at a time.
-ROUTE_CLASSES = 20_000
+ROUTE_CLASSES = 8_000
 _PLACE = 4
 
 _SEEDS = mix(np.arange(1, SYMBOLS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
