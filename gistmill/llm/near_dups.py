@@ -9,8 +9,9 @@ are found; two texts of J = 0.8 miss all six chunks with chance 4e-8.
 Texts with equal sets are one class and are never paired. A group of classes that share a key is first linked to its least
 member. Once these links are confirmed on the full sets and made into components, only pairs of different components are left:
 those that longer signatures allow, each at the first key that it shares. They hold families together, and the full sets of
-a family are compared. Pairs are never rows, so a group of thousands of near copies costs rows in proportion. In a group of more than HOT members, such a pair must agree on a second, later chunk as well (and so on until groups are
-small): all pairs of up to 14 errors have two such chunks; at J = 0.8 a pair has fewer than two with chance 4e-6.
+a family are compared. Pairs are never rows, so a group of thousands of near copies costs rows in proportion. In a group of more than HOT members,
+those outside its most frequent label meet all members, in blocks that are dealt over tasks: a pair of two labels has such a member, so the
+chances are the same in groups of any size.
 """
 
 from __future__ import annotations
@@ -203,29 +204,36 @@ def sketches(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(sketch, "id long, sketch binary")
 
 
-def _pairs_within(keys: np.ndarray, number: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sig: np.ndarray, sketch: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one key and two labels that sizes and sketches allow, each at the first key that it shares. Rows are sorted by key."""
+#: Sides of a block: members of a small group, which all meet one another; those that ask; those that are asked, and of these the ones of the most frequent label.
+PLAIN, ASKS, ASKED, FREQUENT = range(4)
+
+
+def _pairs_within(
+    keys: np.ndarray, block: np.ndarray, side: np.ndarray, number: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sig: np.ndarray, sketch: np.ndarray, similarity: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one block of a key and two labels that sizes and sketches allow, each at the first key that it shares. Rows are sorted by key, block and side."""
     most = most_errors(similarity, SKETCH)
-    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    heads = np.flatnonzero(_begins(keys, block))
     out: list[tuple[np.ndarray, np.ndarray]] = []
     for a, b in zip(heads, np.append(heads[1:], len(keys)), strict=True):
-        for top in range(a, b, 512):
-            rows = slice(top, min(top + 512, b))
-            ok = (labels[rows, None] != labels[None, a:b]) & (ids[rows, None] < ids[None, a:b])
+        asking = a + int((side[a:b] <= ASKS).sum())
+        for top in range(a, asking, 512):
+            rows = slice(top, min(top + 512, asking))
+            # Two that ask are asked as well: the lesser one asks.
+            ok = (labels[rows, None] != labels[None, a:b]) & ((ids[rows, None] < ids[None, a:b]) | (side[None, a:b] == FREQUENT)) & (side[None, a:b] != ASKS)
             if not ok.any():
                 continue
             ok &= np.minimum(sizes[rows, None], sizes[None, a:b]) >= similarity * np.maximum(sizes[rows, None], sizes[None, a:b]) - 1e-6
             i, j = np.nonzero(ok)
             i, j = i + top, j + a
-            if number[a] >= 0:  # else the key is made of several
-                first = np.ones(len(i), bool)
-                chunk, choice = divmod(int(number[a]), len(CHOICES))
-                for c in range(chunk + 1):
-                    code = np.zeros(len(i), np.int64)
-                    for k in range(CHUNK):
-                        code |= (sig[i, c * CHUNK + k] == sig[j, c * CHUNK + k]).astype(np.int64) << k
-                    first &= _FIRST_CHOICE[code] == (choice if c == chunk else len(CHOICES))
-                i, j = i[first], j[first]
+            first = np.ones(len(i), bool)
+            chunk, choice = divmod(int(number[a]), len(CHOICES))
+            for c in range(chunk + 1):
+                code = np.zeros(len(i), np.int64)
+                for k in range(CHUNK):
+                    code |= (sig[i, c * CHUNK + k] == sig[j, c * CHUNK + k]).astype(np.int64) << k
+                first &= _FIRST_CHOICE[code] == (choice if c == chunk else len(CHOICES))
+            i, j = i[first], j[first]
             for k in range(0, len(i), 65536):
                 x, y = i[k : k + 65536], j[k : k + 65536]
                 near = (sketch[x] != sketch[y]).sum(1) <= most
@@ -234,6 +242,11 @@ def _pairs_within(keys: np.ndarray, number: np.ndarray, ids: np.ndarray, labels:
     return tuple(np.concatenate([empty, *(p[k] for p in out)]) for k in (0, 1))
 
 
+def _begins(keys: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Whether a row begins a block."""
+    return np.concatenate([np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (block[1:] != block[:-1])])
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As few pairs as hold together what these pairs do: the least member of each connected part with every other one."""
     ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -256,57 +269,55 @@ def across(shared: DataFrame, labels: DataFrame, classes: DataFrame, sketched: D
 
     Within a group, the pairs are never rows: they are made in a task in blocks, and only a forest of them comes out.
     """
-    open_groups = lambda g: g.join(
-        g.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "m"), "key"
-    )
-    groups = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "number", (F.col("number") / len(CHOICES)).cast("int").alias("chunk"), "id", F.coalesce("label", "id").alias("label"))
+    groups = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "number", "id", F.coalesce("label", "id").alias("label"))
+    wide = groups.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "m")
+    groups = cut_lineage(groups.join(wide, "key").select("key", "number", "id", "label", "m"))
     facts = classes.select("id", F.col("n").alias("size"), "sig").join(sketched, "id")
-    found = None
-
-    def refine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sig = _unpacked(batch.column("sig"))
-            key, chunk = batch.column("key").to_numpy().view(U64), batch.column("chunk").to_numpy()
-            for c in range(1, CHUNKS):
-                rows = np.flatnonzero(chunk < c)
-                if len(rows):
-                    keys = mix(key[rows, None] ^ keys_of(sig[rows], c)).ravel().view(np.int64)
-                    at = pa.array(np.repeat(rows, len(CHOICES)))
-                    fixed = [pa.array(np.full(len(keys), x, np.int32)) for x in (-1, c)]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), *fixed, batch.column("id").take(at), batch.column("label").take(at)], ["key", "number", "chunk", "id", "label"])
+    small = groups.where(F.col("m") <= HOT).select("key", F.lit(0).cast("bigint").alias("block"), F.lit(PLAIN).alias("side"), "number", "id", "label")
 
     def pair(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush(rows: pa.Table) -> pa.RecordBatch:
-            ints = [rows.column(c).to_numpy() for c in ("key", "number", "id", "label", "size")]
+            ints = [rows.column(c).to_numpy() for c in ("key", "block", "side", "number", "id", "label", "size")]
             sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
             a, b = _forest(*_pairs_within(*ints, _unpacked(rows.column("sig")), sketch, similarity))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            keys = batch.column("key").to_numpy()
-            last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last group may go on in the next batch
+            keys, block = batch.column("key").to_numpy(), batch.column("block").to_numpy()
+            if not len(keys):
+                continue
+            last = int(np.flatnonzero(_begins(keys, block))[-1])  # the last block may go on in the next batch
             if last:
                 yield flush(pa.Table.from_batches([*held, batch.slice(0, last)]))
                 held = []
-            elif held and len(keys) and held[0].column("key")[0].as_py() != keys[0]:
+            elif held and (held[0].column("key")[0].as_py(), held[0].column("block")[0].as_py()) != (keys[0], block[0]):
                 yield flush(pa.Table.from_batches(held))
                 held = []
             held.append(batch.slice(last))
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    while True:
-        groups = cut_lineage(open_groups(groups).select("key", "number", "chunk", "id", "label", "m"))
-        last = F.col("chunk") == CHUNKS - 1
-        small = groups.where((F.col("m") <= HOT) | last).join(facts, "id").select("key", "number", "id", "label", "size", "sig", "sketch")
-        pairs = small.repartition("key").sortWithinPartitions("key").mapInArrow(pair, "a long, b long")
-        found = pairs if found is None else found.union(pairs)
-        hot = groups.where((F.col("m") > HOT) & ~last)
-        if hot.isEmpty():
-            return found.distinct()
-        groups = hot.join(classes.select("id", "sig"), "id").select("key", "chunk", "id", "label", "sig").mapInArrow(refine, "key long, number int, chunk int, id long, label long")
+    rows = small.union(_blocks(groups.where(F.col("m") > HOT))).join(facts, "id").select("key", "block", "side", "number", "id", "label", "size", "sig", "sketch")
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block", "side").mapInArrow(pair, "a long, b long").distinct()
+
+
+def _blocks(hot: DataFrame) -> DataFrame:
+    """Rows (key, block, side, number, id, label) of large groups: members outside the most frequent label meet all members, half of HOT of each in a block.
+
+    hot: key, number, id, label, m (members of the key).
+    """
+    tops = hot.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"))
+    half = max(1, HOT // 2)
+    parts = hot.join(tops, "key").withColumns({
+        "asking": F.ceil((F.col("m") - F.col("top.c")) / half), "asked": F.ceil(F.col("m") / half), "frequent": F.col("label") == F.col("top.label"), "h": F.xxhash64("id"),
+    })
+    place = lambda i, j, side: F.struct((i * F.col("asked") + j).cast("bigint").alias("block"), side.alias("side"))
+    is_asked = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("asking") - 1), lambda i: place(i, F.pmod("h", "asked"), F.when(F.col("frequent"), FREQUENT).otherwise(ASKED)))
+    asks = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("asked") - 1), lambda j: place(F.pmod("h", "asking"), j, F.lit(ASKS)))
+    parts = parts.select("key", "number", "id", "label", F.explode(F.when(F.col("frequent"), is_asked).otherwise(F.concat(is_asked, asks))).alias("at"))
+    return parts.select("key", "at.block", "at.side", "number", "id", "label")
 
 
 def links_within(families: DataFrame, labels: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:

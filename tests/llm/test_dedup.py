@@ -1,6 +1,8 @@
 """Duplicate operators against plain versions."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gistmill.llm import block_dups, near_dups, suffix_dups
 from tests.llm import brute
@@ -84,3 +86,20 @@ def test_hot_groups(spark, monkeypatch):
 def test_signature_bounds():
     """The bound on errors is exceeded by pairs at the threshold with chance 1e-6."""
     assert near_dups.most_errors(0.8) == 24 and near_dups.most_errors(0.8, near_dups.SKETCH) < 90
+
+
+def test_hot_groups_keep_pairs_of_one_chunk(spark, monkeypatch):
+    """Pairs that agree in one early chunk only are found in a large group as well, in blocks that hold at most half the limit of each side."""
+    rng = np.random.default_rng(1)
+    sigs = rng.integers(0, 1 << 16, (15, near_dups.SYMBOLS)).astype(np.uint16)
+    sigs[:, : near_dups.CHUNK] = 7
+    classes = spark.createDataFrame([(k, 50, bytearray(s.tobytes())) for k, s in enumerate(sigs)], "id long, n long, sig binary")
+    sketched = spark.createDataFrame([(k, bytearray(near_dups.SKETCH)) for k in range(15)], "id long, sketch binary")
+    labels = spark.createDataFrame([(k, 3) for k in range(3, 12)], "node long, label long")
+    monkeypatch.setattr(near_dups, "HOT", 4)
+    shared = near_dups.shared_keys(classes.select("id", "sig"))
+    pairs = [tuple(r) for r in near_dups.across(shared, labels, classes, sketched, 0.8).collect()]
+    assert near_dups._forest(*np.array(pairs).reshape(-1, 2).T)[1].tolist() == list(range(1, 15))
+    blocks = near_dups._blocks(shared.join(labels.withColumnRenamed("node", "id"), "id", "left").fillna({"label": -1}).withColumn("m", F.lit(15).cast("bigint")))
+    counts = blocks.groupBy("key", "block", "side").count()
+    assert counts.select("block").distinct().count() > 8 and blocks.where(f"side = {near_dups.FREQUENT}").select("id").distinct().count() == 9
