@@ -67,18 +67,22 @@ def sharded(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text: s
 
 def _chained(out: DataFrame, limit: int) -> DataFrame:
     """Links for rows that no bit parts: running sums within each part of the input, and of the parts before it."""
-    part = out.withColumn("part", F.when(F.col("depth").isNull(), F.spark_partition_id()))
+    from gistmill.session import cut_lineage
+
+    # These rows are stored with their parts: the id of a partition may be another one wherever a frame is planned anew, and both branches need the same.
+    part = cut_lineage(out.where("depth is null").withColumn("part", F.spark_partition_id()))
     large = F.col("n_bytes") > limit // 2
     here = Window.partitionBy("hash", "part").orderBy("n_bytes").rowsBetween(Window.unboundedPreceding, -1)
     fill = lambda w: {"bytes": F.coalesce(F.sum(F.when(~large, F.col("n_bytes")).otherwise(0)).over(w), F.lit(0)), "rows": F.coalesce(F.sum(large.cast("int")).over(w), F.lit(0))}
-    left = part.where("depth is null").withColumns(fill(here))
-    totals = part.where("depth is null").groupBy("hash", "part").agg(F.sum(F.when(~large, F.col("n_bytes")).otherwise(0)).alias("b"), F.sum(large.cast("int")).alias("r"))
+    left = part.withColumns(fill(here))
+    totals = part.groupBy("hash", "part").agg(F.sum(F.when(~large, F.col("n_bytes")).otherwise(0)).alias("b"), F.sum(large.cast("int")).alias("r"))
     before = Window.partitionBy("hash").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("hash", "part", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("r").over(before), F.lit(0)).alias("r0"))
     # Links of large rows have odd numbers, those that are filled even ones.
     link = F.when(large, 2 * (F.col("rows") + F.col("r0")) + 1).otherwise(2 * F.floor((F.col("bytes") + F.col("b0")) / F.lit(max(1, limit // 2))))
-    chained = left.join(totals, ["hash", "part"]).select("row", F.struct(F.col("hash").alias("prefix"), F.lit(BITS).alias("depth"), link.cast("bigint").alias("chain"), "n_bytes").alias("shard"))
-    fitting = part.where("depth is not null").select("row", F.struct("prefix", "depth", F.lit(0).cast("bigint").alias("chain"), "n_bytes").alias("shard"))
+    link = F.when(F.col("b0").isNotNull(), link).otherwise(F.raise_error(F.lit("a part has no total")))
+    chained = left.join(totals, ["hash", "part"], "left").select("row", F.struct(F.col("hash").alias("prefix"), F.lit(BITS).alias("depth"), link.cast("bigint").alias("chain"), "n_bytes").alias("shard"))
+    fitting = out.where("depth is not null").select("row", F.struct("prefix", "depth", F.lit(0).cast("bigint").alias("chain"), "n_bytes").alias("shard"))
     return fitting.union(chained).select("row.*", "shard")
 
 

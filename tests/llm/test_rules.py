@@ -1,6 +1,7 @@
 """Quality rules, decontamination, shards and licences against plain versions."""
 
 import hashlib
+import random
 import re
 
 from gistmill.llm import decontaminate, licences, quality, shards
@@ -81,6 +82,32 @@ def test_shards_split_and_chain(spark, tmp_path):
     assert ordered(spark.read.parquet(str(tmp_path / "s")).select("doc_id", "text").collect()) == ordered(rows)
 
 
+def test_chained_rows_of_shuffled_joins(spark, tmp_path, monkeypatch):
+    """Rows that no bit parts are all there where the directory is joined by a shuffle and the two plans of its rows have different partitions."""
+    rng = random.Random(3)
+    rows = [(k, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=600)), j) for k in range(200) for j in range(3)] + [(None, "n" * 300, j) for j in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, j long").repartition(8).write.parquet(str(tmp_path / "docs"))
+    monkeypatch.setattr(shards, "SENT_CELLS", 0)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = shards.sharded(spark.read.parquet(str(tmp_path / "docs")), 1000).select("doc_id", "text", "j", "shard.*").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert ordered((r["doc_id"], r["text"], r["j"]) for r in got) == ordered(rows)
+    sums = {}
+    for r in got:
+        key = (r["prefix"], r["depth"], r["chain"])
+        sums[key] = sums.get(key, 0) + r["n_bytes"]
+    assert max(sums.values()) <= 1000
+
+
 def plain(text):
     """Canonical words of a text of ASCII."""
     text = "\n".join(x for x in brute.lower(text or "").split("\n") if not re.match(r"[ \t*#/;-]*(copyright|\(c\)|all rights reserved)", x))
