@@ -6,6 +6,9 @@ whole and joined to the digests of known licences. All of it is column code.
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +50,40 @@ KNOWN = [
 ]
 
 
+#: Packaged texts of `licence_texts/`, each one whole, by file name.
+WHOLE = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0",
+    "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+#: Titles that may stand above the texts that have none of their own.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The 3-Clause BSD License"], "BSD-2-Clause": ["BSD 2-Clause License", "The 2-Clause BSD License"],
+}
+#: What follows the terms: advice on how to apply them, which copies often leave out.
+_ADVICE = re.compile(r"^[ \t]*(?:END OF TERMS AND CONDITIONS|ADDENDUM: How to use)", re.M)
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """Rows (licence, text) of whole public licences: with and without the advice after the terms, and with the titles of TITLES."""
+    read = lambda name: resources.files("gistmill.llm").joinpath("licence_texts", f"{name}.txt").read_text("utf-8")
+    out = []
+    for name, licence in WHOLE.items():
+        text = read(name)
+        out.append((licence, text))
+        end = _ADVICE.search(text)
+        if end:
+            out.append((licence, text[: end.start()]))
+            if "END OF TERMS" in end.group():
+                out.append((licence, text[: end.end()]))
+    bsd = read("BSD")
+    short = [(x, y) for x, y in KNOWN if x in TITLES and "\n" in y] + [("BSD-3-Clause", bsd)]
+    for held in ("HOLDERS", "HOLDER"):
+        text = bsd.replace("name of the University", "name of the copyright holder").replace("BY THE REGENTS", "BY THE COPYRIGHT HOLDERS").replace("SHALL THE REGENTS", f"SHALL THE COPYRIGHT {held}")
+        short += [("BSD-3-Clause", text), ("BSD-2-Clause", re.sub(r"^3\. .*?\n\n", "\n", text, flags=re.M | re.S))]
+    return out + short + [(x, f"{title}\n\n{y}") for x, y in short for title in TITLES[x]]
+
+
 def _spelled(col: Column, spellings: list[tuple[str, str]]) -> Column:
     """Whole words in their one spelling. There are two blanks between words, so neighbours are told at once."""
     for pattern, becomes in spellings:
@@ -69,9 +106,9 @@ def canonical(lines: str | Column) -> Column:
     return F.trim(F.regexp_replace(_spelled(F.concat(F.lit("  "), F.trim(col), F.lit("  ")), [x for x in SPELLINGS if " " in x[0] + x[1]]), " +", " "))
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """Rows (digest, licence), one for each canonical text; a text of two licences names the first in order."""
-    frame = spark.createDataFrame(known, "licence string, text string").select("licence", canonical(canonical_lines("text")).alias("text"))
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Rows (digest, licence), one for each canonical text; a text of two licences names the first in order. known: KNOWN and `whole_texts` if left out."""
+    frame = spark.createDataFrame(KNOWN + whole_texts() if known is None else known, "licence string, text string").select("licence", canonical(canonical_lines("text")).alias("text"))
     return frame.where("text <> ''").groupBy(F.md5(F.col("text").cast("binary")).alias("digest")).agg(F.min("licence").alias("licence"))
 
 

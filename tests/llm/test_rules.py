@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from importlib import resources
 
 from gistmill.llm import decontaminate, licences, quality, shards
 from tests.llm import brute
@@ -135,3 +136,26 @@ def test_licences(spark, docs, given, empty):
     assert licences.licence_scan(docs, digests).count() == len(given)
     assert licences.licence_scan(empty, digests).count() == 0
     assert licences.licence_scan(docs, digests.limit(0)).where("licence is not null").count() == 0
+
+
+def test_whole_licences(spark):
+    """One whole text of each public licence that is packaged, in other case and line breaks, and without the advice after the terms."""
+    read = lambda n: resources.files("gistmill.llm").joinpath("licence_texts", f"{n}.txt").read_text("utf-8")
+    want = [(n, read(n)) for n in licences.WHOLE] + [("GPL-2", read("GPL-2").split("END OF TERMS")[0]), ("Apache-2.0", read("Apache-2.0").upper().replace("  ", "\t "))]
+    want = [(licences.WHOLE[n], t) for n, t in want]
+    bsd = """Copyright (c) 2020, Someone
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIRD
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+    third = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    want += [("BSD-3-Clause", bsd.replace("THIRD", third)), ("BSD-2-Clause", "BSD 2-Clause License\n\n" + bsd.replace("THIRD\n", "")), ("BSD-3-Clause", read("BSD"))]
+    want += [(n, f"{n} License\n\nCopyright (c) 2020 Someone\n\n{t}") for n, t in licences.KNOWN[6:]] + [(None, read("GPL-3") + " and more")]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(want)], "doc_id long, text string")
+    got = {r["id"]: r["licence"] for r in licences.licence_scan(docs, licences.known_digests(spark)).collect()}
+    assert [(k, got[k]) for k in range(len(want))] == [(k, n) for k, (n, _) in enumerate(want)]
