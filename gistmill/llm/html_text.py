@@ -6,7 +6,8 @@ Pages are parsed one by one in the tasks that read them; nothing is shuffled.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Generator, Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -37,6 +38,8 @@ WALLS = frozenset("table td th caption html".split())
 #: Elements that hold rows of a table.
 ROWS = frozenset("table thead tbody tfoot".split())
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+#: Columns at which indents end; what is nested deeper stands there as well, with all its text.
+INDENT = 400
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -54,23 +57,32 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        #: How many elements of a name are open, so that an end tag without one costs no search.
+        self.names: Counter[str] = Counter()
+
+    def _close(self, k: int) -> None:
+        self.names.subtract(n.name for n in self.open[k:])
+        del self.open[k:]
 
     def _end(self, names: set[str], scope: Iterable[str]) -> None:
         """Ends the outermost open element of these names above the nearest of the scope."""
         found = None
+        if not any(self.names[n] for n in names):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].name in scope:
                 break
             if self.open[k].name in names:
                 found = k
         if found:
-            del self.open[found:]
+            self._close(found)
 
     def _start(self, name: str, attributes: dict[str, str | None]) -> None:
         node = Node(name, attributes)
         self.open[-1].children.append(node)
         if name not in VOID:
             self.open.append(node)
+            self.names[name] += 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "html":
@@ -81,9 +93,9 @@ class Tree(HTMLParser):
         elif tag in BLOCK:
             self._end({"p"}, {"button", *WALLS})
             if tag in HEADINGS and self.open[-1].name in HEADINGS:
-                self.open.pop()
+                self._close(len(self.open) - 1)
         if self.open[-1].name == "head" and (tag in BLOCK or tag in ("a", "b", "i", "span", "img", "br")):
-            self.open.pop()
+            self._close(len(self.open) - 1)
         if tag in ("td", "th") and self.open[-1].name in ROWS:
             self._start("tr", {})
         self._start(tag, dict(attrs))
@@ -94,18 +106,20 @@ class Tree(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
             self._start("br", {})
-        if tag == "p" and not any(n.name == "p" for n in self.open):
+        if tag == "p" and not self.names["p"]:
             self._start("p", {})
+        if not self.names[tag]:
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].name == tag:
-                del self.open[k:]
+                self._close(k)
                 return
             if self.open[k].name in WALLS and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                 return
 
     def handle_data(self, data: str) -> None:
         if self.open[-1].name == "head" and data.strip():
-            self.open.pop()
+            self._close(len(self.open) - 1)
         self.open[-1].children.append(data)
 
 
@@ -150,15 +164,28 @@ class Page:
             self.lines.append("")
         self.gap = False
         self.lines.append((self.indent + self.mark + line).rstrip(" "))
-        self.indent, self.mark = self.indent + " " * len(self.mark), ""
+        self.indent, self.mark = (self.indent + " " * len(self.mark))[:INDENT], ""
 
     def text(self) -> str:
         self.end()
         return "\n".join(self.lines).strip("\n")
 
 
-def render(node: Node, page: Page) -> None:
-    """Writes what can be seen of an element. Depth is bounded by `extract`."""
+def run_steps(step: Generator) -> object:
+    """Runs a generator that yields those it calls, on a stack of its own: elements may be nested to any depth."""
+    stack, value = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
+def render(node: Node, page: Page) -> Generator:
+    """Writes what can be seen of an element; for `run_steps`, as all that go down the tree."""
     for child in node.children:
         if isinstance(child, str):
             page.write(child)
@@ -172,33 +199,36 @@ def render(node: Node, page: Page) -> None:
             page.write(child.attributes.get("alt") or "")
         elif child.name == "pre":
             page.end(gap=True)
-            for line in _flat(child).strip("\n").split("\n"):
+            for line in (yield _flat(child)).strip("\n").split("\n"):
                 page.put(line)
             page.gap = True
         elif child.name == "table":
             page.end(gap=True)
-            for line in _table(child):
+            for line in (yield _table(child)):
                 page.put(line)
             page.gap = True
         elif child.name in ("ul", "ol", "menu"):
-            _list(child, page, child.name == "ol")
+            yield _list(child, page, child.name == "ol")
         elif child.name in BLOCK:
             gap = child.name in SPACED
             page.end(gap)
             before = page.indent
-            page.indent += "  " if child.name in ("blockquote", "dd") else ""
-            render(child, page)
+            page.indent = (page.indent + ("  " if child.name in ("blockquote", "dd") else ""))[:INDENT]
+            yield render(child, page)
             page.end(gap)
             page.indent = before
         else:
-            render(child, page)
+            yield render(child, page)
 
 
-def _flat(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else "\n" if c.name == "br" else _flat(c) if seen(c) else "" for c in node.children)
+def _flat(node: Node) -> Generator:
+    out = []
+    for c in node.children:
+        out.append(c if isinstance(c, str) else "\n" if c.name == "br" else (yield _flat(c)) if seen(c) else "")
+    return "".join(out)
 
 
-def _list(node: Node, page: Page, numbered: bool) -> None:
+def _list(node: Node, page: Page, numbered: bool) -> Generator:
     nested = bool(page.indent or page.mark)
     page.end(gap=not nested)
     before, number = page.indent, 1
@@ -206,13 +236,13 @@ def _list(node: Node, page: Page, numbered: bool) -> None:
         if isinstance(child, Node) and child.name == "li" and seen(child):
             page.indent, page.mark = before, f"{number}. " if numbered else "- "
             number += 1
-            render(child, page)
+            yield render(child, page)
             page.end()
         elif isinstance(child, Node):
             wrapped = Node("div", {})
             wrapped.children = [child]
-            page.indent, page.mark = before + "  ", ""
-            render(wrapped, page)
+            page.indent, page.mark = (before + "  ")[:INDENT], ""
+            yield render(wrapped, page)
             page.end()
         elif child.strip():
             page.write(child)
@@ -221,33 +251,33 @@ def _list(node: Node, page: Page, numbered: bool) -> None:
     page.gap |= not nested
 
 
-def _table(node: Node) -> list[str]:
+def _table(node: Node) -> Generator:
     """Captions and rows; the cells of a column start at one place. Other content of a table comes before it."""
     rows: list[list[str]] = []
     before: list[str] = []
 
-    def gather(part: Node) -> None:
+    def gather(part: Node) -> Generator:
         for child in part.children:
             if isinstance(child, str):
                 before.extend(_WHITE.sub(" ", child).strip().splitlines())
             elif not seen(child):
                 continue
             elif child.name in ROWS:
-                gather(child)
+                yield gather(child)
             elif child.name == "tr":
                 cells: list[str] = []
                 for cell in child.children:
                     if isinstance(cell, Node) and seen(cell):
-                        cells.append(_cell(cell))
+                        cells.append((yield _cell(cell)))
                         span = cell.attributes.get("colspan") or ""
                         cells.extend([""] * (min(int(span), 1000) - 1 if span.isascii() and span.isdigit() else 0))
                     elif isinstance(cell, str) and cell.strip():
                         before.append(_WHITE.sub(" ", cell).strip())
                 rows.append(cells)
             elif child.name not in ("colgroup", "col"):
-                before.append(_cell(child))
+                before.append((yield _cell(child)))
 
-    gather(node)
+    yield gather(node)
     widths: list[int] = []
     for row in rows:
         widths.extend([0] * (len(row) - len(widths)))
@@ -257,38 +287,29 @@ def _table(node: Node) -> list[str]:
     for row in rows:
         parts = [cell.split("\n") for cell in row]
         for k in range(max(map(len, parts), default=0)):
-            out.append(" | ".join((p[k] if k < len(p) else "").ljust(widths[c]) for c, p in enumerate(parts)).rstrip(" |"))
+            line = [p[k] if k < len(p) else "" for p in parts]
+            while line and not line[-1].strip(" "):
+                line.pop()
+            out.append(" | ".join(text.ljust(widths[c]) for c, text in enumerate(line)).rstrip(" "))
     return [line for line in out if line]
 
 
-def _cell(node: Node) -> str:
+def _cell(node: Node) -> Generator:
     page = Page()
-    render(node, page)
+    yield render(node, page)
     return re.sub(r"\n{2,}", "\n", page.text())
 
 
-#: Open elements below one another; deeper ones are put beside the last.
-DEPTH = 200
-
-
 def extract(html: str | None) -> str | None:
     """The text of a page that can be seen; null for a null page."""
     if html is None:
         return None
     tree = Tree()
-    start = tree._start
-
-    def bounded(name: str, attributes: dict[str, str | None]) -> None:
-        start(name, attributes)
-        if len(tree.open) > DEPTH:
-            tree.open.pop()
-
-    tree._start = bounded
     tree.feed(html)
     tree.close()
     page = Page()
     if seen(tree.root):
-        render(tree.root, page)
+        run_steps(render(tree.root, page))
     return page.text()
 
 
@@ -296,7 +317,7 @@ def html_text(pages: DataFrame, id_col: str = "page_id", html: str = "html") ->
     """One row per row of `pages`: id, text (all that can be seen, laid out), n_chars, n_lines.
 
     Blocks stand on lines of their own, with an empty line around paragraphs, headings, lists, tables and quotations; list items have marks and
-    indents, cells of a table's column start at one place. White space is one blank, but not in <pre>. Scripts, styles, templates, embedded
+    indents, cells of a table's column start at one place. Elements may be nested to any depth; indents end at INDENT columns. White space is one blank, but not in <pre>. Scripts, styles, templates, embedded
     objects, form choices and hidden elements are not seen. A null page has a null text, an empty one an empty text; whatever is not well formed
     is read as far as it goes; an empty table gives none; other columns are not read.
     """

@@ -161,3 +161,12 @@ def test_odd_page_tables(spark):
     frame = spark.createDataFrame([(1, "<p>a", 2, "t"), (1, "<p>a", 2, "t"), (None, None, None, None)], "page_id long, html string, id int, text string")
     assert ordered(r[:2] for r in html_text.html_text(frame).collect()) == ordered([(1, "a"), (1, "a"), (None, None)])
     assert html_text.html_text(frame.limit(0)).count() == 0
+
+
+def test_deep_pages():
+    """Below hundreds of open elements, hidden text stays hidden, tables and lists keep their shape, end tags find their own element; a visible bar stays."""
+    inner = "<script>var x</script><div hidden>no<div>no</div>no</div><style>no</style><table><tr><td>a</td><td>b|</td><td></td></tr></table><ul><li>c</li></ul>"
+    for tag in ("span", "div", "font"):
+        assert html_text.extract(f"<{tag}>" * 300 + inner) == "a | b|\n\n- c"
+    assert html_text.extract("<div>" * 20_000 + "seen") == "seen"
+    assert html_text.extract("<div hidden>" + "<span>" * 300 + "<div>x</div>no</div>yes") == "yes"
