@@ -8,7 +8,7 @@ from functools import reduce
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gistmill.llm import block_dups, decontaminate, html_text, licences, near_dups, pieces, quality, shards, suffix_dups, token_counts
+from gistmill.llm import block_dups, decontaminate, html_text, licences, near_dups, packing, phrases, pieces, quality, shards, suffix_dups, token_counts, vector_codes
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,6 +60,18 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dups.digest(suffix_dups.repeated_spans(documents(spark, sf)))
 
 
+def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_codes.digest(*vector_codes.compress(spark.read.parquet(f"{sf}/embeddings.parquet")))
+
+
+def op12_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.digest(packing.pack(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op13_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.phrases(documents(spark, sf))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -71,6 +83,9 @@ QUERIES = {
     "op8_licence_scan": op8_licence_scan,
     "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_packing": op12_packing,
+    "op13_phrases": op13_phrases,
 }
 
 #: Words between ASCII white space, numbered from 1 in each text.
@@ -201,6 +216,55 @@ from d left join kept using (doc_id)
 """
 
 
+def _op11(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Each round: distances of all parts to all entries, the nearest, then floors of the means."""
+    far = "list_sum(list_transform(range(1, len(v) + 1), lambda k: (v[k] - c[k]) * (v[k] - c[k])))"
+    floor = "(s - ((s % n) + n) % n) // n"
+    out = f"""
+with whole as (select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+cells as (select vec_id, label, p, q[p * len(q) // {parts} + 1:(p + 1) * len(q) // {parts}] as v from whole, range({parts}) r(p)),
+book0 as (select p, row_number() over (partition by p order by vec_id) - 1 as e, v as c from cells where vec_id in (select vec_id from whole order by vec_id limit {entries})),"""
+    for k in range(rounds + 1):
+        out += f"""
+near{k} as (select vec_id, label, p, v, min({far} * {entries} + e) as m from cells join book{k} using (p) group by all),"""
+        if k < rounds:
+            out += f"""
+sums{k} as (select p, m % {entries} as e, generate_subscripts(v, 1) as i, unnest(v) as x from near{k}),
+means{k} as (select p, e, list({floor} order by i) as c from (select p, e, i, sum(x) as s, count(*) as n from sums{k} group by all) group by p, e),
+book{k + 1} as (select p, e, coalesce(means{k}.c::bigint[], book{k}.c) as c from book{k} left join means{k} using (p, e)),"""
+    return out + f"""
+coded as (select vec_id, any_value(label) as label, string_agg(printf('%02x', m % {entries}), '' order by p) as code, sum(m // {entries})::bigint as error from near{rounds} group by vec_id),
+labels as (select label, sum(error)::bigint as label_error from coded group by label),
+books as (select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) as codebooks_sha256 from book{rounds})
+select vec_id, code, error, label_error, codebooks_sha256 from coded join labels on coded.label is not distinct from labels.label, books
+"""
+
+
+_OP13 = r"""
+with texts as (
+  select coalesce(lang, 'und') as lang, doc_id, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]') as ps from documents
+),
+pieces as (select lang, list_filter(regexp_split_to_array(unnest(ps), '[ 	]+'), lambda w: w <> '') as ws from texts),
+grams as (
+  select lang, m, array_to_string(ws[i:i + m - 1], ' ') as g, count(*) as f
+  from (select lang, ws, unnest(range(1, len(ws) + 1)) as i from pieces), range(1, 6) s(m) where i + m - 1 <= len(ws) group by all
+),
+totals as (select lang, sum(f)::hugeint as n from grams where m = 1 group by lang),
+heavy as (select lang, m, g, f, string_split(g, ' ') as ws from grams where f >= 100),
+longer as (select lang, array_to_string(ws[i:i + k - 1], ' ') as g, f from (select lang, ws, m, f, unnest(range(2, m)) as k from heavy), range(1, 5) r(i) where i + k - 1 <= m),
+kept as (select h.* from heavy h where m >= 2 and not exists (select 1 from longer x where x.lang = h.lang and x.g = h.g and 100 * x.f >= 100 * h.f)),
+cuts as (select lang, g, m, f as a, k, array_to_string(ws[1:k], ' ') as lg, array_to_string(ws[k + 1:], ' ') as rg from kept, range(1, 5) r(k) where k < m),
+scores as (
+  select c.lang, c.g, c.a, c.k, x.f as l, y.f as r, n, (1000 * c.a::hugeint * n) // (x.f::hugeint * y.f::hugeint) as score
+  from cuts c join heavy x on x.lang = c.lang and x.g = c.lg join heavy y on y.lang = c.lang and y.g = c.rg join totals t on t.lang = c.lang
+),
+best as (select * from scores qualify row_number() over (partition by lang, g order by score, k) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, g) as rank from best)
+select lang, rank::bigint as rank, g as phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from ranked where rank <= 2000
+"""
+
 
 def _op8() -> str:
     """The canonical form step by step, in the same order, on documents and on known texts."""
@@ -234,4 +298,6 @@ ORACLE = {
     "op7_substring_dedup": _OP7,
     "op8_licence_scan": _op8(),
     "op10_suffix_dedup": _OP10,
+    "op11_vector_codes": _op11(),
+    "op13_phrases": _OP13,
 }

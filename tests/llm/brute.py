@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -132,3 +133,46 @@ def cut_items(text: str | None, items: list[tuple], most: float) -> str | None:
         out += text[at : found[k].start()]
         at = found[end].end()
     return (text or "")[:0] + out + (text or "")[at:]
+
+
+def coded(rows: list[tuple], parts: int = 16, entries: int = 64, rounds: int = 2) -> tuple[dict, list]:
+    """rows: (id, vector, label), usable and with ids that differ. id -> (indexes, error); entries by part."""
+    whole = sorted((i, [math.floor(256 * x) for x in v]) for i, v, _ in rows)
+    width = len(whole[0][1]) // parts
+    cut = lambda v: [v[p * width : (p + 1) * width] for p in range(parts)]
+    books = [list(x) for x in zip(*[cut(v) for _, v in whole[:entries]], strict=True)]
+
+    def best(part, book):
+        return min((sum((x - y) ** 2 for x, y in zip(part, e, strict=True)), k) for k, e in enumerate(book))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            held: dict[int, list] = {}
+            for _, v in whole:
+                held.setdefault(best(cut(v)[p], books[p])[1], []).append(cut(v)[p])
+            books[p] = [[sum(x) // len(held[k]) for x in zip(*held[k], strict=True)] if k in held else e for k, e in enumerate(books[p])]
+    found = {i: [best(x, books[p]) for p, x in enumerate(cut(v))] for i, v in whole}
+    return {i: ([k for _, k in x], sum(d for d, _ in x)) for i, x in found.items()}, books
+
+
+def collocations(rows: list[tuple], least: int, top: int, longest: int = 5) -> list[tuple]:
+    """rows: (lang, text). lang, rank, phrase, a, l, r, n, score."""
+    count: dict[str, Counter] = {}
+    for lang, text in rows:
+        own = count.setdefault(lang or "und", Counter())
+        for piece in re.split("[.,;:!?\x0a-\x0d]", lower(text or "")):
+            ws = re.findall("[^\x20\x09]+", piece)
+            own.update(tuple(ws[p : p + k]) for k in range(1, longest + 1) for p in range(len(ws) - k + 1))
+    out = []
+    for lang, own in count.items():
+        n = sum(c for g, c in own.items() if len(g) == 1)
+        heavy = {g: c for g, c in own.items() if len(g) > 1 and c >= least}
+        inside = {(g[p : p + k], c) for g, c in heavy.items() for k in range(2, len(g)) for p in range(len(g) - k + 1)}
+        found = []
+        for g, a in heavy.items():
+            if (g, a) not in inside:
+                score, k = min((1000 * a * n // (own[g[:k]] * own[g[k:]]), k) for k in range(1, len(g)))
+                found.append((-score, -a, " ".join(g).encode(), own[g[:k]], own[g[k:]]))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(found)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, n, -score))
+    return out
