@@ -3,16 +3,20 @@
 Every place of a piece of text sends one record: the longest run of words that starts there, up to LONGEST of them or to the end of its piece. Runs of full length
 are the edges of a de Bruijn graph, from the run of their first words to that of their last; shorter ones are corrections for the ends of pieces. Summed up,
 they give the counts of all shorter phrases without reading text again: the count of a node is the weight of the edges that leave it plus the pieces that
-end with it, and so on for its own first words. A node whose whole weight comes in by one edge, or leaves by one, lies on an unary path and is compacted into
-that edge: wherever it stands the longer phrase does, so it is no phrase of its own.
+end with it, and the same holds for its own first words. A node whose whole weight comes in by one edge, or leaves by one, lies on an unary path and is compacted
+into that edge: wherever it stands the longer phrase does, so it is no phrase of its own.
 
 Words are counted first. One of fewer occurrences than a phrase needs can be in no phrase, so it ends a run like the end of a piece does; the others are numbered.
 A run is a row of bytes, `width` for each word, of which the first or last words can be cut off.
+
+Runs are shuffled once, to a place that depends on their first two words, so that all sums of first words are made where they lie. First words that are
+all very frequent are parted by the word that follows them, and their sums, marked as parts, meet in a second, small step.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 from itertools import count
 
@@ -35,10 +39,22 @@ WORD = ~ENDS
 WORD[[0x20, 0x09]] = False
 #: Numbered words that are sent to all tasks (16 bytes each); with more of them, runs hold hashes and no word ends a run.
 SENT_WORDS = 1 << 21
+#: A word with more than this share of all words is hot; there are at most as many hot words.
+HOT_SHARES = 4096
+#: Places that runs are dealt to.
+PLACE_BITS = 24
+#: Text that is summed up before it is sent.
+SLICE = 2 << 20
 #: Groups of a language's phrases whose best are found apart, before the best of all.
 RANK_SLICES = 32
 
 
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, langs: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of words together with those of their languages."""
+    numbers = mix(BYTE_NUMBERS ^ U64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    return mix(run_hashes(numbers[data], starts, ends) ^ mix(langs + U64(seed)))
+
+
 def _split(batch: pa.RecordBatch, seed: int) -> tuple[np.ndarray, Words, np.ndarray, np.ndarray]:
     """Lower-cased bytes, words, the number of each word's piece, and a hash of language and word."""
     data, offsets = text_bytes(batch.column("text"))
@@ -47,11 +63,13 @@ def _split(batch: pa.RecordBatch, seed: int) -> tuple[np.ndarray, Words, np.ndar
     text_of = words.text_of()
     ends = np.zeros(len(data) + 1, np.int64)
     np.cumsum(ENDS[data], out=ends[1:])
-    numbers = mix(BYTE_NUMBERS ^ U64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if seed else BYTE_NUMBERS
-    hashes = run_hashes(numbers[data], words.starts, words.ends)
     lang_data, lang_offsets = text_bytes(batch.column("lang"))
     langs = span_hashes(lang_data, lang_offsets[:-1], lang_offsets[1:])
-    return data, words, ends[words.starts] + text_of, mix(hashes ^ mix(langs + U64(seed))[text_of])
+    return data, words, ends[words.starts] + text_of, _hashes(data, words.starts, words.ends, langs[text_of], seed)
+
+
+def _binary(data: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.Array.from_buffers(kind, len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def _spans(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,27 +89,34 @@ def _edge_bytes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.n
 
 
 def word_counts(docs: DataFrame, seed: int) -> DataFrame:
-    """Rows (lang, word, hash, n) of `docs` (lang, text). Words of one hash are told apart by their size and edges in a slice, by themselves beyond it."""
+    """Rows (lang, word, n, hash) of `docs` (lang, text)."""
 
     def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             data, words, _, hashes = _split(batch, seed)
             if len(hashes):
                 order = np.argsort(hashes, kind="stable")
                 ranked, starts, sizes = hashes[order], words.starts[order], (words.ends - words.starts)[order]
-                edges = _edge_bytes(data, starts, sizes)
+                edges = _edge_bytes(data, starts, sizes)  # words of one hash are told apart
                 new = (ranked[1:] != ranked[:-1]) | (sizes[1:] != sizes[:-1]) | (edges[1:] != edges[:-1]).any(1)
                 first = np.flatnonzero(np.concatenate([[True], new]))
                 found, bounds = _spans(data, starts[first], sizes[first])
-                names = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(found))])
                 langs = batch.column("lang").take(pa.array(words.text_of()[order[first]]))
-                yield pa.RecordBatch.from_arrays([langs, names, pa.array(ranked[first].view(np.int64)), pa.array(np.diff(np.append(first, len(ranked))))], ["lang", "word", "hash", "n"])
+                yield pa.RecordBatch.from_arrays([langs, _binary(found, bounds, pa.string()), pa.array(np.diff(np.append(first, len(ranked))))], ["lang", "word", "n"])
+
+    def name(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("word"))
+            lang_data, lang_offsets = text_bytes(batch.column("lang"))
+            found = _hashes(data, offsets[:-1], offsets[1:], span_hashes(lang_data, lang_offsets[:-1], lang_offsets[1:]), seed)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], ["lang", "word", "n", "hash"])
 
-    return docs.mapInArrow(tally, "lang string, word string, hash long, n long").groupBy("lang", "word", "hash").agg(F.sum("n").alias("n"))
+    counts = docs.mapInArrow(tally, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return counts.mapInArrow(name, "lang string, word string, n long, hash long")
 
 
 def vocabulary(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
-    """Words of `least` occurrences (lang, word, hash, n), words in all by language (lang, total), and the seed with which no other word has one of their hashes."""
+    """Words of `least` occurrences (lang, word, n, hash), words in all by language (lang, total), and the seed with which no other word has one of their hashes."""
     for seed in count():
         words = cut_lineage(word_counts(docs, seed))
         heavy = words.where(F.col("n") >= least)
@@ -100,52 +125,106 @@ def vocabulary(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
             return heavy, words.groupBy("lang").agg(F.sum("n").alias("total")), seed
 
 
-def numbered(heavy: DataFrame, sent: int = SENT_WORDS) -> tuple[np.ndarray | None, int]:
-    """Hashes of the words in the order of their numbers (from 1), or none if there are too many; and the bytes of a word in a run."""
-    if heavy.count() > sent:
-        return None, 8
-    found = np.sort(heavy.select("hash").toArrow().column("hash").to_numpy().view(U64))  # 16 MB at most
-    return found, max(1, (len(found).bit_length() + 7) // 8)
-
-
-def runs(docs: DataFrame, known: np.ndarray | None, width: int, seed: int, longest: int = LONGEST) -> DataFrame:
-    """A row (run) for each place of a word that others follow: the longest run from there."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+@dataclass
+class Numbers:
+    """Hashes of the frequent words in the order of their numbers (from 1), or none if there are too many; hot words and their counts; the bytes of a word."""
+
+    known: np.ndarray | None
+    hot: np.ndarray
+    hot_counts: np.ndarray
+    share: int
+    width: int
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word, 0 for rare ones; hashes themselves where words have no numbers."""
+        if self.known is None:
+            return hashes
+        if not len(self.known):
+            return np.zeros(len(hashes), U64)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[at] == hashes, at + 1, 0).astype(U64)
+
+    def rows(self, ids: np.ndarray) -> np.ndarray:
+        """`width` bytes for each word."""
+        return np.ascontiguousarray(ids.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - self.width :])
+
+
+def numbered(heavy: DataFrame, total: int, sent: int = SENT_WORDS) -> Numbers:
+    share = max(1, total // HOT_SHARES)
+    hot = heavy.where(F.col("n") > share).select("hash", "n").toArrow()  # HOT_SHARES rows at most
+    known, width = None, 8
+    if heavy.count() <= sent:
+        known = np.sort(heavy.select("hash").toArrow().column("hash").to_numpy().view(U64))  # 16 MB at most
+        width = max(1, (len(known).bit_length() + 7) // 8)
+    order = np.argsort(hashes := hot.column("hash").to_numpy().view(U64))
+    return Numbers(known, hashes[order], hot.column("n").to_numpy()[order], share, width)
+
+
+def _places(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, counts: np.ndarray, share: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each run, and a bit for each number of first words that lie in several places."""
+    last = len(ids) - 1
+    place = mix(mix(ids[starts] * U64(3)) + ids[starts + 1])
+    parted, least = np.zeros(len(starts), np.int32), np.minimum(counts[starts], counts[starts + 1])
+    for size in range(2, longest):
+        hot = np.flatnonzero((least > share) & (sizes >= size))
+        parted[hot] |= 1 << size
+        hot = hot[sizes[hot] > size]
+        parts = (-(-least[hot] // share)).astype(U64)
+        place[hot] = mix(place[hot] + U64(1) + mix(ids[starts[hot] + size]) % parts)
+        least = np.minimum(least, counts[np.minimum(starts + size, last)])
+    return (place >> U64(64 - PLACE_BITS)).astype(np.int32), parted
+
+
+def runs(docs: DataFrame, numbers: Numbers, seed: int, longest: int = LONGEST) -> DataFrame:
+    """Rows (place, run, f, parted) for the places of words that others follow: the longest run from there, summed up for a slice of text."""
+    shared = docs.sparkSession.sparkContext.broadcast(numbers)
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for batch in slices(batches):
+        numbers = shared.value
+        for batch in slices(batches, most=SLICE):
             _, words, piece, hashes = _split(batch, seed)
-            if not len(hashes):
-                continue
-            if table is None:
-                ids = hashes
-            elif len(table):
-                at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
-                ids = np.where(table[at] == hashes, at + 1, 0).astype(U64)
-            else:
-                continue
-            breaks = np.flatnonzero((piece[1:] != piece[:-1]) | ((ids[1:] == 0) | (ids[:-1] == 0)) & (table is not None)) + 1
-            stops = np.append(breaks, len(ids))
+            ids = numbers.of(hashes)
+            breaks = piece[1:] != piece[:-1]
+            if numbers.known is not None:
+                breaks |= (ids[1:] == 0) | (ids[:-1] == 0)
+            stops = np.append(np.flatnonzero(breaks) + 1, len(ids))
             left = np.repeat(stops, np.diff(np.concatenate([[0], stops]))) - np.arange(len(ids))
             starts = np.flatnonzero(left >= 2)
-            rows = ids.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :].ravel()
-            found, bounds = _spans(rows, starts * width, np.minimum(left[starts], longest) * width)
-            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(found))])], ["run"])
-
-    return docs.mapInArrow(send, "run binary")
+            if not len(starts):
+                continue
+            sizes = np.minimum(left[starts], longest)
+            # Equal runs of the slice are one row: runs of one hash stand together, and are compared word by word.
+            keys = mix(sizes.astype(U64))
+            padded = np.concatenate([ids, np.zeros(longest, U64)])
+            for k in range(longest):
+                keys = np.where(sizes > k, mix(keys + padded[starts + k]), keys)
+            order = np.argsort(keys)
+            starts, sizes, keys = starts[order], sizes[order], keys[order]
+            new = (keys[1:] != keys[:-1]) | (sizes[1:] != sizes[:-1])
+            for k in range(longest):
+                word = padded[starts + k]
+                new |= (word[1:] != word[:-1]) & (sizes[1:] > k)
+            first = np.flatnonzero(np.concatenate([[True], new]))
+            f = np.diff(np.append(first, len(starts)))
+            starts, sizes = starts[first], sizes[first]
+            at = np.minimum(np.searchsorted(numbers.hot, hashes), max(0, len(numbers.hot) - 1))
+            counts = np.where(numbers.hot[at] == hashes, numbers.hot_counts[at], 0) if len(numbers.hot) else np.zeros(len(ids), np.int64)
+            place, parted = _places(ids, starts, sizes, counts, numbers.share, longest)
+            found, bounds = _spans(numbers.rows(ids).ravel(), starts * numbers.width, sizes * numbers.width)
+            yield pa.RecordBatch.from_arrays([pa.array(place), _binary(found, bounds, pa.binary()), pa.array(f), pa.array(parted)], ["place", "run", "f", "parted"])
+
+    return docs.mapInArrow(send, "place int, run binary, f long, parted int")
 
 
 def frequent(sent: DataFrame, width: int, least: int, longest: int = LONGEST) -> DataFrame:
     """Rows (run, f) of all runs of 2 to `longest` words that occur `least` times, from the longest runs at all places."""
-    level, found = sent.groupBy("run").agg(F.count(F.lit(1)).alias("f")), []
-    for size in range(longest, 1, -1):
-        # One condition, so that its part on the key isn't moved before the exchange that the next level reads too.
-        found.append(level.where(F.when(F.col("f") >= least, F.length("run") == size * width)))
-        if size > 2:
-            # Shorter runs, the ends of pieces, are left as they are.
-            level = level.groupBy(F.substring("run", 1, (size - 1) * width).alias("run")).agg(F.sum("f").alias("f"))
-    return cut_lineage(reduce(DataFrame.union, found))
+    dealt, found = sent.repartition("place"), []
+    for size in range(2, longest + 1):
+        first = F.substring("run", 1, size * width).alias("run")
+        level = dealt.groupBy("place", first).agg(F.sum("f").alias("f"), F.max(F.col("parted").bitwiseAND(1 << size)).alias("parted"))
+        # One condition, so that its part on the run isn't moved before the exchange, which all levels read.
+        found.append(level.where(F.when((F.col("f") >= least) | (F.col("parted") > 0), F.length("run") == size * width)).select("run", "f"))
+    return cut_lineage(reduce(DataFrame.union, found).groupBy("run").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
 
 
 def compacted(nodes: DataFrame, width: int) -> DataFrame:
@@ -156,17 +235,15 @@ def compacted(nodes: DataFrame, width: int) -> DataFrame:
     return nodes.join(carried, ["run", "f"], "left_anti")
 
 
-def coded(heavy: DataFrame, known: np.ndarray | None, width: int) -> DataFrame:
+def coded(heavy: DataFrame, numbers: Numbers) -> DataFrame:
     """The words with the bytes that stand for them in runs: (lang, word, n, run)."""
-    shared = heavy.sparkSession.sparkContext.broadcast(known)
+    shared = heavy.sparkSession.sparkContext.broadcast(numbers)
 
     def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("hash").to_numpy().view(U64)
-            ids = ids if shared.value is None else np.searchsorted(shared.value, ids).astype(U64) + U64(1)
-            rows = np.ascontiguousarray(ids.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :])
-            bounds = np.arange(len(ids) + 1, dtype=np.int32) * width
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("word"), batch.column("n"), pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(bounds), pa.py_buffer(rows)])], ["lang", "word", "n", "run"])
+            rows = shared.value.rows(shared.value.of(batch.column("hash").to_numpy().view(U64)))
+            bounds = np.arange(len(rows) + 1, dtype=np.int32) * shared.value.width
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("word"), batch.column("n"), _binary(rows, bounds, pa.binary())], ["lang", "word", "n", "run"])
 
     return heavy.select("lang", "word", "n", "hash").mapInArrow(code, "lang string, word string, n long, run binary")
 
@@ -202,9 +279,10 @@ def phrases(docs: DataFrame, least: int = 100, top: int = 2000, longest: int = L
     """
     given = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     heavy, totals, seed = vocabulary(given, least)
-    known, width = numbered(heavy, sent)
-    nodes = frequent(runs(given, known, width, seed, longest), width, least, longest)
-    words = coded(heavy, known, width)
+    numbers = numbered(heavy, totals.agg(F.sum("total")).first()[0] or 0, sent)
+    width = numbers.width
+    nodes = frequent(runs(given, numbers, seed, longest), width, least, longest)
+    words = coded(heavy, numbers)
     counts = nodes.union(words.select("run", F.col("n").alias("f")))
     kept = compacted(nodes, width).withColumn("one", F.expr(f"substring(run, 1, {width})")).join(words.select(F.col("run").alias("one"), "lang"), "one")
     kept = spread_join(kept.select("run", F.col("f").alias("a"), "lang"), totals.withColumnRenamed("total", "n"), ["lang"], "run")

@@ -142,8 +142,9 @@ def talk_table(spark, rows):
 
 
 @pytest.mark.parametrize(("least", "top", "sent"), [(3, 2000, 1 << 21), (3, 7, 1 << 21), (2, 2000, 0), (60, 5, 5)])
-def test_phrases_equal_plain_counts(spark, least, top, sent):
-    """Also with hashes in place of numbers (sent=0)."""
+def test_phrases_equal_plain_counts(spark, monkeypatch, least, top, sent):
+    """Also with hashes in place of numbers (sent=0), and with most words hot, so that sums come in parts."""
+    monkeypatch.setattr(phrases, "HOT_SHARES", 4096 if least == 60 else 25)
     rows = talk()
     got = phrases.phrases(talk_table(spark, rows), least, top, sent=sent).collect()
     assert ordered(map(tuple, got)) == ordered(brute.collocations(rows, least, top))
