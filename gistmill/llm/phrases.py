@@ -9,14 +9,14 @@ into that edge: wherever it stands the longer phrase does, so it is no phrase of
 Words are counted first. One of fewer occurrences than a phrase needs can be in no phrase, so it ends a run like the end of a piece does; the others are numbered.
 A run is a row of bytes, `width` for each word, of which the first or last words can be cut off.
 
-Runs are shuffled once, to a place that depends on their first two words, so that all sums of first words are made where they lie. First words that are
-all very frequent are parted by the word that follows them, and their sums, marked as parts, meet in a second, small step.
+Runs are shuffled once, packed in sorted columns, to a bucket that depends on their first two words, so that all sums of first words are made in one pass over
+a bucket in order. First words that are all very frequent are parted by the word that follows them, and their sums, marked as parts, meet in a second, small step.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 from itertools import count
 
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistmill.functions.joins import spread_join
+from gistmill.llm.blobs import bucket_count, bucket_of, column, deal, planes, schema
 from gistmill.llm.words import BYTE_NUMBERS, LOWER, U64, Words, mix, run_hashes, slices, span_hashes, split_words, text_bytes
 from gistmill.session import cut_lineage
 
@@ -41,10 +42,8 @@ WORD[[0x20, 0x09]] = False
 SENT_WORDS = 1 << 21
 #: A word with more than this share of all words is hot; there are at most as many hot words.
 HOT_SHARES = 4096
-#: Places that runs are dealt to.
-PLACE_BITS = 24
-#: Text that is summed up before it is sent.
-SLICE = 2 << 20
+#: Runs that a task sums up before it sends them.
+BUFFER = 1 << 20
 #: Groups of a language's phrases whose best are found apart, before the best of all.
 RANK_SLICES = 32
 
@@ -52,7 +51,7 @@ RANK_SLICES = 32
 def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, langs: np.ndarray, seed: int) -> np.ndarray:
     """Hashes of words together with those of their languages."""
     numbers = mix(BYTE_NUMBERS ^ U64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-    return mix(run_hashes(numbers[data], starts, ends) ^ mix(langs + U64(seed)))
+    return np.maximum(mix(run_hashes(numbers[data], starts, ends) ^ mix(langs + U64(seed))), U64(1))  # 0 is no word
 
 
 def _split(batch: pa.RecordBatch, seed: int) -> tuple[np.ndarray, Words, np.ndarray, np.ndarray]:
@@ -92,7 +91,7 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
     """Rows (lang, word, n, hash) of `docs` (lang, text)."""
 
     def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=SLICE):
+        for batch in slices(batches):
             data, words, _, hashes = _split(batch, seed)
             if len(hashes):
                 order = np.argsort(hashes, kind="stable")
@@ -127,13 +126,13 @@ def vocabulary(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
 
 @dataclass
 class Numbers:
-    """Hashes of the frequent words in the order of their numbers (from 1), or none if there are too many; hot words and their counts; the bytes of a word."""
+    """Hashes of the frequent words in the order of their numbers (from 1), or none if there are too many; hot words by number, and their counts; the bytes of a word."""
 
     known: np.ndarray | None
-    hot: np.ndarray
-    hot_counts: np.ndarray
     share: int
     width: int
+    hot: np.ndarray = field(init=False)
+    hot_counts: np.ndarray = field(init=False)
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word, 0 for rare ones; hashes themselves where words have no numbers."""
@@ -148,40 +147,76 @@ class Numbers:
         """`width` bytes for each word."""
         return np.ascontiguousarray(ids.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - self.width :])
 
+    def hot_count(self, ids: np.ndarray) -> np.ndarray:
+        """The counts of hot words, 0 for others."""
+        if not len(self.hot):
+            return np.zeros(len(ids), np.int64)
+        at = np.minimum(np.searchsorted(self.hot, ids), len(self.hot) - 1)
+        return np.where(self.hot[at] == ids, self.hot_counts[at], 0)
+
 
 def numbered(heavy: DataFrame, total: int, sent: int = SENT_WORDS) -> Numbers:
-    share = max(1, total // HOT_SHARES)
-    hot = heavy.where(F.col("n") > share).select("hash", "n").toArrow()  # HOT_SHARES rows at most
-    known, width = None, 8
+    """total: occurrences of all words."""
+    known, width, share = None, 8, max(1, total // HOT_SHARES)
     if heavy.count() <= sent:
         known = np.sort(heavy.select("hash").toArrow().column("hash").to_numpy().view(U64))  # 16 MB at most
-        width = max(1, (len(known).bit_length() + 7) // 8)
-    order = np.argsort(hashes := hot.column("hash").to_numpy().view(U64))
-    return Numbers(known, hashes[order], hot.column("n").to_numpy()[order], share, width)
-
-
-def _places(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, counts: np.ndarray, share: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """The place of each run, and a bit for each number of first words that lie in several places."""
-    last = len(ids) - 1
-    place = mix(mix(ids[starts] * U64(3)) + ids[starts + 1])
-    parted, least = np.zeros(len(starts), np.int32), np.minimum(counts[starts], counts[starts + 1])
-    for size in range(2, longest):
-        hot = np.flatnonzero((least > share) & (sizes >= size))
+        width = max(2, (len(known).bit_length() + 7) // 8)
+    numbers = Numbers(known, share, width)
+    hot = heavy.where(F.col("n") > share).select("hash", "n").toArrow()  # HOT_SHARES rows at most
+    ids = numbers.of(hot.column("hash").to_numpy().view(U64))
+    order = np.argsort(ids)
+    numbers.hot, numbers.hot_counts = ids[order], hot.column("n").to_numpy()[order]
+    return numbers
+
+
+def _sorted(words: np.ndarray, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """An order by words from the first on, and for each number of first words, where in that order they are others than before."""
+    order = np.lexsort([plane for own in words[::-1] for plane in planes(own, width)])
+    found, new = [], np.arange(words.shape[1]) == 0
+    for own in words:
+        ranked = own[order]
+        new = new.copy()
+        new[1:] |= ranked[1:] != ranked[:-1]
+        found.append(new)
+    return order, found
+
+
+def _places(words: np.ndarray, numbers: Numbers) -> tuple[np.ndarray, np.ndarray]:
+    """The place (64 bits) of each run, and a bit for each number of first words that lie in several places."""
+    place = mix(mix(words[0] * U64(3)) + words[1])
+    least, parted = np.minimum(numbers.hot_count(words[0]), numbers.hot_count(words[1])), np.zeros(len(place), np.int64)
+    for size in range(2, len(words)):
+        hot = np.flatnonzero((least > 0) & (words[size - 1] > 0))
         parted[hot] |= 1 << size
-        hot = hot[sizes[hot] > size]
-        parts = (-(-least[hot] // share)).astype(U64)
-        place[hot] = mix(place[hot] + U64(1) + mix(ids[starts[hot] + size]) % parts)
-        least = np.minimum(least, counts[np.minimum(starts + size, last)])
-    return (place >> U64(64 - PLACE_BITS)).astype(np.int32), parted
+        hot = hot[words[size][hot] > 0]
+        parts = (-(-least[hot] // numbers.share)).astype(U64)
+        place[hot] = mix(place[hot] + U64(1) + mix(words[size][hot]) % parts)
+        least = np.minimum(least, numbers.hot_count(words[size]))
+    return place, parted
+
 
+def _columns(longest: int, width: int) -> dict[str, int]:
+    """Bytes of the packed columns: words by letter, f, bits of parted first words."""
+    return {chr(97 + k) + "_": width for k in range(longest)} | {"f": 4, "parted": 2 * (longest // 16 + 1)}
 
-def runs(docs: DataFrame, numbers: Numbers, seed: int, longest: int = LONGEST) -> DataFrame:
-    """Rows (place, run, f, parted) for the places of words that others follow: the longest run from there, summed up for a slice of text."""
+
+def runs(docs: DataFrame, numbers: Numbers, seed: int, buckets: int, longest: int = LONGEST) -> DataFrame:
+    """The longest run from each place of a word that others follow, summed up for a buffer; a row for each buffer and bucket."""
     shared = docs.sparkSession.sparkContext.broadcast(numbers)
+    sizes = _columns(longest, numbers.width)
+
+    def pack(held: list[np.ndarray], numbers: Numbers) -> Iterator[pa.RecordBatch]:
+        words = np.concatenate(held, 1)
+        order, new = _sorted(words, numbers.width)
+        first = np.flatnonzero(new[-1])
+        f, words = np.diff(np.append(first, len(order))), words[:, order[first]]
+        place, parted = _places(words, numbers)
+        columns = dict(zip(sizes, [*words, f, parted], strict=True))
+        yield from deal(bucket_of(place, buckets), 0, {k: (v, sizes[k]) for k, v in columns.items()}).to_batches()
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = shared.value
-        for batch in slices(batches, most=SLICE):
+        numbers, held, size = shared.value, [], 0
+        for batch in slices(batches):
             _, words, piece, hashes = _split(batch, seed)
             ids = numbers.of(hashes)
             breaks = piece[1:] != piece[:-1]
@@ -192,39 +227,40 @@ def runs(docs: DataFrame, numbers: Numbers, seed: int, longest: int = LONGEST) -
             starts = np.flatnonzero(left >= 2)
             if not len(starts):
                 continue
-            sizes = np.minimum(left[starts], longest)
-            # Equal runs of the slice are one row: runs of one hash stand together, and are compared word by word.
-            keys = mix(sizes.astype(U64))
-            padded = np.concatenate([ids, np.zeros(longest, U64)])
-            for k in range(longest):
-                keys = np.where(sizes > k, mix(keys + padded[starts + k]), keys)
-            order = np.argsort(keys)
-            starts, sizes, keys = starts[order], sizes[order], keys[order]
-            new = (keys[1:] != keys[:-1]) | (sizes[1:] != sizes[:-1])
-            for k in range(longest):
-                word = padded[starts + k]
-                new |= (word[1:] != word[:-1]) & (sizes[1:] > k)
-            first = np.flatnonzero(np.concatenate([[True], new]))
-            f = np.diff(np.append(first, len(starts)))
-            starts, sizes = starts[first], sizes[first]
-            at = np.minimum(np.searchsorted(numbers.hot, hashes), max(0, len(numbers.hot) - 1))
-            counts = np.where(numbers.hot[at] == hashes, numbers.hot_counts[at], 0) if len(numbers.hot) else np.zeros(len(ids), np.int64)
-            place, parted = _places(ids, starts, sizes, counts, numbers.share, longest)
-            found, bounds = _spans(numbers.rows(ids).ravel(), starts * numbers.width, sizes * numbers.width)
-            yield pa.RecordBatch.from_arrays([pa.array(place), _binary(found, bounds, pa.binary()), pa.array(f), pa.array(parted)], ["place", "run", "f", "parted"])
-
-    return docs.mapInArrow(send, "place int, run binary, f long, parted int")
+            ids, left = np.concatenate([ids, np.zeros(longest, U64)]), left[starts]
+            held.append(np.stack([np.where(left > k, ids[starts + k], U64(0)) for k in range(longest)]))
+            size += len(starts)
+            if size >= BUFFER:
+                yield from pack(held, numbers)
+                held, size = [], 0
+        if held:
+            yield from pack(held, numbers)
+
+    return docs.mapInArrow(send, schema(**sizes))
 
 
 def frequent(sent: DataFrame, width: int, least: int, longest: int = LONGEST) -> DataFrame:
     """Rows (run, f) of all runs of 2 to `longest` words that occur `least` times, from the longest runs at all places."""
-    dealt, found = sent.repartition("place"), []
-    for size in range(2, longest + 1):
-        first = F.substring("run", 1, size * width).alias("run")
-        level = dealt.groupBy("place", first).agg(F.sum("f").alias("f"), F.max(F.col("parted").bitwiseAND(1 << size)).alias("parted"))
-        # One condition, so that its part on the run isn't moved before the exchange, which all levels read.
-        found.append(level.where(F.when((F.col("f") >= least) | (F.col("parted") > 0), F.length("run") == size * width)).select("run", "f"))
-    return cut_lineage(reduce(DataFrame.union, found).groupBy("run").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
+    sizes = _columns(longest, width)
+
+    def meet(table: pa.Table) -> pa.Table:
+        *words, f, parted = (column(table, name, size) for name, size in sizes.items())
+        words = np.stack(words)
+        order, new = _sorted(words, width)
+        words, f, parted = words[:, order], f[order].astype(np.int64), parted[order].astype(np.int64)
+        rows = np.ascontiguousarray(words.T.astype(">u8")).view(np.uint8).reshape(len(order), longest, 8)[:, :, 8 - width :].reshape(len(order), longest * width)
+        out = []
+        for size in range(2, longest + 1):
+            first = np.flatnonzero(new[size - 1])
+            sums = np.add.reduceat(f, first)
+            # Shorter runs, the ends of pieces, have no word here.
+            kept = (words[size - 1, first] > 0) & ((sums >= least) | (parted[first] >> size & 1 > 0))
+            found = np.ascontiguousarray(rows[first[kept], : size * width])
+            out.append(pa.table({"run": _binary(found, np.arange(len(found) + 1, dtype=np.int32) * (size * width), pa.binary()), "f": sums[kept]}))
+        return pa.concat_tables(out)
+
+    found = sent.groupBy("receiver").applyInArrow(meet, "run binary, f long")
+    return cut_lineage(found.groupBy("run").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
 
 
 def compacted(nodes: DataFrame, width: int) -> DataFrame:
@@ -281,7 +317,8 @@ def phrases(docs: DataFrame, least: int = 100, top: int = 2000, longest: int = L
     heavy, totals, seed = vocabulary(given, least)
     numbers = numbered(heavy, totals.agg(F.sum("total")).first()[0] or 0, sent)
     width = numbers.width
-    nodes = frequent(runs(given, numbers, seed, longest), width, least, longest)
+    buckets = bucket_count(heavy.agg(F.sum("n")).first()[0] or 0)
+    nodes = frequent(runs(given, numbers, seed, buckets, longest), width, least, longest)
     words = coded(heavy, numbers)
     counts = nodes.union(words.select("run", F.col("n").alias("f")))
     kept = compacted(nodes, width).withColumn("one", F.expr(f"substring(run, 1, {width})")).join(words.select(F.col("run").alias("one"), "lang"), "one")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gistmill.llm import packing, phrases, vector_codes
+from gistmill.llm import blobs, packing, phrases, vector_codes
 from tests.llm import brute
 from tests.llm.test_dedup import ordered
 
@@ -143,8 +143,11 @@ def talk_table(spark, rows):
 
 @pytest.mark.parametrize(("least", "top", "sent"), [(3, 2000, 1 << 21), (3, 7, 1 << 21), (2, 2000, 0), (60, 5, 5)])
 def test_phrases_equal_plain_counts(spark, monkeypatch, least, top, sent):
-    """Also with hashes in place of numbers (sent=0), and with most words hot, so that sums come in parts."""
-    monkeypatch.setattr(phrases, "HOT_SHARES", 4096 if least == 60 else 25)
+    """Also with hashes in place of numbers (sent=0), with most words hot, so that sums come in parts, and with many buffers and buckets."""
+    if least < 60:
+        monkeypatch.setattr(blobs, "BUCKET_ENTRIES", 50)
+        monkeypatch.setattr(phrases, "HOT_SHARES", 25)
+        monkeypatch.setattr(phrases, "BUFFER", 300)
     rows = talk()
     got = phrases.phrases(talk_table(spark, rows), least, top, sent=sent).collect()
     assert ordered(map(tuple, got)) == ordered(brute.collocations(rows, least, top))
