@@ -5,8 +5,8 @@ matrix product on two bounded blocks inside a task, and a task returns a few row
 
 * a base side of at most ``SMALL_ROWS`` rows (counted first) goes to the tasks whole, and queries are not moved;
 * a larger one is cut into blocks around pivot vectors. Blocks are split by row hash so that none exceeds
-  ``BLOCK_ROWS`` however dense a region is, and for nearest-neighbour searches the triangle inequality removes
-  block pairs that cannot hold an answer.
+  ``BLOCK_ROWS`` however dense a region is, and where only rows within a reach count, the triangle inequality removes
+  block pairs that cannot hold any; nearest rows are found in two steps, see ``search``.
 """
 
 from __future__ import annotations
@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gistmill.functions import vectors as vx
+from gistmill.functions.blocks import matrix as _matrix
+from gistmill.functions.blocks import sq_distances as _sq_distances
 from gistmill.functions.draws import hash_key
+from gistmill.operators.search import Grid, two_steps
 from gistmill.session import cut_lineage
 
 SMALL_ROWS = 4096
@@ -32,43 +35,42 @@ DIGITS = 6
 Kernel = Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]
 
 
-def _matrix(col: pd.Series) -> np.ndarray:
-    return np.stack(col.to_numpy()).astype(float) if len(col) else np.zeros((0, 1))
-
-
-def _sq_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.maximum(d, 0.0)
-
-
 def vector_join(
     queries: DataFrame,
     base: DataFrame,
     kernel: Kernel,
     schema: str,
-    neighbours: int | None = None,
     reach: float | None = None,
     small_rows: int = SMALL_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Run ``kernel`` on blocks so that every (query row, base row) pair meets exactly once.
 
-    Both sides hold ``id`` and ``v`` (array<double>); other columns travel along. With ``neighbours`` = k block
-    pairs that lie beyond the k nearest base rows of every query in the block are left out; with ``reach`` = r
-    those farther apart than r are.
+    Both sides hold ``id`` and ``v`` (array<double>); other columns travel along. With ``reach`` = r block
+    pairs that are farther apart than r are left out.
     """
+    head = _small(base, small_rows)
+    if head is not None:
+        return _beside(queries, head, kernel, schema)
+    return _grid_join(queries, base, kernel, schema, reach, block_rows)
+
+
+def _small(base: DataFrame, small_rows: int) -> pd.DataFrame | None:
+    """The base rows, if they are few and short enough to be sent to all tasks."""
     head = base.limit(small_rows + 1).toPandas()
     width = len(head["v"].iloc[0]) if len(head) else 0
-    if len(head) <= small_rows and len(head) * width <= SMALL_CELLS:
-        held = base.sparkSession.sparkContext.broadcast(head)
+    return head if len(head) <= small_rows and len(head) * width <= SMALL_CELLS else None
+
+
+def _beside(queries: DataFrame, head: pd.DataFrame, kernel: Kernel, schema: str) -> DataFrame:
+    held = queries.sparkSession.sparkContext.broadcast(head)
 
-        def run(batches):
-            for pdf in batches:
-                if len(pdf):
-                    yield kernel(pdf, held.value)
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield kernel(pdf, held.value)
 
-        return queries.mapInPandas(run, schema)
-    return _grid_join(queries, base, kernel, schema, neighbours, reach, block_rows)
+    return queries.mapInPandas(run, schema)
 
 
 def _with_cell(df: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -93,35 +95,16 @@ def _cell_stats(df: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return count, radius
 
 
-def surviving_cells(
-    between: np.ndarray,
-    q_radius: np.ndarray,
-    b_count: np.ndarray,
-    b_radius: np.ndarray,
-    neighbours: int | None,
-    reach: float | None,
-) -> np.ndarray:
-    """Boolean (query cell x base cell): may the pair hold an answer?"""
+def surviving_cells(between: np.ndarray, q_radius: np.ndarray, b_count: np.ndarray, b_radius: np.ndarray, reach: float | None) -> np.ndarray:
+    """Boolean (query cell x base cell): may the pair hold rows within ``reach``?"""
     nearest_possible = np.maximum(between - q_radius[:, None] - b_radius[None, :], 0.0)
     keep = np.ones_like(between, dtype=bool)
-    slack = 10.0 ** (2 - DIGITS)
     if reach is not None:
-        keep &= nearest_possible <= reach + slack
-    if neighbours is not None:
-        farthest = np.where(b_count > 0, between + q_radius[:, None] + b_radius[None, :], np.inf)
-        order = np.argsort(farthest, axis=1)
-        filled = np.cumsum(b_count[order], axis=1)
-        # One more than asked, because a query may meet itself.
-        enough = (filled >= neighbours + 1).argmax(axis=1)
-        bound = np.where(
-            filled[:, -1] >= neighbours + 1, np.take_along_axis(farthest, order, 1)[np.arange(len(order)), enough], np.inf
-        )
-        # Distances are ranked after rounding, so ties at the bound must survive for both metrics.
-        keep &= (nearest_possible**2 <= bound[:, None] ** 2 + slack) | (nearest_possible <= bound[:, None] + slack)
+        keep &= nearest_possible <= reach + 10.0 ** (2 - DIGITS)
     return keep & (b_count > 0)[None, :]
 
 
-def _grid_join(queries, base, kernel, schema, neighbours, reach, block_rows) -> DataFrame:
+def _grid_join(queries, base, kernel, schema, reach, block_rows) -> DataFrame:
     spark = base.sparkSession
     n_base = base.count()
     n_pivots = int(min(MAX_PIVOTS, max(1, n_base // block_rows)))
@@ -131,7 +114,7 @@ def _grid_join(queries, base, kernel, schema, neighbours, reach, block_rows) ->
     q_count, q_radius = _cell_stats(q, n_pivots)
     b_count, b_radius = _cell_stats(b, n_pivots)
     between = np.sqrt(_sq_distances(pivots, pivots))
-    keep = surviving_cells(between, q_radius, b_count, b_radius, neighbours, reach)
+    keep = surviving_cells(between, q_radius, b_count, b_radius, reach)
     keep &= (q_count > 0)[:, None]
     q_parts = -(-q_count // block_rows)
     b_parts = -(-b_count // block_rows)
@@ -171,10 +154,13 @@ def _near_limit(score: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np
     return np.nonzero((score <= limit + slack) & np.isfinite(score))
 
 
-def _topk_kernel(k: int, metric: str, skip_self: bool, other_label: bool) -> Kernel:
+def _topk_kernel(k: int, metric: str, skip_self: bool, other_label: bool, grid: Grid | None = None) -> Kernel:
     def kernel(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         qv, bv = _matrix(q["v"]), _matrix(b["v"])
-        dist = 1.0 - qv @ bv.T if metric == "cosine" else np.sqrt(_sq_distances(qv, bv))
+        if grid is not None:
+            dist = grid.distances(q, qv, b, bv, metric)
+        else:
+            dist = 1.0 - qv @ bv.T if metric == "cosine" else np.sqrt(_sq_distances(qv, bv))
         if skip_self:
             dist[q["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = np.inf
         if other_label:
@@ -203,18 +189,23 @@ def as_points(df: DataFrame, id_col: str, vec: str, metric: str, *keep: str) ->
 
 
 def nearest(
-    queries: DataFrame, base: DataFrame, k: int = 1, metric: str = "cosine", skip_self=False, other_label=False, **sizes
+    queries: DataFrame,
+    base: DataFrame,
+    k: int = 1,
+    metric: str = "cosine",
+    skip_self=False,
+    other_label=False,
+    small_rows: int = SMALL_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """id, rank, nbr, dist: the k nearest base points of each query point; ties by id."""
-    bound = None if other_label else k
-    hits = vector_join(
-        queries,
-        base,
-        _topk_kernel(k, metric, skip_self, other_label),
-        "id long, nbr long, dist double",
-        neighbours=bound,
-        **sizes,
-    )
+    kernel = lambda grid=None: _topk_kernel(k, metric, skip_self, other_label, grid)
+    head = _small(base, small_rows)
+    if head is not None:
+        hits = _beside(queries, head, kernel(), "id long, nbr long, dist double")
+    else:
+        base = cut_lineage(base)
+        hits = two_steps(queries, base, base.count(), k, metric, kernel, other_label, block_rows)
     return _ranked(hits, k).select("id", "rank", "nbr", "dist")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gistmill.operators import clusters as cl
 from gistmill.operators import contrastive as cn
 from gistmill.operators import neighbours as nb
+from gistmill.operators import search as sr
 from gistmill.operators import train as tr
 from gistmill.operators.evaluate import check_projection, davies_bouldin, silhouette
 from gistmill.operators.features import TruncatedSVD, pca, tfidf, tokenize_terms
@@ -59,11 +60,53 @@ def test_knn_graph_is_exact(spark, metric, sizes):
 
 def test_pruning_removes_far_blocks_only():
     between = np.array([[0.0, 10.0], [10.0, 0.0]])
-    keep = nb.surviving_cells(between, np.array([1.0, 1.0]), np.array([50, 50]), np.array([1.0, 1.0]), 3, None)
-    assert keep.tolist() == [[True, False], [False, True]]
-    keep = nb.surviving_cells(between, np.array([1.0, 1.0]), np.array([2, 50]), np.array([1.0, 1.0]), 3, None)
-    assert keep.all(axis=1).tolist() == [True, False]
-    assert nb.surviving_cells(between, np.ones(2), np.array([5, 5]), np.ones(2), None, 8.0).all()
+    assert nb.surviving_cells(between, np.ones(2), np.array([5, 5]), np.ones(2), 8.0).all()
+    assert nb.surviving_cells(between, np.ones(2), np.array([5, 5]), np.ones(2), 7.0).tolist() == [[True, False], [False, True]]
+    assert nb.surviving_cells(between, np.ones(2), np.array([5, 0]), np.ones(2), None).tolist() == [[True, False], [True, False]]
+
+
+def test_first_bounds_hold_enough_rows():
+    g = np.random.default_rng(2)
+    v, q = g.standard_normal((400, 5)), g.standard_normal((60, 5))
+    pivots = v[:20]
+    d = np.sqrt(sr.sq_distances(v, pivots))
+    cell = d.argmin(1)
+    count = np.bincount(cell, minlength=20)
+    radius = np.array([d[cell == c, c].max(initial=0) for c in range(20)])
+    label = np.where(cell < 12, cell % 2, np.arange(400) % 3)
+    lo, hi = (np.array([f(label[cell == c]) for c in range(20)], dtype=object) for f in (np.min, np.max))
+    bins = sr.group_cells(pivots, count, 50)
+    assert sorted(set(bins)) == list(range(bins.max() + 1)) and all(count[bins == b].sum() <= 50 or (bins == b).sum() == 1 for b in set(bins))
+    grid = sr.Grid(pivots, count, radius, bins, lo, lo != hi, 1e-9)
+    far, true = grid.from_pivots(q), np.sqrt(sr.sq_distances(q, v))
+    own, at = far.argmin(1), np.arange(60)
+    for k in (1, 7, 399):
+        bound = grid.first_bound(far, k, None)
+        assert ((true <= bound[:, None] + 1e-9).sum(1) >= k + 1).all()
+        order = np.argsort(true, 1)
+        reached = grid.reached(far, far[at, own], own, slice(None), true[at, order[:, k]])
+        assert all(reached[i, cell[order[i, : k + 1]]].all() for i in at) and (k > 1 or not reached.all())
+    assert np.isinf(grid.first_bound(far, 400, None)).all()
+    mine = g.integers(0, 3, 60)
+    bound = grid.first_bound(far, 1, mine)
+    assert all((true[i, label != mine[i]] <= bound[i] + 1e-9).any() for i in range(60))
+
+
+def test_visits_grow_with_the_rows_and_not_their_square(spark):
+    """Four times the rows in four times the clusters: the rows that a query meets stay about as many."""
+    work = []
+    for clusters in (16, 64):
+        g = np.random.default_rng(1)
+        v = np.concatenate([c + 0.05 * g.standard_normal((50, 8)) for c in 10 * g.standard_normal((clusters, 8))])
+        pts = nb.as_points(make(spark, v), "vec_id", "embedding", "euclidean")
+        rows, grid = sr.build_grid(pts, len(v), 100)
+        own = sr.first_bounds(pts, grid, 5, False)
+        found = nb.nearest(pts, pts, 6, "euclidean").filter("rank = 6").select("id", F.col("dist").alias("kth"))
+        bounded = own.join(found, "id").withColumn("bound", F.least("bound", "kth")).drop("kth")
+        sent = sr.routes(bounded, grid).agg(F.sum("work"), F.count(F.lit(1))).first()
+        work.append((sent[0] or 0) / len(v) + 100)
+        assert sent[1] < len(v) * (grid.bin_of.max() + 1) / 8
+    assert work[1] < 1.5 * work[0]
 
 
 @pytest.mark.parametrize("sizes", [{}, BLOCKS])
