@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gistmill.session import cut_lineage
+
 
 def hash_key(seed: int, *parts: Column | str) -> Column:
     """32 hex digits that order rows at random but always the same way."""
@@ -41,3 +43,16 @@ def hash_rank(df: DataFrame, by: str | None, id_col: str, seed: int, out: str =
         .withColumn(out, (F.col("_off") + F.col("_r") - 1).cast("long"))
         .drop("_h", "_b", "_n", "_off", "_r")
     )
+
+
+def global_rank(df: DataFrame, *order: Column, out: str = "rank") -> DataFrame:
+    """0-based position of each row in the whole order: rows are sorted by ranges, and each range starts after the rows of those before."""
+    rows = cut_lineage(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part, within = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
+    sizes = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each range
+    starts, before = [], 0
+    for p, n in sizes:
+        starts.append((p, before))
+        before += n
+    known = df.sparkSession.createDataFrame(starts or [(0, 0)], "_p long, _start long")
+    return rows.join(F.broadcast(known), part == F.col("_p")).withColumn(out, F.col("_start") + within).drop("_m", "_p", "_start")

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gistmill.dims import STOP_WORDS, fine_dim
 from gistmill.functions import text as tx
 from gistmill.functions.arrays import once
+from gistmill.functions.joins import SENT_BYTES, spread_join
 from gistmill.sources.readers import with_label_names
 
 
@@ -27,26 +32,49 @@ def short_report(df: DataFrame, min_length: int = 50) -> DataFrame:
     )
 
 
-def lemmatize(df: DataFrame, lemmas: DataFrame) -> DataFrame:
-    """Replace each word of ``text`` by its lemma from the table (token, lemma); pure punctuation is dropped.
+def lemmatize(df: DataFrame, lemmas: DataFrame, col: str = "text") -> DataFrame:
+    """Replace each word of ``col`` by its lemma from the table (token, lemma), the first by order where it has several; pure punctuation is dropped.
 
-    The table is joined without a hint: Spark broadcasts it only when its measured size allows,
-    and splits skewed tokens otherwise. One document's words are regrouped, never more.
+    The table goes to the tasks if its measured size allows, and words are looked up in their row; a larger one is joined
+    in slices, and one document's words are regrouped.
     """
-    base = lemmas.select(F.col("token").alias("_w"), "lemma")
-    w = df.select("doc_id", F.posexplode(tx.words(F.col("text"))).alias("_i", "_w"))
+    base = lemmas.groupBy("token").agg(F.min("lemma").alias("lemma"))
+    size = base.agg(F.sum(F.octet_length("token") + F.octet_length("lemma") + 32).alias("n")).first()["n"] or 0
+    if size > SENT_BYTES:
+        return _lemmatize_by_join(df, base, col)
+    held = df.sparkSession.sparkContext.broadcast(base.where("token is not null and lemma is not null").toArrow())
+    given = df.withColumn(col, tx.words(F.col(col)))
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == col else f for f in df.schema.fields])
+
+    def look_up(batches):
+        tokens, lemma = held.value.column("token").combine_chunks(), held.value.column("lemma").combine_chunks()
+        for batch in batches:
+            lists = batch.column(col)
+            words, row = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+            kept = pc.invert(pc.match_substring_regex(words, r"^[!-/:-@\[-`{-~]+$"))
+            words, row = words.filter(kept), row[kept.to_numpy(zero_copy_only=False)]
+            found = pc.coalesce(lemma.take(pc.index_in(words, value_set=tokens)), words)
+            bounds = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), found), " ")
+            yield pa.RecordBatch.from_arrays([text if n == col else batch.column(n) for n in batch.schema.names], batch.schema.names)
+
+    return given.mapInArrow(look_up, schema)
+
+
+def _lemmatize_by_join(df: DataFrame, base: DataFrame, col: str) -> DataFrame:
+    w = df.select("doc_id", F.posexplode(tx.words(F.col(col))).alias("_i", "_w"))
     w = w.filter(~F.col("_w").rlike(r"^\p{Punct}+$"))
-    joined = w.join(base, "_w", "left").select("doc_id", "_i", F.coalesce("lemma", "_w").alias("_l"))
+    joined = spread_join(w, base.withColumnRenamed("token", "_w"), ["_w"], "doc_id", "left").select("doc_id", "_i", F.coalesce("lemma", "_w").alias("_l"))
     text = joined.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("_i", "_l"))).alias("_ws"))
     text = text.select("doc_id", F.array_join(F.transform("_ws", lambda s: s["_l"]), " ").alias("_text"))
-    return df.join(text, "doc_id", "left").withColumn("text", F.coalesce("_text", F.lit(""))).drop("_text")
+    return df.join(text, "doc_id", "left").withColumn(col, F.coalesce("_text", F.lit(""))).drop("_text")
 
 
-def clean_sparse(df: DataFrame, stop: Sequence[str] = STOP_WORDS, lemmas: DataFrame | None = None) -> DataFrame:
-    """Basic cleaning, stop word removal, and lemmas where a table is given."""
-    out = once(df, "text", tx.clean_basic(F.col("text")))
-    out = once(out, "text", tx.remove_stopwords(F.col("text"), stop))
-    return lemmatize(out, lemmas) if lemmas is not None else out
+def clean_sparse(df: DataFrame, stop: Sequence[str] = STOP_WORDS, lemmas: DataFrame | None = None, col: str = "text") -> DataFrame:
+    """Basic cleaning, stop word removal, and lemmas where a table is given, of column ``col``."""
+    out = once(df, col, tx.clean_basic(F.col(col)))
+    out = once(out, col, tx.remove_stopwords(F.col(col), stop))
+    return lemmatize(out, lemmas, col) if lemmas is not None else out
 
 
 def sliding_segments(df: DataFrame, window: int = 512, stride: int = 256) -> DataFrame:
@@ -67,17 +95,16 @@ def prepare_corpus(posts: DataFrame, min_length: int = 50) -> DataFrame:
 
 
 def build_variants(clean: DataFrame, stop: Sequence[str] = STOP_WORDS, lemmas: DataFrame | None = None) -> DataFrame:
-    """basic, sparse_repr and broad_category stacked, with the variant name as a column."""
-    parts = {
-        "basic": clean,
-        "sparse_repr": clean_sparse(clean, stop, lemmas),
-        "broad_category": add_broad_category(clean),
-    }
-    out = None
-    for name, part in parts.items():
-        part = part.withColumn("variant", F.lit(name))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out.select("doc_id", "text", "label_id", "label", "broad_label_id", "variant", "split")
+    """basic, sparse_repr and broad_category stacked, with the variant name as a column. The corpus is read and cleaned once."""
+    both = add_broad_category(clean_sparse(clean.withColumn("_sparse", F.col("text")), stop, lemmas, "_sparse"))
+    none = F.lit(None).cast("int")
+
+    def variant(name: str, text: str, broad: Column) -> Column:
+        return F.struct(F.lit(name).alias("variant"), F.col(text).alias("text"), broad.alias("broad_label_id"))
+
+    each = F.array(variant("basic", "text", none), variant("sparse_repr", "_sparse", none), variant("broad_category", "text", F.col("broad_label_id").cast("int")))
+    rows = both.select("doc_id", "label_id", "label", "split", F.explode(each).alias("_v"))
+    return rows.select("doc_id", "_v.text", "label_id", "label", "_v.broad_label_id", "_v.variant", "split")
 
 
 def widen_embedding(df: DataFrame, dim: int, col: str = "embedding") -> DataFrame:

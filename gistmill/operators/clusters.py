@@ -6,11 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.dims import OUTLIER
 from gistmill.functions import vectors as vx
+from gistmill.functions.draws import global_rank
 from gistmill.operators.evaluate import centroids, silhouette
 from gistmill.operators.neighbours import _matrix, _sq_distances, as_points, nearest, vector_join
 from gistmill.session import cut_lineage
@@ -21,7 +22,7 @@ def kmeans(df: DataFrame, k: int | None = None, restarts: int = 10, seed: int =
     pts = df.withColumn("_v", array_to_vector(vx.as_double(F.col(vec)))).persist()
     if k is None:
         k = max(2, min(50, pts.count() // 10))
-    runs = [KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="cluster").fit(pts) for i in range(restarts)]
+    runs = [KMeans(k=k, maxIter=300, seed=seed + i, featuresCol="_v", predictionCol="cluster").fit(pts) for i in range(restarts)]
     best = min(runs, key=lambda m: m.summary.trainingCost)
     out = best.transform(pts).drop("_v")
     return out
@@ -129,8 +130,8 @@ def density_clusters(
     comp = connected_components(links)
     comp = dense.select("id").join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_cluster_size)
-    number = F.row_number().over(Window.orderBy(F.desc("n"), "component")) - 1
-    named = comp.join(size.select("component", number.cast("int").alias("topic")), "component")
+    numbered = global_rank(size, F.desc("n"), F.col("component"))
+    named = comp.join(numbered.select("component", F.col("rank").cast("int").alias("topic")), "component")
     return pts.select("id").join(named.select("id", "topic"), "id", "left").select(
         "id", F.coalesce("topic", F.lit(OUTLIER)).cast("int").alias("topic")
     )

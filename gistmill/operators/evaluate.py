@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gistmill.functions.blocks import matrix, sq_distances
 from gistmill.functions.joins import checked_join
 from gistmill.functions.vectors import as_double
 from gistmill.operators.neighbours import vector_join
@@ -124,13 +125,15 @@ def category_alignment(
 
 
 def centroids(df: DataFrame, by: str, vec: str = "embedding") -> DataFrame:
-    """Mean vector and size per group: summed per dimension, then laid out again as an array."""
-    parts = df.select(by, F.posexplode(as_double(F.col(vec))).alias("_d", "_x"))
-    means = parts.groupBy(by, "_d").agg(F.avg("_x").alias("_m"), F.count(F.lit(1)).alias("_n"))
-    packed = means.groupBy(by).agg(
-        F.sort_array(F.collect_list(F.struct("_d", "_m"))).alias("_a"), F.max("_n").alias("size")
+    """Mean vector and size per group. Each task adds up its groups' vectors as a whole, so a group moves one row for each task."""
+    first = df.select(F.size(vec).alias("n")).where("n >= 0").limit(1).collect()
+    width = first[0]["n"] if first else 0
+    v = F.col("_v")
+    sums = df.select(by, as_double(F.col(vec)).alias("_v")).groupBy(by).agg(
+        F.count(v).alias("size"), *[F.sum(F.get(v, F.lit(i))).alias(f"_s{i}") for i in range(width)]
     )
-    return packed.select(by, F.col("_a._m").alias("centroid"), "size")
+    mean = F.array(*[F.col(f"_s{i}") / F.col("size") for i in range(width)]).cast("array<double>")
+    return sums.where("size > 0").select(by, mean.alias("centroid"), "size")
 
 
 def _distance(a, b):
@@ -147,6 +150,28 @@ def check_projection(df: DataFrame, vec: str = "embedding") -> None:
         raise ValueError("need at least two categories")
 
 
+#: Labels whose distances to all others are held at a time.
+RATIO_ROWS = 256
+
+
+def worst_ratios(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """id, r: the largest (s_i + s_j) / d_ij of each row of ``q``, by matrix products on blocks; near rows are measured anew."""
+    bv, bs, out = matrix(b["v"]), b["s"].to_numpy(), []
+    for at in range(0, len(q), RATIO_ROWS):
+        part = q.iloc[at : at + RATIO_ROWS]
+        qv = matrix(part["v"])
+        d = sq_distances(qv, bv)
+        # The product rounds off what is small beside the vectors' lengths.
+        row, col = np.nonzero(d <= 1e-6 * ((qv * qv).sum(1)[:, None] + (bv * bv).sum(1)[None, :]))
+        for lo in range(0, len(row), 1 << 16):
+            i, j = row[lo : lo + (1 << 16)], col[lo : lo + (1 << 16)]
+            d[i, j] = ((qv[i] - bv[j]) ** 2).sum(1)
+        d = np.sqrt(d)
+        both = part["s"].to_numpy()[:, None] + bs[None, :]
+        out.append(np.divide(both, d, out=np.zeros_like(d), where=d > 0).max(1))
+    return pd.DataFrame({"id": q["id"].to_numpy(), "r": np.concatenate(out) if out else np.zeros(0)})
+
+
 def davies_bouldin(df: DataFrame, label_col: str = "label", vec: str = "embedding", two_d: bool = False) -> DataFrame:
     """Mean over labels of the worst (s_i + s_j) / d_ij.
 
@@ -160,14 +185,7 @@ def davies_bouldin(df: DataFrame, label_col: str = "label", vec: str = "embeddin
     spread = met.groupBy("label").agg(F.avg(_distance(F.col("v"), F.col("centroid"))).alias("s"))
     stats = cent.join(spread, "label").select(F.xxhash64("label").alias("id"), F.col("centroid").alias("v"), "s").persist()
 
-    def kernel(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        gap = np.stack(q["v"].to_numpy())[:, None, :] - np.stack(b["v"].to_numpy())[None, :, :]
-        d = np.sqrt((gap * gap).sum(2))
-        both = q["s"].to_numpy()[:, None] + b["s"].to_numpy()[None, :]
-        ratio = np.divide(both, d, out=np.zeros_like(d), where=d > 0)
-        return pd.DataFrame({"id": q["id"].to_numpy(), "r": ratio.max(1)})
-
-    worst = vector_join(stats, stats, kernel, "id long, r double", block_rows=512)
+    worst = vector_join(stats, stats, worst_ratios, "id long, r double")
     return worst.groupBy("id").agg(F.max("r").alias("r")).agg(F.avg("r").alias("davies_bouldin"))
 
 

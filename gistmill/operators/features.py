@@ -6,6 +6,8 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from gistmill.functions import text as tx
 from gistmill.functions import vectors as vx
 from gistmill.functions.arrays import histogram, once
-from gistmill.functions.joins import bounded_join
+from gistmill.functions.joins import SENT_BYTES, spread_join
 from gistmill.session import cut_lineage
 
 MAX_SVD_TERMS = 50_000
@@ -67,15 +69,54 @@ def build_vocabulary(
     return cut_lineage(vocab)
 
 
+def _in_row(df: DataFrame, vocabulary: DataFrame, weigh: bool) -> DataFrame | None:
+    """doc_id, term and tf, or weight, of the counts of each row; None if the vocabulary is too large to be sent to the tasks.
+
+    Terms are looked up, weighed and brought to unit length where the row is, so that no posting is moved.
+    """
+    size = vocabulary.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("term")).alias("text")).first()
+    if size["rows"] * 16 + (size["text"] or 0) > SENT_BYTES:
+        return None
+    idf = F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0 if weigh else F.lit(1.0)
+    held = df.sparkSession.sparkContext.broadcast(vocabulary.select("term", idf.alias("idf")).toArrow())
+    counts = F.col("counts") if "counts" in df.columns else histogram(F.col("terms"))
+    given = df.select("doc_id", counts.alias("counts"))
+    kind, last = given.schema["doc_id"].dataType.simpleString(), "weight double" if weigh else "tf bigint"
+
+    def look_up(batches):
+        names = held.value.column("term").combine_chunks()
+        idf = held.value.column("idf").to_numpy()
+        for batch in batches:
+            lists = batch.column("counts")
+            row, pairs = pc.list_parent_indices(lists), lists.flatten()
+            at = pc.index_in(pairs.field("term"), value_set=names)
+            known = at.is_valid()
+            row, at = row.filter(known), at.filter(known).to_numpy()
+            value = pairs.field("tf").filter(known)
+            if weigh:
+                w = value.to_numpy() * idf[at]
+                length = np.sqrt(np.bincount(row.to_numpy(), w * w, batch.num_rows))
+                value = pa.array(w / length[row.to_numpy()])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), names.take(pa.array(at)), value], ["doc_id", "term", last.split(" ")[0]])
+
+    return given.mapInArrow(look_up, f"doc_id {kind}, term string, {last}")
+
+
 def count_vectorize(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """doc_id, term, tf on a fitted vocabulary."""
-    return bounded_join(term_counts(df), vocabulary.select("term"), ["term"], "doc_id").select("doc_id", "term", "tf")
+    found = _in_row(df, vocabulary, False)
+    if found is None:
+        found = spread_join(term_counts(df), vocabulary.select("term"), ["term"], "doc_id").select("doc_id", "term", "tf")
+    return found
 
 
 def tfidf_transform(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """doc_id, term, weight: smooth idf of the fitted vocabulary, unit length per document."""
+    found = _in_row(df, vocabulary, True)
+    if found is not None:
+        return found
     idf = F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0
-    raw = bounded_join(term_counts(df), vocabulary.select("term", idf.alias("_idf")), ["term"], "doc_id")
+    raw = spread_join(term_counts(df), vocabulary.select("term", idf.alias("_idf")), ["term"], "doc_id")
     raw = raw.select("doc_id", "term", (F.col("tf") * F.col("_idf")).alias("_w"))
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("doc_id")))
     return raw.withColumn("weight", F.col("_w") / length).drop("_w")
@@ -91,15 +132,18 @@ def l2_normalize(df: DataFrame, col: str = "embedding") -> DataFrame:
 
 
 class TruncatedSVD:
-    """Uncentred SVD of sparse document rows by subspace iteration.
+    """Uncentred SVD of sparse document rows by restarted block Krylov iteration.
 
-    The matrix stays distributed: each round every task multiplies its rows with the current
-    (terms x width) basis and returns partial sums per term. Terms are capped by the vocabulary,
-    so the basis has a fixed size whatever the number of documents.
+    The matrix stays distributed: each pass every task multiplies its rows with the current block of (terms x width) directions and
+    returns partial sums per term. BLOCKS blocks make the space from which the best directions are taken; their residuals end the fit, and the fit
+    raises if they don't fall below the tolerance (of the largest squared singular value). Terms are capped by the vocabulary, so a block has a fixed size
+    whatever the number of documents.
     """
 
-    def __init__(self, k: int = 30, oversample: int = 10, rounds: int = 6, seed: int = 42):
-        self.k, self.oversample, self.rounds, self.seed = k, oversample, rounds, seed
+    BLOCKS, RESTARTS = 5, 40
+
+    def __init__(self, k: int = 30, oversample: int = 10, tolerance: float = 1e-8, seed: int = 42):
+        self.k, self.oversample, self.tolerance, self.seed = k, oversample, tolerance, seed
 
     def _rows(self, weights: DataFrame) -> DataFrame:
         idx = weights.sparkSession.createDataFrame(
@@ -126,14 +170,15 @@ class TruncatedSVD:
         self.terms = sorted(found["term"])
         n, width = len(self.terms), min(self.k + self.oversample, len(self.terms))
         rows = self._rows(weights).persist()
-        basis = np.linalg.qr(np.random.default_rng(self.seed).standard_normal((n, width)))[0]
         dense = self._dense
 
-        for _ in range(self.rounds):
+        def image(basis: np.ndarray) -> np.ndarray:
+            """The transposed matrix times the matrix times the basis: one pass over the rows."""
             held = weights.sparkSession.sparkContext.broadcast(basis)
+            wide = basis.shape[1]
 
-            def partial(batches, held=held):
-                total = np.zeros((n, width))
+            def partial(batches):
+                total = np.zeros((n, wide))
                 for pdf in batches:
                     if len(pdf):
                         proj = dense(pdf, held.value)
@@ -145,18 +190,47 @@ class TruncatedSVD:
                 yield pd.DataFrame({"_j": hit, "_v": list(total[hit])})
 
             parts = rows.mapInPandas(partial, "_j int, _v array<double>")
-            summed = parts.groupBy("_j").agg(*[F.sum(F.get("_v", F.lit(c))).alias(f"c{c}") for c in range(width)])
+            summed = parts.groupBy("_j").agg(*[F.sum(F.get("_v", F.lit(c))).alias(f"c{c}") for c in range(wide)])
             got = summed.toPandas().set_index("_j")
-            image = np.zeros((n, width))
-            image[got.index.to_numpy()] = got.to_numpy()
-            basis, small = np.linalg.qr(image)
             held.unpersist()
-        rows.unpersist()
-        left, values, _ = np.linalg.svd(small)
-        v = (basis @ left)[:, : self.k]
+            out = np.zeros((n, wide))
+            out[got.index.to_numpy()] = got.to_numpy()
+            return out
+
+        def independent(block: np.ndarray, space: np.ndarray) -> np.ndarray:
+            """Orthonormal directions of the block that the space doesn't hold yet."""
+            size = np.linalg.norm(block, axis=0).max(initial=0.0)
+            for _ in range(2):
+                block = block - space @ (space.T @ block)
+            left, values, _ = np.linalg.svd(block, full_matrices=False)
+            return left[:, values > 1e-12 * size]
+
+        try:
+            space = np.linalg.qr(np.random.default_rng(self.seed).standard_normal((n, width)))[0]
+            images = image(space)
+            for _ in range(self.RESTARTS):
+                last = images
+                for _ in range(self.BLOCKS - 1):
+                    block = independent(last, space)
+                    if not block.shape[1]:
+                        break
+                    last = image(block)
+                    space, images = np.hstack([space, block]), np.hstack([images, last])
+                small = space.T @ images
+                values, turn = np.linalg.eigh((small + small.T) / 2)
+                values, turn = values[::-1][:width], turn[:, ::-1][:, :width]
+                space, images = space @ turn, images @ turn
+                off = np.linalg.norm(images - space * values, axis=0)[: self.k]
+                if off.max(initial=0.0) <= self.tolerance * max(values[0], 1e-300):
+                    break
+            else:
+                raise RuntimeError("singular values did not settle")
+        finally:
+            rows.unpersist()
+        v = space[:, : self.k]
         flip = np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
         self.components = v * flip
-        self.singular_values = np.sqrt(values[: self.k])
+        self.singular_values = np.sqrt(np.maximum(values[: self.k], 0.0))
         return self
 
     def transform(self, weights: DataFrame, out: str = "embedding") -> DataFrame:

@@ -53,34 +53,44 @@ def build_doc_prompt(df: DataFrame, grain: int = 20) -> DataFrame:
     return df.withColumn("prompt_text", F.concat(F.lit(head), F.col("text"), F.lit(tail)))
 
 
-def apply_labeller(df: DataFrame, fn: Callable[[Sequence[str]], Sequence[str]], prompt_col: str = "prompt_text") -> DataFrame:
-    """Adds ``reply`` and ``answered``: ``fn`` gets the prompts of one Arrow batch and returns as many replies.
+#: What a labeller may raise when it can't answer; anything else is an error of the program and ends the job.
+FAILURES = (RuntimeError, OSError, ValueError)
+
+
+def answered_in_halves(fn: Callable[[Sequence[str]], Sequence[str]], prompts: Sequence[str]) -> list[tuple[str | None, str | None]]:
+    """(reply, error) of each prompt. A batch that fails is asked again in halves, so one bad prompt costs some 2 log2(n) further calls."""
+    try:
+        replies = list(fn(prompts))
+        if len(replies) != len(prompts):
+            raise ValueError("one reply per prompt is needed")
+        return [(r, None) for r in replies]
+    except FAILURES as e:
+        if len(prompts) == 1:
+            return [(None, f"{type(e).__name__}: {e}")]
+    half = len(prompts) // 2
+    return answered_in_halves(fn, prompts[:half]) + answered_in_halves(fn, prompts[half:])
+
+
+def apply_labeller(
+    df: DataFrame, fn: Callable[[Sequence[str]], Sequence[str]], prompt_col: str = "prompt_text", batch_size: int = 5
+) -> DataFrame:
+    """Adds ``reply``, ``answered`` and ``error``: ``fn`` gets up to ``batch_size`` prompts and returns as many replies.
 
-    If a batch fails its prompts are tried one by one, and those that fail again are answered with 'other'.
+    A prompt that fails by itself is answered with 'other', and the error's text is kept. Only FAILURES are caught.
     """
 
     def run(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            prompts = pdf[prompt_col].tolist()
-            try:
-                replies = list(fn(prompts))
-                if len(replies) != len(prompts):
-                    raise ValueError("one reply per prompt is needed")
-                good = [True] * len(prompts)
-            except Exception:
-                replies, good = [], []
-                for p in prompts:
-                    try:
-                        replies.append(fn([p])[0])
-                        good.append(True)
-                    except Exception:
-                        replies.append("other")
-                        good.append(False)
-            yield pdf.assign(reply=replies, answered=good)
-
-    schema = T.StructType([*df.schema.fields, T.StructField("reply", T.StringType()), T.StructField("answered", T.BooleanType())])
+            found = []
+            for at in range(0, len(pdf), batch_size):
+                found += answered_in_halves(fn, pdf[prompt_col].iloc[at : at + batch_size].tolist())
+            if found:
+                replies = ["other" if error else reply for reply, error in found]
+                yield pdf.assign(reply=replies, answered=[e is None for _, e in found], error=[e for _, e in found])
+
+    schema = T.StructType(
+        [*df.schema.fields, T.StructField("reply", T.StringType()), T.StructField("answered", T.BooleanType()), T.StructField("error", T.StringType())]
+    )
     return df.mapInPandas(run, schema)
 
 
@@ -90,12 +100,15 @@ def category_profiles(labelled: DataFrame, category: str = "category") -> DataFr
 
 
 def keyword_labeller(topic_weights: DataFrame, profiles: DataFrame, category: str = "category") -> DataFrame:
-    """topic, category, score: the category whose words are closest in cosine to the topic's; ties by category."""
+    """topic, category, score: the category whose words are closest in cosine to the topic's; ties by category.
+
+    A topic that shares no word with any category has a null category and a score of 0.
+    """
     unit = unit_weights(topic_weights.filter(F.col("topic") != OUTLIER)).withColumnRenamed("u", "_w")
     dots = unit.join(profiles, "term").groupBy("topic", category).agg(F.sum(F.col("_w") * F.col("u")).alias("_d"))
-    order = Window.partitionBy("topic").orderBy(F.desc("score"), category)
-    scored = dots.withColumnRenamed("_d", "score")
-    return scored.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("topic", category, "score")
+    best = dots.groupBy("topic").agg(F.min(F.struct((-F.col("_d")).alias("_n"), F.col(category))).alias("_b"))
+    topics = unit.select("topic").distinct()
+    return topics.join(best, "topic", "left").select("topic", F.col(f"_b.{category}").alias(category), F.coalesce(-F.col("_b._n"), F.lit(0.0)).alias("score"))
 
 
 def classify_terms(docs: DataFrame, grains: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:

@@ -11,7 +11,7 @@ matrix product on two bounded blocks inside a task, and a task returns a few row
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,7 @@ from gistmill.functions import vectors as vx
 from gistmill.functions.blocks import matrix as _matrix
 from gistmill.functions.blocks import sq_distances as _sq_distances
 from gistmill.functions.draws import hash_key
+from gistmill.operators.eigen import leading, random_columns, three_terms
 from gistmill.operators.search import Grid, two_steps
 from gistmill.session import cut_lineage
 
@@ -319,51 +320,53 @@ def _solve_sigma(target: float, steps: int):
     return solve
 
 
-def spectral_layout(graph: DataFrame, k: int = 2, rounds: int = 20, every: int = 5, seed: int = 42) -> DataFrame:
-    """id, coords: the k leading non-trivial directions of the normalised graph, by orthogonal iteration.
+#: A node with more edges than this is a hub: its edges are dealt to several places, and its coordinates go to each.
+HUB_EDGES = 100_000
 
-    A round is one edge join and one sum per node. The directions are kept apart through their k x k Gram matrix,
-    the only thing that reaches the driver; lineage is cut by a reliable checkpoint every few rounds.
+
+def spectral_layout(graph: DataFrame, k: int = 2, tolerance: float = 1e-8, extra: int = 12, seed: int = 42) -> DataFrame:
+    """id, coords: the k leading non-trivial eigenvectors of the normalised graph, to a residual of ``tolerance``.
+
+    One application is a join of the edges, which stay dealt by their ends while the fit runs, and a sum per node.
+    Raises RuntimeError if the residuals don't settle. A graph with fewer than k + 2 nodes, or an empty one, has fewer coordinates or none.
     """
     both = graph.select("a", "b", "weight").union(graph.select(F.col("b"), F.col("a"), "weight"))
-    degree = both.groupBy("a").agg(F.sum("weight").alias("deg"))
+    degree = cut_lineage(both.groupBy("a").agg(F.sum("weight").alias("deg"), F.count(F.lit(1)).alias("n")))
+    nodes = degree.count()
+    width, k = min(k + extra, nodes - 1), min(k, nodes - 1)
+    if width < 1:
+        return degree.select(F.col("a").alias("id"), F.array().cast("array<double>").alias("coords"))
+    places = F.ceil(F.col("n") / HUB_EDGES)
     edges = both.join(degree.select("a", F.col("deg").alias("da")), "a")
-    edges = edges.join(degree.select(F.col("a").alias("b"), F.col("deg").alias("db")), "b")
-    # Half a step plus half of staying put keeps every eigenvalue positive, so that the largest ones win;
-    # with the node itself as an edge, a round is one join and one sum.
-    half = edges.select("a", "b", (F.col("weight") / F.sqrt(F.col("da") * F.col("db")) / 2).alias("w"))
-    stay = degree.select("a", F.col("a").alias("b"), F.lit(0.5).alias("w"))
-    edges = cut_lineage(half.union(stay).repartition("b"))
-    names = [f"x{i}" for i in range(k)]
-    start = [
-        (F.conv(F.substring(hash_key(seed + i, "a"), 1, 8), 16, 10).cast("double") / 2.0**31 - 1.0).alias(n)
-        for i, n in enumerate(names)
-    ]
-    x = cut_lineage(degree.select(F.col("a").alias("id"), F.sqrt("deg").alias("t"), *start))
-    x = _orthonormal(x, names)
-    for r in range(rounds):
-        step = edges.join(x.withColumnRenamed("id", "b"), "b").groupBy("a")
-        own = F.max(F.when(F.col("a") == F.col("b"), F.col("t"))).alias("t")
-        x = step.agg(own, *[F.sum(F.col("w") * F.col(n)).alias(n) for n in names]).withColumnRenamed("a", "id")
-        if (r + 1) % every == 0 or r + 1 == rounds:
-            x = _orthonormal(cut_lineage(x), names)
-    return x.select("id", F.array(*names).alias("coords"))
-
-
-def _orthonormal(x: DataFrame, names: list[str]) -> DataFrame:
-    """Remove the trivial direction ``t`` and make the columns orthonormal."""
-    cols = ["t", *names]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    got = x.agg(*[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"g{i}_{j}") for i, j in pairs]).collect()[0]
-    gram = np.zeros((len(cols), len(cols)))
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = got[f"g{i}_{j}"]
-    mix = np.linalg.inv(np.linalg.cholesky(gram + 1e-15 * np.eye(len(cols)) * np.trace(gram)))
-    new = [
-        sum((F.col(c) * float(mix[r, m]) for m, c in enumerate(cols[: r + 1])), F.lit(0.0)).alias(n)
-        for r, n in enumerate(names, start=1)
-    ]
-    return x.select("id", "t", *new)
+    edges = edges.join(degree.select(F.col("a").alias("b"), F.col("deg").alias("db"), places.alias("places")), "b")
+    weight = F.col("weight") / F.sqrt(F.col("da") * F.col("db")) / 2
+    # Half a step plus half of staying put keeps every eigenvalue positive; a node's edge to itself also carries what else it knows.
+    half = edges.select("a", "b", F.pmod(F.xxhash64("a"), F.col("places")).alias("place"), weight.alias("w"))
+    stay = degree.select("a", F.col("a").alias("b"), F.pmod(F.xxhash64("a"), places).alias("place"), F.lit(0.5).alias("w"))
+    edges = cut_lineage(half.union(stay)).repartition("b", "place").persist()
+    total = degree.agg(F.sum("deg")).first()[0]
+
+    def moved(x: DataFrame, names: Sequence[str], *carried: str) -> DataFrame:
+        """id, carried and, as ``m_`` columns, the image of ``names``: one join of the edges and one sum per node."""
+        sent = x.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("places").cast("long") - 1))).withColumnRenamed("id", "b")
+        own = [F.max(F.when(F.col("a") == F.col("b"), F.col(c))).alias(c) for c in carried]
+        image = [F.sum(F.col("w") * F.col(n)).alias(f"m_{n}") for n in names]
+        return edges.join(sent, ["b", "place"]).groupBy("a").agg(*own, *image).withColumnRenamed("a", "id")
+
+    def apply(x: DataFrame, names: Sequence[str]) -> DataFrame:
+        return moved(x, names).select("id", *[F.col(f"m_{n}").alias(n) for n in names])
+
+    def advance(state: DataFrame, names: Sequence[str]) -> DataFrame:
+        return three_terms(moved(state, names, *kept, "scale", *names, *[f"p_{n}" for n in names]), "id", names, kept)
+
+    kept = ["t", "places"]
+    names = [f"x{i}" for i in range(width)]
+    start = degree.select(F.col("a").alias("id"), F.sqrt(F.col("deg") / total).alias("t"), places.cast("double").alias("places"))
+    try:
+        found, _ = leading(apply, random_columns(start, "id", names, seed), "id", names, k, tolerance, ["t"], ["places"], advance)
+        return found.select("id", F.array(*names[:k]).alias("coords"))
+    finally:
+        edges.unpersist()
 
 
 def layout_transform(layout: DataFrame, hits: DataFrame, k: int = 2) -> DataFrame:

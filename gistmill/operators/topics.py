@@ -5,20 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gistmill.dims import OUTLIER
 from gistmill.functions import text as tx
 from gistmill.functions import vectors as vx
-from gistmill.functions.joins import spread_join
+from gistmill.functions.draws import global_rank
+from gistmill.functions.joins import bounded_join, spread_join
 from gistmill.operators.evaluate import centroids
 from gistmill.operators.features import pca
 from gistmill.operators.neighbours import DIGITS
-
-MAX_TOPICS = 4096
-MAX_WORDS = 20_000
+from gistmill.session import cut_lineage
 
 
 def topic_term_counts(
@@ -79,77 +77,138 @@ def unit_weights(weights: DataFrame, topic: str = "topic") -> DataFrame:
     return spread_join(weights, length, [topic], "term").select(topic, "term", F.coalesce(F.try_divide("weight", "_l"), F.lit(0.0)).alias("u"))
 
 
-def topic_similarity(weights: DataFrame) -> DataFrame:
-    """a, b, similarity (a < b) between topics' term weights, outliers apart; topic pairs without a common term are 0.
+def similar_topics(weights: DataFrame) -> DataFrame:
+    """a, b, similarity (a < b) of topics that share a term, outliers apart; others are 0.
 
     Topics, not documents, meet on a term: at most topics^2 rows per term, added up before they are moved.
     """
     u = unit_weights(weights.filter(F.col("topic") != OUTLIER))
     left = u.select(F.col("topic").alias("a"), "term", F.col("u").alias("ua"))
     right = u.select(F.col("topic").alias("b"), "term", F.col("u").alias("ub"))
-    met = left.join(right, "term").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("s"))
-    topics = u.select("topic").distinct().withColumn("_i", F.row_number().over(Window.orderBy("topic")))
+    return left.join(right, "term").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("similarity"))
+
+
+def topic_similarity(weights: DataFrame) -> DataFrame:
+    """a, b, similarity (a < b) between all topics' term weights, outliers apart; topic pairs without a common term are 0."""
+    topics = weights.filter(F.col("topic") != OUTLIER).select("topic").distinct().withColumn("_i", F.row_number().over(Window.orderBy("topic")))
     later = topics.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy())).filter("_i < _n")
     grid = later.select(F.col("topic").alias("a"), F.explode(F.sequence(F.col("_i") + 1, F.col("_n").cast("int"))).alias("_i"))
     grid = grid.join(topics.select(F.col("topic").alias("b"), "_i"), "_i").select("a", "b")
-    return grid.join(met, ["a", "b"], "left").select("a", "b", F.coalesce("s", F.lit(0.0)).alias("similarity"))
+    met = similar_topics(weights)
+    return grid.join(met, ["a", "b"], "left").select("a", "b", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+
 
+class AverageLinks:
+    """Average-link merging by chains of nearest neighbours, on sums of similarities between groups; pairs without a row are 0.
 
-def merge_topics(similarity: DataFrame, n: int) -> dict[int, int]:
+    A group's row holds the group or topic at the other end, under the name it had, and the sum of the similarities: names are brought up to date
+    when the row is read, so a merge only puts two rows together. Averages are sums over products of sizes, never averages of averages.
+    """
+
+    def __init__(self, topics: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: np.ndarray):
+        """topics: sorted; a, b: their positions in pairs."""
+        self.n = len(topics)
+        self.parent = np.arange(2 * self.n)
+        self.size = np.ones(2 * self.n, dtype=np.int64)
+        self.least = np.concatenate([np.arange(self.n), np.zeros(self.n, dtype=np.int64)])
+        ends, others = np.concatenate([a, b]), np.concatenate([b, a])
+        order = np.argsort(ends, kind="stable")
+        cuts = np.searchsorted(ends[order], np.arange(1, self.n))
+        self.rows = dict(enumerate(zip(np.split(others[order], cuts), np.split(np.concatenate([similarity, similarity])[order], cuts), strict=True)))
+
+    def roots(self, names: np.ndarray) -> np.ndarray:
+        found = self.parent[names]
+        while (found != (up := self.parent[found])).any():
+            found = up
+        self.parent[names] = found
+        return found
+
+    def nearest(self, group: int, before: int | None) -> tuple[int | None, float]:
+        """The most similar other group, on ties the one before in the chain, then the one with the least topic; None if no pair has a row."""
+        names, sums = self.rows[group]
+        names, at = np.unique(self.roots(names), return_inverse=True)
+        sums = np.bincount(at, sums, len(names))
+        other = names != group
+        names, sums = names[other], sums[other]
+        self.rows[group] = names, sums
+        mean = sums / (self.size[group] * self.size[names])
+        if not len(names) or mean.max() <= 0:
+            return None, 0.0
+        ties = names[mean == mean.max()]
+        return (before if before in ties else int(ties[self.least[ties].argmin()])), float(mean.max())
+
+    def merges(self) -> list[tuple[float, int, int]]:
+        """(similarity, least topic of the one, of the other) of all merges of groups that share a term, as the chains find them."""
+        done, chain, made = [], [], self.n
+        waiting = list(range(self.n - 1, -1, -1))
+        while chain or waiting:
+            if not chain:
+                tip = waiting.pop()
+                if self.parent[tip] != tip:
+                    continue
+                chain = [tip]
+            tip, before = chain[-1], chain[-2] if len(chain) > 1 else None
+            other, similarity = self.nearest(tip, before)
+            if other is None:  # nothing is similar to this group; whatever led here has been merged
+                chain.pop()
+            elif other != before:
+                chain.append(other)
+            else:
+                del chain[-2:]
+                x, y = sorted((int(self.least[tip]), int(self.least[before])))
+                done.append((similarity, x, y))
+                (n1, s1), (n2, s2) = self.rows.pop(tip), self.rows.pop(before)
+                self.rows[made] = np.concatenate([n1, n2]), np.concatenate([s1, s2])
+                self.parent[[tip, before]] = made
+                self.size[made], self.least[made] = self.size[tip] + self.size[before], x
+                if not chain:
+                    chain = [made]
+                made += 1
+        return done
+
+
+def merge_topics(similarity: DataFrame, n: int, topics: DataFrame | None = None) -> dict[int, int]:
     """Average-link merging down to ``n`` groups: topic -> group, groups numbered by their smallest topic.
 
-    Each round averages the similarities between the current groups in Spark and merges every pair of mutual
-    best partners; with average linkage that builds the same tree as merging one pair at a time. The tree is
-    cut by undoing its least similar merges. Only topic-level rows come to the driver.
+    similarity: a, b, similarity of pairs, others are 0; topics (topic): those that may be in no pair. Spark makes the pairs; the driver holds 24 bytes
+    for each pair of topics that share a term and builds the whole tree from them, which is cut by undoing its least similar merges. Groups that share no
+    term are merged last, in the order of their least topics.
     """
-    spark = similarity.sparkSession
-    sims = similarity.select("a", "b", "similarity").persist()
-    found = sims.select(F.explode(F.array("a", "b")).alias("t")).distinct().limit(MAX_TOPICS + 1)
-    topics = sorted(r["t"] for r in found.collect())
-    if len(topics) > MAX_TOPICS:
-        raise ValueError(f"more than {MAX_TOPICS} topics; raise min_cluster_size first")
-    group = {t: t for t in topics}
-    merges: list[tuple[float, int, int]] = []
-    while len(set(group.values())) > 1:
-        m = spark.createDataFrame(list(group.items()), "t int, g int")
-        g = sims.join(F.broadcast(m.toDF("a", "ga")), "a").join(F.broadcast(m.toDF("b", "gb")), "b")
-        g = g.filter("ga != gb").groupBy(F.least("ga", "gb").alias("x"), F.greatest("ga", "gb").alias("y"))
-        g = g.agg(F.round(F.avg("similarity"), 12).alias("s"))
-        ends = g.select("x", "y", "s").union(g.select(F.col("y"), F.col("x"), "s"))
-        best = ends.groupBy("x").agg(F.max(F.struct(F.col("s"), (-F.col("y")).alias("ny"))).alias("m"))
-        rows = {r["x"]: (-r["ny"], r["s"]) for r in best.select("x", "m.ny", "m.s").collect()}
-        done = [(s, x, y) for x, (y, s) in rows.items() if x < y and rows[y][0] == x]
-        if not done:
-            # A circle of equal similarities: the first of the most similar pairs.
-            s, x, y = max(((s, -min(x, y), -max(x, y)) for x, (y, s) in rows.items()))
-            done = [(s, -x, -y)]
-        merges += done
-        into = {y: x for _, x, y in done}
-        group = {t: into.get(g, g) for t, g in group.items()}
-    sims.unpersist()
+    pairs = similarity.select("a", "b", "similarity").where("similarity > 0").toArrow()
+    a, b, s = (pairs.column(c).to_numpy() for c in ("a", "b", "similarity"))
+    named = similarity.select(F.explode(F.array("a", "b")).alias("topic")) if topics is None else topics.select("topic")
+    every = np.sort(named.distinct().toArrow().column("topic").to_numpy())
+    merges = AverageLinks(every, np.searchsorted(every, a), np.searchsorted(every, b), s).merges()
     merges.sort(key=lambda e: (-e[0], e[1], e[2]))
-    parent = {t: t for t in topics}
+    parent = list(range(len(every)))
 
     def find(t: int) -> int:
         while parent[t] != t:
+            parent[t] = parent[parent[t]]
             t = parent[t]
         return t
 
-    for _, x, y in merges[: max(0, len(topics) - n)]:
+    wanted = max(0, len(every) - max(1, n))
+    for _, x, y in merges[:wanted]:
         x, y = sorted((find(x), find(y)))
         parent[y] = x
-    return {t: find(t) for t in topics}
+    if wanted > len(merges):
+        rest = sorted({find(t) for t in range(len(every))})
+        for y in rest[1 : wanted - len(merges) + 1]:
+            parent[y] = rest[0]
+    return {int(t): int(every[find(i)]) for i, t in enumerate(every)}
 
 
 def reduce_topics(docs: DataFrame, weights: DataFrame, nr_topics: int = 20) -> DataFrame:
     """Documents with merged topics, numbered again by size (ties by old number); -1 stays and counts as one topic."""
     has_outliers = bool(docs.filter(F.col("topic") == OUTLIER).limit(1).collect())
-    merged = merge_topics(topic_similarity(weights), max(1, nr_topics - has_outliers))
+    topics = weights.filter(F.col("topic") != OUTLIER).select("topic").distinct()
+    merged = merge_topics(similar_topics(weights), max(1, nr_topics - has_outliers), topics)
     spark = docs.sparkSession
     mapping = spark.createDataFrame(list(merged.items()) or [(0, 0)], "topic int, _g int")
     moved = docs.join(F.broadcast(mapping), "topic", "left").withColumn("_g", F.coalesce("_g", "topic"))
     sizes = moved.filter(F.col("_g") != OUTLIER).groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-    number = sizes.select("_g", (F.row_number().over(Window.orderBy(F.desc("_n"), "_g")) - 1).alias("_t"))
+    number = global_rank(sizes, F.desc("_n"), F.col("_g"), out="_t").select("_g", "_t")
     out = moved.join(number, "_g", "left")
     rest = [c for c in docs.columns if c != "topic"]
     return out.select(*rest, F.coalesce("_t", F.lit(OUTLIER)).cast("int").alias("topic"))
@@ -185,78 +244,51 @@ def topic_map_data(docs: DataFrame, vec: str = "embedding") -> DataFrame:
     return flat.select("topic", "size", F.get("xy", F.lit(0)).alias("x"), F.get("xy", F.lit(1)).alias("y"))
 
 
-def window_counts(docs: DataFrame, word_list: Sequence[str], window: int = 110) -> DataFrame:
-    """a, b, n (a <= b by list position): boolean sliding windows holding both words; a = b counts one word.
+def window_counts(docs: DataFrame, words: DataFrame, window: int = 110) -> tuple[DataFrame, DataFrame, int]:
+    """Boolean sliding windows that hold a word (term, n), both of two words of one topic (topic, a, b, n, a < b), and windows in all.
 
-    (-1, -1) holds the number of windows. Counting is a matrix product over the words that occur in a document;
-    a task adds up its documents, so what is shuffled does not grow with them.
+    words: (topic, term). A word at position p is seen by the windows that start in (p - window, p]: the positions of a word in a document become a
+    few intervals of starts, whose lengths count windows and whose overlaps with another word's intervals count pairs. Nothing is done window by window.
     """
-    index = {w: i for i, w in enumerate(word_list)}
-    if len(index) > MAX_WORDS:
-        raise ValueError(f"more than {MAX_WORDS} topic words")
-    held = docs.sparkSession.sparkContext.broadcast(index)
-    step = 20_000
-
-    def count(batches):
-        known = held.value
-        sums: dict[tuple[int, int], int] = {}
-        windows = 0
-        for pdf in batches:
-            for n, at, ws in zip(pdf["n"], pdf["at"], pdf["w"]):
-                last = max(1, n - window + 1)
-                windows += last
-                if not len(ws):
-                    continue
-                ids = np.fromiter((known[x] for x in ws), dtype=np.int64, count=len(ws))
-                at = np.asarray(at, dtype=np.int64)
-                present, code = np.unique(ids, return_inverse=True)
-                both = np.zeros((len(present), len(present)), dtype=np.int64)
-                for lo in range(0, last, step):
-                    hi = min(last, lo + step)
-                    mark = np.zeros((hi - lo + 1, len(present)), dtype=np.int32)
-                    # A word at position p is seen by the windows that start in (p - window, p].
-                    first = np.clip(at - window + 1, lo, hi) - lo
-                    after = np.clip(at + 1, lo, hi) - lo
-                    np.add.at(mark, (first, code), 1)
-                    np.add.at(mark, (after, code), -1)
-                    seen = (np.cumsum(mark[:-1], axis=0) > 0).astype(np.float32)
-                    both += np.rint(seen.T.astype(np.float64) @ seen).astype(np.int64)
-                x, y = np.nonzero(np.triu(both))
-                for a, b, c in zip(present[x].tolist(), present[y].tolist(), both[x, y].tolist()):
-                    sums[a, b] = sums.get((a, b), 0) + c
-        rows = [(-1, -1, windows), *((a, b, c) for (a, b), c in sums.items())]
-        yield pd.DataFrame(rows, columns=["a", "b", "n"])
-
-    found = F.filter(
-        F.transform(tx.words(F.col("text")), lambda x, i: F.struct(i.alias("at"), x.alias("w"))),
-        lambda e: e["w"].isin(list(word_list)),
-    )
-    slim = docs.select(F.size(tx.words(F.col("text"))).alias("n"), found.alias("e"))
-    slim = slim.filter("n > 0").select("n", F.col("e.at").alias("at"), F.col("e.w").alias("w"))
-    return slim.mapInPandas(count, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    split = docs.select("doc_id", tx.words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    last = F.greatest(F.size("w") - window + 1, F.lit(1))
+    total = split.agg(F.sum(last).alias("n")).first()["n"] or 0
+    terms = words.select("term").distinct()
+    places = split.select("doc_id", last.alias("last"), F.posexplode("w").alias("at", "term"))
+    found = bounded_join(places, terms, ["term"], "doc_id").groupBy("doc_id", "term").agg(F.max("last").alias("last"), F.sort_array(F.collect_list("at")).alias("p"))
+    p, far = F.col("p"), F.lit(window)
+    starts = F.filter(p, lambda x, i: (i == 0) | (x - F.get(p, i - 1) > far))
+    ends = F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1) - x > far))
+    spans = F.zip_with(starts, ends, lambda x, y: F.struct(F.greatest(x - far + 1, F.lit(0)).alias("lo"), F.least(y, F.col("last") - 1).alias("hi")))
+    found = cut_lineage(found.select("doc_id", "term", spans.alias("spans")))
+    single = found.groupBy("term").agg(F.sum(F.aggregate("spans", F.lit(0), lambda s, x: s + x["hi"] - x["lo"] + 1)).alias("n"))
+    # A document's words of one topic: as many as a topic has, at most.
+    own = bounded_join(found, words.select("term", "topic").distinct(), ["term"], "doc_id")
+    own = own.groupBy("doc_id", "topic").agg(F.sort_array(F.collect_list(F.struct("term", "spans"))).alias("e")).where(F.size("e") > 1)
+
+    def overlap(x: Column, y: Column) -> Column:
+        return F.aggregate(x, F.lit(0), lambda s, i: s + F.aggregate(y, F.lit(0), lambda r, j: r + F.greatest(F.least(i["hi"], j["hi"]) - F.greatest(i["lo"], j["lo"]) + 1, F.lit(0))))
+
+    one = own.select("topic", "e", F.posexplode("e").alias("i", "x"))
+    both = one.select("topic", F.col("x"), F.explode(F.slice("e", F.col("i") + 2, F.size("e"))).alias("y"))
+    both = both.select("topic", F.col("x.term").alias("a"), F.col("y.term").alias("b"), overlap(F.col("x.spans"), F.col("y.spans")).alias("n"))
+    return single, both.groupBy("topic", "a", "b").agg(F.sum("n").alias("n")), total
 
 
 def coherence_cv(docs: DataFrame, topic_word_table: DataFrame, window: int = 110, by: Sequence[str] = ()) -> DataFrame:
     """topic, coherence per topic of the table (topic, rank, term); words that no document holds are left out."""
     eps = 1e-12
-    by = list(by)
     group = [*by, "topic"]
-    spark = docs.sparkSession
-    words = topic_word_table.filter(F.col("topic") != OUTLIER).select(*group, "term").persist()
-    # Words are topics x n; the limit guards the list that goes to the tasks.
-    vocabulary = [r["term"] for r in words.select("term").distinct().orderBy("term").limit(MAX_WORDS + 1).collect()]
-    counts = window_counts(docs, vocabulary, window).persist()
-    names = spark.createDataFrame(list(enumerate(vocabulary)) or [(-2, "")], "i int, term string")
-    total = counts.filter("a = -1").select(F.col("n").alias("total"), F.lit(1).alias("_k"))
-    single = counts.filter("a = b and a >= 0").select(F.col("a").alias("i"), F.col("n").alias("ni"))
-    known = words.join(names, "term").join(single, "i").select(*group, "i", "ni")
-    left = known
-    right = known.select(*group, F.col("i").alias("j"), F.col("ni").alias("nj"))
+    words = cut_lineage(topic_word_table.filter(F.col("topic") != OUTLIER).select(*group, "term"))
+    single, pairs, total = window_counts(docs, words, window)
+    known = words.join(single, "term")
+    left = known.select(*group, F.col("term").alias("i"), F.col("n").alias("ni"))
+    right = known.select(*group, F.col("term").alias("j"), F.col("n").alias("nj"))
     # A topic's own top words meet each other: n x n rows per topic.
     cell = left.join(right, group).withColumn("a", F.least("i", "j")).withColumn("b", F.greatest("i", "j"))
-    cell = cell.join(counts.select("a", "b", "n"), ["a", "b"], "left").withColumn("_k", F.lit(1)).join(total, "_k")
-    p = F.coalesce("n", F.lit(0)) / F.col("total")
-    pmi = F.log((p + eps) / (F.col("ni") / F.col("total") * (F.col("nj") / F.col("total"))))
+    cell = cell.join(pairs, ["topic", "a", "b"], "left").withColumn("n", F.when(F.col("i") == F.col("j"), F.col("ni")).otherwise(F.coalesce("n", F.lit(0))))
+    p, all_windows = F.col("n") / float(max(total, 1)), F.lit(float(max(total, 1)))
+    pmi = F.log((p + eps) / (F.col("ni") / all_windows * (F.col("nj") / all_windows)))
     cell = cell.select(*group, "i", "j", (pmi / -F.log(p + eps)).alias("v"))
     cell = cell.withColumn("s", F.sum("v").over(Window.partitionBy(*group, "j")))
     per = cell.groupBy(*group, "i").agg(

@@ -34,7 +34,7 @@ def project_2d(
     id_col: str = "vec_id",
     vec: str = "embedding",
     k_neighbours: int = 15,
-    rounds: int = 20,
+    tolerance: float = 1e-8,
 ) -> DataFrame:
     """Adds x, y. Fitted on split = 'train', applied to every split; without a split column all rows are train."""
     tagged = df if "split" in df.columns else df.withColumn("split", F.lit("train"))
@@ -45,7 +45,7 @@ def project_2d(
         small = pca_or_skip(tagged, 50, fit_on=train, col=vec, out="_low").persist()
         fitted = small.filter(train)
         knn = knn_graph(fitted, k_neighbours, "euclidean", id_col, "_low")
-        layout = spectral_layout(fuzzy_graph(knn, k_neighbours), 2, rounds)
+        layout = spectral_layout(fuzzy_graph(knn, k_neighbours), 2, tolerance)
         pts = as_points(fitted, id_col, "_low", "euclidean")
         fresh = as_points(small.filter(~train), id_col, "_low", "euclidean")
         placed = layout_transform(layout, nearest(fresh, pts, k_neighbours, "euclidean"), 2)

@@ -35,7 +35,7 @@ def q_fuzzy(spark, sf):
 
 
 def q_layout(spark, sf):
-    out = nb.spectral_layout(nb.fuzzy_graph(knn(spark, sf), K), 2, rounds=20)
+    out = nb.spectral_layout(nb.fuzzy_graph(knn(spark, sf), K), 2)
     return out.select("id", t.r6(F.get("coords", F.lit(0)), "x"), t.r6(F.get("coords", F.lit(1)), "y"))
 
 

@@ -47,6 +47,15 @@ def test_merging_topics_equals_one_pair_at_a_time(spark, n):
     assert tp.merge_topics(spark.createDataFrame(rows, "a int, b int, similarity double"), n) == brute_average_link(sim, n)
 
 
+def test_ten_thousand_topics_are_merged(spark):
+    """Sparse similarities: chains of twenty topics, the groups of which share nothing."""
+    rows = [(i, i + 1, 0.5 + (i * 7919 % 1000) / 2500) for i in range(10_000) if i % 20 != 19]
+    got = tp.merge_topics(spark.createDataFrame(rows, "a int, b int, similarity double"), 500, spark.range(10_000).select(F.col("id").cast("int").alias("topic")))
+    assert len(got) == 10_000 and {t: t // 20 * 20 for t in range(10_000)} == got
+    fewer = tp.merge_topics(spark.createDataFrame(rows, "a int, b int, similarity double"), 498)
+    assert len(set(fewer.values())) == 498 and {fewer[t] for t in range(60)} == {0} and fewer[61] == 60
+
+
 def test_reduce_topics_keeps_documents_and_outliers(spark):
     docs = t.doc_topics(spark, SF)
     from gistmill.operators.features import tokenize_terms
@@ -62,6 +71,23 @@ def test_reduce_topics_keeps_documents_and_outliers(spark):
     assert sizes == sorted(sizes, reverse=True)
 
 
+def test_global_rank_without_one_task(spark):
+    from gistmill.functions.draws import global_rank
+
+    df = spark.range(3000).select("id", (F.col("id") * 7919 % 100).alias("v")).repartition(6)
+    ranked = global_rank(df, F.desc("v"), F.col("id"))
+    want = {i: k for k, i in enumerate(sorted(range(3000), key=lambda i: (-(i * 7919 % 100), i)))}
+    assert {r["id"]: r["rank"] for r in ranked.collect()} == want
+    assert global_rank(df.limit(0), F.col("id")).count() == 0
+
+
+def test_topics_without_a_shared_term_stay(spark):
+    weights = spark.createDataFrame([(0, "a", 1.0), (0, "b", 1.0), (1, "zz", 2.0), (-1, "a", 1.0)], "topic int, term string, weight double")
+    profiles = spark.createDataFrame([("X", "a", 1.0), ("Y", "b", 1.0)], "category string, term string, u double")
+    got = {r["topic"]: (r["category"], r["score"]) for r in lb.keyword_labeller(weights, profiles).collect()}
+    assert got == {0: ("X", pytest.approx(0.5**0.5)), 1: (None, 0.0)}
+
+
 def test_hash_rank_is_dense_for_any_partitioning(spark):
     df = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7).alias("g"))
     a = hash_rank(df.repartition(1), "g", "id", 1).collect()
@@ -161,13 +187,36 @@ def test_prompts_hold_their_parts(spark):
 def test_labeller_errors_cost_one_row(spark):
     def fn(prompts):
         if any("bad" in p for p in prompts):
-            raise RuntimeError
+            raise RuntimeError("no answer")
         return [p.upper() for p in prompts]
 
     df = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "c")], "i int, prompt_text string").coalesce(1)
     before = df.schema
-    got = {r["i"]: (r["reply"], r["answered"]) for r in lb.apply_labeller(df, fn).collect()}
-    assert got == {1: ("A", True), 2: ("other", False), 3: ("C", True)} and df.schema == before
+    got = {r["i"]: (r["reply"], r["answered"], r["error"]) for r in lb.apply_labeller(df, fn).collect()}
+    assert got == {1: ("A", True, None), 2: ("other", False, "RuntimeError: no answer"), 3: ("C", True, None)} and df.schema == before
+
+    def broken(prompts):
+        return prompts[0].no_such_thing
+
+    with pytest.raises(Exception, match="no_such_thing"):
+        lb.apply_labeller(df, broken).collect()
+
+
+def test_one_bad_prompt_costs_few_calls():
+    calls = []
+
+    def fn(prompts):
+        calls.append(len(prompts))
+        if "bad" in prompts:
+            raise OSError
+        return list(prompts)
+
+    got = lb.answered_in_halves(fn, ["bad" if k == 37 else str(k) for k in range(64)])
+    assert [r for r, e in got if not e] == [str(k) for k in range(64) if k != 37] and got[37] == (None, "OSError: ")
+    assert len(calls) == 13 and calls[0] == 64
+    calls.clear()
+    short = lb.answered_in_halves(lambda p: calls.append(1) or p[:1], list("abcd"))
+    assert [r for r, _ in short] == list("abcd") and len(calls) == 7
 
 
 def test_caller_supplied_encoder(spark):
@@ -190,20 +239,26 @@ def test_coherence_of_words_that_always_or_never_meet(spark):
 
 def test_window_counts_by_brute_force(spark):
     g = np.random.default_rng(0)
-    texts = [" ".join(g.choice(list("abcdefgh"), n, p=[0.05, 0.05, 0.1, 0.1, 0.1, 0.2, 0.2, 0.2])) for n in (1, 5, 30, 31, 200)]
+    texts = [" ".join(g.choice(list("abcdefgh"), n, p=[0.02, 0.02, 0.06, 0.1, 0.2, 0.2, 0.2, 0.2])) for n in (1, 5, 30, 31, 200, 700)] + [""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {(r["a"], r["b"]): r["n"] for r in tp.window_counts(docs, ["a", "b", "c"], 30).collect()}
-    want = {}
+    topics = {1: "abc", 2: "cbz", 3: "d"}
+    words = spark.createDataFrame([(k, c) for k, ws in topics.items() for c in ws], "topic int, term string")
+    single, pairs, total = tp.window_counts(docs, words, 30)
+    one, two, windows = {}, {}, 0
     for x in texts:
         w = x.split()
-        for s in range(max(1, len(w) - 29)):
-            seen = sorted({"abc".index(c) for c in w[s : s + 30] if c in "abc"})
-            want[-1, -1] = want.get((-1, -1), 0) + 1
-            for i in seen:
-                for j in seen:
-                    if i <= j:
-                        want[i, j] = want.get((i, j), 0) + 1
-    assert got == want
+        for s in range(max(1, len(w) - 29) if w else 0):
+            seen = set(w[s : s + 30])
+            windows += 1
+            for c in seen & set("abcdz"):
+                one[c] = one.get(c, 0) + 1
+            for k, ws in topics.items():
+                for a in ws:
+                    for b in ws:
+                        if a < b and {a, b} <= seen:
+                            two[k, a, b] = two.get((k, a, b), 0) + 1
+    assert total == windows and {r["term"]: r["n"] for r in single.collect()} == one
+    assert {(r["topic"], r["a"], r["b"]): r["n"] for r in pairs.collect() if r["n"]} == two
 
 
 def test_variants_written_twice_equal_once(spark, tmp_path):
