@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gistmill.dims import BROAD, FINE, MAX_CATEGORIES, OUTLIER, broad_dim, fine_dim
-from gistmill.functions.arrays import python_list
-from gistmill.functions.joins import bounded_join
+from gistmill.functions.arrays import histogram, python_list
+from gistmill.functions.joins import SENT_BYTES, spread_join
 from gistmill.functions.replies import normalize_prediction, parse_topic_reply
 from gistmill.functions.text import terms
 from gistmill.operators.features import counted, term_counts
@@ -127,8 +130,12 @@ def classify_terms(docs: DataFrame, grains: Mapping[str, tuple[DataFrame, Sequen
         slots |= {f"_s{len(slots) + i}": (out, n) for i, n in enumerate(sorted(names))}
     hit = {s: (F.col("_g") == out) & (F.col("category") == n) for s, (out, n) in slots.items()}
     wide = stacked.groupBy("term").agg(*[F.sum(F.when(h, F.col("u")).otherwise(0.0)).alias(s) for s, h in hit.items()])
+    wide = cut_lineage(wide)
+    size = wide.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("term")).alias("text")).first()
+    if size["rows"] * (8 * len(slots) + 16) + (size["text"] or 0) <= 4 * SENT_BYTES:
+        return _classify_in_row(docs, wide, grains, slots)
     docs = counted(docs)
-    joined = bounded_join(term_counts(docs), cut_lineage(wide), ["term"], "doc_id", 8 * len(slots) + 32)
+    joined = spread_join(term_counts(docs), wide, ["term"], "doc_id")
     sums = joined.groupBy("doc_id").agg(*[F.sum(F.col("tf") * F.col(s)).alias(s) for s in slots])
 
     def best(out: str) -> Column:
@@ -142,6 +149,39 @@ def classify_terms(docs: DataFrame, grains: Mapping[str, tuple[DataFrame, Sequen
     return docs.drop("counts").join(sums.select("doc_id", *[best(out) for out in grains]), "doc_id", "left")
 
 
+def _classify_in_row(docs: DataFrame, wide: DataFrame, grains: Mapping, slots: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """Sums of a document's terms by category where the document is; nothing is moved."""
+    held = docs.sparkSession.sparkContext.broadcast(wide.select("term", *slots).toArrow())
+    counts = F.col("counts") if "counts" in docs.columns else histogram(F.col("terms"))
+    given = docs.withColumn("counts", counts).drop("terms")
+    rest, asked = [f for f in given.schema.fields if f.name != "counts"], list(grains)
+
+    def sums(batches):
+        names = held.value.column("term").combine_chunks()
+        table = np.stack([held.value.column(s).to_numpy() for s in slots], 1)
+        for batch in batches:
+            lists = batch.column("counts")
+            pairs = lists.flatten()
+            at = pc.index_in(pairs.field("term"), value_set=names)
+            known = at.is_valid()
+            row = pc.list_parent_indices(lists).filter(known).to_numpy()
+            at, tf = at.filter(known).to_numpy(), pairs.field("tf").filter(known).to_numpy()
+            total = np.zeros((batch.num_rows, len(slots)))
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+            if len(row):
+                total[row[first]] = np.add.reduceat(table[at] * tf[:, None], first)
+            none = np.ones(batch.num_rows, dtype=bool)
+            none[row[first]] = False
+            columns = [batch.column(f.name) for f in rest]
+            for out in asked:
+                mine = [i for i, (o, _) in enumerate(slots.values()) if o == out]
+                labels = pa.array([n for o, n in slots.values() if o == out])
+                columns.append(labels.take(pa.array(total[:, mine].argmax(1), mask=none)))
+            yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in rest), *asked])
+
+    return given.mapInArrow(sums, T.StructType([*rest, *[T.StructField(out, T.StringType()) for out in asked]]))
+
+
 def classify_documents(docs: DataFrame, train: DataFrame, n: int | None = None, stop: Sequence[str] = ()) -> DataFrame:
     """doc_id, text, fine_label, fine_predicted, broad_label, broad_predicted for the first n documents (all if None).
 

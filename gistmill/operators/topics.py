@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from gistmill.dims import OUTLIER
 from gistmill.functions import text as tx
 from gistmill.functions import vectors as vx
 from gistmill.functions.draws import global_rank
-from gistmill.functions.joins import bounded_join, spread_join
+from gistmill.functions.joins import SENT_BYTES, bounded_join, spread_join
 from gistmill.operators.evaluate import centroids
 from gistmill.operators.features import pca
 from gistmill.operators.neighbours import DIGITS
@@ -214,11 +216,11 @@ def reduce_topics(docs: DataFrame, weights: DataFrame, nr_topics: int = 20) -> D
     return out.select(*rest, F.coalesce("_t", F.lit(OUTLIER)).cast("int").alias("topic"))
 
 
-def representative_docs(docs: DataFrame, n: int = 3, id_col: str = "doc_id", vec: str = "embedding") -> DataFrame:
-    """topic, rank, doc_id, similarity: documents nearest to their topic's mean vector."""
+def representative_docs(docs: DataFrame, n: int = 3, id_col: str = "doc_id", vec: str = "embedding", keep: Sequence[str] = ()) -> DataFrame:
+    """topic, rank, doc_id, similarity and the columns ``keep``: documents nearest to their topic's mean vector."""
     cent = centroids(docs, "topic", vec).select("topic", "centroid")
     scored = spread_join(docs, cent, ["topic"], id_col).select(
-        "topic", id_col, vx.cosine(vx.as_double(F.col(vec)), F.col("centroid")).alias("similarity")
+        "topic", id_col, *keep, vx.cosine(vx.as_double(F.col(vec)), F.col("centroid")).alias("similarity")
     )
     order = Window.partitionBy("topic").orderBy(F.desc("similarity"), id_col)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
@@ -229,7 +231,8 @@ def topic_info(docs: DataFrame, weights: DataFrame, n_words: int = 10, n_docs: i
     counts = docs.groupBy("topic").agg(F.count(F.lit(1)).alias("count"))
     best = topic_words(weights, n_words).groupBy("topic").agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("_w"))
     best = best.select("topic", F.col("_w.term").alias("representation"))
-    reps = representative_docs(docs, n_docs, id_col).join(docs.select(id_col, "text"), id_col)
+    # Texts go through the ranking, which Spark trims to n rows a topic before it moves them.
+    reps = representative_docs(docs, n_docs, id_col, keep=["text"])
     reps = reps.groupBy("topic").agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("_d"))
     reps = reps.select("topic", F.col("_d.text").alias("representative_docs"))
     out = counts.join(best, "topic", "left").join(reps, "topic", "left")
@@ -244,30 +247,80 @@ def topic_map_data(docs: DataFrame, vec: str = "embedding") -> DataFrame:
     return flat.select("topic", "size", F.get("xy", F.lit(0)).alias("x"), F.get("xy", F.lit(1)).alias("y"))
 
 
+SPANS = "array<struct<lo: bigint, hi: bigint>>"
+
+
+def _spans_in_row(split: DataFrame, terms: DataFrame, window: int) -> DataFrame:
+    """doc_id, term, spans; words are looked up where their document is, all documents of a batch together."""
+    held = split.sparkSession.sparkContext.broadcast(terms.toArrow())
+    kind = split.schema["doc_id"].dataType.simpleString()
+
+    def look_up(batches):
+        names = held.value.column("term").combine_chunks()
+        for batch in batches:
+            lists = batch.column("w")
+            n = pc.list_value_length(lists).to_numpy().astype(np.int64)
+            begin, last = np.cumsum(n) - n, np.maximum(n - window + 1, 1)
+            ids = pc.index_in(lists.flatten(), value_set=names)
+            at = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
+            term = ids.drop_null().to_numpy().astype(np.int64)
+            row = np.searchsorted(begin, at, side="right") - 1
+            at = at - begin[row]
+            order = np.lexsort((at, term, row))
+            row, term, at = row[order], term[order], at[order]
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = (row[1:] != row[:-1]) | (term[1:] != term[:-1])
+            cut = new.copy()
+            cut[1:] |= at[1:] - at[:-1] > window
+            starts = np.flatnonzero(cut)
+            ends = np.append(starts[1:], len(at))[: len(starts)] - 1
+            lo, hi = np.maximum(at[starts] - window + 1, 0), np.minimum(at[ends], last[row[ends]] - 1)
+            heads = np.flatnonzero(new)
+            # The last row has the windows of the batch and no term.
+            bounds = np.concatenate([np.searchsorted(starts, heads), [len(starts), len(starts) + 1]]).astype(np.int32)
+            lo, hi = np.append(lo, 0), np.append(hi, last.sum())
+            spans = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(lo), pa.array(hi)], ["lo", "hi"]))
+            doc = pa.concat_arrays([batch.column("doc_id").take(pa.array(row[heads])), pa.nulls(1, batch.column("doc_id").type)])
+            named = pa.concat_arrays([names.take(pa.array(term[heads])), pa.nulls(1, names.type)])
+            yield pa.RecordBatch.from_arrays([doc, named, spans], ["doc_id", "term", "spans"])
+
+    return split.mapInArrow(look_up, f"doc_id {kind}, term string, spans {SPANS}")
+
+
+def _spans_by_join(split: DataFrame, terms: DataFrame, window: int) -> DataFrame:
+    """As _spans_in_row, for more terms than can be sent to the tasks."""
+    last = F.greatest(F.size("w") - window + 1, F.lit(1))
+    places = split.select("doc_id", last.alias("last"), F.posexplode("w").alias("at", "term"))
+    found = spread_join(places, terms, ["term"], "doc_id").groupBy("doc_id", "term").agg(F.max("last").alias("last"), F.sort_array(F.collect_list("at")).alias("p"))
+    p, far = F.col("p"), F.lit(window)
+    starts = F.filter(p, lambda x, i: (i == 0) | (x - F.get(p, i - 1) > far))
+    ends = F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1) - x > far))
+    spans = F.zip_with(starts, ends, lambda x, y: F.struct(F.greatest(x - far + 1, F.lit(0)).alias("lo"), F.least(y, F.col("last") - 1).alias("hi")))
+    every = split.agg(F.sum(last).alias("n")).select(F.lit(None).alias("doc_id"), F.lit(None).cast("string").alias("term"), F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi"))).cast(SPANS).alias("spans"))
+    return found.select("doc_id", "term", spans.cast(SPANS).alias("spans")).union(every)
+
+
 def window_counts(docs: DataFrame, words: DataFrame, window: int = 110) -> tuple[DataFrame, DataFrame, int]:
     """Boolean sliding windows that hold a word (term, n), both of two words of one topic (topic, a, b, n, a < b), and windows in all.
 
     words: (topic, term). A word at position p is seen by the windows that start in (p - window, p]: the positions of a word in a document become a
     few intervals of starts, whose lengths count windows and whose overlaps with another word's intervals count pairs. Nothing is done window by window.
     """
-    split = docs.select("doc_id", tx.words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    last = F.greatest(F.size("w") - window + 1, F.lit(1))
-    total = split.agg(F.sum(last).alias("n")).first()["n"] or 0
     terms = words.select("term").distinct()
-    places = split.select("doc_id", last.alias("last"), F.posexplode("w").alias("at", "term"))
-    found = bounded_join(places, terms, ["term"], "doc_id").groupBy("doc_id", "term").agg(F.max("last").alias("last"), F.sort_array(F.collect_list("at")).alias("p"))
-    p, far = F.col("p"), F.lit(window)
-    starts = F.filter(p, lambda x, i: (i == 0) | (x - F.get(p, i - 1) > far))
-    ends = F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1) - x > far))
-    spans = F.zip_with(starts, ends, lambda x, y: F.struct(F.greatest(x - far + 1, F.lit(0)).alias("lo"), F.least(y, F.col("last") - 1).alias("hi")))
-    found = cut_lineage(found.select("doc_id", "term", spans.alias("spans")))
-    single = found.groupBy("term").agg(F.sum(F.aggregate("spans", F.lit(0), lambda s, x: s + x["hi"] - x["lo"] + 1)).alias("n"))
+    size = terms.agg(F.sum(F.octet_length("term") + 16).alias("n")).first()["n"] or 0
+    split = docs.select("doc_id", tx.words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    found = cut_lineage(_spans_in_row(split, terms, window) if size <= SENT_BYTES else _spans_by_join(split, terms, window))
+    # A row without a term holds the windows of a batch or of all documents.
+    total = found.where("term is null").select(F.explode("spans").alias("x")).agg(F.sum("x.hi").alias("n")).first()["n"] or 0
+    found = found.where("term is not null")
+    single = found.groupBy("term").agg(F.sum(F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["hi"] - x["lo"] + 1)).alias("n"))
     # A document's words of one topic: as many as a topic has, at most.
     own = bounded_join(found, words.select("term", "topic").distinct(), ["term"], "doc_id")
     own = own.groupBy("doc_id", "topic").agg(F.sort_array(F.collect_list(F.struct("term", "spans"))).alias("e")).where(F.size("e") > 1)
 
     def overlap(x: Column, y: Column) -> Column:
-        return F.aggregate(x, F.lit(0), lambda s, i: s + F.aggregate(y, F.lit(0), lambda r, j: r + F.greatest(F.least(i["hi"], j["hi"]) - F.greatest(i["lo"], j["lo"]) + 1, F.lit(0))))
+        zero = F.lit(0).cast("long")
+        return F.aggregate(x, zero, lambda s, i: s + F.aggregate(y, zero, lambda r, j: r + F.greatest(F.least(i["hi"], j["hi"]) - F.greatest(i["lo"], j["lo"]) + 1, zero)))
 
     one = own.select("topic", "e", F.posexplode("e").alias("i", "x"))
     both = one.select("topic", F.col("x"), F.explode(F.slice("e", F.col("i") + 2, F.size("e"))).alias("y"))

@@ -11,6 +11,7 @@ from gistmill.operators.features import tokenize_terms
 from gistmill.registry import tables as t
 from gistmill.registry.features import tokens
 from gistmill.registry.tables import sql
+from gistmill.session import cut_lineage
 
 
 def category_words(spark, sf):
@@ -55,8 +56,8 @@ def q_reduce(spark, sf):
 
 
 def vector_topics(spark, sf):
-    """Documents with vectors, their term weights from the same documents."""
-    return tokenize_terms(t.doc_vectors(spark, sf), STOP_WORDS, (1, 2))
+    """Documents with vectors and terms, cleaned and encoded once and written."""
+    return cut_lineage(tokenize_terms(t.doc_vectors(spark, sf), STOP_WORDS, (1, 2)))
 
 
 def info(spark, sf):

@@ -237,7 +237,9 @@ def test_coherence_of_words_that_always_or_never_meet(spark):
     assert got[0] == pytest.approx(1) and got[2] == pytest.approx(1) and got[1] < 0.2
 
 
-def test_window_counts_by_brute_force(spark):
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_window_counts_by_brute_force(spark, monkeypatch, sent):
+    monkeypatch.setattr(tp, "SENT_BYTES", sent)
     g = np.random.default_rng(0)
     texts = [" ".join(g.choice(list("abcdefgh"), n, p=[0.02, 0.02, 0.06, 0.1, 0.2, 0.2, 0.2, 0.2])) for n in (1, 5, 30, 31, 200, 700)] + [""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -261,6 +263,33 @@ def test_window_counts_by_brute_force(spark):
     assert {(r["topic"], r["a"], r["b"]): r["n"] for r in pairs.collect() if r["n"]} == two
 
 
+def test_lookups_in_the_row_equal_joins(spark, monkeypatch):
+    """Weights, counts, lemmas and categories, with tables that are sent to the tasks and with such as are joined."""
+    from gistmill.operators import clean, features
+
+    docs = t.doc_topics(spark, SF).select("doc_id", "text", "label").limit(60)
+    docs = spark.createDataFrame(docs.collect() + [(1001, "", None), (1002, "zzz", None), (1003, None, None)], docs.schema)
+    tok = features.counted(features.tokenize_terms(docs, t.STOP_WORDS))
+    vocab = features.build_vocabulary(tok, 2, 0.9, 500)
+    lemmas = spark.createDataFrame([("the", "THE"), ("and", "&"), ("of", None), (None, "x"), ("and", "zz")], "token string, lemma string")
+    profiles = tp.unit_weights(tp.ctfidf(tp.topic_term_counts(tok.withColumn("terms", F.col("counts.term")), topic="label"), "label"), "label").withColumnRenamed("label", "category")
+    got = []
+    for sent in (1 << 24, -1):
+        for module in (features, clean, lb):
+            monkeypatch.setattr(module, "SENT_BYTES", sent)
+        weights = {(r["doc_id"], r["term"]): r["weight"] for r in features.tfidf_transform(tok, vocab).collect()}
+        counts = sorted(map(tuple, features.count_vectorize(tok, vocab).collect()))
+        text = sorted(map(tuple, clean.lemmatize(docs.select("doc_id", "text"), lemmas).collect()))
+        named = sorted((r["doc_id"], r["p"] or "") for r in lb.classify_terms(tok, {"p": (profiles, lb.FINE_NAMES)}).collect())
+        got.append((weights, counts, text, named))
+    assert got[0][0] == pytest.approx(got[1][0]) and got[0][1:] == got[1][1:]
+    plan = features.tfidf_transform(tok, vocab)
+    for module in (features,):
+        monkeypatch.setattr(module, "SENT_BYTES", 1 << 24)
+    assert "Exchange" not in features.tfidf_transform(tok, vocab)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count() == len(got[0][0])
+
+
 def test_variants_written_twice_equal_once(spark, tmp_path):
     from gistmill.operators.clean import build_variants, prepare_corpus
 
