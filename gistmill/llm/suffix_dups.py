@@ -1,8 +1,8 @@
 """Repeated byte strings, found by bucket-pointer refinement of suffixes.
 
-Suffixes get bucket identifiers for their first 2, 4, 8, ... bytes: the identifier for 2h bytes is made from those at offsets
-0 and h, so each round sorts by what the round before has left at later offsets. An identifier is a 64-bit hash of the string
-it stands for; the same string has the same identifier in every task, so buckets need no central numbering.
+Suffixes get bucket identifiers for their first bytes, to a depth that grows from step to step. An identifier is a 64-bit hash of the string
+it stands for, made from prefix sums only where a step asks for it; the same string has the same identifier in every task, so buckets need no central
+numbering, and what a step has settled is reused by the next.
 
 Only suffixes that can still be in a shared bucket of the full width are carried on:
 
@@ -27,33 +27,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gistmill.llm import blobs
-from gistmill.llm.words import BYTE_NUMBERS, U64, covered, mix, repeated, text_bytes
+from gistmill.llm.words import BYTE_NUMBERS, U64, covered, mix, powers, repeated, text_bytes
 
 WIDTH = 200
 ANCHOR_BYTES = 32
+#: Bits of a place in a route of up to 16 MB; the other bits of an identifier choose anchors.
+PLACE_BITS = 24
 #: What step 2 tells a route about an anchor.
 WINDOW, WHOLE, REST, MODEL = range(4)
 _PLACE = 4
 
 
-def identifiers(data: np.ndarray, depths: list[int]) -> dict[int, np.ndarray]:
-    """Bucket identifiers of the strings of each of the depths (rising) at each place; strings may run across texts."""
-    now, h, out = BYTE_NUMBERS[data], 1, {}
+class Identifiers:
+    """Bucket identifiers of the strings of any depth, from prefix sums over the bytes: made where they are asked for. Strings may run across texts."""
 
-    def paired(step: int) -> np.ndarray:
-        left = now[: max(0, len(now) - step)] * U64(0x9FB21C651E98DF25 + 2 * step)
-        left ^= left >> U64(31)
-        left *= U64(0xD6E8FEB86659FD93)
-        left += now[step:] if len(now) > step else now[:0]
-        return left
+    def __init__(self, data: np.ndarray):
+        self.power, self.inverse = powers(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, U64)
+        np.cumsum(BYTE_NUMBERS[data] * self.power[:-1], out=self.sums[1:])
 
-    for depth in depths:
-        while 2 * h <= depth:
-            now, h = paired(h), 2 * h
-        if h < depth:
-            now, h = paired(depth - h), depth
-        out[depth] = mix(now)
-    return out
+    def at(self, places: np.ndarray, depth: int) -> np.ndarray:
+        found = self.sums[places + depth]
+        found -= self.sums[places]
+        found *= self.inverse[places]
+        return mix(found + U64(depth))
+
+    def every(self, depth: int) -> np.ndarray:
+        n = max(0, len(self.sums) - depth)
+        found = self.sums[depth:] - self.sums[:n]
+        found *= self.inverse[:n]
+        found += U64(depth)
+        return mix(found)
 
 
 class Route:
@@ -63,17 +67,18 @@ class Route:
         self.table = blobs.in_order(table)
         self.data, self.offsets = text_bytes(self.table.column("text").chunk(0) if self.table.num_rows else pa.array([], pa.string()))
         depth = min(ANCHOR_BYTES, width)
-        ids = identifiers(self.data, sorted({depth, width}))
-        self.ids = ids[width]
+        names, self.width = Identifiers(self.data), width
+        self.ids = lambda places: names.at(places, width)
+        short = names.every(depth)
         left = np.repeat(self.offsets[1:], np.diff(self.offsets)) - np.arange(len(self.data))
         self.starts = np.flatnonzero(left >= width)
-        anchor = _least(ids[depth], width - depth + 1)[self.starts] if len(self.starts) else self.starts
+        anchor = _least(short, width - depth + 1)[self.starts] if len(self.starts) else self.starts
         # The anchor of the next window is the same or a later one, so the windows of an anchor lie together.
         new = np.concatenate([[True], anchor[1:] != anchor[:-1]]) if len(anchor) else np.zeros(0, bool)
         self.first = np.flatnonzero(new)
         self.last = np.append(self.first[1:], len(anchor)) - 1
         self.anchors = anchor[self.first]
-        self.keys = ids[depth][self.anchors]
+        self.keys = short[self.anchors]
 
     def windows(self, which: np.ndarray) -> np.ndarray:
         """Starts of the windows of the anchors of these numbers."""
@@ -84,15 +89,25 @@ class Route:
     def reach(self, which: np.ndarray) -> np.ndarray:
         """Identifiers of all bytes of an anchor's windows, and of where the anchor lies in them."""
         a, b = self.starts[self.first[which]], self.starts[self.last[which]]
-        return mix(mix(self.ids[a] + U64(1)) ^ (self.ids[b] * U64(0xA0761D6478BD642F)) ^ mix((b - a).astype(U64) << U64(20) | (self.anchors[which] - a).astype(U64)))
+        return mix(mix(self.ids(a) + U64(1)) ^ (self.ids(b) * U64(0xA0761D6478BD642F)) ^ mix((b - a).astype(U64) << U64(20) | (self.anchors[which] - a).astype(U64)))
 
 
 def _least(values: np.ndarray, span: int) -> np.ndarray:
-    """Place of the least value of each run of `span` values, the first one of ties."""
+    """Place of the least of the upper 40 bits of each run of `span` values, the first one of ties."""
     n = len(values) - span + 1
+    if len(values) <= 1 << PLACE_BITS:
+        # Value and place are one number, so the lesser of two has both.
+        least = values & ~U64((1 << PLACE_BITS) - 1)
+        least |= np.arange(len(values), dtype=U64)
+        size = 1
+        while 2 * size <= span:
+            least = np.minimum(least[:-size], least[size:])
+            size *= 2
+        shift = span - size
+        return (np.minimum(least[shift : shift + n], least[:n]) & U64((1 << PLACE_BITS) - 1)).astype(np.int64)
     # The least of a run is the lesser of those of two runs of a power of two; values are compared with their places.
     where, size = np.arange(len(values)), 1
-    least = values
+    least = values >> U64(PLACE_BITS)
     while 2 * size <= span:
         left, right = least[:-size], least[size:]
         later = right < left
@@ -146,9 +161,10 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
         r = Route(table, width)
         p, k = blobs.column(marks, "p", _PLACE).astype(np.int64), blobs.column(marks, "k", 2)
         places = r.windows(np.unique(p[k != WHOLE]))
-        firsts, again = _once(r.ids[places])
-        places = places[firsts]
-        return _dealt(table, r.ids[places], wide, {"h": (r.ids[places], 8), "p": (places.astype(U64), _PLACE), "m": (again, 1)})
+        ids = r.ids(places)
+        firsts, again = _once(ids)
+        places, ids = places[firsts], ids[firsts]
+        return _dealt(table, ids, wide, {"h": (ids, 8), "p": (places.astype(U64), _PLACE), "m": (again, 1)})
 
     anchors = by_route().applyInArrow(send_anchors, blobs.schema(h=6, p=_PLACE, m=1))
     live = anchors.groupBy("receiver").applyInArrow(_meet_anchors, blobs.schema(p=_PLACE))
@@ -166,7 +182,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
             reach = r.reach(np.arange(len(r.keys)))
             whole = np.isin(reach, reach[p[(k == WHOLE) | (k == MODEL)]])
             rest = r.windows(np.unique(p[k == REST]))
-            rest = rest[np.isin(r.ids[rest], r.ids[p[k == WINDOW]])]
+            rest = rest[np.isin(r.ids(rest), r.ids(p[k == WINDOW]))]
             starts = np.concatenate([r.windows(np.flatnonzero(whole)), rest])
             gone = covered(starts, width, len(r.data))
             ordered, data, offsets = r.table, r.data, r.offsets

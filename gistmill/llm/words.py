@@ -47,7 +47,7 @@ LOWER[0x41:0x5B] += 32
 _tables = {"power": np.ones(1, U64), "inverse": np.ones(1, U64)}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, n of each; kept by the worker and doubled when they run short."""
     if len(_tables["power"]) < n:
         size = max(n, 2 * len(_tables["power"]))
@@ -71,6 +71,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # workers live on
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +124,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def run_hashes(numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """As span_hashes, for runs of 64-bit numbers that look random."""
-    power, inverse = _powers(len(numbers) + 1)
+    power, inverse = powers(len(numbers) + 1)
     sums = np.zeros(len(numbers) + 1, U64)
     np.cumsum(numbers * power[:-1], out=sums[1:])
     found = sums[ends]

@@ -103,3 +103,15 @@ def test_hot_groups_keep_pairs_of_one_chunk(spark, monkeypatch):
     blocks = near_dups._blocks(shared.join(labels.withColumnRenamed("node", "id"), "id", "left").fillna({"label": -1}).withColumn("m", F.lit(15).cast("bigint")))
     counts = blocks.groupBy("key", "block", "side").count()
     assert counts.select("block").distinct().count() > 8 and blocks.where(f"side = {near_dups.FREQUENT}").select("id").distinct().count() == 9
+
+
+@pytest.mark.parametrize("span", [1, 2, 3, 8, 169])
+def test_anchors_are_the_least_of_their_windows(monkeypatch, span):
+    """In routes of any size by the upper bits of identifiers alone, first ones of ties."""
+    values = np.random.default_rng(span).integers(0, 2**64, 700, dtype=np.uint64)
+    values[::3] &= np.uint64((1 << 40) - 1)  # many ties above the lower 24 bits of a few values
+    want = [p + int((values[p : p + span] >> np.uint64(24)).argmin()) for p in range(len(values) - span + 1)]
+    assert suffix_dups._least(values, span).tolist() == want
+    monkeypatch.setattr(np, "minimum", None)  # the other way, for longer routes
+    big = np.concatenate([values, np.full(1 << 24, (1 << 64) - 1, np.uint64)])
+    assert suffix_dups._least(big, span)[: len(want)].tolist() == want
