@@ -39,8 +39,8 @@ HOT = 4096
 TILE = 1024
 #: Symbols of one byte in the longer signatures of candidates.
 SKETCH = 256
-#: Classes whose keys are made at a time.
-ROUTE_CLASSES = 8_000
+#: Classes whose keys are made at a time; more of them where there are so many that a bucket would get less than four keys from a route.
+ROUTE_CLASSES = 1_000
 _PLACE = 4
 
 _SEEDS = mix(np.arange(1, SYMBOLS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
@@ -122,7 +122,7 @@ def keys_of(sig: np.ndarray, chunk: int) -> np.ndarray:
 def shared_keys(classes: DataFrame) -> DataFrame:
     """Rows (key, number, id) of all keys that two or more classes have. classes: id, sig."""
     n = classes.count()
-    routes = max(1, math.ceil(n / ROUTE_CLASSES))
+    routes = max(1, math.ceil(n / max(ROUTE_CLASSES, 4 * n // blobs.BUCKET_ENTRIES)))
     routed = classes.select(F.pmod(F.xxhash64("id"), F.lit(routes)).cast("int").alias("route"), "id", "sig")
     per_class = CHUNKS * len(CHOICES)
     buckets = blobs.bucket_count(n * per_class)
