@@ -51,7 +51,7 @@ def test_no_documents(spark, tmp_path):
 
 def test_all_are_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in queries.QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))

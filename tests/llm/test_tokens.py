@@ -113,7 +113,7 @@ def page(rng: random.Random, depth: int, words: list[str], shown: bool) -> str:
         elif kind in ("div", "b"):
             out += f"<{kind}>{inner()}</{kind}>"
         elif kind == "ul":
-            out += "<ul>" + "".join(f"<li>{inner_text(rng, words, shown)}" + rng.choice(["", "</li>"]) for _ in range(2)) + "</ul>"
+            out += "<ul>" + "".join(f"<li>{item(rng, words, shown)}" + rng.choice(["", "</li>"]) for _ in range(2)) + "</ul>"
         elif kind == "hidden":
             out += rng.choice(["<div style='color:red; display : none'>", "<div hidden>"]) + inner(False) + "</div>"
         elif kind == "script":
@@ -125,6 +125,13 @@ def page(rng: random.Random, depth: int, words: list[str], shown: bool) -> str:
     return out
 
 
+def item(rng: random.Random, words: list[str], shown: bool) -> str:
+    """A list item's text; its mark is seen before it."""
+    if shown:
+        words.append("-")
+    return inner_text(rng, words, shown)
+
+
 def inner_text(rng: random.Random, words: list[str], shown: bool) -> str:
     some = [f"v{rng.randint(0, 9999)}" for _ in range(rng.randint(1, 3))]
     if shown:
