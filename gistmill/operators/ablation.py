@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gistmill.operators.evaluate import f1_summary
+from gistmill.operators.labelling import apply_labeller, build_topic_prompt, read_topic_replies, topic_inputs
 from gistmill.operators.relational import (
     drop_outliers,
     drop_unlabelled,
@@ -16,6 +17,7 @@ from gistmill.operators.relational import (
     label_id_of_name,
 )
 from gistmill.prompts import ABLATION_PROMPTS
+from gistmill.session import cut_lineage
 
 
 def kept_predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -37,6 +39,21 @@ def prompt_ablation(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scores.join(prob, "prompt")
 
 
+def run_ablation(
+    docs: DataFrame, info: DataFrame, fn: Callable[[Sequence[str]], Sequence[str]], prompts: Sequence[str] = tuple(ABLATION_PROMPTS), batch_size: int = 5
+) -> tuple[DataFrame, DataFrame]:
+    """(scores, labels): every topic of ``info`` named by ``fn`` under each prompt, some topics at a time, and all prompts scored on ``docs``.
+
+    Prompts are a column, so their replies are made in one job; a prompt's batch holds no other prompt's topics. Topics whose reply can't be read are
+    left out of that prompt. The labels are written, as their replies are costly. docs: as for ``prompt_ablation``.
+    """
+    asked = build_topic_prompt(topic_inputs(info), prompts)
+    asked = cut_lineage(asked.select("topic", "prompt", "prompt_text"))
+    answered = apply_labeller(asked.repartitionByRange("prompt", "topic").sortWithinPartitions("prompt", "topic"), fn, batch_size=batch_size, by="prompt")
+    labels = cut_lineage(read_topic_replies(answered).filter("ok").select("topic", "prompt", "tuned_topic_name", "short_explanation"))
+    return prompt_ablation(docs, labels), labels
+
+
 def best_prompt(scores: DataFrame, order: Sequence[str] = tuple(ABLATION_PROMPTS)) -> DataFrame:
     """min_f1, max_f1, best (the first prompt in order that reaches the maximum), identical."""
     place = F.array_position(F.array(*[F.lit(p) for p in order]), F.col("prompt"))

@@ -75,18 +75,20 @@ def answered_in_halves(fn: Callable[[Sequence[str]], Sequence[str]], prompts: Se
 
 
 def apply_labeller(
-    df: DataFrame, fn: Callable[[Sequence[str]], Sequence[str]], prompt_col: str = "prompt_text", batch_size: int = 5
+    df: DataFrame, fn: Callable[[Sequence[str]], Sequence[str]], prompt_col: str = "prompt_text", batch_size: int = 5, by: str | None = None
 ) -> DataFrame:
     """Adds ``reply``, ``answered`` and ``error``: ``fn`` gets up to ``batch_size`` prompts and returns as many replies.
 
-    A prompt that fails by itself is answered with 'other', and the error's text is kept. Only FAILURES are caught.
+    With ``by``, a batch ends where that column changes. A prompt that fails by itself is answered with 'other', and the error's text is kept. Only FAILURES are caught.
     """
 
     def run(batches):
         for pdf in batches:
-            found = []
-            for at in range(0, len(pdf), batch_size):
-                found += answered_in_halves(fn, pdf[prompt_col].iloc[at : at + batch_size].tolist())
+            found, prompts = [], pdf[prompt_col].tolist()
+            edges = [k for k in range(1, len(pdf)) if by and pdf[by].iloc[k] != pdf[by].iloc[k - 1]]
+            for start, stop in zip([0, *edges], [*edges, len(pdf)]):
+                for at in range(start, stop, batch_size):
+                    found += answered_in_halves(fn, prompts[at : min(stop, at + batch_size)])
             if found:
                 replies = ["other" if error else reply for reply, error in found]
                 yield pdf.assign(reply=replies, answered=[e is None for _, e in found], error=[e for _, e in found])

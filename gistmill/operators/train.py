@@ -15,6 +15,27 @@ from gistmill.operators.contrastive import RANKING_SCALE, with_vectors
 SIDES = {"triplet": ("a", "p", "n"), "simcse": ("a", "b"), "cosine": ("a", "b")}
 
 
+GRADIENT = "n long, loss double, g array<double>"
+
+
+def tree_sum(parts: DataFrame, tasks: int) -> tuple[int, float, np.ndarray] | None:
+    """Sums of (n, loss, g) with whole arrays g: in each task, then in some sqrt(tasks) tasks, then in one; one row reaches the driver."""
+
+    def add(batches):
+        n, loss, g = 0, 0.0, None
+        for pdf in batches:
+            for row_n, row_loss, row_g in zip(pdf["n"], pdf["loss"], pdf["g"]):
+                n, loss, g = n + int(row_n), loss + float(row_loss), np.array(row_g, float) if g is None else g + row_g
+        if g is not None:
+            yield pd.DataFrame({"n": [n], "loss": [loss], "g": [g]})
+
+    parts = parts.mapInPandas(add, GRADIENT)
+    for width in (int(np.ceil(np.sqrt(tasks))), 1):
+        parts = parts.repartition(width).mapInPandas(add, GRADIENT)
+    rows = parts.collect()
+    return (rows[0]["n"], rows[0]["loss"], np.array(rows[0]["g"])) if rows else None
+
+
 @dataclass
 class Head:
     weights: np.ndarray
@@ -81,7 +102,7 @@ def train_head(
     examples: DataFrame,
     vectors: DataFrame,
     loss: str,
-    epochs: int = 20,
+    epochs: int = 2,
     batch_size: int = 32,
     lr: float = 1e-5,
     weight_decay: float = 0.01,
@@ -92,8 +113,8 @@ def train_head(
 ) -> Head:
     """AdamW with linear warm-up and decay. Starts from the identity, so an untrained head changes nothing.
 
-    Each epoch is one pass over the cached examples and one step. Tasks add up their rows' gradients, Spark adds up the tasks',
-    and the driver gets one D x D matrix per pass. For the ranking loss, rows see the others of their batch of `batch_size`,
+    Each epoch is one pass over the cached examples and one step. Tasks add up their rows' gradients as whole arrays, a tree of tasks adds up
+    theirs, and the driver gets one D x D matrix per pass. For the ranking loss, rows see the others of their batch of `batch_size`,
     which is one small group; the other losses are sums over rows, so batches don't matter to them.
     """
     sides = SIDES[loss]
@@ -108,7 +129,10 @@ def train_head(
     full = full.withColumn("_batch", F.floor(F.col("_pos") / batch_size).cast("int"))
     cols = ["_batch", *[f"{s}_v" for s in sides]] + (["target"] if loss == "cosine" else [])
     full = full.select(*cols).persist()
-    dim = len(full.select(f"{sides[0]}_v").first()[0])
+    first = full.select(f"{sides[0]}_v").first()
+    if first is None:
+        raise ValueError("no example has vectors on all sides")
+    dim, tasks = len(first[0]), full.rdd.getNumPartitions()
     w, m, v = np.eye(dim), np.zeros((dim, dim)), np.zeros((dim, dim))
     total = max(1, epochs)
     warm = max(1, int(total * warmup))
@@ -123,24 +147,18 @@ def train_head(
             return pd.DataFrame({"n": [len(pdf)], "loss": [value], "g": [grad.ravel()]})
 
         def gradients(batches, gradient=gradient):
-            done = [gradient(pdf) for pdf in batches if len(pdf)]
-            if done:
-                every = pd.concat(done)
-                yield pd.DataFrame({"n": [every["n"].sum()], "loss": [every["loss"].sum()], "g": [np.sum(every["g"].to_list(), axis=0)]})
+            for pdf in batches:
+                if len(pdf):
+                    yield gradient(pdf)
 
-        schema = "n long, loss double, g array<double>"
         if loss == "simcse":
-            parts = full.groupBy("_batch").applyInPandas(lambda pdf: gradient(pdf), schema)
+            parts = full.groupBy("_batch").applyInPandas(lambda pdf: gradient(pdf), GRADIENT)
         else:
-            parts = full.mapInPandas(gradients, schema)
-        cells = parts.select("n", "loss", F.posexplode("g").alias("cell", "g")).groupBy("cell")
-        rows = cells.agg(F.sum("g").alias("g"), F.sum("n").alias("n"), F.sum("loss").alias("loss")).toPandas()
+            parts = full.mapInPandas(gradients, GRADIENT)
+        count, value, g = tree_sum(parts, tasks)
         held.unpersist()
-        if rows.empty:
-            continue
-        count = int(rows["n"].iloc[0])
-        g = rows.sort_values("cell")["g"].to_numpy().reshape(dim, dim) / count
-        head.losses.append(float(rows["loss"].iloc[0]) / count)
+        g = g.reshape(dim, dim) / count
+        head.losses.append(value / count)
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
         rate = lr * min((step + 1) / warm, max(0.0, (total - step) / max(1, total - warm)))

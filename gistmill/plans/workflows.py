@@ -61,7 +61,7 @@ def compare_approaches(
     df: DataFrame,
     n: int = 2000,
     batch_size: int = 32,
-    epochs: int = 20,
+    epochs: int = 2,
     lr: float = 1e-5,
     method: str = "pca",
     id_col: str = "vec_id",

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import functions as F
 
+from gistmill.dims import BROAD
 from gistmill.operators import ablation as ab
 from gistmill.operators import evaluate as ev
 from gistmill.operators import relational as op
-from gistmill.prompts import ABLATION_PROMPTS
+from gistmill.prompts import ABLATION_PROMPTS, TOPIC_TEMPLATES
 from gistmill.registry import tables as t
+from gistmill.registry.labels import INFO_VIEWS, _filled
 from gistmill.registry.tables import quoted, sql
+from gistmill.registry.topics import info
 from gistmill.session import scratch_path
 from gistmill.sources import writers
 
@@ -108,6 +114,22 @@ def q_ablation(spark, sf):
     return ablation(spark, sf).select("prompt", t.r6("macro_f1"), t.r6("weighted_f1"), "samples", t.r6("avg_topic_prob"))
 
 
+def md5_names(prompts):
+    """A stand-in for a remote model: a subject by the prompt's md5, now and then one that isn't listed, or none."""
+    out = []
+    for p in prompts:
+        pick = int(hashlib.md5(p.encode()).hexdigest()[:8], 16) % (len(BROAD) + 2)
+        if pick > len(BROAD):
+            raise RuntimeError("refused")
+        out.append(json.dumps({"tuned_topic_name": [*(n for _, n, _ in BROAD), "Others"][pick], "short_explanation": "by md5"}))
+    return out
+
+
+def q_run_ablation(spark, sf):
+    scores, _ = ab.run_ablation(t.labelled_docs(spark, sf), info(spark, sf), md5_names)
+    return scores.select("prompt", t.r6("macro_f1"), t.r6("weighted_f1"), "samples", t.r6("avg_topic_prob"))
+
+
 def q_best(spark, sf):
     return ab.best_prompt(ablation(spark, sf)).select(t.r6("min_f1"), t.r6("max_f1"), "best", "identical")
 
@@ -145,8 +167,10 @@ QUERIES = {
     "write_db_report": q_db_report,
     "davies_bouldin": q_davies,
     "silhouette": lambda s, sf: ev.silhouette(t.embeddings(s, sf), 1000).select(t.r6("silhouette")),
+    "silhouette_whole": lambda s, sf: ev.silhouette(t.embeddings(s, sf), None).select(t.r6("silhouette")),
     "evaluate_topic_predictions": q_evaluate,
     "prompt_ablation": q_ablation,
+    "run_ablation": q_run_ablation,
     "best_prompt": q_best,
     "prompt_comparison": lambda s, sf: ab.prompt_comparison(ablation_labels(s, sf)),
     "prompt_disagreement": lambda s, sf: ab.prompt_disagreement(ablation_labels(s, sf)),
@@ -212,17 +236,30 @@ SUFFIX = [
         "left join topic_names n on n.topic = l.topic and prompt = 'cot'",
     )
 ]
-ABLATION = [
-    (
-        "ak",
-        "select prompt, l.label, broad_label_id as pred, topic_probability from labelled_docs l join topic_names n on n.topic = l.topic "
-        f"join broad on name = n.tuned_topic_name where l.topic <> -1 and prompt in ({quoted(ABLATION_PROMPTS)})",
-    ),
-    *f1_views("ak", "label", "pred", "a", "prompt, "),
+
+
+def ablation_views(names: str) -> list[tuple[str, str]]:
+    return [
+        (
+            "ak",
+            f"select prompt, l.label, broad_label_id as pred, topic_probability from labelled_docs l join {names} n on n.topic = l.topic "
+            f"join broad on name = n.tuned_topic_name where l.topic <> -1 and prompt in ({quoted(ABLATION_PROMPTS)})",
+        ),
+        *f1_views("ak", "label", "pred", "a", "prompt, "),
+        (
+            "ab",
+            "select prompt, macro_f1, weighted_f1, samples, p as avg_topic_prob from a_sum join "
+            "(select prompt, avg(topic_probability) as p from ak group by prompt) using (prompt)",
+        ),
+    ]
+
+
+ABLATION = ablation_views("topic_names")
+ASKED = [
+    ("asked", " union all ".join(f"select topic, '{n}' as prompt, {_filled(TOPIC_TEMPLATES[n])} as p from inp" for n in ABLATION_PROMPTS)),
     (
-        "ab",
-        "select prompt, macro_f1, weighted_f1, samples, p as avg_topic_prob from a_sum join "
-        "(select prompt, avg(topic_probability) as p from ak group by prompt) using (prompt)",
+        "replied",
+        f"select topic, prompt, [{quoted([n for _, n, _ in BROAD])}][cast('0x' || substr(md5(p), 1, 8) as bigint) % {len(BROAD) + 2} + 1] as tuned_topic_name from asked",
     ),
 ]
 AB_NAMES = [("an", f"select * from topic_names where prompt in ({quoted(ABLATION_PROMPTS)})")]
@@ -318,6 +355,14 @@ ORACLE = {
         "min(case when own <> other then total / n end) as b from ab group by vec_id) "
         "select round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 6) + 0.0 as silhouette from sc"
     ),
+    "silhouette_whole": (
+        "with pts as (select vec_id, label, embedding::double[] as v from embeddings), "
+        "ab as (select a.vec_id, a.label as own, b.label as other, sum(list_distance(a.v, b.v)) as total, count(*) as n "
+        "from pts a cross join pts b group by all), "
+        "sc as (select vec_id, max(case when own = other and n > 1 then total / (n - 1) end) as a, "
+        "min(case when own <> other then total / n end) as b from ab group by vec_id) "
+        "select round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 6) + 0.0 as silhouette from sc"
+    ),
     "evaluate_topic_predictions": sql(
         "select split, total, after_outliers, after_unmapped, total - after_outliers as outliers_removed, "
         "round((total - after_outliers) * 100.0::double / total, 2) as outlier_percent, samples, "
@@ -335,6 +380,12 @@ ORACLE = {
         "broad",
         extra=ABLATION,
     ),
+    "run_ablation": sql(
+        "select prompt, round(macro_f1, 6) + 0.0 as macro_f1, round(weighted_f1, 6) + 0.0 as weighted_f1, samples, "
+        "round(avg_topic_prob, 6) + 0.0 as avg_topic_prob from ab",
+        "labelled_docs", "broad", "doc_vectors", "terms2",
+        extra=INFO_VIEWS + ASKED + ablation_views("replied"),
+    ),
     "best_prompt": sql(
         "select round(min(macro_f1), 6) + 0.0 as min_f1, round(max(macro_f1), 6) + 0.0 as max_f1, "
         f"first(prompt order by macro_f1 desc, {ORDER}) as best, min(macro_f1) = max(macro_f1) as identical from ab",

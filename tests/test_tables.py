@@ -202,6 +202,20 @@ def test_labeller_errors_cost_one_row(spark):
         lb.apply_labeller(df, broken).collect()
 
 
+def test_batches_keep_prompts_apart(spark):
+    df = spark.createDataFrame([(p, str(k)) for p in "xyy" for k in range(4)], "prompt string, prompt_text string").coalesce(1)
+    got = lb.apply_labeller(df, lambda p: [f"{len(p)}"] * len(p), batch_size=3, by="prompt").collect()
+    assert [r["reply"] for r in got] == ["3", "3", "3", "1"] + ["3"] * 6 + ["2", "2"]
+
+
+def test_few_shot_replies_are_valid(spark):
+    import re
+
+    replies = re.findall(r"REPLY (\{.*?\})", TOPIC_TEMPLATES["few_shot"])
+    read = lb.read_topic_replies(spark.createDataFrame([(r,) for r in replies], "reply string")).collect()
+    assert len(replies) == 2 and all(r["ok"] for r in read)
+
+
 def test_one_bad_prompt_costs_few_calls():
     calls = []
 

@@ -292,6 +292,23 @@ def test_training_lowers_the_loss(spark):
         tr.train_head(tri.limit(0), e, "triplet")
 
 
+def test_loss_curve_equals_numpy(spark):
+    """Gradients that come up the tree of tasks are those of all rows at once."""
+    e = t.embeddings(spark, SF)
+    tri = cn.mine_triplets(e, 150)
+    head = tr.train_head(tri, e, "triplet", epochs=4, lr=1e-3)
+    v = {r["vec_id"]: np.array(r["embedding"], float) for r in e.collect()}
+    sides = [np.stack([v[r[c]] for r in tri.collect()]) for c in ("a_id", "p_id", "n_id")]
+    w, m, s, losses = np.eye(64), 0.0, 0.0, []
+    for step in range(4):
+        value, g = tr.loss_and_gradient("triplet", w, sides, None)
+        losses.append(value / 150)
+        m, s = 0.9 * m + 0.1 * g / 150, 0.999 * s + 0.001 * (g / 150) ** 2
+        rate = 1e-3 * min(step + 1, (4 - step) / 3)
+        w = w - rate * ((m / (1 - 0.9 ** (step + 1))) / (np.sqrt(s / (1 - 0.999 ** (step + 1))) + 1e-8) + 0.01 * w)
+    assert np.allclose(head.losses, losses, rtol=1e-9) and np.allclose(head.weights, w, atol=1e-7)
+
+
 def test_gaps_below_the_sixth_place(spark):
     """Ranks are by exact distances: neighbours that differ by less than 1e-6 are told apart."""
     got = nb.knn_graph(make(spark, [[0.0, 0.0], [4e-7, 0.0], [1e-7, 0.0]]), 1, "euclidean").collect()
