@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gistmill.dims import BROAD, STOP_WORDS
 from gistmill.functions.text import terms
+from gistmill.functions.vectors import as_double
 from gistmill.operators.clean import build_variants, prepare_corpus
 from gistmill.operators.clusters import assign_topics, core_distance, density_clusters, topic_probability
 from gistmill.operators.contrastive import cosine_pairs, mine_triplets, simcse_pairs
@@ -100,14 +101,27 @@ def fit_topics(
     stop: Sequence[str] = STOP_WORDS,
     ngram_range: tuple[int, int] = (1, 2),
     eps: float | None = None,
+    reduce_to: int | None = 5,
+    tolerance: float = 1e-4,
 ) -> tuple[DataFrame, DataFrame, float]:
-    """(documents with topic, class-based term weights, eps) from doc_id, text, embedding."""
-    knn = knn_graph(docs, max(k_neighbours, min_samples), metric, "doc_id").persist()
+    """(documents with topic and ``place``, class-based term weights, eps) from doc_id, text, embedding.
+
+    ``place`` is where a document is clustered: its coordinates in a layout of the neighbour graph with ``reduce_to`` dimensions, to a residual of
+    ``tolerance``, with straight distances; the vector itself, with ``metric``, if ``reduce_to`` is None. eps is a distance between places.
+    """
+    knn = cut_lineage(knn_graph(docs, max(k_neighbours, min_samples), metric, "doc_id"))
+    if reduce_to is None:
+        placed, space = docs.withColumn("place", as_double(F.col("embedding"))), metric
+    else:
+        graph = fuzzy_graph(knn.filter(F.col("rank") <= k_neighbours), k_neighbours)
+        layout = spectral_layout(graph, reduce_to, tolerance).select(F.col("id").alias("doc_id"), F.col("coords").alias("place"))
+        placed, space = cut_lineage(docs.join(layout, "doc_id")), "euclidean"
+        knn = cut_lineage(knn_graph(placed, min_samples, space, "doc_id", "place"))
     core = core_distance(knn, min_samples)
     if eps is None:
         eps = float(core.agg(F.percentile("core", F.lit(core_quantile))).first()[0])
-    found = density_clusters(docs, eps, core, min_cluster_size, metric, "doc_id")
-    tagged = docs.join(found.withColumnRenamed("id", "doc_id"), "doc_id").withColumn(
+    found = density_clusters(placed, eps, core, min_cluster_size, space, "doc_id", "place")
+    tagged = placed.join(found.withColumnRenamed("id", "doc_id"), "doc_id").withColumn(
         "terms", terms(F.col("text"), stop, ngram_range)
     )
     tagged = cut_lineage(tagged)
@@ -115,6 +129,15 @@ def fit_topics(
     return merged, ctfidf(topic_term_counts(merged)), eps
 
 
+def place_new(new: DataFrame, fitted: DataFrame, k_neighbours: int = 15, metric: str = "cosine", reduce_to: int | None = 5) -> DataFrame:
+    """``new`` with ``place``: the mean of its nearest fitted documents' places, nearer ones counting more, or the vector itself."""
+    if reduce_to is None:
+        return new.withColumn("place", as_double(F.col("embedding")))
+    hits = nearest(as_points(new, "doc_id", "embedding", metric), as_points(fitted, "doc_id", "embedding", metric), k_neighbours, metric)
+    known = fitted.select(F.col("doc_id").alias("id"), F.col("place").alias("coords"))
+    return new.join(layout_transform(known, hits, reduce_to).select(F.col("id").alias("doc_id"), F.col("coords").alias("place")), "doc_id")
+
+
 def topics_to_scores(
     docs: DataFrame, split: Column | None = None, fn=None, prompt: str = "default", stop: Sequence[str] = STOP_WORDS, **fit
 ) -> DataFrame:
@@ -134,8 +157,10 @@ def topics_to_scores(
         labels = label_topics(info, [prompt], replies=keyword_replies(keyword_labeller(weights, category_profiles(learnt))))
     else:
         labels = label_topics(info, [prompt], fn=fn)
-    metric = fit.get("metric", "cosine")
-    placed = assign_topics(test, fitted, eps, metric, "doc_id").select(F.col("id").alias("doc_id"), "topic")
+    metric, reduce_to = fit.get("metric", "cosine"), fit.get("reduce_to", 5)
+    fresh = place_new(test, fitted, fit.get("k_neighbours", 15), metric, reduce_to)
+    space = metric if reduce_to is None else "euclidean"
+    placed = assign_topics(fresh, fitted, eps, space, "doc_id", "place").select(F.col("id").alias("doc_id"), "topic")
     cols = ["doc_id", "embedding", "label", "split", "topic"]
     everyone = fitted.select(*cols).unionByName(test.join(placed, "doc_id").select(*cols))
     prob = topic_probability(everyone, fitted, "doc_id").select(F.col("id").alias("doc_id"), "topic_probability")
