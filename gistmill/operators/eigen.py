@@ -129,7 +129,7 @@ def leading(
         for step in range(2, degree + 1):
             if advance is not None:
                 state = advance(state, names)
-                state = cut_lineage(state) if step % 5 == 0 else state
+                state = cut_lineage(state) if step % 2 == 0 else state
             else:
                 image = apply(state.select(key, *names), names).select(key, *[F.col(c).alias(f"m_{c}") for c in names])
                 state = cut_lineage(three_terms(state.join(image, key), key, names, kept))
