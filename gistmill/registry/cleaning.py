@@ -127,10 +127,16 @@ def _written_vectors(spark, sf):
 def q_embeddings(spark, sf):
     v = _written_vectors(spark, sf)
     return v.select("doc_id", "text", "label", F.posexplode("embedding").alias("d", "x")).select(
-        "doc_id", F.length("text").alias("chars"), "label", "d", t.r6(F.col("x").cast("double"), "x")
+        "doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "label", "d", t.r6(F.col("x").cast("double"), "x")
     )
 
 
+def q_write_embeddings(spark, sf):
+    """A row for each written document, with its whole text."""
+    length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
+    return _written_vectors(spark, sf).select("doc_id", "text", "label", F.size("embedding").alias("places"), t.r6(F.sqrt(length), "length"))
+
+
 def _projection(spark, sf):
     v = t.doc_vectors(spark, sf)
     return v.select(
@@ -187,7 +193,7 @@ def q_short_report(spark, sf):
 
 
 VEC_SQL = (
-    "select doc_id, length(text) as chars, label, cast(generate_subscripts(embedding, 1) - 1 as int) as d, "
+    "select doc_id, md5(text) as text_md5, label, cast(generate_subscripts(embedding, 1) - 1 as int) as d, "
     "round(unnest(embedding), 6) + 0.0 as x from doc_vectors"
 )
 PROJ_SQL = (
@@ -203,7 +209,7 @@ QUERIES = {
     "read_projection": q_projection,
     "write_clean_csv": q_write_csv,
     "write_variants": q_write_variants,
-    "write_embeddings": q_embeddings,
+    "write_embeddings": q_write_embeddings,
     "write_projection": q_projection,
     "write_prediction_pair": q_prediction_pair,
     "strip_header": scalar(tx.strip_header),
@@ -242,7 +248,10 @@ ORACLE = {
     "read_projection": sql(PROJ_SQL, "doc_vectors"),
     "write_clean_csv": sql("select doc_id, text, label_id, label from corpus", "corpus"),
     "write_variants": sql(VARIANTS_SQL, "corpus"),
-    "write_embeddings": sql(VEC_SQL, "doc_vectors"),
+    "write_embeddings": sql(
+        "select doc_id, text, label, cast(len(embedding) as int) as places, round(sqrt(list_dot_product(embedding, embedding)), 6) + 0.0 as length from doc_vectors",
+        "doc_vectors",
+    ),
     "write_projection": sql(PROJ_SQL, "doc_vectors"),
     "strip_header": scalar_sql(t.sql_strip_header),
     "strip_quoted": scalar_sql(t.sql_strip_quoted),
