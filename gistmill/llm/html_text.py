@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gistmill.llm.words import slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title meta link object iframe svg math canvas audio video datalist select textarea".split())
+UNSEEN = frozenset("head script style template noscript title meta link object iframe svg math canvas audio video datalist select textarea rp".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup legend li main menu nav ol p pre section summary table caption tbody thead tfoot tr ul".split()
@@ -40,6 +40,8 @@ ROWS = frozenset("table thead tbody tfoot".split())
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 #: Columns at which indents end; what is nested deeper stands there as well, with all its text.
 INDENT = 400
+#: Cells with a longer line don't widen their column: they break out of it, so that no row is filled up to them.
+WIDE = 200
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -132,6 +134,20 @@ def seen(node: Node) -> bool:
     return not _HIDDEN.search(node.attributes.get("style") or "")
 
 
+def folded(node: Node) -> Node:
+    """Of a closed <details> only its summary can be seen."""
+    if node.name != "details" or "open" in node.attributes:
+        return node
+    out = Node("div", {})
+    out.children = [c for c in node.children if isinstance(c, Node) and c.name == "summary"][:1]
+    return out
+
+
+def whole_number(text: str | None, other: int) -> int:
+    text = (text or "").strip()
+    return int(text) if re.fullmatch(r"-?[0-9]{1,9}", text) else other
+
+
 class Page:
     """Lines of text as they are written: pieces of a line, with at most one blank between words, and gaps between blocks."""
 
@@ -212,11 +228,12 @@ def render(node: Node, page: Page) -> Generator:
         elif child.name in BLOCK:
             gap = child.name in SPACED
             page.end(gap)
-            before = page.indent
+            before, mark = page.indent, page.mark
             page.indent = (page.indent + ("  " if child.name in ("blockquote", "dd") else ""))[:INDENT]
-            yield render(child, page)
+            yield render(folded(child), page)
             page.end(gap)
-            page.indent = before
+            # What follows the block that took a list item's mark stands under its text.
+            page.indent = (before + " " * (len(mark) if not page.mark else 0))[:INDENT]
         else:
             yield render(child, page)
 
@@ -231,9 +248,10 @@ def _flat(node: Node) -> Generator:
 def _list(node: Node, page: Page, numbered: bool) -> Generator:
     nested = bool(page.indent or page.mark)
     page.end(gap=not nested)
-    before, number = page.indent, 1
+    before, number = page.indent, whole_number(node.attributes.get("start"), 1)
     for child in node.children:
         if isinstance(child, Node) and child.name == "li" and seen(child):
+            number = whole_number(child.attributes.get("value"), number)
             page.indent, page.mark = before, f"{number}. " if numbered else "- "
             number += 1
             yield render(child, page)
@@ -282,7 +300,7 @@ def _table(node: Node) -> Generator:
     for row in rows:
         widths.extend([0] * (len(row) - len(widths)))
         for k, cell in enumerate(row):
-            widths[k] = max(widths[k], *(len(line) for line in cell.split("\n")))
+            widths[k] = max(widths[k], *(n if (n := len(line)) <= WIDE else 0 for line in cell.split("\n")))
     out = [line for line in before if line]
     for row in rows:
         parts = [cell.split("\n") for cell in row]
@@ -317,8 +335,8 @@ def html_text(pages: DataFrame, id_col: str = "page_id", html: str = "html") ->
     """One row per row of `pages`: id, text (all that can be seen, laid out), n_chars, n_lines.
 
     Blocks stand on lines of their own, with an empty line around paragraphs, headings, lists, tables and quotations; list items have marks and
-    indents, cells of a table's column start at one place. Elements may be nested to any depth; indents end at INDENT columns. White space is one blank, but not in <pre>. Scripts, styles, templates, embedded
-    objects, form choices and hidden elements are not seen. A null page has a null text, an empty one an empty text; whatever is not well formed
+    indents, cells of a table's column start at one place, but for what stands right of lines of over WIDE characters. Elements may be nested to any depth; indents end at INDENT columns. White space is one blank, but not in <pre>. Scripts, styles, templates, embedded
+    objects, form choices, hidden elements and what closed <details> hold are not seen; style sheets are not applied. A null page has a null text, an empty one an empty text; whatever is not well formed
     is read as far as it goes; an empty table gives none; other columns are not read.
     """
 

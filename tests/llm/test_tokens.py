@@ -158,6 +158,8 @@ def test_pages_keep_all_that_is_seen(spark):
         ("<table><tr><th>A<th>Long<tr><td>wide cell<td>2</table>", "A         | Long\nwide cell | 2"), ("<tr><td>x</td></tr>", "x"), ("</p>a</div>", "a"),
         ("<blockquote>q<br>r</blockquote>", "  q\n  r"), ("<img alt='pic'> <span hidden>no</span><template>no</template>yes", "pic yes"), ("<html hidden><body>x", ""),
         ("<h1>T<h2>U</h2>v", "T\n\nU\n\nv"), ("<dl><dt>t<dd>d</dl>", "t\n  d"), ("<div>" * 5000 + "deep", "deep"), ("<a <b>x", "x"), ("<table><td>a</td>stray</table>", "stray\na"),
+        ("<ul><li><p>a<p>b<li>c</ul>", "- a\n\n  b\n\n- c"), ("<ol start=4><li>a<li value=9>b<li>c</ol>", "4. a\n9. b\n10. c"), ("<ol start=x><li>a</ol>", "1. a"),
+        ("<details><summary>s</summary>no<p>no</details>yes", "s\nyes"), ("<details open><summary>s</summary>a</details>", "s\na"), ("<ruby>k<rp>(</rp><rt>r</rt><rp>)</rp></ruby>", "kr"),
     ],
 )
 def test_layout(html, want):
@@ -170,6 +172,12 @@ def test_odd_page_tables(spark):
     assert html_text.html_text(frame.limit(0)).count() == 0
 
 
+def test_wide_cells_fill_no_rows():
+    """One very long cell above a thousand short rows: the text grows with the page."""
+    text = html_text.extract("<table><tr><td>" + "x" * 100_000 + "<td>y" + "<tr><td>a<td>b" * 1000 + "</table>")
+    assert len(text) < 130_000 and text.startswith("x" * 100_000 + " | y\na | b\n")
+
+
 def test_deep_pages():
     """Below hundreds of open elements, hidden text stays hidden, tables and lists keep their shape, end tags find their own element; a visible bar stays."""
     inner = "<script>var x</script><div hidden>no<div>no</div>no</div><style>no</style><table><tr><td>a</td><td>b|</td><td></td></tr></table><ul><li>c</li></ul>"
