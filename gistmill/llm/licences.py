@@ -13,8 +13,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Lines that name an owner, without their line break.
-COPYRIGHT_LINE = r"^[ \t*#/;-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: Owners and templates that stand in licences themselves, taken out wherever a line break is.
+OWN_COPYRIGHT = (
+    r"copyright[ \t\n]+(?:\(c\)[ \t\n]+(?:[0-9][0-9, \t\n-]*[ \t\n]+free[ \t\n]+software[ \t\n]+foundation,?[ \t\n]+inc\.(?:[ \t\n]+<?https?://(?:www\.)?fsf\.org/?>?)?"
+    r"|(?:<year>|year|19yy|19xx)[ \t\n]+(?:<?name[ \t\n]+of[ \t\n]+author>?|your[ \t\n]+name\.?)"
+    r"|[_ \t\n]+\.[ \t\n]+all[ \t\n]+rights[ \t\n]+reserved\.?)"
+    r"|\[yyyy\][ \t\n]+\[name[ \t\n]+of[ \t\n]+copyright[ \t\n]+owner\])"
+)
+#: What a copyright line begins with: the word with a sign, a year or a place for one. The word alone may begin any line of terms.
+_MARK = r"(?:copyright[ \t]*(?::[ \t]*)?(?:\(c\)|©|<?[0-9]{4}|\[)|\(c\)[ \t]*[0-9]{4}|©)"
+_RESERVED = r"all[ \t\n]+rights[ \t\n]+reserved"
+#: Lines that name an owner, without their line break; one that is wrapped goes as far as "all rights reserved" within two more lines.
+COPYRIGHT_LINE = rf"^[ \t*#/;-]*(?:{_MARK}(?:[^\n]*(?:\n[^\n]+?){{0,2}}?\b{_RESERVED}\b|[^\n]*$)|all[ \t]+rights[ \t]+reserved[. \t]*$)"
 #: All ASCII but letters, digits and line breaks, and quotation marks and dashes of print.
 PUNCTUATION = "[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F‘’“”«»–—…]+"
 #: Spellings that mean the same, as (pattern within blanks, what it becomes).
@@ -94,7 +104,8 @@ def _spelled(col: Column, spellings: list[tuple[str, str]]) -> Column:
 def canonical_lines(text: str | Column) -> Column:
     """The lines of a text in canonical form, each within blanks, with two blanks between words."""
     col = F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), UPPER, LOWER)
-    col = F.regexp_replace(F.regexp_replace(col, f"(?md){COPYRIGHT_LINE}", ""), PUNCTUATION, "  ")
+    col = F.regexp_replace(F.regexp_replace(col, OWN_COPYRIGHT, ""), f"(?md){COPYRIGHT_LINE}", "")
+    col = F.regexp_replace(col, PUNCTUATION, "  ")
     col = F.concat(F.lit("  "), F.regexp_replace(col, "\n", "  \n  "), F.lit("  "))
     col = F.regexp_replace(F.regexp_replace(col, "  +", "  "), "([^ \n]) (?=[^ \n])", "$1  ")
     return _spelled(col, SPELLINGS)

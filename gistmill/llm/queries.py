@@ -244,7 +244,8 @@ select vec_id, code, error, label_error, codebooks_sha256 from coded join labels
 _OP13 = r"""
 with texts as (
   select coalesce(lang, 'und') as lang, doc_id, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]') as ps from documents
+-
+]') as ps from documents
 ),
 pieces as (select lang, list_filter(regexp_split_to_array(unnest(ps), '[ 	]+'), lambda w: w <> '') as ws from texts),
 grams as (
@@ -272,11 +273,11 @@ def _op8() -> str:
     marks = lambda x: re.sub(r"\$(\d)", r"\\\1", x)
     spelled = lambda col, some: reduce(lambda c, x: f"regexp_replace({c}, ' {x[0].replace(' ', '  ')} ', ' {marks(x[1]).replace(' ', '  ')} ', 'g')", some, col)
     lines = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    lines = f"regexp_replace(regexp_replace({lines}, '(?m){licences.COPYRIGHT_LINE}', '', 'g'), '{licences.PUNCTUATION}', '  ', 'g')"
+    lines = f"regexp_replace(regexp_replace(regexp_replace({lines}, '{licences.OWN_COPYRIGHT}', '', 'g'), '(?m){licences.COPYRIGHT_LINE}', '', 'g'), '{licences.PUNCTUATION}', '  ', 'g')"
     lines = f"regexp_replace(regexp_replace('  ' || replace({lines}, chr(10), '  ' || chr(10) || '  ') || '  ', '  +', '  ', 'g'), '([^ \\n]) ([^ \\n])', '\\1  \\2', 'g')"
     lines = spelled(lines, licences.SPELLINGS)
     whole = spelled("'  ' || trim(regexp_replace(lines, '[ \\n]+', '  ', 'g')) || '  '", [x for x in licences.SPELLINGS if " " in x[0] + x[1]])
-    known = ", ".join(f"('{name}', '{quoted(text)}')" for name, text in licences.KNOWN)
+    known = ", ".join(f"('{name}', '{quoted(text)}')" for name, text in licences.KNOWN + licences.whole_texts())
     form = lambda table, keys: f"select {keys}, lines, trim(regexp_replace({whole}, ' +', ' ', 'g')) as whole from (select {keys}, {lines} as lines from {table})"
     return f"""
 with known as (select whole, min(licence) as licence from ({form(f"(values {known}) t(licence, text)", "licence")}) group by whole),

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from importlib import resources
 
 from gistmill.llm import decontaminate, licences, quality, shards
@@ -159,3 +160,22 @@ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
     docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(want)], "doc_id long, text string")
     got = {r["id"]: r["licence"] for r in licences.licence_scan(docs, licences.known_digests(spark)).collect()}
     assert [(k, got[k]) for k in range(len(want))] == [(k, n) for k, (n, _) in enumerate(want)]
+
+
+def test_wrapped_licences(spark):
+    """Every known text, its paragraphs wrapped at widths that put "copyright" first in lines of terms, and owners over two lines."""
+    rows, want = [], {}
+    for licence, text in licences.KNOWN + licences.whole_texts():
+        for width in [*range(40, 121, 8), 50, 61, 62, 81, 82, 117]:
+            parts = (textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in re.split(r"\n[ \t]*\n", text))
+            want[len(rows)] = licence
+            rows.append((len(rows), "\n\n".join(parts)))
+    mit = licences.KNOWN[6][1]
+    for owner in ("Copyright 2020 Someone", "Copyright: 2020, Someone", "(c) 1999 A\n(c) 2001 B", "Copyright (c) 2020 A long\nname of some owner. All rights\nreserved.", "Copyright [2020] [A]", "All rights reserved."):
+        want[len(rows)] = "MIT"
+        rows.append((len(rows), f"{owner}\n\n{mit}"))
+    for other in (f"Copyright law holds.\n\n{mit}", f"{mit}\nCopyright holders may add terms."):
+        want[len(rows)] = None
+        rows.append((len(rows), other))
+    got = licences.licence_scan(spark.createDataFrame(rows, "doc_id long, text string"), licences.known_digests(spark)).collect()
+    assert {r["id"]: r["licence"] for r in got} == want
