@@ -57,6 +57,28 @@ class Merges:
         sizes[rows] = size
         return out, sizes
 
+    def traced(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each row of ids step by step: its first symbol, its last one and the rank of the next merge (NONE: none is left), a column each for every step; and the symbols left."""
+        n, size = ids.shape
+        ids, line, left = ids.copy(), np.arange(n), np.full(n, size)
+        first, last, then = np.empty((n, size), np.int64), np.empty((n, size), np.int64), np.full((n, size), NONE, np.int32)
+        for step in range(size):
+            first[:, step], last[:, step] = ids[:, 0], ids[line, left - 1]
+            if size == 1:
+                break
+            rank = np.where(np.arange(1, size)[None] < left[:, None], self._rank(ids[:, :-1], ids[:, 1:]), NONE)
+            best = rank.argmin(1)
+            then[:, step] = rank[line, best]
+            rows = np.flatnonzero(then[:, step] < NONE)
+            at, _ = self._find(ids[rows, best[rows]], ids[rows, best[rows] + 1])
+            ids[rows, best[rows]] = self.made[at]
+            shifted = np.zeros((n, size - 1), bool)
+            shifted[rows] = np.arange(size - 1)[None] > best[rows, None]
+            ids[:, :-1] = np.where(shifted, ids[:, 1:], ids[:, :-1])
+            # The last place of a merged row is beyond its end now, and so is its neighbour if the merge was there.
+            left[rows] -= 1
+        return first, last, then, left
+
     def single(self, ids: list[int]) -> list[int]:
         """Merges one row with a heap of its pairs."""
         ids = list(ids)

@@ -6,8 +6,10 @@ them). Each distinct unit of a slice is encoded once, and units of equal length
 * Unigram: Viterbi. For each end place, hashes of the substrings that end there probe the sorted keys of the pieces, and the vectorised maximum of
   the scores so far stores the way back. Sums are of single precision, unit by unit; where two ways have the same sum but for rounding, a library that adds up
   whole sentences may take the other one.
-* BPE: the best sum of scores is not what such a model means, so Viterbi gives wrong ids for it. Here the units of equal length merge their best pair
-  together, with pairs looked up in sorted keys, until none is left.
+* BPE: the best sum of scores is not what such a model means, so the way back is another. The merges of a text are those of its parts wherever no merge
+  crosses from part to part; so a row of pieces is the encoding if each is by itself and each two neighbours are (they are a compatible pair), and each
+  prefix has exactly one last piece. For each end place, the same probes give the candidates; of those that are compatible with the last piece of the prefix
+  before them the vectorised maximum of lengths, which is the only one, stores the way back. Whether a pair is compatible follows from the steps in which both are merged.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from gistmill.llm.merges import LONG, Merges
+from gistmill.llm.merges import NONE, Merges
 from gistmill.llm.token_counts import characters
 from gistmill.llm.words import U64, mix, run_hashes, slices, text_bytes
 
@@ -32,6 +34,10 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 SPACE = 0x2581
 #: What an unknown character scores below the least piece.
 UNKNOWN_COST = 10.0
+#: Pairs that are remembered in a worker, 9 bytes each; a pair that takes another's place is told anew when it is met again.
+PAIRS = 1 << 20
+#: Fewer units of one length than this go place by place, each by itself.
+FEW = 24
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -110,12 +116,14 @@ class Model:
                 if (left := of(name[:cut])) is not None and (right := of(name[cut:])) is not None
             ]
             self.merges = Merges(*np.array(rows, np.int64).T)
-        else:
-            keys = np.array([self._key([ord(c) for c in name]) for name in normal], U64)
-            order = np.argsort(keys)
-            self.keys, self.of_key = keys[order], np.array(list(normal.values()), np.int64)[order]
-            self.longest = max(map(len, normal))
-            self.unknown_score = np.float32(self.score[list(normal.values())].min() - UNKNOWN_COST)
+            normal = self._steps(normal)
+        keys = np.array([self._key([ord(c) for c in name]) for name in normal], U64)
+        order = np.argsort(keys)
+        self.by_name, self.keys, self.of_key = normal, keys[order], np.array(list(normal.values()), np.int64)[order]
+        self.may_be = np.zeros(1 << 20, bool)  # by the first bits of a key; most substrings are told by these
+        self.may_be[keys >> U64(44)] = True
+        self.longest = max(map(len, normal))
+        self.unknown_score = np.float32(self.score[list(normal.values())].min() - UNKNOWN_COST)
         text = [b"" if k == CONTROL else bytes([int(n[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else n.replace("▁", " ").encode() for n, _, k in pieces]
         self.text_ends = np.cumsum([len(t) for t in text])
         self.text_sizes = np.array([len(t) for t in text], np.int64)
@@ -155,6 +163,116 @@ class Model:
             out.append(np.array(ids[::-1], np.int64))
         return out
 
+    def _steps(self, normal: dict[str, int]) -> dict[str, int]:
+        """Keeps the steps in which pieces are merged; returns the pieces that merging their characters gives."""
+        longest = max(map(len, normal))
+        self.first, self.last, self.then = np.zeros((self.base + 1, longest), np.int64), np.zeros((self.base + 1, longest), np.int64), np.full((self.base + 1, longest), NONE, np.int32)
+        whole = {}
+        for size in sorted({len(name) for name in normal}):
+            names = [name for name in normal if len(name) == size]
+            ids = np.array([normal[name] for name in names], np.int64)
+            first, last, then, left = self.merges.traced(self.symbol[np.array([[ord(c) for c in name] for name in names])])
+            self.first[ids, :size], self.last[ids, :size], self.then[ids, :size] = first, last, then
+            whole |= {names[k]: int(ids[k]) for k in np.flatnonzero((left == 1) & (first[:, -1] == ids))}
+        self.pair_keys, self.pair_fits = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
+        return whole
+
+    def _merged_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether no merge crosses from the left to the right piece. Both take their steps in the order of ranks, the left one's first among equals."""
+        fits, going = np.ones(len(left), bool), np.arange(len(left))
+        a, b = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
+        of_left, of_right = np.minimum(left, self.base), np.minimum(right, self.base)
+        while len(going):
+            p, q, j, k = of_left[going], of_right[going], a[going], b[going]
+            next_left, next_right = self.then[p, j], self.then[q, k]
+            crossing = self.merges._rank(np.where(p < self.base, self.last[p, j], left[going]), np.where(q < self.base, self.first[q, k], right[going]))
+            crosses = (crossing < next_left) & (crossing <= next_right) & (crossing < NONE)
+            fits[going[crosses]] = False
+            by_left = next_left <= next_right
+            a[going] += by_left
+            b[going] += ~by_left
+            going = going[~crosses & (np.minimum(next_left, next_right) < NONE)]
+        return fits
+
+    def _pair_apart(self, left: int, right: int) -> bool:
+        """As `_merged_apart`, for one pair."""
+        a = b = 0
+        p, q = min(left, self.base), min(right, self.base)
+        last, next_left, first, next_right = self.last[p].tolist(), self.then[p].tolist(), self.first[q].tolist(), self.then[q].tolist()
+        while True:
+            crossing = self.merges.by_key.get((left if p == self.base else last[a]) << 32 | (right if q == self.base else first[b]))
+            if crossing and crossing[0] < next_left[a] and crossing[0] <= next_right[b]:
+                return False
+            if min(next_left[a], next_right[b]) == NONE:
+                return True
+            if next_left[a] <= next_right[b]:
+                a += 1
+            else:
+                b += 1
+
+    def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether merging the joined texts of two pieces gives them again."""
+        pairs = left << 32 | right
+        slot = (mix(pairs.astype(U64)) >> U64(20)).astype(np.int64) & (PAIRS - 1)
+        fits = self.pair_fits[slot]
+        new = np.flatnonzero(self.pair_keys[slot] != pairs)
+        if len(new):
+            distinct, firsts, back = np.unique(pairs[new], return_index=True, return_inverse=True)
+            told = self._merged_apart(distinct >> 32, distinct & 0xFFFFFFFF)
+            fits[new] = told[back]
+            places, one = np.unique(slot[new[firsts]], return_index=True)
+            self.pair_keys[places], self.pair_fits[places] = distinct[one], told[one]
+        return fits
+
+    def compatible_way(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of units of equal length, a row of code points each, in the one way in which all neighbours are compatible; and how many each has."""
+        n, size = codes.shape
+        numbers = mix(codes.astype(U64).ravel() + U64(1))
+        rows, alone = np.arange(n), self.symbol[codes]
+        piece, back = np.zeros((n, size + 1), np.int64), np.zeros((n, size + 1), np.int64)
+        for end in range(1, size + 1):
+            starts = np.arange(max(0, end - self.longest), end - 1)
+            keys = run_hashes(numbers, (rows[:, None] * size + starts[None]).ravel(), np.repeat(rows * size + end, len(starts)))
+            hit = np.flatnonzero(self.may_be[keys >> U64(44)])
+            found = np.minimum(np.searchsorted(self.keys, keys[hit]), len(self.keys) - 1)
+            same = self.keys[found] == keys[hit]
+            hit, found = hit[same], found[same]
+            # A character by itself is a candidate in every row.
+            row = np.concatenate([hit // max(1, len(starts)), rows])
+            start = np.concatenate([starts[hit % max(1, len(starts))], np.full(n, end - 1)])
+            ids = np.concatenate([self.of_key[found], alone[:, end - 1]])
+            inner = np.flatnonzero(start > 0)
+            fits = np.ones(len(row), bool)
+            fits[inner] = self.compatible(piece[row[inner], start[inner]], ids[inner])
+            length = np.zeros(n, np.int64)
+            np.maximum.at(length, row[fits], end - start[fits])
+            chosen = np.flatnonzero(fits & (end - start == length[row]))
+            piece[row[chosen], end], back[row[chosen], end] = ids[chosen], start[chosen]
+        return _ways(piece, back)
+
+    def compatible_way_alone(self, codes: np.ndarray) -> np.ndarray:
+        """As `compatible_way`, place by place for one unit of any length."""
+        text, symbols = "".join(map(chr, codes.tolist())), self.symbol[codes].tolist()
+        piece, back, known = [0] * (len(text) + 1), [0] * (len(text) + 1), {}
+        for end in range(1, len(text) + 1):
+            for start in range(max(0, end - self.longest), end):
+                this = symbols[start] if start == end - 1 else self.by_name.get(text[start:end])
+                if this is None:
+                    continue
+                if start:
+                    pair = (piece[start], this)
+                    if pair not in known:
+                        known[pair] = self._pair_apart(*pair)
+                    if not known[pair]:
+                        continue
+                piece[end], back[end] = this, start
+                break
+        ids, at = [], len(text)
+        while at:
+            ids.append(piece[at])
+            at = back[at]
+        return np.array(ids[::-1], np.int64)
+
     def units(self, codes: np.ndarray, heads: np.ndarray) -> np.ndarray:
         """Places where units start. heads: where texts start."""
         starts = np.zeros(len(codes), bool)
@@ -190,12 +308,12 @@ class Model:
             grid = codes[a[rows, None] + np.arange(size)]
             if self.kind == UNIGRAM:
                 made = self.viterbi(grid)
-            elif size > LONG:
-                made = [np.array(self.merges.single(self.symbol[row].tolist()), np.int64) for row in grid]
+            elif len(rows) < FEW:
+                made = [self.compatible_way_alone(row) for row in grid]
             else:
-                ids, kept = self.merges.batch(self.symbol[grid])
+                ids, kept = self.compatible_way(grid)
                 counts[rows] = kept
-                parts.append(ids[np.arange(size)[None] < kept[:, None]])
+                parts.append(ids)
                 continue
             counts[rows] = [len(x) for x in made]
             parts.extend(made)
@@ -248,6 +366,17 @@ class Model:
         return [t[1:] if self.prefix and t[:1] == " " else t for t in out]
 
 
+def _ways(piece: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces on the way back from the last place of each row, row by row, and their number."""
+    n, places = piece.shape
+    on, at, going = np.zeros((n, places), bool), np.full(n, places - 1), np.arange(n)
+    while len(going):
+        on[going, at] = True
+        at = back[going, at]
+        going, at = going[at > 0], at[at > 0]
+    return piece[on], on.sum(1)
+
+
 _models: dict[int, Model] = {}
 
 

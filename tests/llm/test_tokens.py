@@ -68,6 +68,32 @@ def test_pieces(docs, given, empty):
     assert model.decode(ids, offsets) == library.decode(want)
 
 
+def test_compatible_pieces(docs, given, monkeypatch):
+    """One unit of any length and many of one length give the library's ids, also when few pairs are remembered; no merge is run for them."""
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    monkeypatch.setattr(pieces, "PAIRS", 64)
+    with open(PIECES, "rb") as file:
+        model = pieces.Model(file.read())
+    monkeypatch.setattr(model.merges, "batch", None)
+    monkeypatch.setattr(model.merges, "single", None)
+    rng = random.Random(8)
+    letters = ["".join(rng.choice("abcdeinorst") for _ in range(rng.randint(1, 90))) for _ in range(3000)] + ["".join(rng.choice("aeinorstxé中") for _ in range(20_000))]
+    texts = letters + [t or "" for _, t in given] + [f"{a}{b}" for a in model.names[300:3000:50] for b in model.names[400:3000:60]]
+    want = library.encode(texts)
+    for few in (0, 24, 1 << 40):
+        monkeypatch.setattr(pieces, "FEW", few)
+        some = [k for k in range(len(texts)) if few or len(texts[k]) < 2000]
+        ids, offsets = model.encode(*text_bytes(pa.array([texts[k] for k in some])))
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [want[k] for k in some]
+    parts = np.array(sorted(model.by_name.values()), np.int64)
+    left, right = np.random.default_rng(4).choice(parts, (2, 3000))
+    fits = model._merged_apart(left, right)
+    assert [model._pair_apart(a, b) for a, b in zip(left.tolist(), right.tolist())] == fits.tolist()
+    inner = [k for k in range(3000) if model.names[right[k]][0] != "▁" and model.names[left[k]][0] == "▁"]
+    joined = library.encode([(model.names[left[k]] + model.names[right[k]])[1:].replace("▁", " ") for k in inner])
+    assert [ids == [left[k], right[k]] for k, ids in zip(inner, joined)] == [fits[k] for k in inner]
+
+
 def message(field: int, body: bytes) -> bytes:
     size, out = len(body), b""
     while True:
