@@ -1,14 +1,14 @@
-"""Byte-pair merges of many short symbol rows at once, and of one long row."""
+"""Byte-pair merges of the tokens of a vocabulary, and which tokens may stand side by side."""
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 
+from gistmill.llm.words import U64, mix
+
 NONE = np.int32(0x7FFFFFFF)
-#: Longer rows are merged one by one.
-LONG = 48
+#: Pairs that are remembered in a worker, 9 bytes each; a pair that takes another's place is told anew when it is met again.
+PAIRS = 1 << 20
 
 
 class Merges:
@@ -29,34 +29,6 @@ class Merges:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return at, self.keys[at] == keys
 
-    def batch(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merges each row of ids; returns the rows, filled up with what doesn't matter, and the number of symbols in each."""
-        n, size = ids.shape
-        out, sizes, rows = ids.copy(), np.full(n, size, np.int32), np.arange(n)
-        rank = self._rank(ids[:, :-1], ids[:, 1:])
-        while size > 1 and len(rows):
-            line = np.arange(len(rows))
-            best = rank.argmin(1)
-            going = rank[line, best] < NONE
-            out[rows[~going], :size] = ids[~going]
-            sizes[rows[~going]] = size
-            rows, ids, rank, best, line = rows[going], ids[going], rank[going], best[going], line[: going.sum()]
-            if not len(rows):
-                return out, sizes
-            at, _ = self._find(ids[line, best], ids[line, best + 1])
-            shifted = np.arange(size - 1)[None] > best[:, None]
-            ids[line, best] = self.made[at]
-            ids[:, :-1] = np.where(shifted, ids[:, 1:], ids[:, :-1])
-            rank[:, :-1] = np.where(shifted[:, :-1], rank[:, 1:], rank[:, :-1])
-            size -= 1
-            ids, rank = ids[:, :size], rank[:, : size - 1]
-            for k in (best - 1, best):
-                ok = (k >= 0) & (k < size - 1)
-                rank[line[ok], k[ok]] = self._rank(ids[line[ok], k[ok]], ids[line[ok], k[ok] + 1])
-        out[rows, :size] = ids
-        sizes[rows] = size
-        return out, sizes
-
     def traced(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Each row of ids step by step: its first symbol, its last one and the rank of the next merge (NONE: none is left), a column each for every step; and the symbols left."""
         n, size = ids.shape
@@ -79,22 +51,72 @@ class Merges:
             left[rows] -= 1
         return first, last, then, left
 
-    def single(self, ids: list[int]) -> list[int]:
-        """Merges one row with a heap of its pairs."""
-        ids = list(ids)
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(m[0], k, a, b) for k, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (m := self.by_key.get(a << 32 | b))]
-        heapq.heapify(heap)
-        while heap:
-            _, k, a, b = heapq.heappop(heap)
-            then = after[k]
-            if ids[k] != a or then >= len(ids) or ids[then] != b:
-                continue
-            ids[k], ids[then] = self.by_key[a << 32 | b][1], -1
-            after[k] = after[then]
-            if after[k] < len(ids):
-                before[after[k]] = k
-            for p in (before[k], k):
-                if p >= 0 and after[p] < len(ids) and (m := self.by_key.get(ids[p] << 32 | ids[after[p]])):
-                    heapq.heappush(heap, (m[0], p, ids[p], ids[after[p]]))
-        return [x for x in ids if x >= 0]
+
+class Pairs:
+    """Which two tokens are compatible: merging their joined texts gives them again.
+
+    The merges of a text are those of its parts wherever none crosses from part to part. So tokens side by side are the encoding of their text if each is
+    whole (merging its symbols gives it) and each two neighbours are compatible, and each prefix of a text has exactly one last token.
+    Whether a merge crosses follows from the steps in which both are merged; these are kept one after the other for all tokens.
+    """
+
+    def __init__(self, merges: Merges, ids: np.ndarray, symbols: list[np.ndarray], base: int):
+        """symbols: of each token in ids, which are below base. What has no steps, or is base or more, is a symbol by itself."""
+        self.merges, self.base = merges, base
+        sizes = np.array([len(x) for x in symbols], np.int64)
+        self.begin, self.whole = np.zeros(base + 1, np.int64), np.zeros(base + 1, bool)
+        self.begin[ids] = 1 + np.cumsum(sizes) - sizes
+        n = 1 + int(sizes.sum())
+        self.first, self.last, self.then = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, NONE, np.int32)
+        for size in np.unique(sizes):
+            rows = np.flatnonzero(sizes == size)
+            first, last, then, left = merges.traced(np.array([symbols[k] for k in rows], np.int64))
+            at = self.begin[ids[rows], None] + np.arange(size)
+            self.first[at], self.last[at], self.then[at] = first, last, then
+            self.whole[ids[rows]] = (left == 1) & (first[:, -1] == ids[rows])
+        self.known, self.fits = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
+
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether no merge crosses from the left to the right token. Both take their steps in the order of ranks, the left one's first among equals."""
+        fits, going = np.ones(len(left), bool), np.arange(len(left))
+        a, b = self.begin[np.minimum(left, self.base)], self.begin[np.minimum(right, self.base)]
+        while len(going):
+            j, k = a[going], b[going]
+            next_left, next_right = self.then[j], self.then[k]
+            crossing = self.merges._rank(np.where(j > 0, self.last[j], left[going]), np.where(k > 0, self.first[k], right[going]))
+            crosses = (crossing < next_left) & (crossing <= next_right) & (crossing < NONE)
+            fits[going[crosses]] = False
+            by_left = next_left <= next_right
+            a[going] += by_left
+            b[going] += ~by_left
+            going = going[~crosses & (np.minimum(next_left, next_right) < NONE)]
+        return fits
+
+    def pair_apart(self, left: int, right: int) -> bool:
+        """As `apart`, for one pair."""
+        a, b = self.begin.item(min(left, self.base)), self.begin.item(min(right, self.base))
+        while True:
+            next_left, next_right = self.then.item(a), self.then.item(b)
+            crossing = self.merges.by_key.get((self.last.item(a) if a else left) << 32 | (self.first.item(b) if b else right))
+            if crossing and crossing[0] < next_left and crossing[0] <= next_right:
+                return False
+            if min(next_left, next_right) == NONE:
+                return True
+            if next_left <= next_right:
+                a += 1
+            else:
+                b += 1
+
+    def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """As `apart`, with what is remembered."""
+        pairs = left << 32 | right
+        slot = (mix(pairs.astype(U64)) >> U64(20)).astype(np.int64) & (len(self.known) - 1)
+        fits = self.fits[slot]
+        new = np.flatnonzero(self.known[slot] != pairs)
+        if len(new):
+            distinct, firsts, back = np.unique(pairs[new], return_index=True, return_inverse=True)
+            told = self.apart(distinct >> 32, distinct & 0xFFFFFFFF)
+            fits[new] = told[back]
+            places, one = np.unique(slot[new[firsts]], return_index=True)
+            self.known[places], self.fits[places] = distinct[one], told[one]
+        return fits

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from gistmill.llm.merges import NONE, Merges
+from gistmill.llm.merges import Merges, Pairs
 from gistmill.llm.token_counts import characters
 from gistmill.llm.words import U64, mix, run_hashes, slices, text_bytes
 
@@ -34,8 +34,6 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 SPACE = 0x2581
 #: What an unknown character scores below the least piece.
 UNKNOWN_COST = 10.0
-#: Pairs that are remembered in a worker, 9 bytes each; a pair that takes another's place is told anew when it is met again.
-PAIRS = 1 << 20
 #: Fewer units of one length than this go place by place, each by itself.
 FEW = 24
 
@@ -115,8 +113,9 @@ class Model:
                 for name, k in normal.items() for cut in range(1, len(name))
                 if (left := of(name[:cut])) is not None and (right := of(name[cut:])) is not None
             ]
-            self.merges = Merges(*np.array(rows, np.int64).T)
-            normal = self._steps(normal)
+            symbols = [self.symbol[[ord(c) for c in name]] for name in normal]
+            self.pairs = Pairs(Merges(*np.array(rows, np.int64).T), np.array(list(normal.values()), np.int64), symbols, self.base)
+            normal = {name: k for name, k in normal.items() if self.pairs.whole[k]}
         keys = np.array([self._key([ord(c) for c in name]) for name in normal], U64)
         order = np.argsort(keys)
         self.by_name, self.keys, self.of_key = normal, keys[order], np.array(list(normal.values()), np.int64)[order]
@@ -163,67 +162,6 @@ class Model:
             out.append(np.array(ids[::-1], np.int64))
         return out
 
-    def _steps(self, normal: dict[str, int]) -> dict[str, int]:
-        """Keeps the steps in which pieces are merged; returns the pieces that merging their characters gives."""
-        longest = max(map(len, normal))
-        self.first, self.last, self.then = np.zeros((self.base + 1, longest), np.int64), np.zeros((self.base + 1, longest), np.int64), np.full((self.base + 1, longest), NONE, np.int32)
-        whole = {}
-        for size in sorted({len(name) for name in normal}):
-            names = [name for name in normal if len(name) == size]
-            ids = np.array([normal[name] for name in names], np.int64)
-            first, last, then, left = self.merges.traced(self.symbol[np.array([[ord(c) for c in name] for name in names])])
-            self.first[ids, :size], self.last[ids, :size], self.then[ids, :size] = first, last, then
-            whole |= {names[k]: int(ids[k]) for k in np.flatnonzero((left == 1) & (first[:, -1] == ids))}
-        self.pair_keys, self.pair_fits = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
-        return whole
-
-    def _merged_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether no merge crosses from the left to the right piece. Both take their steps in the order of ranks, the left one's first among equals."""
-        fits, going = np.ones(len(left), bool), np.arange(len(left))
-        a, b = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
-        of_left, of_right = np.minimum(left, self.base), np.minimum(right, self.base)
-        while len(going):
-            p, q, j, k = of_left[going], of_right[going], a[going], b[going]
-            next_left, next_right = self.then[p, j], self.then[q, k]
-            crossing = self.merges._rank(np.where(p < self.base, self.last[p, j], left[going]), np.where(q < self.base, self.first[q, k], right[going]))
-            crosses = (crossing < next_left) & (crossing <= next_right) & (crossing < NONE)
-            fits[going[crosses]] = False
-            by_left = next_left <= next_right
-            a[going] += by_left
-            b[going] += ~by_left
-            going = going[~crosses & (np.minimum(next_left, next_right) < NONE)]
-        return fits
-
-    def _pair_apart(self, left: int, right: int) -> bool:
-        """As `_merged_apart`, for one pair."""
-        a = b = 0
-        p, q = min(left, self.base), min(right, self.base)
-        last, next_left, first, next_right = self.last[p].tolist(), self.then[p].tolist(), self.first[q].tolist(), self.then[q].tolist()
-        while True:
-            crossing = self.merges.by_key.get((left if p == self.base else last[a]) << 32 | (right if q == self.base else first[b]))
-            if crossing and crossing[0] < next_left[a] and crossing[0] <= next_right[b]:
-                return False
-            if min(next_left[a], next_right[b]) == NONE:
-                return True
-            if next_left[a] <= next_right[b]:
-                a += 1
-            else:
-                b += 1
-
-    def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether merging the joined texts of two pieces gives them again."""
-        pairs = left << 32 | right
-        slot = (mix(pairs.astype(U64)) >> U64(20)).astype(np.int64) & (PAIRS - 1)
-        fits = self.pair_fits[slot]
-        new = np.flatnonzero(self.pair_keys[slot] != pairs)
-        if len(new):
-            distinct, firsts, back = np.unique(pairs[new], return_index=True, return_inverse=True)
-            told = self._merged_apart(distinct >> 32, distinct & 0xFFFFFFFF)
-            fits[new] = told[back]
-            places, one = np.unique(slot[new[firsts]], return_index=True)
-            self.pair_keys[places], self.pair_fits[places] = distinct[one], told[one]
-        return fits
-
     def compatible_way(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of units of equal length, a row of code points each, in the one way in which all neighbours are compatible; and how many each has."""
         n, size = codes.shape
@@ -243,7 +181,7 @@ class Model:
             ids = np.concatenate([self.of_key[found], alone[:, end - 1]])
             inner = np.flatnonzero(start > 0)
             fits = np.ones(len(row), bool)
-            fits[inner] = self.compatible(piece[row[inner], start[inner]], ids[inner])
+            fits[inner] = self.pairs.compatible(piece[row[inner], start[inner]], ids[inner])
             length = np.zeros(n, np.int64)
             np.maximum.at(length, row[fits], end - start[fits])
             chosen = np.flatnonzero(fits & (end - start == length[row]))
@@ -262,7 +200,7 @@ class Model:
                 if start:
                     pair = (piece[start], this)
                     if pair not in known:
-                        known[pair] = self._pair_apart(*pair)
+                        known[pair] = self.pairs.pair_apart(*pair)
                     if not known[pair]:
                         continue
                 piece[end], back[end] = this, start

@@ -5,9 +5,12 @@ are read as one row of characters cut into chunks; all chunks advance together f
 from state to state. A parallel prefix scan composes these maps, and from its true first state each chunk then emits its marks.
 So a text of any length costs the same for each character.
 
-The tokens within a pre-token are those of a second transducer over its bytes, which is compiled as far as it is met: a path of
-bytes is annotated with the number of tokens that it emits. Paths are kept by hash in sorted arrays for as long as a worker lives; new
-ones of equal length are merged together.
+The tokens within a pre-token come from a second transducer, over bytes. A state is the set of ways to go on from what was read: for each place where a
+token may have begun, the token before it, the place in the trie of tokens reached since, and how many tokens it has beyond the least of the set. A byte
+takes every way one step down the trie; the one way that ends in a token compatible with the token before it (see `merges.Pairs`) also gives the way that begins anew.
+A transition is annotated with the tokens that all its ways have settled, a state with those still to come if the pre-token ends there. States and transitions are compiled when
+they are first met, for all pre-tokens of a slice together. Each pre-token begins in the first state, so the map of a pre-token is a constant
+and the maps of a text compose by adding them up; those of the first transducer compose by the prefix scan.
 """
 
 from __future__ import annotations
@@ -21,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gistmill.llm.merges import LONG, Merges
-from gistmill.llm.words import U64, slices, span_hashes, text_bytes
+from gistmill.llm.merges import Merges, Pairs
+from gistmill.llm.words import U64, mix, slices, text_bytes
 
 CHUNK_CHARS = 64
-#: Paths that a worker keeps before it starts anew.
-KEPT_PATHS = 1 << 21
+#: Places for transitions in a worker, 16 bytes each. When half are taken, only the states in use are kept.
+PLACES = 1 << 20
+#: Pre-tokens that advance together.
+TOGETHER = 1 << 17
 
 # Classes of characters.
 LETTER, NUMBER, SPACE, WHITE, OTHER, QUOTE, STMD, RV, LL, EE, END = range(11)
@@ -140,7 +145,7 @@ def transduce(kinds: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Merges of a byte-level BPE vocabulary, given as the JSON text of its file."""
+    """The transducer over bytes of a byte-level BPE vocabulary, given as the JSON text of its file."""
 
     def __init__(self, text: str):
         model = json.loads(text)
@@ -149,35 +154,155 @@ class Vocabulary:
         # Bytes that can be printed stand for themselves in the vocabulary, the others for characters from 256 on.
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in shown]
-        names = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.of_byte = np.array([vocab[names[b]] for b in range(256)], np.int64)
+        byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+        of_byte = np.zeros(256, np.int64)
+        for name, b in byte_of.items():
+            of_byte[b] = vocab[name]
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
-        left, right = np.array([[vocab[a], vocab[b]] for a, b in merges], np.int64).T
-        self.merges = Merges(left, right, np.arange(len(merges)), np.array([vocab[a + b] for a, b in merges]))
-        self.hashes, self.counts = np.zeros(0, U64), np.zeros(0, np.int32)
+        left, right = np.array([[vocab[a], vocab[b]] for a, b in merges], np.int64).reshape(-1, 2).T
+        made = np.array([vocab[a + b] for a, b in merges], np.int64)
+        tokens = {k: [byte_of[c] for c in name] for name, k in vocab.items() if all(c in byte_of for c in name)}
+        self.pairs = Pairs(Merges(left, right, np.arange(len(merges)), made), np.array(list(tokens), np.int64), [of_byte[x] for x in tokens.values()], max(vocab.values()) + 1)
+        self._trie([(k, x) for k, x in tokens.items() if self.pairs.whole[k]])
+        self._clear()
+
+    def _trie(self, tokens: list[tuple[int, list[int]]]) -> None:
+        """Nodes from 1 on, 0 is the root: children by node and byte in sorted keys, the token of each node or -1, and whether it has children."""
+        children: dict[int, int] = {}
+        token = [-1]
+        for k, name in tokens:
+            node = 0
+            for b in name:
+                child = children.setdefault(node << 8 | b, len(token))
+                if child == len(token):
+                    token.append(-1)
+                node = child
+            token[node] = k
+        keys = np.array(list(children), np.int64)
+        order = np.argsort(keys)
+        self.steps, self.child = keys[order], np.array(list(children.values()), np.int64)[order]
+        self.token, self.inner = np.array(token, np.int64), np.zeros(len(token), bool)
+        self.inner[keys >> 8] = True
+
+    def _clear(self) -> None:
+        """No transition, and one state: nothing read, no token before."""
+        self.keys, self.values, self.taken = np.full(PLACES, -1, np.int64), np.zeros(PLACES, np.int64), 0
+        self.ids: dict[bytes, int] = {}
+        self.ways, self.ends = np.zeros((1024, 3), np.int32), np.zeros(1024, np.int64)  # of state s: ways[ends[s - 1] : ends[s]]
+        self.rest = np.zeros(1024, np.int64)
+        self._states(np.array([[-1, 0, 0]], np.int32), np.array([1]))
+
+    def _states(self, ways: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The states of sets of ways, which stand one after the other; the last way of a set begins anew."""
+        blob, stops = ways.tobytes(), np.cumsum(sizes)
+        out, new, n = [], [], len(self.ids)
+        for k, (a, b) in enumerate(zip((12 * (stops - sizes)).tolist(), (12 * stops).tolist(), strict=True)):
+            state = self.ids.setdefault(blob[a:b], n)
+            if state == n:
+                new.append(k)
+                n += 1
+            out.append(state)
+        if new:
+            first, k = n - len(new), np.array(new)
+            ends = (self.ends[first - 1] if first else 0) + np.cumsum(sizes[k])
+            if n > len(self.ends):
+                grown = max(n, 2 * len(self.ends))
+                self.ends, self.rest = np.resize(self.ends, grown), np.resize(self.rest, grown)
+            if ends[-1] > len(self.ways):
+                self.ways = np.resize(self.ways, (max(int(ends[-1]), 2 * len(self.ways)), 3))
+            at = np.repeat(stops[k] - np.cumsum(sizes[k]), sizes[k]) + np.arange(int(sizes[k].sum()))
+            self.ways[ends[-1] - len(at) : ends[-1]] = ways[at]
+            self.ends[first:n], self.rest[first:n] = ends, ways[stops[k] - 1, 2]
+        return np.array(out, np.int64)
+
+    def _sets(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ways of states one after the other, and how many each has."""
+        ends = self.ends[states]
+        sizes = ends - np.where(states > 0, self.ends[states - 1], 0)
+        return self.ways[np.repeat(ends - np.cumsum(sizes), sizes) + np.arange(int(sizes.sum()))], sizes
+
+    def _compiled(self, keys: np.ndarray) -> np.ndarray:
+        """Transitions, as state after << 16 | tokens settled, of distinct keys (state << 8 | byte)."""
+        ways, sizes = self._sets(keys >> 8)
+        owner = np.repeat(np.arange(len(keys)), sizes)
+        step = ways[:, 1].astype(np.int64) << 8 | keys[owner] & 0xFF
+        at = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+        on = self.steps[at] == step
+        owner, before, node, more = owner[on], ways[on, 0].astype(np.int64), self.child[at[on]], ways[on, 2]
+        token = self.token[node]
+        ending = np.flatnonzero(token >= 0)
+        inner = ending[before[ending] >= 0]
+        fits = np.zeros(len(owner), bool)
+        fits[ending] = True
+        fits[inner] = self.pairs.compatible(before[inner], token[inner])
+        one = np.flatnonzero(fits)
+        if len(one) != len(keys):
+            raise ValueError("a prefix without exactly one last token")
+        stays = np.flatnonzero(self.inner[node])
+        owner = np.concatenate([owner[stays], owner[one]])
+        ways = np.concatenate([np.stack([before[stays], node[stays], more[stays]], 1), np.stack([token[one], np.zeros(len(one), np.int64), more[one] + 1], 1)])
+        order = np.argsort(owner, kind="stable")
+        owner, ways = owner[order], ways[order].astype(np.int32)
+        sizes = np.bincount(owner, minlength=len(keys))
+        settled = np.minimum.reduceat(ways[:, 2], np.cumsum(sizes) - sizes)
+        ways[:, 2] -= settled[owner]
+        return self._states(ways, sizes) << 16 | settled
+
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each key its place, or the free one where it belongs; and whether it is there."""
+        at = (mix(keys.astype(U64)) >> U64(20)).astype(np.int64) & (PLACES - 1)
+        found = self.keys[at]
+        other = np.flatnonzero((found != keys) & (found >= 0))
+        while len(other):
+            at[other] = (at[other] + 1) & (PLACES - 1)
+            found[other] = self.keys[at[other]]
+            other = other[(found[other] != keys[other]) & (found[other] >= 0)]
+        return at, found == keys
+
+    def _advance(self, states: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """The transitions from states by a byte each."""
+        keys = states << 8 | data
+        at, there = self._places(keys)
+        out = self.values[at]
+        new = np.flatnonzero(~there)
+        if len(new):
+            distinct, back = np.unique(keys[new], return_inverse=True)
+            made = self._compiled(distinct)
+            out[new] = made[back]
+            self.taken += len(distinct)
+            while len(distinct):  # keys that belong to one free place: one takes it, the others look on
+                at, _ = self._places(distinct)
+                places, one = np.unique(at, return_index=True)
+                self.keys[places], self.values[places] = distinct[one], made[one]
+                left = np.ones(len(distinct), bool)
+                left[one] = False
+                distinct, made = distinct[left], made[left]
+        return out
 
     def tokens(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Tokens of each pre-token."""
-        keys, firsts, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, keys), max(0, len(self.hashes) - 1))
-        known = self.hashes[at] == keys if len(self.hashes) else np.zeros(len(keys), bool)
-        counts = np.zeros(len(keys), np.int32)
-        counts[known] = self.counts[at[known]]
-        new = np.flatnonzero(~known)
-        a, sizes = starts[firsts[new]], (ends - starts)[firsts[new]]
-        for size in np.unique(sizes):
-            rows = np.flatnonzero(sizes == size)
-            if size > LONG:
-                counts[new[rows]] = [len(self.merges.single(self.of_byte[data[a[r] : a[r] + size]].tolist())) for r in rows]
-            else:
-                counts[new[rows]] = self.merges.batch(self.of_byte[data[a[rows, None] + np.arange(size)]])[1]
-        if len(self.hashes) > KEPT_PATHS:
-            self.hashes, self.counts = keys, counts
-        else:
-            hashes = np.concatenate([self.hashes, keys[new]])
-            order = np.argsort(hashes, kind="stable")
-            self.hashes, self.counts = hashes[order], np.concatenate([self.counts, counts[new]])[order]
-        return counts[back]
+        out = np.zeros(len(starts), np.int64)
+        for first in range(0, len(starts), TOGETHER):
+            sizes = (ends - starts)[first : first + TOGETHER]
+            order = np.argsort(-sizes, kind="stable")
+            sizes, at = sizes[order], starts[first + order]
+            counts, states = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+            going = np.searchsorted(-sizes, -np.arange(sizes[0] + 1))  # how many are longer than each place
+            for place in range(int(sizes[0])):
+                n = going[place]
+                states = states[:n]
+                if self.taken + n > PLACES // 2:
+                    distinct, back = np.unique(states, return_inverse=True)
+                    ways, ways_each = self._sets(distinct)
+                    self._clear()
+                    states = self._states(ways, ways_each)[back]
+                moved = self._advance(states, data[at[:n] + place])
+                states = moved >> 16
+                counts[:n] += moved & 0xFFFF
+                done = slice(going[place + 1], n)
+                counts[done] += self.rest[states[done]]
+            out[first + order] = counts
+        return out
 
 
 def _segments(data: np.ndarray, offsets: np.ndarray, special: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

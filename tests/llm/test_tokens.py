@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from gistmill.llm import html_text, pieces, token_counts
+from gistmill.llm import html_text, merges, pieces, token_counts
 from gistmill.llm.words import text_bytes
 from tests.llm.test_dedup import ordered
 
@@ -52,6 +52,23 @@ def test_transducer_in_chunks(monkeypatch):
         assert (token_counts.transduce(kinds) == want).all()
 
 
+def test_transducer_over_bytes(given, monkeypatch):
+    """Transitions give the library's counts, also when the kept ones run out within long pre-tokens."""
+    library = Tokenizer.from_file(BPE)
+    rng = random.Random(9)
+    texts = [t or "" for _, t in given] + ["".join(rng.choice("aeinorst") for _ in range(size)) for size in (1, 40, 3000)] + ["".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(900)), "-" * 999]
+    texts += ["".join(rng.choice("  \n=-aé") for _ in range(30)) for _ in range(500)]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    with open(BPE, encoding="utf-8") as file:
+        vocabulary = token_counts.Vocabulary(file.read())
+    assert token_counts.count(*text_bytes(pa.array(texts)), vocabulary).tolist() == want
+    monkeypatch.setattr(token_counts, "PLACES", 1 << 11)
+    monkeypatch.setattr(token_counts, "TOGETHER", 200)
+    vocabulary._clear()
+    assert token_counts.count(*text_bytes(pa.array(texts)), vocabulary).tolist() == want
+    assert vocabulary.taken <= 1 << 10
+
+
 def test_pieces(docs, given, empty):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     got = pieces.decode_pieces(pieces.encode_pieces(docs, PIECES), PIECES).select("id", "ids", "decoded").collect()
@@ -69,13 +86,11 @@ def test_pieces(docs, given, empty):
 
 
 def test_compatible_pieces(docs, given, monkeypatch):
-    """One unit of any length and many of one length give the library's ids, also when few pairs are remembered; no merge is run for them."""
+    """One unit of any length and many of one length give the library's ids, also when few pairs are remembered."""
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    monkeypatch.setattr(pieces, "PAIRS", 64)
+    monkeypatch.setattr(merges, "PAIRS", 64)
     with open(PIECES, "rb") as file:
         model = pieces.Model(file.read())
-    monkeypatch.setattr(model.merges, "batch", None)
-    monkeypatch.setattr(model.merges, "single", None)
     rng = random.Random(8)
     letters = ["".join(rng.choice("abcdeinorst") for _ in range(rng.randint(1, 90))) for _ in range(3000)] + ["".join(rng.choice("aeinorstxé中") for _ in range(20_000))]
     texts = letters + [t or "" for _, t in given] + [f"{a}{b}" for a in model.names[300:3000:50] for b in model.names[400:3000:60]]
@@ -87,8 +102,8 @@ def test_compatible_pieces(docs, given, monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [want[k] for k in some]
     parts = np.array(sorted(model.by_name.values()), np.int64)
     left, right = np.random.default_rng(4).choice(parts, (2, 3000))
-    fits = model._merged_apart(left, right)
-    assert [model._pair_apart(a, b) for a, b in zip(left.tolist(), right.tolist())] == fits.tolist()
+    fits = model.pairs.apart(left, right)
+    assert [model.pairs.pair_apart(a, b) for a, b in zip(left.tolist(), right.tolist())] == fits.tolist()
     inner = [k for k in range(3000) if model.names[right[k]][0] != "▁" and model.names[left[k]][0] == "▁"]
     joined = library.encode([(model.names[left[k]] + model.names[right[k]])[1:].replace("▁", " ") for k in inner])
     assert [ids == [left[k], right[k]] for k, ids in zip(inner, joined)] == [fits[k] for k in inner]
