@@ -6,6 +6,8 @@ import re
 import textwrap
 from importlib import resources
 
+import pytest
+
 from gistmill.llm import decontaminate, licences, quality, shards
 from tests.llm import brute
 from tests.llm.test_dedup import ordered
@@ -51,6 +53,25 @@ def test_several_automata(spark, docs, given, monkeypatch):
     assert ordered(got) == ordered((i, sum(brute.hits(t, items)[1])) for i, t in given)
 
 
+@pytest.mark.parametrize("short", [True, False])
+@pytest.mark.parametrize("parts", [16, 1 << 14])
+def test_items_beyond_the_bound(spark, docs, given, empty, monkeypatch, short, parts):
+    """Texts that meet the blocks by a join are judged as by automata that are sent, with and without items shorter than a window, and items in parts."""
+    items = [x for x in items_of(given) if short or not x[1] or len(x[1].split()) > 10]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    sent = decontaminate.decontaminate(docs, frame).collect()
+    monkeypatch.setattr(decontaminate, "SENT_BYTES", 0)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(decontaminate, "PART_WORDS", parts)
+    monkeypatch.setattr(decontaminate, "automata", None)
+    assert ordered(decontaminate.decontaminate(docs, frame).collect()) == ordered(sent)
+    assert any(r["n_hit"] for r in sent)
+    left = decontaminate.without_items(docs, frame, 0.5)
+    want = [(i, None if t is None else brute.cut_items(t, items, 0.5)) for i, t in given if t is None or brute.cut_items(t, items, 0.5) is not None]
+    assert ordered(left.select("doc_id", "text").collect()) == ordered(want)
+    assert decontaminate.decontaminate(empty, frame).count() == 0
+
+
 def split(rows, limit, depth=0):
     """Buckets of (hash, bytes) rows, as (prefix, depth)."""
     if sum(b for _, b in rows) <= limit or depth == shards.BITS:
