@@ -198,9 +198,9 @@ def spans_met(texts: DataFrame, items: DataFrame, blocks: int, window: int, id_c
     sent = texts.sparkSession.sparkContext.broadcast(table)
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     known = listed.select("block", F.explode("anchors").alias("anchor")).distinct().select("block", "anchor", salt)
-    around = texts.where("text is not null").select(F.md5(F.col("text").cast("binary")).alias("digest"), "text").mapInArrow(_text_anchors(sent, size, width, window), "digest string, place long, anchor long, words array<long>")
+    around = texts.where("text is not null").select(F.md5(F.col("text").cast("binary")).alias("digest"), "text").mapInArrow(_text_anchors(sent, size, width, window), "digest string, at long, place long, anchor long, words array<long>")
     # Copies of a text are met once.
-    around = around.dropDuplicates(["digest", "place"]).withColumn("salt", F.pmod(F.xxhash64("digest", "place"), F.lit(SALTS)).cast("int"))
+    around = around.dropDuplicates(["digest", "at"]).withColumn("salt", F.pmod(F.xxhash64("digest", "at"), F.lit(SALTS)).cast("int"))
     nothing = F.lit(None)
     met = around.join(known, ["anchor", "salt"]).select("block", "salt", F.lit(1).alias("kind"), nothing.cast("string").alias("item"), "digest", "place", "words")
     both = parts.select("block", salt, F.lit(0).alias("kind"), "item", nothing.cast("string").alias("digest"), nothing.cast("long").alias("place"), "words").union(met)
@@ -269,8 +269,8 @@ def _text_anchors(sent, size: int, width: int, window: int):
             places, grams = _anchors(hashes, words.offsets, size, width, table)
             owner = np.searchsorted(words.offsets, places, "right") - 1
             firsts, stops = np.maximum(words.offsets[owner], places + size - window), np.minimum(words.offsets[owner + 1], places + window)
-            columns = [batch.column("digest").take(pa.array(owner)), pa.array(firsts - words.offsets[owner], pa.int64()), pa.array(grams[places].view(np.int64)), _lists(hashes, firsts, stops)]
-            yield pa.RecordBatch.from_arrays(columns, ["digest", "place", "anchor", "words"])
+            columns = [batch.column("digest").take(pa.array(owner)), *(pa.array(x - words.offsets[owner], pa.int64()) for x in (places, firsts)), pa.array(grams[places].view(np.int64)), _lists(hashes, firsts, stops)]
+            yield pa.RecordBatch.from_arrays(columns, ["digest", "at", "place", "anchor", "words"])
 
     return find
 

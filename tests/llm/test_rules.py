@@ -72,6 +72,19 @@ def test_items_beyond_the_bound(spark, docs, given, empty, monkeypatch, short, p
     assert decontaminate.decontaminate(empty, frame).count() == 0
 
 
+def test_several_anchors_in_first_words(spark, monkeypatch):
+    """Items in blocks of their own are all found where the words around their anchors begin with the text."""
+    words = "a b c d e f g h i j k l a b c d a b c d".split()
+    items = [(k, " ".join(words[k : k + 5])) for k in range(0, 8, 2)] + [(9, "a b c d")]
+    texts = [(1, " ".join(words)), (2, " ".join(words[2:9])), (3, "a b c d"), (4, "b c d")]
+    frame, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")
+    monkeypatch.setattr(decontaminate, "SENT_BYTES", 0)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2)
+    got = decontaminate.decontaminate(docs, frame).select("id", "n_hit", "items").collect()
+    want = [(i, sum(hit), sorted(str(n) for n in names)) for i, t in texts for _, hit, names in [brute.hits(t, items)]]
+    assert ordered((r["id"], r["n_hit"], r["items"]) for r in got) == ordered(want)
+
+
 def split(rows, limit, depth=0):
     """Buckets of (hash, bytes) rows, as (prefix, depth)."""
     if sum(b for _, b in rows) <= limit or depth == shards.BITS:
