@@ -18,12 +18,17 @@ class Merges:
         keys = left.astype(np.int64) << 32 | right
         order = np.argsort(keys)
         self.keys, self.ranks, self.made = keys[order], rank[order].astype(np.int32), made[order].astype(np.int64)
-        self.by_key = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist(), strict=True), strict=True))
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         at, hit = self._find(left, right)
         return np.where(hit, self.ranks[at], NONE)
 
+    def rank_of(self, left: int, right: int) -> int:
+        """The rank of one pair, NONE if it may not be merged."""
+        key = left << 32 | right
+        at = min(int(self.keys.searchsorted(key)), len(self.keys) - 1)
+        return self.ranks.item(at) if self.keys.item(at) == key else int(NONE)
+
     def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys = left << 32 | right
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
@@ -97,8 +102,8 @@ class Pairs:
         a, b = self.begin.item(min(left, self.base)), self.begin.item(min(right, self.base))
         while True:
             next_left, next_right = self.then.item(a), self.then.item(b)
-            crossing = self.merges.by_key.get((self.last.item(a) if a else left) << 32 | (self.first.item(b) if b else right))
-            if crossing and crossing[0] < next_left and crossing[0] <= next_right:
+            crossing = self.merges.rank_of(self.last.item(a) if a else left, self.first.item(b) if b else right)
+            if crossing < next_left and crossing <= next_right:
                 return False
             if min(next_left, next_right) == NONE:
                 return True

@@ -113,6 +113,7 @@ class Model:
                 for name, k in normal.items() for cut in range(1, len(name))
                 if (left := of(name[:cut])) is not None and (right := of(name[cut:])) is not None
             ]
+            # The table of pairs is a few arrays: workers live on, and keep it beside what other stages need.
             symbols = [self.symbol[[ord(c) for c in name]] for name in normal]
             self.pairs = Pairs(Merges(*np.array(rows, np.int64).T), np.array(list(normal.values()), np.int64), symbols, self.base)
             normal = {name: k for name, k in normal.items() if self.pairs.whole[k]}
