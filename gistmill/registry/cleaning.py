@@ -132,9 +132,11 @@ def q_embeddings(spark, sf):
 
 
 def q_write_embeddings(spark, sf):
-    """A row for each written document, with its whole text."""
+    """A row for each place of each written vector, with the vector's length and what tells the document's text."""
     length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
-    return _written_vectors(spark, sf).select("doc_id", "text", "label", F.size("embedding").alias("places"), t.r6(F.sqrt(length), "length"))
+    facts = ["doc_id", F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"), "label"]
+    v = _written_vectors(spark, sf).select(*facts, F.size("embedding").alias("places"), t.r6(F.sqrt(length), "length"), F.posexplode("embedding").alias("d", "x"))
+    return v.withColumn("x", t.r6(F.col("x").cast("double"), "x"))
 
 
 def _projection(spark, sf):
@@ -249,7 +251,9 @@ ORACLE = {
     "write_clean_csv": sql("select doc_id, text, label_id, label from corpus", "corpus"),
     "write_variants": sql(VARIANTS_SQL, "corpus"),
     "write_embeddings": sql(
-        "select doc_id, text, label, cast(len(embedding) as int) as places, round(sqrt(list_dot_product(embedding, embedding)), 6) + 0.0 as length from doc_vectors",
+        "select doc_id, length(text) as chars, md5(text) as text_md5, label, cast(len(embedding) as int) as places, "
+        "round(sqrt(list_dot_product(embedding, embedding)), 6) + 0.0 as length, "
+        "cast(generate_subscripts(embedding, 1) - 1 as int) as d, round(unnest(embedding), 6) + 0.0 as x from doc_vectors",
         "doc_vectors",
     ),
     "write_projection": sql(PROJ_SQL, "doc_vectors"),
