@@ -13,7 +13,7 @@ from gistmill.dims import OUTLIER
 from gistmill.functions import vectors as vx
 from gistmill.functions.draws import global_rank
 from gistmill.operators.evaluate import centroids, silhouette
-from gistmill.operators.neighbours import _matrix, _sq_distances, as_points, nearest, vector_join
+from gistmill.operators.neighbours import HELD_CELLS, _matrix, _slices, _sq_distances, as_points, nearest, vector_join
 from gistmill.session import cut_lineage
 
 
@@ -50,12 +50,18 @@ def mutual_reachability(knn: DataFrame, core: DataFrame) -> DataFrame:
 
 
 def _block_components(near: np.ndarray) -> np.ndarray:
-    """Component number (smallest row) of a symmetric boolean matrix, by label spreading with jumps."""
-    label = np.arange(len(near))
+    """Component number (smallest place) of the rows, then the columns, of a boolean matrix of links, by label spreading with jumps."""
+    n, m = near.shape
+    label = np.arange(n + m)
+    step = max(1, HELD_CELLS // max(1, m))
     while True:
-        low = np.where(near, label[None, :], len(near)).min(1)
-        new = np.minimum(label, low)
-        new = new[new]
+        low = label.copy()
+        # A slice of rows at a time: the matrix of labels is never held whole.
+        for at in range(0, n, step):
+            part = near[at : at + step]
+            low[at : at + len(part)] = np.minimum(low[at : at + len(part)], np.where(part, label[None, n:], n + m).min(1, initial=n + m))
+            low[n:] = np.minimum(low[n:], np.where(part, label[at : at + len(part), None], n + m).min(0, initial=n + m))
+        new = low[low]
         if (new == label).all():
             return label
         label = new
@@ -64,15 +70,15 @@ def _block_components(near: np.ndarray) -> np.ndarray:
 def _reach_kernel(eps: float, metric: str):
     def kernel(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         ids = np.concatenate([q["id"].to_numpy(), b["id"].to_numpy()])
-        qv, bv = _matrix(q["v"]), _matrix(b["v"])
-        dist = 1.0 - qv @ bv.T if metric == "cosine" else np.sqrt(_sq_distances(qv, bv))
-        near = dist <= eps
-        n, m = near.shape
-        full = np.zeros((n + m, n + m), dtype=bool)
-        full[:n, n:] = near
-        full[n:, :n] = near.T
-        np.fill_diagonal(full, True)
-        root = ids[_block_components(full)]
+        bv, near = _matrix(b["v"]), []
+        for part in _slices(q, len(b)):
+            qv = _matrix(part["v"])
+            near.append((1.0 - qv @ bv.T if metric == "cosine" else np.sqrt(_sq_distances(qv, bv))) <= eps)
+        near = np.concatenate(near)
+        label = _block_components(near)
+        root = ids.copy()
+        np.minimum.at(root, label, ids)
+        root = root[label]
         linked = root != ids
         return pd.DataFrame({"u": ids[linked], "v": root[linked]})
 

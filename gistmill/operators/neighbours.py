@@ -30,6 +30,11 @@ from gistmill.session import cut_lineage
 SMALL_ROWS = 4096
 SMALL_CELLS = 4_000_000
 BLOCK_ROWS = 4096
+#: Blocks of joins that keep nothing but sums grow up to this many rows, so that a row is sent to fewer of them.
+WIDE_ROWS = 16_384
+#: Cells of a matrix, and pairs of vectors, that a task holds at a time, whatever the size of its blocks.
+HELD_CELLS = 1 << 21
+HELD_PAIRS = 1 << 15
 MAX_PIVOTS = 256
 DIGITS = 6
 
@@ -43,12 +48,13 @@ def vector_join(
     schema: str,
     reach: float | None = None,
     small_rows: int = SMALL_ROWS,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = BLOCK_ROWS,
 ) -> DataFrame:
     """Run ``kernel`` on blocks so that every (query row, base row) pair meets exactly once.
 
     Both sides hold ``id`` and ``v`` (array<double>); other columns travel along. With ``reach`` = r block
-    pairs that are farther apart than r are left out.
+    pairs that are farther apart than r are left out. block_rows: None lets the blocks of a large
+    base grow up to WIDE_ROWS, for kernels that go through their queries in slices.
     """
     head = _small(base, small_rows)
     if head is not None:
@@ -108,6 +114,9 @@ def surviving_cells(between: np.ndarray, q_radius: np.ndarray, b_count: np.ndarr
 def _grid_join(queries, base, kernel, schema, reach, block_rows) -> DataFrame:
     spark = base.sparkSession
     n_base = base.count()
+    if block_rows is None:
+        # An eighth of the base leaves 64 pairs of blocks at least.
+        block_rows = min(WIDE_ROWS, max(BLOCK_ROWS, n_base // 8))
     n_pivots = int(min(MAX_PIVOTS, max(1, n_base // block_rows)))
     picked = base.withColumn("_h", hash_key(7, "id")).orderBy("_h", "id").limit(n_pivots).select("v").toPandas()
     pivots = _matrix(picked["v"])
@@ -155,9 +164,15 @@ def _near_limit(score: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np
     return np.nonzero((score <= limit + slack) & np.isfinite(score))
 
 
+def _slices(q: pd.DataFrame, width: int) -> list[pd.DataFrame]:
+    """Rows of ``q``, so many at a time that a matrix with ``width`` columns has at most HELD_CELLS cells."""
+    step = max(1, HELD_CELLS // max(1, width))
+    return [q.iloc[at : at + step] for at in range(0, max(1, len(q)), step)]
+
+
 def _topk_kernel(k: int, metric: str, skip_self: bool, other_label: bool, grid: Grid | None = None) -> Kernel:
-    def kernel(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        qv, bv = _matrix(q["v"]), _matrix(b["v"])
+    def some(q: pd.DataFrame, b: pd.DataFrame, bv: np.ndarray, size: float) -> pd.DataFrame:
+        qv = _matrix(q["v"])
         if grid is not None:
             dist = grid.distances(q, qv, b, bv, metric)
         else:
@@ -167,14 +182,21 @@ def _topk_kernel(k: int, metric: str, skip_self: bool, other_label: bool, grid:
         if other_label:
             dist[q["label"].to_numpy()[:, None] == b["label"].to_numpy()[None, :]] = np.inf
         # The matrix product is exact to some last places only, in an order that depends on the block; near the limit each pair is computed anew.
-        row, col = _near_limit(dist, k, 1e-6 * (1.0 + max(np.abs(qv).max(initial=0.0), np.abs(bv).max(initial=0.0))))
-        a, c = qv[row], bv[col]
-        exact = np.maximum(1.0 - (a * c).sum(1), 0.0) if metric == "cosine" else np.sqrt(((a - c) ** 2).sum(1))
+        row, col = _near_limit(dist, k, 1e-6 * (1.0 + max(np.abs(qv).max(initial=0.0), size)))
+        exact = np.empty(len(row))
+        for at in range(0, len(row), HELD_PAIRS):
+            a, c = qv[row[at : at + HELD_PAIRS]], bv[col[at : at + HELD_PAIRS]]
+            exact[at : at + HELD_PAIRS] = np.maximum(1.0 - (a * c).sum(1), 0.0) if metric == "cosine" else np.sqrt(((a - c) ** 2).sum(1))
         order = np.lexsort((b["id"].to_numpy()[col], exact, row))
         row, col, exact = row[order], col[order], exact[order]
         top = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
         return pd.DataFrame({"id": q["id"].to_numpy()[row[top]], "nbr": b["id"].to_numpy()[col[top]], "dist": exact[top]})
 
+    def kernel(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        bv = _matrix(b["v"])
+        size = np.abs(bv).max(initial=0.0)
+        return pd.concat([some(part, b, bv, size) for part in _slices(q, len(b))], ignore_index=True)
+
     return kernel
 
 
@@ -248,8 +270,8 @@ def pairwise_cosine(
     """
     pts = as_points(df, id_col, vec, "cosine")
 
-    def kernel(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        sim = _matrix(q["v"]) @ _matrix(b["v"]).T
+    def some(q: pd.DataFrame, b: pd.DataFrame, bv: np.ndarray) -> pd.DataFrame:
+        sim = _matrix(q["v"]) @ bv.T
         other = q["id"].to_numpy()[:, None] != b["id"].to_numpy()[None, :]
         return pd.DataFrame(
             {
@@ -262,7 +284,11 @@ def pairwise_cosine(
             }
         )
 
-    hits = vector_join(pts, pts, kernel, "id long, n long, total double, lo double, hi double, close long", **sizes)
+    def kernel(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        bv = _matrix(b["v"])
+        return pd.concat([some(part, b, bv) for part in _slices(q, len(b))], ignore_index=True)
+
+    hits = vector_join(pts, pts, kernel, "id long, n long, total double, lo double, hi double, close long", **{"block_rows": None, **sizes})
     agg = hits.groupBy("id").agg(
         F.sum("n").alias("others"),
         F.sum("total").alias("_t"),

@@ -24,7 +24,9 @@ from gistmill.session import cut_lineage
 #: Bytes of pivots that are sent to all tasks. With more base rows than their square, cells grow and are cut into parts.
 PIVOT_BYTES = 64 << 20
 #: Distances from rows to pivots that a task holds at a time.
-HELD_CELLS = 4_000_000
+HELD_CELLS = 1 << 21
+#: Rows that a task makes of one chunk of queries.
+SENT_ROWS = 1 << 16
 
 
 def group_cells(pivots: np.ndarray, count: np.ndarray, block_rows: int) -> np.ndarray:
@@ -95,9 +97,9 @@ class Grid:
         return out
 
 
-def _in_chunks(df: DataFrame, width: int, fn, schema: T.StructType) -> DataFrame:
-    """``fn`` on pandas blocks with at most HELD_CELLS distances to ``width`` pivots."""
-    step = max(1, HELD_CELLS // width)
+def _in_chunks(df: DataFrame, width: int, fn, schema: T.StructType, copies: int = 1) -> DataFrame:
+    """``fn`` on pandas blocks with at most HELD_CELLS distances to ``width`` pivots, and SENT_ROWS rows if each is made to ``copies``."""
+    step = max(1, min(HELD_CELLS // width, SENT_ROWS // copies))
 
     def run(batches):
         for pdf in batches:
@@ -198,7 +200,7 @@ def routes(bounded: DataFrame, grid: Grid) -> DataFrame:
         other = to != pdf["bin"].to_numpy()[row]
         return pdf.iloc[row[other]].assign(bin=to[other], work=work[other])
 
-    return _in_chunks(bounded, len(grid.pivots), send, _with(bounded, ("work", T.LongType())))
+    return _in_chunks(bounded, len(grid.pivots), send, _with(bounded, ("work", T.LongType())), bins)
 
 
 def two_steps(queries: DataFrame, base: DataFrame, n: int, k: int, metric: str, topk, labelled: bool, block_rows: int) -> DataFrame:
