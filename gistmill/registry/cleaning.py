@@ -11,7 +11,7 @@ from gistmill.operators.labelling import classify_documents
 from gistmill.operators.relational import label_id_of_name
 from gistmill.registry import tables as t
 from gistmill.registry.tables import sql
-from gistmill.session import scratch_path
+from gistmill.session import scratch_path, written
 from gistmill.sources import readers, writers
 
 
@@ -29,6 +29,7 @@ def scalar_sql(fn, *extra):
 def lemma_table(spark, sf):
     """Lemmas from the corpus itself: a word ending in s whose stem also occurs stands for the stem."""
     words = t.cleaned(spark, sf).select(F.explode(tx.words(F.col("text"))).alias("token")).distinct()
+    words = written(words, "words")  # read twice, and the corpus is cleaned once
     plural = words.filter((F.length("token") >= 5) & F.col("token").endswith("s"))
     plural = plural.withColumn("lemma", F.expr("substring(token, 1, length(token) - 1)"))
     return plural.join(words.select(F.col("token").alias("lemma")), "lemma", "left_semi").select("token", "lemma")
