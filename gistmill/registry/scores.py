@@ -16,7 +16,7 @@ from gistmill.registry import tables as t
 from gistmill.registry.labels import INFO_VIEWS, _filled
 from gistmill.registry.tables import quoted, sql
 from gistmill.registry.topics import info
-from gistmill.session import scratch_path
+from gistmill.session import scratch_path, written
 from gistmill.sources import writers
 
 DOC_COLS = ["doc_id", "topic", "tuned_topic_name", "short_explanation"]
@@ -126,7 +126,7 @@ def md5_names(prompts):
 
 
 def q_run_ablation(spark, sf):
-    scores, _ = ab.run_ablation(t.labelled_docs(spark, sf), info(spark, sf), md5_names)
+    scores, _ = ab.run_ablation(written(t.labelled_docs(spark, sf), "labelled"), info(spark, sf), md5_names)
     return scores.select("prompt", t.r6("macro_f1"), t.r6("weighted_f1"), "samples", t.r6("avg_topic_prob"))
 
 
