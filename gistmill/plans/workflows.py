@@ -20,7 +20,7 @@ from gistmill.operators.neighbours import as_points, fuzzy_graph, knn_graph, lay
 from gistmill.operators.relational import join_doc_labels, label_id_of_name
 from gistmill.operators.topics import ctfidf, reduce_topics, topic_info, topic_term_counts
 from gistmill.operators.train import train_head
-from gistmill.session import cut_lineage
+from gistmill.session import cut_lineage, written
 from gistmill.sources.writers import write_variants
 
 
@@ -126,7 +126,7 @@ def fit_topics(
     )
     tagged = cut_lineage(tagged)
     merged = cut_lineage(reduce_topics(tagged, ctfidf(topic_term_counts(tagged)), nr_topics))
-    return merged, ctfidf(topic_term_counts(merged)), eps
+    return merged, written(ctfidf(topic_term_counts(merged)), "weights"), eps
 
 
 def place_new(new: DataFrame, fitted: DataFrame, k_neighbours: int = 15, metric: str = "cosine", reduce_to: int | None = 5) -> DataFrame:

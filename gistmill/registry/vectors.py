@@ -12,6 +12,7 @@ from gistmill.operators.train import train_head
 from gistmill.plans import workflows as wf
 from gistmill.registry import tables as t
 from gistmill.registry.tables import sql_draw
+from gistmill.session import written
 
 EPS, MIN_SAMPLES, MIN_CLUSTER, K = 1.205, 10, 10, 15
 N_EXAMPLES = 2000
@@ -129,7 +130,8 @@ def q_compare(spark, sf):
 
 def q_workflow(spark, sf):
     v = t.doc_vectors(spark, sf)
-    docs = v.select("doc_id", "text", "split", F.col("broad_label_id").alias("label"), "embedding")
+    # Written, as the fit reads the vectors many times.
+    docs = written(v.select("doc_id", "text", "split", F.col("broad_label_id").alias("label"), "embedding"), "vectors")
     out = wf.topics_to_scores(
         docs, stop=STOP_WORDS, metric="euclidean", k_neighbours=K, min_samples=MIN_SAMPLES, core_quantile=0.3, ngram_range=(1, 1)
     )
