@@ -70,11 +70,11 @@ def _block_components(near: np.ndarray) -> np.ndarray:
 def _reach_kernel(eps: float, metric: str):
     def kernel(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         ids = np.concatenate([q["id"].to_numpy(), b["id"].to_numpy()])
-        bv, near = _matrix(b["v"]), []
+        bv, near, at = _matrix(b["v"]), np.empty((len(q), len(b)), bool), 0
         for part in _slices(q, len(b)):
             qv = _matrix(part["v"])
-            near.append((1.0 - qv @ bv.T if metric == "cosine" else np.sqrt(_sq_distances(qv, bv))) <= eps)
-        near = np.concatenate(near)
+            near[at : at + len(part)] = (1.0 - qv @ bv.T if metric == "cosine" else np.sqrt(_sq_distances(qv, bv))) <= eps
+            at += len(part)
         label = _block_components(near)
         root = ids.copy()
         np.minimum.at(root, label, ids)

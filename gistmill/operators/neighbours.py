@@ -33,8 +33,8 @@ BLOCK_ROWS = 4096
 #: Blocks of joins that keep nothing but sums grow up to this many rows, so that a row is sent to fewer of them.
 WIDE_ROWS = 16_384
 #: Cells of a matrix, and pairs of vectors, that a task holds at a time, whatever the size of its blocks.
-HELD_CELLS = 1 << 21
-HELD_PAIRS = 1 << 15
+HELD_CELLS = 1 << 19
+HELD_PAIRS = 1 << 13
 MAX_PIVOTS = 256
 DIGITS = 6
 
@@ -84,7 +84,7 @@ def _with_cell(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     held = df.sparkSession.sparkContext.broadcast(pivots)
 
     def nearest(batches):
-        for pdf in batches:
+        for pdf in (part for whole in batches for part in _slices(whole, len(held.value))):
             if len(pdf):
                 d = _sq_distances(_matrix(pdf["v"]), held.value)
                 cell = d.argmin(axis=1)

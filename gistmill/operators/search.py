@@ -24,9 +24,7 @@ from gistmill.session import cut_lineage
 #: Bytes of pivots that are sent to all tasks. With more base rows than their square, cells grow and are cut into parts.
 PIVOT_BYTES = 64 << 20
 #: Distances from rows to pivots that a task holds at a time.
-HELD_CELLS = 1 << 21
-#: Rows that a task makes of one chunk of queries.
-SENT_ROWS = 1 << 16
+HELD_CELLS = 1 << 19
 
 
 def group_cells(pivots: np.ndarray, count: np.ndarray, block_rows: int) -> np.ndarray:
@@ -97,9 +95,9 @@ class Grid:
         return out
 
 
-def _in_chunks(df: DataFrame, width: int, fn, schema: T.StructType, copies: int = 1) -> DataFrame:
-    """``fn`` on pandas blocks with at most HELD_CELLS distances to ``width`` pivots, and SENT_ROWS rows if each is made to ``copies``."""
-    step = max(1, min(HELD_CELLS // width, SENT_ROWS // copies))
+def _in_chunks(df: DataFrame, width: int, fn, schema: T.StructType) -> DataFrame:
+    """``fn`` on pandas blocks with at most HELD_CELLS distances to ``width`` pivots."""
+    step = max(1, HELD_CELLS // width)
 
     def run(batches):
         for pdf in batches:
@@ -186,7 +184,10 @@ def first_bounds(queries: DataFrame, grid: Grid, k: int, labelled: bool) -> Data
 
 
 def routes(bounded: DataFrame, grid: Grid) -> DataFrame:
-    """A row for each query and further bin that its bound reaches; ``work``: rows of the reached cells."""
+    """A row for each query and further bin that its bound reaches; ``work``: rows of the reached cells.
+
+    A task lists the bins of a query beside it, and Spark makes the rows: Python never holds a copy of a vector for each bin.
+    """
     held = bounded.sparkSession.sparkContext.broadcast(grid)
     bins = int(grid.bin_of.max()) + 1
 
@@ -198,9 +199,13 @@ def routes(bounded: DataFrame, grid: Grid) -> DataFrame:
         work = np.bincount(at, g.count[cell], len(pair)).astype(np.int64)
         row, to = pair // bins, (pair % bins).astype(np.int32)
         other = to != pdf["bin"].to_numpy()[row]
-        return pdf.iloc[row[other]].assign(bin=to[other], work=work[other])
+        row, to, work = row[other], to[other], work[other]
+        ends = np.searchsorted(row, np.arange(1, len(pdf)))
+        return pdf.assign(to=np.split(to, ends), rows=np.split(work, ends)) if len(pdf) else pdf.assign(to=None, rows=None)
 
-    return _in_chunks(bounded, len(grid.pivots), send, _with(bounded, ("work", T.LongType())), bins)
+    listed = _in_chunks(bounded, len(grid.pivots), send, _with(bounded, ("to", T.ArrayType(T.IntegerType())), ("rows", T.ArrayType(T.LongType()))))
+    one = cut_lineage(listed).withColumn("one", F.explode(F.arrays_zip("to", "rows")))
+    return one.withColumns({"bin": F.col("one.to"), "work": F.col("one.rows")}).select(*bounded.columns, "work")
 
 
 def two_steps(queries: DataFrame, base: DataFrame, n: int, k: int, metric: str, topk, labelled: bool, block_rows: int) -> DataFrame:
