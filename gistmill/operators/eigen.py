@@ -97,11 +97,13 @@ def leading(
     known: Sequence[str] = (),
     carried: Sequence[str] = (),
     advance: Callable[[DataFrame, Sequence[str]], DataFrame] | None = None,
+    several: Callable[[DataFrame, Sequence[str], int, float], DataFrame] | None = None,
 ) -> tuple[DataFrame, np.ndarray]:
     """(table of key and the first k columns, values): the k largest eigenvalues of a positive operator, largest first, and its unit eigenvectors.
 
     ``apply(table, names)`` gives (key, names) after the operator, a row for each row of the table. start: key, independent trial columns, more of
-    them than k, and the orthonormal eigenvectors ``known``, which are left out. carried: further columns that ``apply`` and ``advance`` need. advance: image and ``three_terms`` in one step that reads its table once. The sign of a vector makes its largest component positive. tolerance:
+    them than k, and the orthonormal eigenvectors ``known``, which are left out. carried: further columns that ``apply`` and ``advance`` need. advance: image and ``three_terms`` in one step that reads its table once. several(state, names, steps, scale): so many
+    such steps at once, from key, names and ``p_`` columns to key, kept columns and names. The sign of a vector makes its largest component positive. tolerance:
     of |operator x - value x|, relative to the largest value. Raises RuntimeError if it isn't met.
     """
     names, w, kept = list(names), len(names), [*known, *carried]
@@ -121,11 +123,16 @@ def leading(
             return found.select(key, *[(F.col(c) * (1.0 if peak[c] >= 0 else -1.0)).alias(c) for c in names[:k]]), values[:k]
         # Filter: between 0 and the least trial value the polynomial stays within 1, above it grows with its degree.
         middle = max(values[-1], 1e-12 * max(values[0], 1e-300)) / 2
+        degree = min(DEGREE, max(2, int(np.log(2 * GROWTH) / np.arccosh(max(values[0] / middle - 1.0, 1.0 + 1e-9)))))
+        if several is not None:
+            state = both.select(key, *[((F.col(f"m_{c}") - middle * F.col(c)) / middle).alias(c) for c in names], *[F.col(c).alias(f"p_{c}") for c in names])
+            state = cut_lineage(several(state, names, degree - 1, 2.0 / middle))
+            table = orthonormal(state, names, key, *carried, known=known)
+            continue
         # The scale is a column, so that all rounds run the same code.
         before = table.select(key, *kept, F.lit(2.0 / middle).alias("scale"), *[F.col(c).alias(f"p_{c}") for c in names])
         now = both.select(key, *[((F.col(f"m_{c}") - middle * F.col(c)) / middle).alias(c) for c in names])
         state = cut_lineage(now.join(before, key))
-        degree = min(DEGREE, max(2, int(np.log(2 * GROWTH) / np.arccosh(max(values[0] / middle - 1.0, 1.0 + 1e-9)))))
         for step in range(2, degree + 1):
             if advance is not None:
                 state = advance(state, names)

@@ -23,6 +23,7 @@ from gistmill.functions import vectors as vx
 from gistmill.functions.blocks import matrix as _matrix
 from gistmill.functions.blocks import sq_distances as _sq_distances
 from gistmill.functions.draws import hash_key
+from gistmill.operators.blockgraph import BlockGraph
 from gistmill.operators.eigen import leading, random_columns, three_terms
 from gistmill.operators.search import Grid, two_steps
 from gistmill.session import cut_lineage
@@ -353,7 +354,8 @@ HUB_EDGES = 100_000
 def spectral_layout(graph: DataFrame, k: int = 2, tolerance: float = 1e-8, extra: int = 12, seed: int = 42) -> DataFrame:
     """id, coords: the k leading non-trivial eigenvectors of the normalised graph, to a residual of ``tolerance``.
 
-    One application is a join of the edges, which stay dealt by their ends while the fit runs, and a sum per node.
+    The filter's steps run on blocks of nodes (``blockgraph``). With hubs, and for one application in a round, a step is a join of the edges,
+    which stay dealt by their ends while the fit runs, and a sum per node.
     Raises RuntimeError if the residuals don't settle. A graph with fewer than k + 2 nodes, or an empty one, has fewer coordinates or none.
     """
     both = graph.select("a", "b", "weight").union(graph.select(F.col("b"), F.col("a"), "weight"))
@@ -369,7 +371,10 @@ def spectral_layout(graph: DataFrame, k: int = 2, tolerance: float = 1e-8, extra
     # Half a step plus half of staying put keeps every eigenvalue positive; a node's edge to itself also carries what else it knows.
     half = edges.select("a", "b", F.pmod(F.xxhash64("a"), F.col("places")).alias("place"), weight.alias("w"))
     stay = degree.select("a", F.col("a").alias("b"), F.pmod(F.xxhash64("a"), places).alias("place"), F.lit(0.5).alias("w"))
-    edges = cut_lineage(half.union(stay)).repartition("b", "place").persist()
+    edges = cut_lineage(half.union(stay))
+    hubs = degree.filter(F.col("n") > HUB_EDGES).limit(1).count() > 0
+    packed = None if hubs or dict(degree.dtypes)["a"] != "bigint" else BlockGraph(edges.select("a", "b", "w"), nodes)
+    edges = edges.repartition("b", "place").persist()
     total = degree.agg(F.sum("deg")).first()[0]
 
     def moved(x: DataFrame, names: Sequence[str], *carried: str) -> DataFrame:
@@ -385,14 +390,19 @@ def spectral_layout(graph: DataFrame, k: int = 2, tolerance: float = 1e-8, extra
     def advance(state: DataFrame, names: Sequence[str]) -> DataFrame:
         return three_terms(moved(state, names, *kept, "scale", *names, *[f"p_{n}" for n in names]), "id", names, kept)
 
+    def several(state: DataFrame, names: Sequence[str], steps: int, scale: float) -> DataFrame:
+        return packed.three_terms(state, names, steps, scale).join(start, "id")
+
     kept = ["t", "places"]
     names = [f"x{i}" for i in range(width)]
     start = degree.select(F.col("a").alias("id"), F.sqrt(F.col("deg") / total).alias("t"), places.cast("double").alias("places"))
     try:
-        found, _ = leading(apply, random_columns(start, "id", names, seed), "id", names, k, tolerance, ["t"], ["places"], advance)
+        found, _ = leading(apply, random_columns(start, "id", names, seed), "id", names, k, tolerance, ["t"], ["places"], advance, several if packed else None)
         return found.select("id", F.array(*names[:k]).alias("coords"))
     finally:
         edges.unpersist()
+        if packed:
+            packed.close()
 
 
 def layout_transform(layout: DataFrame, hits: DataFrame, k: int = 2) -> DataFrame:
