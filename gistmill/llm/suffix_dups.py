@@ -18,8 +18,6 @@ Nothing is collected: a bucket holds hashes and places, and identical texts shri
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -125,7 +123,8 @@ def _once(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text: str = "text", carry: Column | None = None) -> DataFrame:
-    """One row per row of `docs`: id, n_bytes, starts and ends (byte spans to take out, in order), kept (the other bytes), and `carry` as it is.
+    """One row per row of `docs`: id, n_bytes, starts and ends (byte spans to take out, in order) and kept (the other bytes). With `carry`,
+    instead: carried (`carry` as it is) and left (the kept bytes as text, without those of broken characters).
 
     A byte is taken out if a string of `width` bytes that covers it also starts anywhere else: in another text or elsewhere in the
     same one. Every place of such a string is taken out. Strings never run from one text into the next. A null text is empty, a text
@@ -193,17 +192,20 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
         for a, b in zip(offsets[:-1], offsets[1:], strict=True):
             edge = np.flatnonzero(np.diff(np.concatenate([[False], gone[a:b], [False]]).astype(np.int8)))
             out.append((edge[::2], edge[1::2], data[a:b][~gone[a:b]].tobytes() if len(edge) else data[a:b].tobytes()))
-        same = {"carried": ordered.column("carried")} if "carried" in ordered.column_names else {}
+        if "carried" in ordered.column_names:
+            # Decoded here, since a further step would keep a second Python worker beside this one.
+            return pa.table({"carried": ordered.column("carried"), "left": pa.array([x[2].decode("utf-8", "ignore") for x in out], pa.string())})
         return pa.table(
             {
                 "id": ordered.column("id"), "n_bytes": pa.array(np.diff(offsets), pa.int64()),
                 "starts": pa.array([x[0] for x in out], pa.list_(pa.int64())), "ends": pa.array([x[1] for x in out], pa.list_(pa.int64())),
-                "kept": pa.array([x[2] for x in out], pa.binary()), **same,
+                "kept": pa.array([x[2] for x in out], pa.binary()),
             }
         )
 
     schema = StructType.fromDDL("id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
-    schema = StructType(schema.fields + [f for f in texts.schema.fields if f.name == "carried"])
+    if carried:
+        schema = StructType([f for f in texts.schema.fields if f.name == "carried"]).add("left", "string")
     return by_route().cogroup(found.groupBy("receiver")).applyInArrow(take_out, schema)
 
 
@@ -262,15 +264,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of `docs` (doc_id, text, n_chars, ...) with what is left of their texts; other columns stay. What is left of a character of which
     some bytes are taken out is taken out as well. A null text stays null."""
     others = [F.col(c) for c in docs.columns if c != "text"]
-    spans = repeated_spans(docs, width, carry=F.struct(*others, F.col("text").isNull().alias("_no_text")))
-
-    def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pa.array([x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("carried"), texts], ["carried", "text"])
-
-    schema = StructType([f for f in spans.schema.fields if f.name == "carried"]).add("text", "string")
-    left = spans.select("carried", "kept").mapInArrow(decode, schema)
-    text = F.when(~F.col("carried._no_text"), F.col("text"))
+    left = repeated_spans(docs, width, carry=F.struct(*others, F.col("text").isNull().alias("_no_text")))
+    text = F.when(~F.col("carried._no_text"), F.col("left"))
     columns = {"text": text, "n_chars": F.length(text).cast("bigint")}
     return left.select(*[columns[c].alias(c) if c in columns else F.col("carried").getField(c).alias(c) for c in docs.columns])
