@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,18 +15,120 @@ from gistmill.functions import vectors as vx
 from gistmill.functions.draws import global_rank
 from gistmill.operators.evaluate import centroids, silhouette
 from gistmill.operators.neighbours import HELD_CELLS, _matrix, _slices, _sq_distances, as_points, nearest, vector_join
+from gistmill.operators.train import GRADIENT, tree_sum
 from gistmill.session import cut_lineage
 
 
+#: Doubles that a task returns in a step of k-means: so many runs move at a time. Tasks that return no more than that together send it straight to the driver.
+MOVED_CELLS = 1 << 20
+
+
+def _flat_vectors(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _center_step(vectors: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums and counts of the vectors (v) by nearest center, and their squared distances, of all runs in one pass.
+
+    centers: runs x k x D, with NaN where a run has fewer than k. Ties go to the first center.
+    """
+    runs, k, width = centers.shape
+    held = vectors.sparkSession.sparkContext.broadcast(centers.reshape(runs * k, width))
+
+    def add(batches):
+        own = np.nan_to_num(held.value)
+        heights = np.where(np.isnan(held.value[:, 0]), np.inf, (own * own).sum(1))
+        n, sums, counts, costs = 0, np.zeros((runs * k, width)), np.zeros(runs * k), np.zeros(runs)
+        step = max(1, HELD_CELLS // (runs * k))
+        for batch in batches:
+            v = _flat_vectors(batch.column("v"), width)
+            for at in range(0, len(v), step):
+                part = v[at : at + step]
+                far = part @ own.T
+                far *= -2.0
+                far += heights
+                far = far.reshape(len(part), runs, k)
+                best = far.argmin(2)
+                least = np.take_along_axis(far, best[:, :, None], 2)[:, :, 0] + (part * part).sum(1)[:, None]
+                costs += np.maximum(least, 0.0).sum(0)
+                far = far.reshape(len(part), runs * k)
+                far[:] = 0.0
+                np.put_along_axis(far, best + np.arange(runs) * k, 1.0, 1)
+                sums += far.T @ part
+                counts += far.sum(0)
+            n += len(v)
+        if n:
+            g = np.concatenate([sums.ravel(), counts, costs])
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([0.0]), pa.array([g], pa.list_(pa.float64()))], ["n", "loss", "g"])
+
+    parts, tasks = vectors.mapInArrow(add, GRADIENT), vectors.rdd.getNumPartitions()
+    if tasks * centers.size <= MOVED_CELLS:
+        g = _flat_vectors(parts.select("g").toArrow()["g"].combine_chunks(), centers.size + runs * (k + 1)).sum(0)
+    else:
+        g = tree_sum(parts, tasks)[2]
+    held.destroy()
+    sums, counts, costs = np.split(g, [runs * k * width, runs * k * (width + 1)])
+    return sums.reshape(centers.shape), counts.reshape(runs, k), costs
+
+
+def _settled(vectors: DataFrame, starts: list[np.ndarray], rounds: int = 300, tol: float = 1e-4) -> list[tuple[float, np.ndarray]]:
+    """Lloyd's steps for all runs side by side, one pass over the vectors a step: cost (at the last step's start) and centers of each run.
+
+    A run ends where no center moves by more than `tol`, as in Spark's KMeans; centers without rows stay.
+    """
+    k, width = max(len(c) for c in starts), starts[0].shape[1]
+    at_once = max(1, MOVED_CELLS // (k * (width + 1)))
+    centers = np.stack([np.pad(c, ((0, k - len(c)), (0, 0)), constant_values=np.nan) for c in starts])
+    costs = np.zeros(len(starts))
+    for top in range(0, len(starts), at_once):
+        moving = np.arange(top, min(top + at_once, len(starts)))
+        for _ in range(rounds):
+            sums, counts, costs[moving] = _center_step(vectors, centers[moving])
+            new = np.where(counts[:, :, None] > 0, sums / np.maximum(counts, 1)[:, :, None], centers[moving])
+            moved = np.nan_to_num(((new - centers[moving]) ** 2).sum(2)).max(1)
+            centers[moving] = new
+            moving = moving[moved > tol * tol]
+            if not len(moving):
+                break
+    return [(float(cost), c[~np.isnan(c[:, 0])]) for cost, c in zip(costs, centers, strict=True)]
+
+
 def kmeans(df: DataFrame, k: int | None = None, restarts: int = 10, seed: int = 42, vec: str = "embedding") -> DataFrame:
-    """Adds ``cluster``: the cheapest of several seeded runs; k defaults to min(50, n // 10)."""
+    """Adds ``cluster``: the cheapest of several seeded runs; k defaults to min(50, n // 10).
+
+    Spark's KMeans finds the first centers of each run (k-means||); then all runs move together, so that the passes over the
+    vectors are those of the longest run, and not of all of them.
+    """
     pts = df.withColumn("_v", array_to_vector(vx.as_double(F.col(vec)))).persist()
     if k is None:
         k = max(2, min(50, pts.count() // 10))
-    runs = [KMeans(k=k, maxIter=300, seed=seed + i, featuresCol="_v", predictionCol="cluster").fit(pts) for i in range(restarts)]
-    best = min(runs, key=lambda m: m.summary.trainingCost)
-    out = best.transform(pts).drop("_v")
-    return out
+    starts = [np.stack(KMeans(k=k, maxIter=0, seed=seed + i, featuresCol="_v").fit(pts).clusterCenters()) for i in range(restarts)]
+    # Distances are taken from a point amid the vectors: products of large components would hide small ones.
+    middle = starts[0].mean(0)
+    flat = pts.select(vector_to_array("_v").alias("v"))
+    vectors = flat.mapInArrow(_shifted(middle), "v array<double>").persist()
+    _, best = min(_settled(vectors, [c - middle for c in starts]), key=lambda run: run[0])
+    vectors.unpersist()
+    held = df.sparkSession.sparkContext.broadcast((best, middle))
+
+    def name(v: pd.Series) -> pd.Series:
+        best, middle = held.value
+        step = max(1, HELD_CELLS // len(best))
+        parts = (np.stack(v.iloc[at : at + step].to_numpy()) - middle for at in range(0, len(v), step))
+        return pd.Series(np.concatenate([((best * best).sum(1) - 2.0 * (x @ best.T)).argmin(1) for x in parts]).astype(np.int32))
+
+    name.__annotations__ = {"v": pd.Series, "return": pd.Series}
+    return pts.withColumn("cluster", F.pandas_udf(name, "int")(vector_to_array("_v"))).drop("_v")
+
+
+def _shifted(middle: np.ndarray):
+    def shift(batches):
+        for batch in batches:
+            v = _flat_vectors(batch.column("v"), len(middle)) - middle
+            ends = pa.array(np.arange(0, v.size + 1, len(middle), dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(v.ravel()))], ["v"])
+
+    return shift
 
 
 def embedding_quality(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", **kw) -> DataFrame:
