@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gistmill.llm import blobs
-from gistmill.llm.words import BYTE_NUMBERS, U64, covered, mix, powers, repeated, text_bytes
+from gistmill.llm.words import BYTE_NUMBERS, U64, covered, give_back, mix, powers, repeated, text_bytes
 
 WIDTH = 200
 ANCHOR_BYTES = 32
@@ -62,6 +62,7 @@ class Route:
     """Anchors of the texts of a route and the windows that belong to each."""
 
     def __init__(self, table: pa.Table, width: int):
+        give_back()  # what the route before took
         self.table = blobs.in_order(table)
         self.data, self.offsets = text_bytes(self.table.column("text").chunk(0) if self.table.num_rows else pa.array([], pa.string()))
         depth = min(ANCHOR_BYTES, width)

@@ -1,8 +1,47 @@
-"""How many Python steps stand in a row."""
+"""How many Python steps stand in a row, what workers keep, and how many files small tables take."""
 
-from gistmill.llm import suffix_dups
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gistmill.llm import suffix_dups, words
+from gistmill.llm.components import LINKS, TASKS, components
 
 
 def test_texts_are_decoded_where_bytes_are_taken_out(spark):
     docs = spark.createDataFrame([(1, "ä" * 300, 300), (2, None, None)], "doc_id long, text string, n_chars long")
     assert "MapInArrow" not in suffix_dups.without_repeats(docs)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def own_mb():
+    with open("/proc/self/smaps_rollup") as file:
+        return int(re.search(r"Private_Dirty:\s+(\d+)", file.read())[1]) / 1024
+
+
+@pytest.mark.skipif(words._trim is None, reason="not the GNU C library")
+def test_a_worker_gives_freed_memory_back():
+    """pipeline: arrays of the C library's heap stay with a worker while another one lies above them."""
+    below = [np.ones(12_000) for _ in range(1000)]
+    above = np.ones(1000)
+    held = own_mb()
+    del below
+    assert not list(words.slices([]))
+    assert held - own_mb() > 60 and above.sum() == 1000
+
+
+def test_labels_are_written_in_few_files(spark):
+    """pipeline: as many files as the labels need, whatever the number of shuffle partitions."""
+    conf = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        chain = spark.range(90).select(F.col("id").alias("a"), (F.col("id") + F.when(F.col("id") % 30 == 29, 0).otherwise(1)).alias("b"))
+        got = components(chain)
+        assert got.rdd.getNumPartitions() <= TASKS < 50 and LINKS > 180
+        assert {(r["node"], r["label"]) for r in got.collect()} == {(i, i // 30 * 30) for i in range(90)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
