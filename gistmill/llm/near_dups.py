@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from gistmill.llm import blobs
 from gistmill.llm.components import components
-from gistmill.llm.words import LOWER, PLAIN_WORD, U64, gram_hashes, mix, repeated, slices, span_hashes, split_words, text_bytes
-from gistmill.session import cut_lineage, scratch_path
+from gistmill.llm.words import LOWER, PLAIN_WORD, U64, give_back, gram_hashes, mix, repeated, slices, span_hashes, split_words, text_bytes, thrifty, thrifty_pair
+from gistmill.session import FILE_BYTES, few_files, hold, scratch_path
 
 CHUNKS, CHUNK, ERRORS = 6, 5, 2
 CHOICES = list(itertools.combinations(range(CHUNK), CHUNK - ERRORS))
@@ -41,6 +41,8 @@ TILE = 1024
 SKETCH = 256
 #: Classes whose keys are made at a time; more of them where there are so many that a bucket would get less than four keys from a route.
 ROUTE_CLASSES = 1_000
+#: Rows of the input for each file of the table of classes.
+FILE_ROWS = 10_000
 _PLACE = 4
 
 _SEEDS = mix(np.arange(1, SYMBOLS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
@@ -132,6 +134,7 @@ def shared_keys(classes: DataFrame) -> DataFrame:
         sig = _unpacked(table.column("sig"))
         return table, np.concatenate([keys_of(sig, c) for c in range(CHUNKS)], 1).ravel()
 
+    @thrifty
     def send(table: pa.Table) -> pa.Table:
         table, keys = all_keys(table)
         _, firsts, counts = np.unique(keys, return_index=True, return_counts=True)
@@ -140,10 +143,12 @@ def shared_keys(classes: DataFrame) -> DataFrame:
         keys = keys[firsts]
         return blobs.deal(blobs.bucket_of(keys, buckets), table.column("route")[0].as_py(), {"p": (firsts.astype(U64), _PLACE), "h": (keys, 5), "m": (again.astype(U64), 1)})
 
+    @thrifty
     def meet(table: pa.Table) -> pa.Table:
         shared = repeated(blobs.column(table, "h", 5)) | (blobs.column(table, "m", 1) > 0)
         return blobs.deal(blobs.senders(table, "p")[shared], 0, {"p": (blobs.column(table, "p", _PLACE)[shared], _PLACE)})
 
+    @thrifty_pair
     def name(table: pa.Table, marks: pa.Table) -> pa.Table:
         if not table.num_rows or not marks.num_rows:
             return pa.table({"key": pa.array([], pa.int64()), "number": pa.array([], pa.int32()), "id": pa.array([], pa.int64())})
@@ -271,7 +276,7 @@ def across(shared: DataFrame, labels: DataFrame, classes: DataFrame, sketched: D
     """
     groups = shared.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "number", "id", F.coalesce("label", "id").alias("label"))
     wide = groups.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "m")
-    groups = cut_lineage(groups.join(wide, "key").select("key", "number", "id", "label", "m"))
+    groups = hold(groups.join(wide, "key").select("key", "number", "id", "label", "m"))
     facts = classes.select("id", F.col("n").alias("size"), "sig").join(sketched, "id")
     small = groups.where(F.col("m") <= HOT).select("key", F.lit(0).cast("bigint").alias("block"), F.lit(PLAIN).alias("side"), "number", "id", "label")
 
@@ -298,6 +303,7 @@ def across(shared: DataFrame, labels: DataFrame, classes: DataFrame, sketched: D
             held.append(batch.slice(last))
         if held:
             yield flush(pa.Table.from_batches(held))
+        give_back()
 
     rows = small.union(_blocks(groups.where(F.col("m") > HOT))).join(facts, "id").select("key", "block", "side", "number", "id", "label", "size", "sig", "sketch")
     return rows.repartition("key", "block").sortWithinPartitions("key", "block", "side").mapInArrow(pair, "a long, b long").distinct()
@@ -341,6 +347,7 @@ def links_within(families: DataFrame, labels: DataFrame, texts: DataFrame, size:
             packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((offsets * 8).astype(np.int32)), pa.py_buffer(values)])
             yield pa.RecordBatch.from_arrays([batch.column("id"), packed], ["id", "shingles"])
 
+    @thrifty
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         lists = table.column("shingles").to_pylist()
@@ -397,23 +404,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     linked = signed.where("id is not null and n > 0")
     # An id has several classes only where it is there with several texts; these are linked below.
     class_path = scratch_path(spark, "classes")
-    linked.groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig")).write.parquet(class_path)
+    few_files(linked.groupBy("s1", "s2", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), signed.count(), FILE_ROWS).write.parquet(class_path)
     # Where an id has several texts, it has several classes: each makes keys, and all their links are the id's.
     classes = spark.read.parquet(class_path)
     ids = linked.select("s1", "s2", "n", "id").join(classes.select("s1", "s2", "n", F.col("id").alias("class_id")), ["s1", "s2", "n"])
-    shared = cut_lineage(shared_keys(classes.select("id", "sig")))
+    shared = hold(shared_keys(classes.select("id", "sig")))
     stars = shared.join(shared.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1"), "key")
     stars = stars.where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    stars = cut_lineage(near(stars, classes, similarity))
+    stars = hold(near(stars, classes, similarity))
     texts_path = scratch_path(spark, "candidates")
     members = shared.select("id").distinct()
-    docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).join(members, "id", "left_semi").write.parquet(texts_path)
+    candidates = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).join(members, "id", "left_semi")
+    few_files(candidates, blobs.text_size(docs, text), FILE_BYTES).write.parquet(texts_path)
     texts = spark.read.parquet(texts_path)
-    links = cut_lineage(confirmed(stars, texts, size, percent))
-    sketched = cut_lineage(sketches(texts, size))
+    links = hold(confirmed(stars, texts, size, percent))
+    sketched = hold(sketches(texts, size))
     labels = components(links)
     families = components(across(shared, labels, classes, sketched, similarity))
-    links = links.union(cut_lineage(links_within(families, labels, texts, size, percent)))
+    links = links.union(hold(links_within(families, labels, texts, size, percent)))
     # Equal sets and ids with several sets are links as well.
     same = ids.where("id <> class_id").select(F.col("class_id").alias("a"), F.col("id").alias("b"))
     labels = components(links.union(same))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gistmill.llm import blobs
-from gistmill.llm.words import BYTE_NUMBERS, U64, covered, give_back, mix, powers, repeated, text_bytes
+from gistmill.llm.words import BYTE_NUMBERS, U64, covered, mix, powers, repeated, text_bytes, thrifty, thrifty_pair
 
 WIDTH = 200
 ANCHOR_BYTES = 32
@@ -62,7 +62,6 @@ class Route:
     """Anchors of the texts of a route and the windows that belong to each."""
 
     def __init__(self, table: pa.Table, width: int):
-        give_back()  # what the route before took
         self.table = blobs.in_order(table)
         self.data, self.offsets = text_bytes(self.table.column("text").chunk(0) if self.table.num_rows else pa.array([], pa.string()))
         depth = min(ANCHOR_BYTES, width)
@@ -140,11 +139,13 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     buckets = blobs.bucket_count(total * each)
     wide = blobs.bucket_count(total / 2)
 
+    @thrifty
     def send_anchors(table: pa.Table) -> pa.Table:
         r = Route(table, width)
         which, again = _once(r.keys)
         return _dealt(table, r.keys[which], buckets, {"h": (r.keys[which], 6), "p": (which.astype(U64), _PLACE), "m": (again, 1)})
 
+    @thrifty_pair
     def send_reaches(table: pa.Table, marks: pa.Table) -> pa.Table:
         if not table.num_rows or not marks.num_rows:
             return _none(h=6, s=8, p=_PLACE, m=1)
@@ -155,6 +156,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
         which, reach = which[firsts], reach[firsts]
         return _dealt(table, r.keys[which], buckets, {"h": (r.keys[which], 6), "s": (reach, 8), "p": (which.astype(U64), _PLACE), "m": (again, 1)})
 
+    @thrifty_pair
     def send_windows(table: pa.Table, marks: pa.Table) -> pa.Table:
         if not table.num_rows or not marks.num_rows:
             return _none(h=8, p=_PLACE, m=1)
@@ -174,6 +176,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     # What is said of whole anchors goes to the routes along with the single windows.
     found = windows.groupBy("receiver").applyInArrow(_meet_windows, blobs.schema(p=_PLACE, k=2)).unionByName(kinds)
 
+    @thrifty_pair
     def take_out(table: pa.Table, marks: pa.Table) -> pa.Table:
         r = Route(table, width) if marks.num_rows else None
         out = []
@@ -223,11 +226,13 @@ def _answer(which: np.ndarray, table: pa.Table, columns: dict) -> pa.Table:
     return blobs.deal(blobs.senders(table, "h")[which], table.column("receiver")[0].as_py(), columns)
 
 
+@thrifty
 def _meet_anchors(table: pa.Table) -> pa.Table:
     live = repeated(blobs.column(table, "h", 6)) | (blobs.column(table, "m", 1) > 0)
     return _answer(live, table, {"p": (blobs.column(table, "p", _PLACE)[live], _PLACE)})
 
 
+@thrifty
 def _meet_reaches(table: pa.Table) -> pa.Table:
     h, s, p = blobs.column(table, "h", 6), blobs.column(table, "s", 8), blobs.column(table, "p", _PLACE)
     values, firsts, at = np.unique(s, return_index=True, return_inverse=True)
@@ -244,6 +249,7 @@ def _meet_reaches(table: pa.Table) -> pa.Table:
     return _answer(told, table, {"p": (p[told], _PLACE), "k": (kind[told], 2)})
 
 
+@thrifty
 def _meet_windows(table: pa.Table) -> pa.Table:
     found = repeated(blobs.column(table, "h", 8)) | (blobs.column(table, "m", 1) > 0)
     p = blobs.column(table, "p", _PLACE)[found]

@@ -1,13 +1,18 @@
 """How many Python steps stand in a row, what workers keep, and how many files small tables take."""
 
+import os
 import re
+from contextlib import contextmanager
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gistmill.llm import suffix_dups, words
+import corpus_pipeline
+from gistmill.llm import near_dups, suffix_dups, words
 from gistmill.llm.components import LINKS, TASKS, components
+from gistmill.session import LEAST_FILES, scratch_root
+from tests.llm.conftest import prose
 
 
 def test_texts_are_decoded_where_bytes_are_taken_out(spark):
@@ -45,3 +50,63 @@ def test_labels_are_written_in_few_files(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+@contextmanager
+def many_partitions(spark):
+    conf = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def files_below(path):
+    return {os.path.join(d, x) for d, _, names in os.walk(path) for x in names if x.startswith("part-")}
+
+
+def test_near_duplicates_writes_few_files(spark):
+    """pipeline: signatures in as many files as the input has, two tables in as many as their rows need, whatever the number of shuffle partitions; no more."""
+    texts = [prose(k % 9, 60) + ("end" if k > 20 else "") for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    root = scratch_root(spark).removeprefix("file:")
+    with many_partitions(spark):
+        before = files_below(root)
+        got = near_dups.near_duplicates(docs).collect()
+        made = files_below(root) - before
+    assert {(r["id"], r["component_id"]) for r in got} == {(k, k % 9) for k in range(60)}
+    assert 3 <= len(made) <= 4 + 2 * LEAST_FILES
+
+
+def test_stages_write_few_files(spark, docs):
+    """pipeline: what comes out of a shuffle has as many partitions as the input's text needs."""
+    with many_partitions(spark):
+        for name, stage in corpus_pipeline.STAGES[1:3]:
+            assert stage(spark, docs, "").rdd.getNumPartitions() <= LEAST_FILES, name
+
+
+@pytest.mark.skipif(words._trim is None, reason="not the GNU C library")
+def test_a_group_hands_back_what_it_took():
+    """pipeline: a worker that waits for its next task keeps nothing of the last group."""
+    above, most = [], []
+
+    def group(*tables):
+        below = [np.ones(12_000) for _ in range(1000)]
+        above.append(np.ones(1000))
+        most.append(own_mb())
+        return len(below)
+
+    assert words.thrifty(group)(None) == 1000 and most[0] - own_mb() > 60
+    assert words.thrifty_pair(group)(None, None) == 1000 and most[1] - own_mb() > 60
+
+
+def test_powers_grow_by_a_quarter():
+    """pipeline: each worker keeps them."""
+    n = len(words.powers(5000)[0].base)
+    assert len(words.powers(n + 1)[0].base) <= max(n + 1, n * 5 // 4)
+    power, inverse = words.powers(n + 1)
+    assert ((power * inverse) == 1).all()
