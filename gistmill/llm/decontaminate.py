@@ -173,10 +173,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_
         frame = frame.withColumn("digest", F.md5(F.col("text").cast("binary"))).join(met, "digest", "left").drop("digest")
         return frame.mapInArrow(_cut(most_share), _cut_schema(carried))
     frame = frame.withColumns({"starts": F.array().cast("array<long>"), "ends": F.array().cast("array<long>"), "items": F.array().cast("array<string>")})
-    schema = StructType(StructType.fromDDL("id long, text string, starts array<long>, ends array<long>, items array<string>").fields + carried)
-    for packed in automata(items, block_count(total), window, item_col, item_text):
-        frame = frame.mapInArrow(_pass(spark.sparkContext.broadcast(packed)), schema)
-    return frame.mapInArrow(_cut(most_share), _cut_schema(carried))
+    steps = [_pass(spark.sparkContext.broadcast(packed)) for packed in automata(items, block_count(total), window, item_col, item_text)]
+    return frame.mapInArrow(_in_one([*steps, _cut(most_share)]), _cut_schema(carried))
 
 
 def _cut_schema(carried: list[StructField]) -> StructType:
@@ -348,6 +346,17 @@ def _pass(sent):
     return scan
 
 
+def _in_one(steps: list):
+    """One step for all: as steps of Spark, each would keep a Python worker of its own beside the others."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        return batches
+
+    return run
+
+
 def _merged(starts: list[int], ends: list[int]) -> tuple[list[int], list[int]]:
     """The spans, joined where they touch or overlap."""
     out: list[list[int]] = []

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gistmill.llm import near_dups, suffix_dups, words
+from gistmill.llm import decontaminate, near_dups, suffix_dups, words
 from gistmill.llm.components import LINKS, TASKS, components
 from gistmill.session import LEAST_FILES, scratch_root
 from tests.llm.conftest import prose
@@ -110,3 +110,12 @@ def test_powers_grow_by_a_quarter():
     assert len(words.powers(n + 1)[0].base) <= max(n + 1, n * 5 // 4)
     power, inverse = words.powers(n + 1)
     assert ((power * inverse) == 1).all()
+
+
+def test_texts_pass_all_automata_in_one_step(spark, docs):
+    """pipeline: one Python worker for each task of decontamination, not one for each automaton and one more."""
+    text = prose(91, 30)
+    items = spark.createDataFrame([(1, text), (2, prose(92, 30))], "item_id long, text string")
+    found = decontaminate.decontaminate(docs.limit(3).select("doc_id", F.lit(text).alias("text")), items)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert [(r["n_hit"], r["items"]) for r in found.collect()] == [(r["n_words"], ["1"]) for r in found.collect()]
