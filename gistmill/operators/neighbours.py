@@ -25,7 +25,7 @@ from gistmill.functions.blocks import sq_distances as _sq_distances
 from gistmill.functions.draws import hash_key
 from gistmill.operators.blockgraph import BlockGraph
 from gistmill.operators.eigen import leading, random_columns, three_terms
-from gistmill.operators.search import Grid, two_steps
+from gistmill.operators.search import HITS, two_steps
 from gistmill.session import cut_lineage
 
 SMALL_ROWS = 4096
@@ -171,13 +171,10 @@ def _slices(q: pd.DataFrame, width: int) -> list[pd.DataFrame]:
     return [q.iloc[at : at + step] for at in range(0, max(1, len(q)), step)]
 
 
-def _topk_kernel(k: int, metric: str, skip_self: bool, other_label: bool, grid: Grid | None = None) -> Kernel:
+def _topk_kernel(k: int, metric: str, skip_self: bool, other_label: bool) -> Kernel:
     def some(q: pd.DataFrame, b: pd.DataFrame, bv: np.ndarray, size: float) -> pd.DataFrame:
         qv = _matrix(q["v"])
-        if grid is not None:
-            dist = grid.distances(q, qv, b, bv, metric)
-        else:
-            dist = 1.0 - qv @ bv.T if metric == "cosine" else np.sqrt(_sq_distances(qv, bv))
+        dist = 1.0 - qv @ bv.T if metric == "cosine" else np.sqrt(_sq_distances(qv, bv))
         if skip_self:
             dist[q["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = np.inf
         if other_label:
@@ -223,13 +220,12 @@ def nearest(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """id, rank, nbr, dist: the k nearest base points of each query point; ties by id."""
-    kernel = lambda grid=None: _topk_kernel(k, metric, skip_self, other_label, grid)
     head = _small(base, small_rows)
     if head is not None:
-        hits = _beside(queries, head, kernel(), "id long, nbr long, dist double")
+        hits = _beside(queries, head, _topk_kernel(k, metric, skip_self, other_label), HITS)
     else:
         base = cut_lineage(base)
-        hits = two_steps(queries, base, base.count(), k, metric, kernel, other_label, block_rows)
+        hits = two_steps(queries, base, base.count(), k, metric, skip_self, other_label, block_rows)
     return _ranked(hits, k).select("id", "rank", "nbr", "dist")
 
 
