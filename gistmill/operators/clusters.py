@@ -235,7 +235,7 @@ def density_clusters(
     dense = pts.join(core.filter(F.col("core") <= eps).select("id"), "id").persist()
     reach = float(np.sqrt(2 * eps)) if metric == "cosine" else eps
     # Blocks hold core points; a block pair's matrix covers both sides.
-    links = vector_join(dense, dense, _reach_kernel(eps, metric), "u long, v long", reach=reach, **sizes)
+    links = vector_join(dense, dense, _reach_kernel(eps, metric), "u long, v long", reach=reach, mirrored=True, **sizes)
     comp = connected_components(links)
     comp = dense.select("id").join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_cluster_size)

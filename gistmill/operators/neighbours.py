@@ -6,20 +6,24 @@ matrix product on two bounded blocks inside a task, and a task returns a few row
 * a base side of at most ``SMALL_ROWS`` rows (counted first) goes to the tasks whole, and queries are not moved;
 * a larger one is cut into blocks around pivot vectors. Blocks are split by row hash so that none exceeds
   ``BLOCK_ROWS`` however dense a region is, and where only rows within a reach count, the triangle inequality removes
-  block pairs that cannot hold any; nearest rows are found in two steps, see ``search``.
+  block pairs that cannot hold any; nearest rows are found in two steps, see ``search``. Blocks are written once; a task reads those of
+  two partitions, so that no row is sent to each block that it meets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gistmill.functions import vectors as vx
+from gistmill.functions.blocks import MOST_PARTS, crossed, pack, right_parts
 from gistmill.functions.blocks import matrix as _matrix
 from gistmill.functions.blocks import sq_distances as _sq_distances
 from gistmill.functions.draws import hash_key
@@ -50,17 +54,19 @@ def vector_join(
     reach: float | None = None,
     small_rows: int = SMALL_ROWS,
     block_rows: int | None = BLOCK_ROWS,
+    mirrored: bool = False,
 ) -> DataFrame:
     """Run ``kernel`` on blocks so that every (query row, base row) pair meets exactly once.
 
     Both sides hold ``id`` and ``v`` (array<double>); other columns travel along. With ``reach`` = r block
     pairs that are farther apart than r are left out. block_rows: None lets the blocks of a large
-    base grow up to WIDE_ROWS, for kernels that go through their queries in slices.
+    base grow up to WIDE_ROWS, for kernels that go through their queries in slices. mirrored: both sides are the same table, and two blocks of a large one
+    meet in one order only.
     """
     head = _small(base, small_rows)
     if head is not None:
         return _beside(queries, head, kernel, schema)
-    return _grid_join(queries, base, kernel, schema, reach, block_rows)
+    return _grid_join(queries, base, kernel, schema, reach, block_rows, mirrored)
 
 
 def _small(base: DataFrame, small_rows: int) -> pd.DataFrame | None:
@@ -112,7 +118,7 @@ def surviving_cells(between: np.ndarray, q_radius: np.ndarray, b_count: np.ndarr
     return keep & (b_count > 0)[None, :]
 
 
-def _grid_join(queries, base, kernel, schema, reach, block_rows) -> DataFrame:
+def _grid_join(queries, base, kernel, schema, reach, block_rows, mirrored) -> DataFrame:
     spark = base.sparkSession
     n_base = base.count()
     if block_rows is None:
@@ -121,41 +127,42 @@ def _grid_join(queries, base, kernel, schema, reach, block_rows) -> DataFrame:
     n_pivots = int(min(MAX_PIVOTS, max(1, n_base // block_rows)))
     picked = base.withColumn("_h", hash_key(7, "id")).orderBy("_h", "id").limit(n_pivots).select("v").toPandas()
     pivots = _matrix(picked["v"])
-    q, b = _with_cell(queries, pivots).persist(), _with_cell(base, pivots).persist()
+    b = _with_cell(base, pivots).persist()
+    q = b if mirrored else _with_cell(queries, pivots).persist()
     q_count, q_radius = _cell_stats(q, n_pivots)
     b_count, b_radius = _cell_stats(b, n_pivots)
     between = np.sqrt(_sq_distances(pivots, pivots))
     keep = surviving_cells(between, q_radius, b_count, b_radius, reach)
     keep &= (q_count > 0)[:, None]
-    q_parts = -(-q_count // block_rows)
-    b_parts = -(-b_count // block_rows)
-    i, j = np.nonzero(keep)
-    # At most MAX_PIVOTS^2 rows.
-    cells = spark.createDataFrame(
-        pd.DataFrame({"qc": i.astype("int32"), "bc": j.astype("int32"), "qn": q_parts[i], "bn": b_parts[j]}),
-        "qc int, bc int, qn long, bn long",
-    )
-
-    def part(n):
-        return F.pmod(F.xxhash64("id"), F.col(n))
-
-    def parts(n):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-
-    q_side = q.join(F.broadcast(cells), F.col("cell") == F.col("qc")).withColumn("qp", part("qn")).withColumn("bp", parts("bn"))
-    b_side = b.join(F.broadcast(cells), F.col("cell") == F.col("bc")).withColumn("bp", part("bn")).withColumn("qp", parts("qn"))
-    key = ["qc", "qp", "bc", "bp"]
-    # Names of their own on each side, as both may come from one table.
-    q_side = q_side.select(*[F.col(c).alias(f"q_{c}") for c in key], *queries.columns)
-    b_side = b_side.select(*[F.col(c).alias(f"b_{c}") for c in key], *base.columns)
-
-    def run(qpdf: pd.DataFrame, bpdf: pd.DataFrame) -> pd.DataFrame:
-        if not len(qpdf) or not len(bpdf):
-            return pd.DataFrame(columns=T._parse_datatype_string(schema).names)
-        return kernel(qpdf, bpdf)
 
-    q_groups, b_groups = q_side.groupBy(*[f"q_{c}" for c in key]), b_side.groupBy(*[f"b_{c}" for c in key])
-    return q_groups.cogroup(b_groups).applyInPandas(run, schema)
+    def packed(side: DataFrame, count: np.ndarray, columns: Sequence[str], deal: int) -> DataFrame:
+        """Blocks (place, cell, block), written."""
+
+        def pack_rows(table: pa.Table) -> pa.Table:
+            cell, part = (table.column(c)[0].as_py() for c in ("cell", "part"))
+            return pa.table({"place": pa.array([cell << 32 | part]), "cell": pa.array([cell], pa.int32()), "block": pa.array([pack(table.select(columns))])})
+
+        # A row for each pivot.
+        parts = spark.createDataFrame(pd.DataFrame({"cell": np.arange(n_pivots, dtype=np.int32), "parts": np.maximum(1, -(-count // block_rows))}), "cell int, parts long")
+        dealt = side.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("away", "parts")
+        return cut_lineage(dealt.repartition(deal, "cell", "part").groupBy("cell", "part").applyInArrow(pack_rows, "place long, cell int, block binary"))
+
+    right = packed(b, b_count, base.columns, right_parts(n_base, pivots.shape[1]))
+    left = packed(q, q_count, queries.columns, min(MOST_PARTS, int((-(-q_count // block_rows)).sum()) or 1))
+    q.unpersist(), b.unpersist()
+    # At most MAX_PIVOTS^2 numbers.
+    reached = spark.createDataFrame([(i, np.flatnonzero(r).tolist()) for i, r in enumerate(keep)], "cell int, reached array<int>")
+    left = left.join(F.broadcast(reached), "cell").select("place", "reached", "block")
+    right = right.select(F.col("place").alias("to"), "cell", F.col("block").alias("other"))
+    on = F.array_contains("reached", F.col("cell"))
+    out = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def run(block: pa.Table, others: Iterable[pa.Table]) -> Iterator[pa.RecordBatch]:
+        own = block.to_pandas()
+        for other in others:
+            yield pa.RecordBatch.from_pandas(kernel(own, other.to_pandas()), schema=out, preserve_index=False)
+
+    return crossed(left, right, on & (F.col("place") <= F.col("to")) if mirrored else on, run, schema)
 
 
 def _near_limit(score: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
